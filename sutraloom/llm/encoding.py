@@ -13,7 +13,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sutraloom.runtime import fresh_name, map_columns
@@ -70,14 +71,12 @@ def _char_class(chars: set[str]) -> str:
 
 
 @lru_cache(maxsize=1)
-def suspect_pattern() -> str:
-    """Regular expression (Java and Python) that every text with a span or a lost character matches."""
-    parts = [LOST.encode("unicode_escape").decode()]
-    for back in byte_maps().values():
-        lead = {c for c, b in back.items() if 0xC2 <= b <= 0xF4}
-        after = {c for c, b in back.items() if 0x80 <= b <= 0xBF}
-        parts.append(_char_class(lead) + _char_class(after))
-    return "|".join(parts)
+def suspect() -> re.Pattern:
+    """What every text with a span or a lost character matches: a character that stands for a leading byte in one of
+    the encodings, then one that stands for a following byte."""
+    leads = {c for back in byte_maps().values() for c, b in back.items() if 0xC2 <= b <= 0xF4}
+    after = {c for back in byte_maps().values() for c, b in back.items() if 0x80 <= b <= 0xBF}
+    return re.compile(f"{LOST}|{_char_class(leads)}(?={_char_class(after)})")
 
 
 def _common(c: str) -> bool:
@@ -98,10 +97,10 @@ def plausible(text: str) -> bool:
 
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Maximal well-formed spans as (start, end, decoded), left to right; the longest span of any encoding wins."""
-    found, i, n, table, maps = [], 0, len(text), automaton(), byte_maps()
-    while i < n:
-        if text[i] < "\x80":
-            i += 1
+    found, done, n, table, maps = [], 0, len(text), automaton(), byte_maps()
+    for m in suspect().finditer(text):
+        i = m.start()
+        if i < done:
             continue
         best = None
         for back in maps.values():
@@ -117,9 +116,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                     best = (end, decoded)
         if best:
             found.append((i, best[0], best[1]))
-            i = best[0]
-        else:
-            i += 1
+            done = best[0]
     return found
 
 
@@ -127,6 +124,8 @@ def restore(text: str | None, rounds: int = MAX_ROUNDS) -> tuple[str | None, int
     """The text with all spans decoded, the number of spans, the number of lost characters."""
     if text is None:
         return None, 0, 0
+    if text.isascii():
+        return text, 0, 0
     count = 0
     for _ in range(rounds):
         hits = spans(text)
@@ -141,41 +140,28 @@ def restore(text: str | None, rounds: int = MAX_ROUNDS) -> tuple[str | None, int
     return text, count, text.count(LOST)
 
 
-_SPLIT = None
-
-
 def outside(text: str) -> list[tuple[str, bool]]:
     """Pieces of text as (piece, whether it is garbled): spans and lost characters apart from the rest."""
-    global _SPLIT
-    if _SPLIT is None:
-        _SPLIT = re.compile(suspect_pattern())
-    if not _SPLIT.search(text):
+    if text.isascii() or not (hits := spans(text)):
         return [(text, False)]
     pieces, at = [], 0
-    for start, end, _ in spans(text):
+    for start, end, _ in hits:
         pieces += [(text[at:start], False), (text[start:end], True)]
         at = end
     return [p for p in [*pieces, (text[at:], False)] if p[0]]
 
 
-def is_suspect(col: Column) -> Column:
-    """Whether a text may hold garbled characters (a superset of those that do); stays in the JVM."""
-    return F.coalesce(F.regexp_like(col, F.lit(suspect_pattern())), F.lit(False))
-
-
 def with_repaired(df: DataFrame, text: str, out: str = "repaired") -> DataFrame:
-    """df with `out` (text restored where it was garbled), `<out>_spans` and `<out>_lost`. Only suspect texts
-    travel to Python; all others are answered in the JVM. Rows and other columns are kept."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("struct<t string, n int, lost int>")
-    def fix(s):
-        import pandas as pd
+    """df with `out` (text restored where it was garbled), `<out>_spans` and `<out>_lost`. Texts without a garbled
+    character come back from Python as null and are taken over in the JVM. Rows and other columns are kept."""
 
-        return pd.DataFrame([restore(x) if x is not None else (None, 0, 0) for x in s], columns=["t", "n", "lost"])
+    @F.pandas_udf("struct<t string, n int, lost int>")
+    def fix(s: pd.Series) -> pd.DataFrame:
+        made = [restore(x) for x in s]
+        return pd.DataFrame([(t if n else None, n, lost) for t, n, lost in made], columns=["t", "n", "lost"])
 
     tmp = fresh_name(df, "_fix")
-    made = df.withColumn(tmp, fix(F.when(is_suspect(F.col(text)), F.col(text))))
+    made = df.withColumn(tmp, fix(F.col(text)))
     return (
         made.withColumn(out, F.coalesce(F.col(f"{tmp}.t"), F.col(text)))
         .withColumn(f"{out}_spans", F.col(f"{tmp}.n"))
@@ -198,5 +184,5 @@ def repair_encoding(df: DataFrame, key: str, text: str) -> DataFrame:
         return out
 
     return map_columns(
-        df.select(key, text).where(is_suspect(F.col(text))), kernel, f"`{key}` {key_type}, `{text}` string, spans int, lost int"
+        df.select(key, text), kernel, f"`{key}` {key_type}, `{text}` string, spans int, lost int"
     )

@@ -13,18 +13,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sutraloom.llm import encoding
-from sutraloom.llm.words import count_words
-from sutraloom.runtime import fresh_name, map_columns
+from sutraloom.llm.words import WORD, count_words
+from sutraloom.runtime import cut_lineage, map_columns
 
 # Letters of other alphabets and phonetic letters, with the Latin letter that each looks like.
 LOOKALIKES = {
@@ -55,18 +54,11 @@ SUSPECT_RANGES = (
 )
 
 
-def _ranges(java: bool) -> str:
-    def one(o: int) -> str:
-        return f"\\x{{{o:x}}}" if java else f"\\U{o:08x}"
+SUSPECT = re.compile("[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in SUSPECT_RANGES) + "]")
 
-    return "[" + "".join(one(a) if a == b else f"{one(a)}-{one(b)}" for a, b in SUSPECT_RANGES) + "]"
 
-
-SUSPECT = re.compile(_ranges(False))
-
-
-def is_suspect(col: Column) -> Column:
-    return F.coalesce(F.regexp_like(col, F.lit(_ranges(True))), F.lit(False))
+def may_change(text: str | None) -> bool:
+    return text is not None and not text.isascii() and SUSPECT.search(text) is not None
 
 
 @lru_cache(maxsize=65536)
@@ -150,7 +142,7 @@ def _clean_rest(text: str) -> str:
 
 def normalise(text: str, spelling: dict[str, str] | None = None) -> str:
     """Text in plain characters. spelling: canonical spellings found in the tries; others go by the table."""
-    if not SUSPECT.search(text):
+    if not may_change(text):
         return text
     spelling = spelling or {}
 
@@ -176,6 +168,8 @@ def normalise(text: str, spelling: dict[str, str] | None = None) -> str:
 def special_words(text: str) -> set[str]:
     """Words of a text that hold a character which the table would change."""
     found = set()
+    if not may_change(text):
+        return found
     for piece, garbled in encoding.outside(text):
         if not garbled and SUSPECT.search(piece):
             for w in _WORD.findall(piece):
@@ -275,22 +269,26 @@ def bucket_key(word: str) -> str:
 def spellings(df: DataFrame, text: str, max_cost: float = 0.0) -> DataFrame:
     """(word, canonical): the canonical spelling of each special word that the vocabulary has.
 
-    Words are counted inside each task before they move. Vocabulary and special words meet by bucket key, so that
-    each task builds small tries of its own; no vocabulary reaches the driver.
+    One pass counts plain and special words inside each task before they move. Both meet by bucket key, so that each
+    task builds small tries of its own; no vocabulary reaches the driver.
     """
-    t = F.col(text)
-    dirty = _special_counts(df.where(is_suspect(t)).select(text)).withColumn("special", F.lit(True))
-    vocab = count_words(df, text).where(~is_suspect(F.col("word"))).withColumn("special", F.lit(False))
+
+    def words_of(text: str) -> list[str]:
+        plain = WORD.findall(text)
+        if may_change(text):
+            return [w for w in plain if w.isascii() or not SUSPECT.search(w)] + [_DIRTY + w for w in special_words(text)]
+        return plain
 
     @F.pandas_udf("string")
     def key_of(s: pd.Series) -> pd.Series:
-        return s.map(bucket_key)
+        return s.map(lambda w: bucket_key(w.removeprefix(_DIRTY)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, tuple[list, list]] = {}
         for b in batches:
-            for w, n, s, k in zip(*(b.column(i).to_pylist() for i in range(4))):
-                rows.setdefault(k, ([], []))[s].append((w, n))
+            for w, n, k in zip(*(b.column(i).to_pylist() for i in range(3))):
+                dirty = w.startswith(_DIRTY)
+                rows.setdefault(k, ([], []))[dirty].append((w.removeprefix(_DIRTY), n))
         words, canon = [], []
         for plain, dirty_words in rows.values():
             if not dirty_words:
@@ -304,47 +302,43 @@ def spellings(df: DataFrame, text: str, max_cost: float = 0.0) -> DataFrame:
                     canon.append(best)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(canon, pa.string())], names=["word", "canonical"])
 
-    both = vocab.unionByName(dirty).select("word", "n", "special").withColumn("key", key_of("word"))
-    return both.repartition(F.col("key")).mapInArrow(match, "word string, canonical string")
-
+    counted = count_words(df, text, words_of).withColumn("key", key_of("word"))
+    return counted.repartition(F.col("key")).mapInArrow(match, "word string, canonical string")
 
-def _special_counts(df: DataFrame) -> DataFrame:
-    def count(cols: dict[str, list]) -> dict[str, list]:
-        seen: Counter = Counter()
-        for (texts,) in [tuple(cols.values())]:
-            for t in texts:
-                if t is not None:
-                    seen.update(special_words(t))
-        return {"word": list(seen), "n": list(seen.values())}
 
-    return map_columns(df, count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+#: Marks the special words in the one count of plain and special words.
+_DIRTY = "\x00"
 
 
 def unify(df: DataFrame, key: str, text: str, max_cost: float = 0.0, only_changed: bool = False) -> DataFrame:
     """df with `text` in one form; every other column stays. only_changed: just the rows that the operator changes.
 
-    `key` names a record; rows of one key may repeat. Null texts stay null. Texts without a special character never
-    leave the JVM. Only the special words of a record move: they meet their canonical spellings by word.
+    `key` names a record; rows of one key may repeat, a row with a null key goes by the table alone. Null texts stay
+    null. Only the special words of a record move: they meet their canonical spellings by word.
     """
-    t, words_col = F.col(text), fresh_name(df, "_words")
+    key_type, text_col = df.schema[key].dataType.simpleString(), F.col(text)
 
-    @F.pandas_udf("array<string>")
-    def special(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: sorted(special_words(x)) if x is not None else None)
+    def suspects(cols: dict[str, list]) -> dict[str, list]:
+        rows = [(k, t, sorted(special_words(t))) for k, t in zip(cols[key], cols[text]) if may_change(t)]
+        return {"_key": [r[0] for r in rows], "_text": [r[1] for r in rows], "words": [r[2] for r in rows]}
 
     @F.pandas_udf("string")
     def apply(s: pd.Series, maps: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else normalise(x, dict(m) if m else None) for x, m in zip(s, maps)], dtype=object)
+        return pd.Series([normalise(x, dict(m) if m is not None else None) for x, m in zip(s, maps)], dtype=object)
 
-    suspects = df.where(is_suspect(t))
+    # the few texts that may change, written once: they are read for their words and again for their change
+    held = cut_lineage(map_columns(df.select(key, text), suspects, f"_key {key_type}, _text string, words array<string>"))
     found = (
-        suspects.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(special(t)).alias("word"))
+        held.where(F.col("_key").isNotNull()).select("_key", F.explode("words").alias("word"))
         .join(spellings(df, text, max_cost), "word")
-        .groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "canonical"))).alias(words_col))
+        .groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "canonical"))).alias("maps"))
     )
+    changed = held.join(found, "_key", "left").withColumn("_new", apply("_text", "maps")).where(F.col("_new") != F.col("_text"))
+    changed = changed.select("_key", "_text", "_new").distinct()
+    same = (df[key].eqNullSafe(F.col("_key"))) & (text_col == F.col("_text"))
     if only_changed:
-        joined = suspects.join(found, suspects[key] == found["_key"], "left").drop("_key")
-        new = fresh_name(joined, "_new")
-        return joined.withColumn(new, apply(t, F.col(words_col))).where(F.col(new) != t).withColumn(text, F.col(new)).drop(new, words_col)
-    joined = df.join(found, df[key] == found["_key"], "left").drop("_key")
-    return joined.withColumn(text, F.coalesce(apply(F.when(is_suspect(t), t), F.col(words_col)), t)).drop(words_col)
+        rest = [c for c in df.columns if c not in (key, text)]
+        if not rest:
+            return changed.select(F.col("_key").alias(key), F.col("_new").alias(text))
+        return df.join(changed, same).withColumn(text, F.col("_new")).drop("_key", "_text", "_new")
+    return df.join(changed, same, "left").withColumn(text, F.coalesce("_new", text_col)).drop("_key", "_text", "_new")

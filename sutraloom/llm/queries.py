@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sutraloom.llm import encoding, lookalikes
+from sutraloom.llm import copies, encoding, kinds, lookalikes, sitelines
 from sutraloom.runtime import table
 
 DOCS, WORDS = "ayurveda_docs_final", "final_language_dataset"
@@ -25,8 +25,9 @@ def _both_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = _both_texts(spark, d).withColumn("key", F.concat_ws(":", "tab", "row_id"))
-    return lookalikes.unify(texts, "key", "text", only_changed=True).select("tab", "row_id")
+    key = F.struct("tab", "row_id").alias("key")
+    texts = _both_texts(spark, d).select(key, "text")
+    return lookalikes.unify(texts, "key", "text", only_changed=True).select("key.tab", "key.row_id").distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,10 +38,63 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repair_encoding(_pages(spark, d), "rec_id", "content")
 
 
+def p1_unified(spark: SparkSession, d: str) -> DataFrame:
+    key = F.struct("tab", "row_id").alias("key")
+    texts = _both_texts(spark, d).select(key, "text")
+    return lookalikes.unify(texts, "key", "text").select("key.tab", "key.row_id", "text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.find_lines(_pages(spark, d), "rec_id", "source", "content")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.remove_lines(_pages(spark, d).select("rec_id", "source", "content"), "source", "content").select("rec_id", "content")
+
+
+def _common(spark: SparkSession, d: str) -> frozenset[str]:
+    return kinds.common_words(table(spark, d, "common_words"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    made = kinds.classify(_pages(spark, d), "rec_id", "content", _common(spark, d))
+    return made.where(F.col("kind") != "prose").select("rec_id", "kind")
+
+
+def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return kinds.classify(_pages(spark, d), "rec_id", "content", _common(spark, d))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    entries = copies.with_key(table(spark, d, "sanskrit_glossary"), "entry_id", ["sanskrit_term", "entry_json"], copies.canonical_entry, "sanskrit_glossary")
+    names = copies.with_key(table(spark, d, "ayurveda_terms_from_ak"), "term_id", ["sanskrit_ayurvedic_terms"], copies.canonical_names, "ayurveda_terms_from_ak")
+    return entries.unionByName(names)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.find_copies(_records(spark, d))
+
+
+def p7_records(spark: SparkSession, d: str) -> DataFrame:
+    return copies.count_records(_records(spark, d)).select("tab", "first_id", "n_copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_unified": p1_unified,
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
+    "p5_found": p5_found,
+    "p5_statistics": p5_statistics,
+    "p7_found": p7_found,
+    "p7_records": p7_records,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p2_found": sitelines.FOUND_SQL,
+    "p2_clean": sitelines.CLEAN_SQL,
+    "p7_found": copies.FOUND_SQL,
+    "p7_records": copies.RECORDS_SQL,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sutraloom.llm import copies, encoding, kinds, lookalikes, sitelines
+from sutraloom.llm import copies, encoding, kinds, languages, lookalikes, sitelines
 from sutraloom.runtime import table
 
 DOCS, WORDS = "ayurveda_docs_final", "final_language_dataset"
@@ -65,6 +65,26 @@ def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
     return kinds.classify(_pages(spark, d), "rec_id", "content", _common(spark, d))
 
 
+def _scanned(source) -> "F.Column":
+    """Whether a record comes from a scanned book; null sources do not."""
+    return F.coalesce(F.col(source).contains("/scans/"), F.lit(False))
+
+
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d).withColumn("wrapped", _scanned("source"))
+    return languages.detect(pages, "rec_id", "content", "lang", "wrapped")
+
+
+def p6_words(spark: SparkSession, d: str) -> DataFrame:
+    return languages.classify_words(table(spark, d, WORDS), "word_id", "ascii", "label")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = languages.wrong_or_mixed(p6_languages(spark, d), "rec_id").select(F.lit(DOCS).alias("tab"), F.col("rec_id").alias("row_id"), "lang")
+    words = p6_words(spark, d).where(F.col("right").isNotNull() & ~F.col("right").eqNullSafe(F.col("given")))
+    return docs.unionByName(words.select(F.lit(WORDS).alias("tab"), F.col("word_id").alias("row_id"), F.col("right").alias("lang")))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     entries = copies.with_key(table(spark, d, "sanskrit_glossary"), "entry_id", ["sanskrit_term", "entry_json"], copies.canonical_entry, "sanskrit_glossary")
     names = copies.with_key(table(spark, d, "ayurveda_terms_from_ak"), "term_id", ["sanskrit_ayurvedic_terms"], copies.canonical_names, "ayurveda_terms_from_ak")
@@ -88,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_repaired": p4_repaired,
     "p5_found": p5_found,
     "p5_statistics": p5_statistics,
+    "p6_found": p6_found,
+    "p6_languages": p6_languages,
+    "p6_words": p6_words,
     "p7_found": p7_found,
     "p7_records": p7_records,
 }

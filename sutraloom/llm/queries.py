@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sutraloom.llm import copies, encoding, kinds, languages, lookalikes, sitelines
+from sutraloom.llm import copies, encoding, kinds, languages, leaks, lookalikes, personal, sitelines
 from sutraloom.runtime import table
 
 DOCS, WORDS = "ayurveda_docs_final", "final_language_dataset"
@@ -99,6 +99,22 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.count_records(_records(spark, d)).select("tab", "first_id", "n_copies")
 
 
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_passages(spark, d).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_personal(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "name_list")).drop("confidence")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact_personal(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "name_list"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_unified": p1_unified,
@@ -113,6 +129,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_words": p6_words,
     "p7_found": p7_found,
     "p7_records": p7_records,
+    "p9_found": p9_found,
+    "p9_passages": p9_passages,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 ORACLES: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sutraloom.llm import copies, encoding, kinds, languages, leaks, lookalikes, personal, sitelines
+from sutraloom.llm import copies, encoding, kinds, languages, leaks, lookalikes, personal, scans, sitelines
 from sutraloom.runtime import table
 
 DOCS, WORDS = "ayurveda_docs_final", "final_language_dataset"
@@ -30,6 +30,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unify(texts, "key", "text", only_changed=True).select("key.tab", "key.row_id").distinct()
 
 
+def _maybe_scanned(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with `scanned`: by their source, null (the layout decides) where they have none."""
+    kind = F.when(F.col("source").isNotNull(), F.col("source").contains("/scans/"))
+    return _pages(spark, d).withColumn("scanned", kind)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.find_noise(_maybe_scanned(spark, d), "rec_id", "content", "scanned")
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(_maybe_scanned(spark, d), "rec_id", "content", "scanned")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repair_encoding(_pages(spark, d), "rec_id", "content").select("rec_id")
 
@@ -120,6 +134,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_unified": p1_unified,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
     "p5_found": p5_found,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sutraloom.llm import copies, encoding, kinds, languages, leaks, lookalikes, personal, scans, sitelines
+from sutraloom.llm import copies, encoding, kinds, languages, leaks, lookalikes, packing, personal, scans, sitelines
 from sutraloom.runtime import table
 
 DOCS, WORDS = "ayurveda_docs_final", "final_language_dataset"
@@ -113,6 +113,14 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.count_records(_records(spark, d)).select("tab", "first_id", "n_copies")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "token_limits"), "limit_id", "capacity")
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(p8_packed(spark, d), table(spark, d, "token_limits"), "limit_id", "capacity")
+
+
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -145,6 +153,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_words": p6_words,
     "p7_found": p7_found,
     "p7_records": p7_records,
+    "p8_packed": p8_packed,
+    "p8_usage": p8_usage,
     "p9_found": p9_found,
     "p9_passages": p9_passages,
     "p10_found": p10_found,

@@ -90,7 +90,7 @@ class Parser:
     """The automata of all languages as dense tables; parses batches of texts."""
 
     def __init__(self, samples: dict[str, str]) -> None:
-        self.names = sorted(samples)
+        self.samples, self.names = samples, sorted(samples)
         self.tables, self.roots, self.codes, self.latin = [], [], [], []
         for name in self.names:
             nxt = suffix_automaton(samples[name])
@@ -112,6 +112,10 @@ class Parser:
             self.codes.append(code)
             self.latin.append(any("a" <= c <= "z" for c in letters))
 
+    def __reduce__(self) -> tuple:
+        """The samples travel, which are small; the tables, which are not, are built where they are used."""
+        return Parser, (self.samples,)
+
     def pieces(self, texts: list[str]) -> np.ndarray:
         """Number of longest-match pieces of each text by language, (texts, languages); texts are not empty."""
         n = len(texts)
@@ -402,10 +406,7 @@ def word_form(word: str) -> str:
 class WordParser:
     """Parses words from both ends: a short word has few pieces, and two parses tell more than one."""
 
-    def __init__(self, lists: dict[str, list[str]]) -> None:
-        kept = train_lists(lists, WORD_SAMPLE_CHARS, "\n", 3)
-        size = _budget(kept, WORD_SAMPLE_CHARS)
-        samples = _keep(kept, size, "\n")
+    def __init__(self, samples: dict[str, str]) -> None:
         self.ahead = Parser(samples)
         self.back = Parser({k: v[::-1] for k, v in samples.items()})
         self.names = self.ahead.names
@@ -422,7 +423,10 @@ def fit_words(df: DataFrame, key: str, word: str, label: str) -> WordParser | No
     for r in sorted(rows, key=lambda r: (r["h"], r[word])):
         if (w := word_form(r[word])) and len(lists[r["_label"]]) < WORD_SAMPLE_ROWS:
             lists[r["_label"]].append(w)
-    return WordParser(dict(lists)) if lists else None
+    if not lists:
+        return None
+    kept = train_lists(dict(lists), WORD_SAMPLE_CHARS, "\n", 3)
+    return WordParser(_keep(kept, _budget(kept, WORD_SAMPLE_CHARS), "\n"))
 
 
 def classify_words(df: DataFrame, key: str, word: str, label: str) -> DataFrame:

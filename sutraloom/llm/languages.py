@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sutraloom.llm import encoding, lookalikes
+from sutraloom.llm.words import WORD
 from sutraloom.runtime import collect_bounded, map_columns
 
-SAMPLE_ROWS, SAMPLE_CHARS = 250, 40_000
+SAMPLE_ROWS, SAMPLE_CHARS = 250, 30_000
 WORD_SAMPLE_ROWS, WORD_SAMPLE_CHARS = 8_000, 40_000
 MIN_WORDS = 4
+#: Texts that walk the automata together; a size at which their states stay near the processor.
+BATCH = 4_096
 #: Letters (with the blank) that a word has on average in a sentence; what has fewer is noise.
 MIN_WORD_LENGTH = 3.2
 MIN_CONFIDENCE = 0.12
@@ -91,7 +94,7 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.samples, self.names = samples, sorted(samples)
-        self.tables, self.roots, self.codes, self.latin = [], [], [], []
+        self.tables, self.widths, self.codes, self.latin = [], [], [], []
         for name in self.names:
             nxt = suffix_automaton(samples[name])
             letters = sorted(set(samples[name]))
@@ -101,14 +104,16 @@ class Parser:
                 if ord(c) < 0x10000:
                     code[ord(c)] = i
             width = len(letters) + 1
-            table = np.zeros((len(nxt) + 1, width), dtype=np.int32)  # state 0: none; the start is state 1
-            for s, out in enumerate(nxt):
+            to = np.zeros((len(nxt) + 1, width), dtype=np.int32)  # state 0: none; the start is state 1
+            for st, out in enumerate(nxt):
                 for c, t in out.items():
-                    table[s + 1, where[c]] = t + 1
-            root = table[1].copy()
-            root[root == 0] = 1
-            self.tables.append(table.ravel())
-            self.roots.append(root)
+                    to[st + 1, where[c]] = t + 1
+            # a step that fails begins a new piece at the start: its entry says so in the lowest bit
+            miss = to == 0
+            root = np.where(to[1] == 0, 1, to[1])
+            table = (np.where(miss, root[None, :], to) * width << 1) | miss
+            self.tables.append(table.astype(np.int32).ravel())
+            self.widths.append(width)
             self.codes.append(code)
             self.latin.append(any("a" <= c <= "z" for c in letters))
 
@@ -119,6 +124,8 @@ class Parser:
     def pieces(self, texts: list[str]) -> np.ndarray:
         """Number of longest-match pieces of each text by language, (texts, languages); texts are not empty."""
         n = len(texts)
+        if n > BATCH:
+            return np.concatenate([self.pieces(texts[i : i + BATCH]) for i in range(0, n, BATCH)])
         result = np.zeros((n, len(self.names)), dtype=np.float64)
         if not n:
             return result
@@ -134,16 +141,13 @@ class Parser:
             if only_latin and not self.latin[k]:
                 result[back, k] = sizes
                 continue
-            table, root, width = self.tables[k], self.roots[k], len(self.roots[k])
-            coded = self.codes[k][joined]
-            state, count = np.ones(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+            table, coded = self.tables[k], self.codes[k][joined]
+            at, count = np.full(n, self.widths[k], dtype=np.int32), np.zeros(n, dtype=np.int32)
             for step in range(int(sizes[0])):
                 m = int(live[step])
-                c = coded[starts[:m] + step]
-                to = table[state[:m] * width + c]
-                miss = to == 0
-                count[:m] += miss
-                state[:m] = np.where(miss, root[c], to)
+                went = table[at[:m] + coded[starts[:m] + step]]
+                count[:m] += went & 1
+                at[:m] = went >> 1
             result[back, k] = count + 1
         return result
 
@@ -163,13 +167,13 @@ def decide(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _CUT = re.compile(r"(?<=[.!?।])[\"'’”»)]*\s+|(?<=\|\|)\s+|(?<=[^\W\d_] \|)\s+|\n\s*\n")
 _ENDS = tuple(".!?।|")
 _REST = re.compile(r"[\W\d_]+")
-_MARKS = re.compile(r"[^\sऀ-ॿ̀-ͯ\w]|[\d_]")
-_SPACE = re.compile(r"\s+")
+_INNER = re.compile(r"[.!?]\s")
+_TAIL = "\"'’”»)† \t\r"
 
 
 def letters(text: str) -> str:
     """A text's words in lower case with single blanks: what the automata read."""
-    return _SPACE.sub(" ", _MARKS.sub(" ", text.lower())).strip()
+    return " ".join(WORD.findall(text.lower()))
 
 
 def prepared(text: str) -> str:
@@ -179,10 +183,9 @@ def prepared(text: str) -> str:
 
 def line_key(line: str) -> int | None:
     """Hash of a short line's letters, for lines that end as sentences do; None for others."""
-    if len(line) > 160 or not line.rstrip("\"'’”» \t\r").endswith(_ENDS):
-        words = _REST.sub("", line.lower()) if len(line) <= 160 and re.search(r"[.!?]\s", line) else ""
-    else:
-        words = _REST.sub("", line.lower())
+    if len(line) > 160 or len(line) < 12 or not (line.rstrip(_TAIL).endswith(_ENDS) or _INNER.search(line)):
+        return None
+    words = _REST.sub("", line.lower())
     return xxhash.xxh3_64_intdigest(words) >> 1 if len(words) > 11 else None
 
 
@@ -208,7 +211,7 @@ def sentences(text: str, wrapped: bool, common: frozenset[int]) -> list[str]:
     found = []
     for line in lines:
         for s in _CUT.split(line):
-            if s and s.rstrip("\"'’”»)† \t\r").endswith(_ENDS):
+            if s and s.rstrip(_TAIL).endswith(_ENDS):
                 bare = letters(s)
                 gaps = bare.count(" ")
                 if gaps >= MIN_WORDS - 1 and len(bare) >= MIN_WORD_LENGTH * (gaps + 1):

@@ -6,11 +6,14 @@ state both, as the JVM's own shorthand classes are ASCII.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 W = r"[\p{L}\p{N}_]"
-BLANK = r"(?U)\s"
+# Fixed value: Unicode's blanks.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Marks of page and volume numbers and of scanning, each of which becomes one blank, in this order.
 OCR_MARKS = (
@@ -35,9 +38,15 @@ LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ
 SPACED = "a-zA-Zāīūṛṝḷḹēōṃḥṅñṭḍṇśṣ"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once. An expression that a lambda mentions is computed anew for each element,
+    and one that is mentioned twice may be computed twice; a lambda's own variable is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without blanks of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -47,8 +56,7 @@ def squeeze(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Tokens between blanks; an empty array for a blank text."""
-    flat = squeeze(c)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return let(squeeze(c), lambda flat: F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")))
 
 
 def replace_all(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -63,12 +71,12 @@ def ligatures(c: Column) -> Column:
 
 def drop_intrusive(c: Column) -> Column:
     """Signs that scanning put between word characters."""
-    return F.regexp_replace(c, rf"(?<={W})[\^<>*~¬¦§¶]+(?={W})", "")
+    return F.regexp_replace(c, rf"[\^<>*~¬¦§¶](?<={W}.)[\^<>*~¬¦§¶]*(?={W})", "")
 
 
 def join_spaced_letters(c: Column) -> Column:
     """Runs of two or more single letters with a blank after each become one word; the last blank goes, too."""
-    return F.regexp_replace(c, rf"(?<=(?<!{W}){W}) (?={W}\s)|(?<=(?<!{W}){W}\s{W}) ", "")
+    return F.regexp_replace(c, rf" (?:(?<=(?<!{W}){W} )(?={W}\s)|(?<=(?<!{W}){W}\s{W} ))", "")
 
 
 def join_spaced_pairs(c: Column) -> Column:
@@ -90,11 +98,12 @@ def drop_repeated_words(c: Column) -> Column:
 
 
 def drop_repeated_signs(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)([^\p{L}\p{N}_\s])\1{2,}", "$1")
+    return F.regexp_replace(c, r"(?U)(?![a-zA-Z0-9 ])([^\p{L}\p{N}_\s])\1{2,}", "$1")
 
 
 def drop_single_letters(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?<!{W})[a-zA-Z](?!{W})", "")
+    # the letter first: what is tried at every place should fail soon
+    return F.regexp_replace(c, rf"[a-zA-Z](?!{W})(?<!{W}[a-zA-Z])", "")
 
 
 def drop_page_marks(c: Column) -> Column:
@@ -148,11 +157,12 @@ def is_noise(c: Column) -> Column:
 
 def is_meaningful(c: Column, min_words: int = 5, min_mean_length: float = 2.5) -> Column:
     """At least 20 characters, `min_words` words of `min_mean_length` on average, and 70 % letters and blanks."""
-    w = words(c)
-    n = F.size(w)
-    letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+    def long_enough(w: Column) -> Column:
+        letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+        return (F.size(w) >= min_words) & (letters >= F.size(w) * min_mean_length)
+
     readable = F.regexp_count(c, F.lit(r"(?U)[\p{L}\s]"))
-    ok = (F.length(strip(c)) >= 20) & (n >= min_words) & (letters >= n * min_mean_length) & (readable >= F.length(c) * 0.7)
+    ok = (F.length(strip(c)) >= 20) & (readable >= F.length(c) * 0.7) & let(words(c), long_enough)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -175,13 +185,17 @@ def sentences(c: Column) -> Column:
 
 
 def capitalise(c: Column) -> Column:
-    return F.when(F.length(c) > 1, F.concat(F.upper(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c)))).otherwise(c)
+    return let(c, lambda x: F.when(F.length(x) > 1, F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x)))).otherwise(x))
 
 
 def paragraphs(sentence_list: Column, size: int = 3) -> Column:
     """Every `size` sentences joined by blanks, the groups by a blank line."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(sentence_list) - 1), F.lit(size))
-    return F.array_join(F.transform(starts, lambda i: F.array_join(F.slice(sentence_list, i + 1, size), " ")), "\n\n")
+
+    def join(xs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(xs) - 1), F.lit(size))
+        return F.array_join(F.transform(starts, lambda i: F.array_join(F.slice(xs, i + 1, size), " ")), "\n\n")
+
+    return let(sentence_list, join)
 
 
 # --- transliteration and term keys -------------------------------------------------------------------------------------------
@@ -221,8 +235,8 @@ def term_key(c: Column) -> Column:
 
 def slp1_word(c: Column) -> Column:
     """A dictionary word in letters only; null for fewer than three letters or no vowel."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(c), "[-—]", ""), "srs+", ""), "[^a-zA-Z]", "")
-    return F.when((F.length(bare) >= 3) & F.regexp_like(bare, F.lit("[aAiIuUfFxXeEoO]")), bare)
+    made = F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(c), "[-—]", ""), "srs+", ""), "[^a-zA-Z]", "")
+    return let(made, lambda bare: F.when((F.length(bare) >= 3) & F.regexp_like(bare, F.lit("[aAiIuUfFxXeEoO]")), bare))
 
 
 def slp1_to_iast(c: Column) -> Column:
@@ -232,7 +246,10 @@ def slp1_to_iast(c: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of a word between # marks."""
-    marked = F.concat(F.lit("#"), c, F.lit("#"))
-    last = F.length(marked) - 2
-    made = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(marked, i, F.lit(3))))
-    return F.when(last >= 1, made).otherwise(F.array().cast("array<string>"))
+
+    def cut(marked: Column) -> Column:
+        last = F.length(marked) - 2
+        made = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(marked, i, F.lit(3))))
+        return F.when(last >= 1, made).otherwise(F.array().cast("array<string>"))
+
+    return let(F.concat(F.lit("#"), c, F.lit("#")), cut)

@@ -48,8 +48,7 @@ def relevant_history(messages: DataFrame, n: int = 3, least: int = 2, remembered
     before = Win.partitionBy("session_id").orderBy("seq").rowsBetween(-remembered, -1)
     past = F.collect_list(F.struct("seq", "role", "content")).over(before)
     asked = messages.withColumn("_past", past).where(F.col("role") == "user")
-    own = _word_set(F.col("content"))
-    scored = F.transform("_past", lambda m: F.struct(F.size(F.array_intersect(own, _word_set(m["content"]))).alias("n"), m["seq"].alias("seq"), m["role"].alias("role"), m["content"].alias("content")))
+    scored = T.let(_word_set(F.col("content")), lambda own: F.transform(F.col("_past"), lambda m: F.struct(F.size(F.array_intersect(own, _word_set(m["content"]))).alias("n"), m["seq"].alias("seq"), m["role"].alias("role"), m["content"].alias("content"))))
     hits = F.array_sort(F.transform(F.filter(scored, lambda m: m["n"] >= least), lambda m: F.struct((-m["n"]).alias("o"), m["seq"], m["role"], m["content"])))
     line = lambda m: F.concat(F.upper(F.coalesce(m["role"], F.lit(""))), F.lit(": "), F.left(F.coalesce(m["content"], F.lit("")), F.lit(150)), F.lit("..."))
     top = F.slice(hits, 1, n)

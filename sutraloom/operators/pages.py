@@ -44,14 +44,14 @@ def lexicon_terms(lexicon: DataFrame, canonical: str = "canonical", order: str =
 
 def mentions(text: Column, terms: list[str]) -> Column:
     """The terms that a text contains in any case, sorted. The list is folded into the plan: no join, no shuffle."""
-    low = F.lower(text)
-    found = F.filter(F.array(*[F.lit(t) for t in sorted(set(terms))]), lambda t: F.contains(low, F.lower(t)))
-    return F.when(text.isNotNull(), found) if terms else F.array().cast("array<string>")
+    named = F.array(*[F.lit(t) for t in sorted(set(terms))])
+    found = T.let(F.lower(text), lambda low: F.when(low.isNotNull(), F.filter(named, lambda t: F.contains(low, F.lower(t)))))
+    return found if terms else F.array().cast("array<string>")
 
 
 def mentions_any(text: Column, terms: list[str]) -> Column:
-    low = F.lower(text)
-    return F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(low, t)) if terms else F.lit(False)
+    named = F.array(*[F.lit(t.lower()) for t in terms])
+    return T.let(F.lower(text), lambda low: F.exists(named, lambda t: F.contains(low, t))) if terms else F.lit(False)
 
 
 def drop_repeated(df: DataFrame, key: str, source: str, text: str, terms: list[str], min_repeat: float = 0.3, keep_blank: bool = False) -> DataFrame:
@@ -60,12 +60,14 @@ def drop_repeated(df: DataFrame, key: str, source: str, text: str, terms: list[s
     repeated = repeated_lines(df, source, text, min_repeat)
     lists = repeated.groupBy(F.col("source").alias("_source")).agg(F.collect_set("line_norm").alias("_repeated"))
     pages = df.select(F.col(key), F.col(source), F.col(text)).join(lists, F.col(source) == F.col("_source"), "left")
-    low = line_key
 
     def stays(line: Column) -> Column:
-        again = F.coalesce(F.array_contains(F.col("_repeated"), low(line)), F.lit(False))
-        kept = ~again | mentions_any(line, terms)
-        return kept if keep_blank else kept & (T.strip(line) != "")
+        def judge(key: Column) -> Column:
+            again = F.coalesce(F.array_contains(F.col("_repeated"), key), F.lit(False))
+            kept = ~again | mentions_any(line, terms)
+            return kept if keep_blank else kept & (key != "")
+
+        return T.let(line_key(line), judge)
 
     return pages.select(key, source, F.filter(F.split(F.col(text), "\n"), stays).alias("lines"))
 
@@ -129,13 +131,15 @@ def lexicon_keys(lexicon: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
 
 def canonical_word(word: Column, names: dict[str, str], variants: dict[str, str]) -> Column:
     """The canonical form of a word's Latin letters, the word itself where the lexicon has none."""
-    bare = F.regexp_replace(word, "[^a-zA-Z]", "")
 
     def table(d: dict[str, str]) -> Column:
         return F.create_map(*[F.lit(x) for pair in d.items() for x in pair]) if d else F.lit(None).cast("map<string,string>")
 
-    found = F.coalesce(F.try_element_at(table(variants), bare), F.try_element_at(table(names), F.lower(bare)))
-    return F.when(bare == "", word).otherwise(F.coalesce(found, word))
+    def look_up(bare: Column) -> Column:
+        found = F.coalesce(F.try_element_at(table(variants), bare), F.try_element_at(table(names), F.lower(bare)))
+        return F.when(bare == "", word).otherwise(F.coalesce(found, word))
+
+    return T.let(F.regexp_replace(word, "[^a-zA-Z]", ""), look_up)
 
 
 def normalise_spelling(text: Column, names: dict[str, str], variants: dict[str, str]) -> Column:

@@ -97,11 +97,11 @@ def best_per_document(hits: DataFrame, group: str, key: str, limit: int) -> Data
 
 
 def words_named(text: Column, words: tuple[str, ...]) -> Column:
-    """How many of the words a text contains, in any case."""
+    """How many of the words a text contains, in any case; none for a null text."""
     low = F.lower(text)
     total = F.lit(0)
     for w in words:
-        total = total + F.contains(low, F.lit(w)).cast("int")
+        total = total + F.coalesce(F.contains(low, F.lit(w)).cast("int"), F.lit(0))
     return total
 
 

@@ -22,7 +22,7 @@ _INTENTS = ("treatment", "diet", "lifestyle", "symptoms", "causes")
 
 
 def _contains(c: str, words: tuple[str, ...]) -> str:
-    return " + ".join(f"contains(lower({c}), '{w}')::INT" for w in words)
+    return " + ".join(f"coalesce(contains(lower({c}), '{w}')::INT, 0)" for w in words)
 
 
 _INTENT_SQL = "CASE intent " + " ".join(f"WHEN '{n}' THEN least(1e0, ({_contains('text', w)}) / {len(w)}e0)" for n, w in retrieval.INTENT_WORDS.items()) + " ELSE 0e0 END"

@@ -80,9 +80,10 @@ def suspect() -> re.Pattern:
 
 
 def _common(c: str) -> bool:
-    """Scripts that may stand alone in text of Latin, Greek, Cyrillic or Indic letters; others must come in runs."""
+    """Characters that may stand alone among Latin, Greek or Indic letters. Those of other scripts must come in runs:
+    a dash or quote next to an accented letter has the bytes of one Cyrillic or Armenian letter."""
     o = ord(c)
-    return o < 0x0180 or 0x0370 <= o < 0x0600 or 0x0900 <= o < 0x0E00 or 0x1E00 <= o < 0x2200 or c in "ƒˆ˜\ufeffﬁﬂ" or unicodedata.category(c)[0] == "S"
+    return o < 0x0180 or 0x0370 <= o < 0x0400 or 0x0900 <= o < 0x0E00 or 0x1E00 <= o < 0x2200 or c in "ƒˆ˜\ufeffﬁﬂ" or unicodedata.category(c)[0] == "S"
 
 
 def plausible(text: str) -> bool:

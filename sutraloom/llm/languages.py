@@ -36,6 +36,8 @@ WORD_SAMPLE_ROWS, WORD_SAMPLE_CHARS = 8_000, 40_000
 MIN_WORDS = 4
 #: Texts that walk the automata together; a size at which their states stay near the processor.
 BATCH = 4_096
+#: Characters that one text may have in a batch; longer texts are parsed in parts.
+LONGEST = 2_000
 #: Letters (with the blank) that a word has on average in a sentence; what has fewer is noise.
 MIN_WORD_LENGTH = 3.2
 MIN_CONFIDENCE = 0.12
@@ -94,7 +96,7 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.samples, self.names = samples, sorted(samples)
-        self.tables, self.widths, self.codes, self.latin = [], [], [], []
+        self.tables, self.codes, self.latin = [], [], []
         for name in self.names:
             nxt = suffix_automaton(samples[name])
             letters = sorted(set(samples[name]))
@@ -104,16 +106,15 @@ class Parser:
                 if ord(c) < 0x10000:
                     code[ord(c)] = i
             width = len(letters) + 1
-            to = np.zeros((len(nxt) + 1, width), dtype=np.int32)  # state 0: none; the start is state 1
+            to = np.zeros((len(nxt) + 1, width), dtype=np.int32)  # state 0: before and between pieces; the start is 1
             for st, out in enumerate(nxt):
                 for c, t in out.items():
                     to[st + 1, where[c]] = t + 1
-            # a step that fails begins a new piece at the start: its entry says so in the lowest bit
+            # a step that fails begins a new piece, which the entry says in its lowest bit; a character that the
+            # language does not have is a piece of its own
             miss = to == 0
-            root = np.where(to[1] == 0, 1, to[1])
-            table = (np.where(miss, root[None, :], to) * width << 1) | miss
+            table = (np.where(miss, to[1][None, :], to) * width << 1) | miss
             self.tables.append(table.astype(np.int32).ravel())
-            self.widths.append(width)
             self.codes.append(code)
             self.latin.append(any("a" <= c <= "z" for c in letters))
 
@@ -124,6 +125,12 @@ class Parser:
     def pieces(self, texts: list[str]) -> np.ndarray:
         """Number of longest-match pieces of each text by language, (texts, languages); texts are not empty."""
         n = len(texts)
+        if any([len(t) > LONGEST for t in texts]):  # long ones in parts, whose pieces add up
+            parts = [t[i : i + LONGEST] for t in texts for i in range(0, len(t), LONGEST)]
+            owner = np.repeat(np.arange(n), [-(-len(t) // LONGEST) for t in texts])
+            total = np.zeros((n, len(self.names)))
+            np.add.at(total, owner, self.pieces(parts))
+            return total
         if n > BATCH:
             return np.concatenate([self.pieces(texts[i : i + BATCH]) for i in range(0, n, BATCH)])
         result = np.zeros((n, len(self.names)), dtype=np.float64)
@@ -142,13 +149,13 @@ class Parser:
                 result[back, k] = sizes
                 continue
             table, coded = self.tables[k], self.codes[k][joined]
-            at, count = np.full(n, self.widths[k], dtype=np.int32), np.zeros(n, dtype=np.int32)
+            at, count = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
             for step in range(int(sizes[0])):
                 m = int(live[step])
                 went = table[at[:m] + coded[starts[:m] + step]]
                 count[:m] += went & 1
                 at[:m] = went >> 1
-            result[back, k] = count + 1
+            result[back, k] = count
         return result
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sutraloom.llm import encoding
 from sutraloom.llm.words import WORD, count_words
-from sutraloom.runtime import cut_lineage, map_columns
+from sutraloom.runtime import cut_lineage, fresh_name, map_columns
 
 # Letters of other alphabets and phonetic letters, with the Latin letter that each looks like.
 LOOKALIKES = {
@@ -334,11 +334,11 @@ def unify(df: DataFrame, key: str, text: str, max_cost: float = 0.0, only_change
         .groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "canonical"))).alias("maps"))
     )
     changed = held.join(found, "_key", "left").withColumn("_new", apply("_text", "maps")).where(F.col("_new") != F.col("_text"))
-    changed = changed.select("_key", "_text", "_new").distinct()
-    same = (df[key].eqNullSafe(F.col("_key"))) & (text_col == F.col("_text"))
+    k, old, new = (fresh_name(df, c) for c in ("_key", "_text", "_new"))
+    changed = changed.select(F.col("_key").alias(k), F.col("_text").alias(old), F.col("_new").alias(new)).distinct()
+    same = df[key].eqNullSafe(F.col(k)) & (text_col == F.col(old))
     if only_changed:
-        rest = [c for c in df.columns if c not in (key, text)]
-        if not rest:
-            return changed.select(F.col("_key").alias(key), F.col("_new").alias(text))
-        return df.join(changed, same).withColumn(text, F.col("_new")).drop("_key", "_text", "_new")
-    return df.join(changed, same, "left").withColumn(text, F.coalesce("_new", text_col)).drop("_key", "_text", "_new")
+        if not [c for c in df.columns if c not in (key, text)]:
+            return changed.select(F.col(k).alias(key), F.col(new).alias(text))
+        return df.join(changed, same).withColumn(text, F.col(new)).drop(k, old, new)
+    return df.join(changed, same, "left").withColumn(text, F.coalesce(new, text_col)).drop(k, old, new)

@@ -82,8 +82,13 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """The containers after all improving moves and exchanges; empty ones are left out."""
+#: Changes that are looked for in one shard; a bound on time alone, every item stays packed.
+TRIES = 3_000
+
+
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int, tries: int = TRIES) -> list[list[int]]:
+    """The containers after improving moves and exchanges; empty ones are left out. The emptiest container gives first;
+    one that finds no change waits until another has."""
     size = np.array(sizes, dtype=np.int64)
     at = np.empty(len(sizes), dtype=np.int64)
     for b, items in enumerate(bins):
@@ -92,12 +97,16 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
     content = [list(b) for b in bins]
     least = -(-int(size.sum()) // capacity)
     stuck: set[int] = set()
-    while (fill > 0).sum() > least:
+    for _ in range(tries):
+        if (fill > 0).sum() <= least:
+            break
         open_bins = [b for b in np.flatnonzero((fill > 0) & (fill < capacity)) if b not in stuck]
         if len(open_bins) < 2:
             break
         donor = min(open_bins, key=lambda b: (fill[b], b))
-        if not _give(donor, size, at, fill, content, capacity):
+        if _give(donor, size, at, fill, content, capacity):
+            stuck.clear()
+        else:
             stuck.add(donor)
     return [c for c in content if c]
 
@@ -109,7 +118,7 @@ def _give(donor: int, size: np.ndarray, at: np.ndarray, fill: np.ndarray, conten
     mine = sorted(content[donor], key=lambda i: (-size[i], i))
     # a move: the largest item that fits anywhere, to the tightest place
     for x in mine:
-        fits = np.flatnonzero((free >= size[x]) & (fill > 0))
+        fits = np.flatnonzero((free >= size[x]) & (fill > 0) & (fill + size[x] > fill[donor]))
         if len(fits):
             _shift(x, donor, int(fits[free[fits].argmin()]), size, at, fill, content)
             return True

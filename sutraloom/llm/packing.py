@@ -7,8 +7,9 @@ the number of containers is the least possible.
 
 A document longer than the capacity is cut into pieces of the capacity and a rest; no other document is cut.
 
-Scale: items are dealt by a hash to shards of about SHARD items, each of which is packed on its own; a shard wastes at
-most part of one container against packing all items together, one in thousands. Tokens are counted once, in place.
+Scale: what fills a container by itself has one of its own and moves nowhere. All else, at most one item per document,
+is dealt by a hash to shards of about SHARD items, each of which is packed on its own; a shard wastes at most part of
+one container against packing all items together, one in thousands. Tokens are counted once, in place.
 
 Defined results: null and empty texts have no tokens and are in no container; repeated texts are items of their own.
 """
@@ -83,7 +84,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 #: Changes that are looked for in one shard; a bound on time alone, every item stays packed.
-TRIES = 3_000
+TRIES = 1_000
 
 
 def local_search(sizes: list[int], bins: list[list[int]], capacity: int, tries: int = TRIES) -> list[list[int]]:
@@ -173,17 +174,20 @@ def pack(df: DataFrame, key: str, text: str, limits: DataFrame, limit_key: str,
         size = table.column("n_tokens").to_pylist()
         room, part = table.column("capacity")[0].as_py(), table.column("shard")[0].as_py()
         bins = local_search(size, best_fit(size, room), room)
-        where = [0] * len(size)
+        where = [""] * len(size)
         for b, items in enumerate(bins):
             for i in items:
-                where[i] = (part << 32) + b
+                where[i] = f"{part}-{b}"
         keep = table.select(["limit", "key", "piece", "first_token", "n_tokens"])
-        return keep.add_column(1, "container", pa.array(where, pa.int64()))
+        return keep.add_column(1, "container", pa.array(where, pa.string()))
 
     limit_type, key_type = items.schema["limit"].dataType.simpleString(), df.schema[key].dataType.simpleString()
-    schema = f"limit {limit_type}, container bigint, key {key_type}, piece int, first_token int, n_tokens int"
-    packed = items.groupBy("limit", "shard").applyInArrow(run, schema)
-    return packed.withColumnsRenamed({"limit": limit_key, "key": key} if limit_key != key else {"key": key})
+    schema = f"limit {limit_type}, container string, key {key_type}, piece int, first_token int, n_tokens int"
+    whole = F.col("n_tokens") == F.col("capacity")
+    packed = items.where(~whole).groupBy("limit", "shard").applyInArrow(run, schema)
+    alone = items.where(whole).withColumn("container", F.concat_ws("-", F.lit("own"), "key", "piece"))
+    both = packed.unionByName(alone.select(packed.columns))
+    return both.withColumnsRenamed({"limit": limit_key, "key": key})
 
 
 def usage(packed: DataFrame, limits: DataFrame, limit_key: str, capacity: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,26 @@ from pyspark.sql.types import StructType
 LOOKUP_ROWS = 200_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the session's Python workers, once per application: they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sutraloom-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))  # the driver serves it to the executors
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data folder."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,6 +75,7 @@ def map_columns(
 ) -> DataFrame:
     """Arrow batches as column lists through kernel; the kernel gets and returns {column: list}."""
     spark = df.sparkSession
+    ship_package(spark)
     out = schema if isinstance(schema, StructType) else _parse(spark, schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -142,7 +142,7 @@ class Parser:
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts that still run at each step
         joined = np.where(joined < 0x10000, joined, 0)
-        only_latin = bool((joined < 0x0900).all())
+        only_latin = not bool(((joined >= 0x0900) & (joined < 0x0E00)).any())
         back = np.array(order)
         for k in range(len(self.names)):
             if only_latin and not self.latin[k]:
@@ -171,7 +171,8 @@ def decide(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- sentences -----------------------------------------------------------------------------------------------------------
 
-_CUT = re.compile(r"(?<=[.!?।])[\"'’”»)]*\s+|(?<=\|\|)\s+|(?<=[^\W\d_] \|)\s+|\n\s*\n")
+# the blank first: what is tried at every place should fail soon
+_CUT = re.compile(r"\s(?:(?<=[.!?।]\s)|(?<=[.!?।][\"'’”»)]\s)|(?<=\|\|\s)|(?<=[^\W\d_] \|\s))\s*")
 _ENDS = tuple(".!?।|")
 _REST = re.compile(r"[\W\d_]+")
 _INNER = re.compile(r"[.!?]\s")
@@ -354,19 +355,18 @@ def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str) -> Data
                 for s in sentences(prepared(t), bool(w), common):
                     at = len(owner)
                     owner.append(i)
-                    if s.isascii() or max(s) < "ऀ" or not _INDIC.search(s):
-                        latin.append(s if max(s) < "ऀ" else "".join([c if c < "ऀ" else " " for c in s]))
+                    if s.isascii() or not _INDIC.search(s):
+                        latin.append(s)
                         latin_at.append(at)
                     else:
                         other.append(s)
                         other_at.append(at)
         pieces = np.zeros((len(owner), len(names)))
+        size = np.zeros(len(owner))
         for texts, at in ((latin, latin_at), (other, other_at)):
             if texts:
                 pieces[at] = parser.pieces([f" {s} " for s in texts])
-        size = np.zeros(len(owner))
-        for texts, at in ((latin, latin_at), (other, other_at)):
-            size[at] = [len(s) for s in texts]
+                size[at] = [len(s) for s in texts]
         best, lead = decide(pieces)
         per: dict[int, list[int]] = defaultdict(list)
         for at, i in enumerate(owner):

@@ -139,6 +139,7 @@ def test_labels():
 def test_sentences():
     text = "Head of page\nThis is one whole sentence here. And here is another\none over the line. Too short.\n\nNo end in this one"
     assert languages.sentences(text, True, frozenset()) == ["head of page this is one whole sentence here", "and here is another one over the line"]
+    assert languages.sentences("You are reading page 16 of 145 | site\nkāle balaṃ dehasya hitam ca | kāse śothe na jāyate iti ||", False, frozenset()) == ["kāle balaṃ dehasya hitam ca", "kāse śothe na jāyate iti"]
     assert languages.sentences("The page is for all. " * 2, False, frozenset([languages.line_key("The page is for all. " * 2)])) == []
 
 

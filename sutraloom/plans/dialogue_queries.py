@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sutraloom.operators import dialogue
+from sutraloom.operators.chunks import last_wins
 from sutraloom.plans.page_queries import SP
 from sutraloom.plans.registry import query
-from sutraloom.runtime import table
+from sutraloom.runtime import ensure_checkpoint_dir, ship_package, table
+from sutraloom.streaming import sessions
 
 _ONCE = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY coalesce(arrived_at, TIMESTAMP '9999-12-31'), coalesce(content, '')) AS dup FROM chat_messages) WHERE dup = 1)"""
 _LAST = f"SELECT * FROM (SELECT session_id, seq, role, content, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM {_ONCE})"
@@ -72,3 +76,24 @@ def sessions_after_reset(spark, d):
     """Messages left when the sessions that mention fever are reset."""
     messages = _messages(spark, d)
     return dialogue.without_sessions(messages, messages.where(F.contains(F.lower("content"), F.lit("fever")))).select("session_id", "seq")
+
+
+_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query("stream_memory", f"""WITH n AS ({_NAMED}), g AS (SELECT session_id, string_agg(c, ',' ORDER BY first_seq, i) AS conditions FROM n GROUP BY session_id),
+l AS (SELECT session_id, max(total) AS seen, string_agg(upper(coalesce(role, '')) || ': ' || coalesce(content, ''), chr(10) ORDER BY seq) AS remembered FROM (
+  SELECT session_id, seq, role, content, count(*) OVER (PARTITION BY session_id) AS total, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM {_ONCE} WHERE session_id IS NOT NULL) WHERE r <= 20 GROUP BY session_id)
+SELECT l.session_id, l.seen, l.remembered, coalesce(g.conditions, '') AS conditions FROM l LEFT JOIN g ON g.session_id = l.session_id""")
+def stream_memory(spark, d):
+    """The memory of every session after the whole message table has run through the keyed stream."""
+    ship_package(spark)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE)
+    try:
+        stream = sessions.remember(sessions.folder_stream(spark, f"{d}/chat_messages.parquet"))
+        updates = sessions.run_once(stream, f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4()}")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    last = last_wins(updates, ["session_id"], ["batch"])
+    return last.select("session_id", "seen", F.array_join("remembered", "\n").alias("remembered"), F.array_join("conditions", ",").alias("conditions"))

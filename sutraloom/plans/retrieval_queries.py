@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sutraloom.operators import questions, retrieval
+from sutraloom.operators import answers, questions, retrieval
 from sutraloom.plans.registry import query
 from sutraloom.runtime import table
 from sutraloom.sources import embedders
@@ -136,3 +136,20 @@ def question_follow_ups(spark, d):
 @query("embedded_documents")
 def embedded_documents(spark, d):
     return embedders.embed(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+@query("index_stats", "SELECT count(*) AS vectors, count(DISTINCT label) AS labels, min(len(embedding)) AS least_dimensions, max(len(embedding)) AS most_dimensions FROM embeddings")
+def index_stats(spark, d):
+    size = F.size("embedding").cast("bigint")
+    return table(spark, d, "embeddings").agg(F.count("*").alias("vectors"), F.count_distinct("label").alias("labels"), F.min(size).alias("least_dimensions"), F.max(size).alias("most_dimensions"))
+
+
+@query("extractive_answers")
+def extractive_answers(spark, d):
+    """For every question of the reranked passages: the answer from their sentences, and what it is worth. The question
+    is the first sentence of its best passage."""
+    passages = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    grouped = _reranked(spark, d).groupBy("question").agg(passages.alias("passages"), F.avg("final_score").alias("score"))
+    asked = grouped.withColumn("asked", F.substring_index(F.get("passages", F.lit(0)), ".", 1))
+    made = asked.withColumn("answer", answers.extract(F.col("asked"), F.col("passages")))
+    return answers.judged(made, "asked", "answer", "passages").select("question", "answer", "groundedness", "relevance", "quality", answers.badge(F.col("score")).alias("badge"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sutraloom.operators.dialogue import CONDITIONS, REMEMBERED
@@ -14,46 +15,51 @@ from sutraloom.operators.dialogue import CONDITIONS, REMEMBERED
 MEMORY_SCHEMA = "session_id string, seen bigint, remembered array<string>, conditions array<string>"
 
 
-class SessionMemory(StatefulProcessor):
-    """Keeps a session's last messages and the conditions that its user named, in order; gives the state after each batch.
+def session_memory(remembered: int = REMEMBERED) -> StatefulProcessor:
+    """The keyed state of a session. The class is made here so that it travels whole: the streaming runner on the driver
+    has no other way to find it where the package is not installed."""
+    conditions = CONDITIONS
 
-    Rows of a batch are unordered, so they are sorted by seq; a (session, seq) that was seen stays once while it is
-    remembered. State per session is bounded by `remembered` messages."""
+    class SessionMemory(StatefulProcessor):
+        """Keeps a session's last messages and the conditions that its user named, in order; gives the state after each batch.
 
-    def __init__(self, remembered: int = REMEMBERED) -> None:
-        self.remembered = remembered
+        Rows of a batch are unordered, so they are sorted by seq; of repeated deliveries the first to arrive counts, and one
+        that comes in a later batch is dropped while its message is remembered. State per session is bounded by `remembered` messages."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.messages = handle.getValueState("messages", "seqs array<bigint>, lines array<string>, seen bigint")
-        self.conditions = handle.getValueState("conditions", "names array<string>")
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.messages = handle.getValueState("messages", "seqs array<bigint>, lines array<string>, seen bigint")
+            self.conditions = handle.getValueState("conditions", "names array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        kept = self.messages.get() if self.messages.exists() else ([], [], 0)
-        seqs, lines, seen = list(kept[0]), list(kept[1]), kept[2]
-        names = list(self.conditions.get()[0]) if self.conditions.exists() else []
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable").drop_duplicates("seq")
-        for seq, role, content in zip(batch["seq"], batch["role"], batch["content"]):
-            if int(seq) in seqs:
-                continue
-            text = "" if content is None else content
-            seqs.append(int(seq))
-            lines.append(f"{(role or '').upper()}: {text}")
-            seen += 1
-            if role == "user":
-                names += [c for c in CONDITIONS if c in text.lower() and c not in names]
-        seqs, lines = seqs[-self.remembered :], lines[-self.remembered :]
-        self.messages.update((seqs, lines, seen))
-        self.conditions.update((names,))
-        yield pd.DataFrame({"session_id": [key[0]], "seen": [seen], "remembered": [lines], "conditions": [names]})
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            kept = self.messages.get() if self.messages.exists() else ([], [], 0)
+            seqs, lines, seen = list(kept[0]), list(kept[1]), kept[2]
+            names = list(self.conditions.get()[0]) if self.conditions.exists() else []
+            batch = pd.concat(list(rows)).sort_values(["seq", "arrived_at", "content"], kind="stable").drop_duplicates("seq")
+            for seq, role, content in zip(batch["seq"], batch["role"], batch["content"]):
+                if int(seq) in seqs:
+                    continue
+                text = "" if content is None else content
+                seqs.append(int(seq))
+                lines.append(f"{(role or '').upper()}: {text}")
+                seen += 1
+                if role == "user":
+                    names += [c for c in conditions if c in text.lower() and c not in names]
+            seqs, lines = seqs[-remembered :], lines[-remembered :]
+            self.messages.update((seqs, lines, seen))
+            self.conditions.update((names,))
+            yield pd.DataFrame({"session_id": [key[0]], "seen": [seen], "remembered": [lines], "conditions": [names]})
 
-    def close(self) -> None:
-        pass
+        def close(self) -> None:
+            pass
+
+    return SessionMemory()
 
 
 def remember(messages: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
     """The memory of each session after each batch of a message stream (update mode; RocksDB state store)."""
-    rows = messages.select("session_id", "seq", "role", "content").where(F.col("session_id").isNotNull() & F.col("seq").isNotNull())
-    return rows.groupBy("session_id").transformWithStateInPandas(SessionMemory(remembered), MEMORY_SCHEMA, "Update", "none")
+    arrived = F.col("arrived_at") if "arrived_at" in messages.columns else F.lit(None).cast("timestamp")
+    rows = messages.select("session_id", "seq", "role", "content", arrived.alias("arrived_at")).where(F.col("session_id").isNotNull() & F.col("seq").isNotNull())
+    return rows.groupBy("session_id").transformWithStateInPandas(session_memory(remembered), MEMORY_SCHEMA, "Update", "none")
 
 
 def counters(messages: DataFrame, event_time: str = "ts", late: str = "1 hour", width: str = "1 day") -> DataFrame:
@@ -65,3 +71,24 @@ def counters(messages: DataFrame, event_time: str = "ts", late: str = "1 hour",
 def readable_tokens(tokens: DataFrame, token: str) -> DataFrame:
     """A token stream without a model's control marks."""
     return tokens.where(~F.regexp_like(F.col(token), F.lit(r"<\||\|>|eot_id")))
+
+
+def folder_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over the files of a Parquet table, whether the table is a folder or one file."""
+    table = spark.read.parquet(path)
+    files = table.inputFiles()
+    folder, _, name = files[0].rpartition("/")
+    one = len(files) == 1 and files[0].rstrip("/").endswith(path.rstrip("/").rpartition("/")[2])
+    return spark.readStream.schema(table.schema).option("pathGlobFilter", name if one else "*.parquet").parquet(folder)
+
+
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs an update-mode stream over what is there and gives all updates, with their batch: each batch is a folder of
+    its own below `folder`, so that one which is repeated after a failure replaces itself."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", f"{folder}/out").parquet(f"{folder}/out")

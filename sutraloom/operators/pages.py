@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sutraloom.functions import text as T
 from sutraloom.functions.unicode import nfkc, with_nfkc
-from sutraloom.runtime import collect_bounded
+from sutraloom.runtime import attach, collect_bounded
 
 #: Entries of a lexicon that may travel with the plan.
 LEXICON_ROWS = 20_000
@@ -55,11 +55,12 @@ def mentions_any(text: Column, terms: list[str]) -> Column:
 
 
 def drop_repeated(df: DataFrame, key: str, source: str, text: str, terms: list[str], min_repeat: float = 0.3, keep_blank: bool = False) -> DataFrame:
-    """(key, source, text) with each text rebuilt without its source's repeated lines, unless a line names a term.
-    keep_blank: blank lines stay. Pages without a source lose nothing but blank lines."""
+    """(key, source, text, lines): each page's lines without its source's repeated ones, unless a line names a term.
+    keep_blank: blank lines stay. Pages without a source lose nothing but blank lines. A source has at most (mean lines
+    of its pages) / min_repeat repeated lines."""
     repeated = repeated_lines(df, source, text, min_repeat)
     lists = repeated.groupBy(F.col("source").alias("_source")).agg(F.collect_set("line_norm").alias("_repeated"))
-    pages = df.select(F.col(key), F.col(source), F.col(text)).join(lists, F.col(source) == F.col("_source"), "left")
+    pages = attach(df.select(key, source, text), source, lists, "_source", key)
 
     def stays(line: Column) -> Column:
         def judge(key: Column) -> Column:
@@ -69,7 +70,7 @@ def drop_repeated(df: DataFrame, key: str, source: str, text: str, terms: list[s
 
         return T.let(line_key(line), judge)
 
-    return pages.select(key, source, F.filter(F.split(F.col(text), "\n"), stays).alias("lines"))
+    return pages.select(key, source, text, F.filter(F.split(F.col(text), "\n"), stays).alias("lines"))
 
 
 def joined_pages(df: DataFrame, key: str, source: str, text: str, terms: list[str], min_repeat: float = 0.3) -> DataFrame:
@@ -96,12 +97,10 @@ def clean_pages(df: DataFrame, key: str, source: str, text: str, terms: list[str
     """(key, source, text, entities): the whole cleaning of a corpus of pages in one plan: repeated lines, script filter,
     paragraphs, the raw text where nothing is left, and the terms named."""
     pages = drop_repeated(df, key, source, text, terms, min_repeat)
-    merged = pages.withColumn("_merged", F.array_join(script_filtered(F.col("lines")), " "))
-    composed = with_nfkc(merged.select(key, "_merged"), "_merged")
-    clean = composed.withColumn("_clean", clean_page(F.col("_merged"))).select(F.col(key).alias("_key"), "_clean")
-    joined = df.select(key, source, text).join(clean, F.col(key) == F.col("_key"))
-    final = T.or_raw(F.coalesce("_clean", F.lit("")), F.col(text))
-    return joined.select(key, source, final.alias(text)).withColumn("entities", mentions(F.col(text), terms))
+    merged = pages.select(key, source, text, F.array_join(script_filtered(F.col("lines")), " ").alias("_merged"))
+    clean = with_nfkc(merged, "_merged").withColumn("_clean", F.coalesce(clean_page(F.col("_merged")), F.lit("")))
+    final = F.when(F.col(text).isNotNull(), T.or_raw(F.col("_clean"), F.col(text)))
+    return clean.select(key, source, final.alias(text)).withColumn("entities", mentions(F.col(text), terms))
 
 
 def integrated_clean(text: Column) -> Column:

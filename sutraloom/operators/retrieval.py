@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -51,29 +53,26 @@ def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_k
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             best: dict = {}
             for batch in batches:
-                lengths = np.array([len(x) if x is not None else 0 for x in batch.column(1).to_pylist()])
-                keys = np.array(batch.column(0).to_pylist(), dtype=object)
+                lists, keys = batch.column(1), batch.column(0)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                lengths = np.asarray(pc.list_value_length(lists).fill_null(0))
+                starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
                 for n, (ids, q) in held.value.items():
                     at = np.flatnonzero(lengths == n)
-                    if not len(at):
-                        continue
-                    m = np.stack([np.asarray(batch.column(1)[int(i)].as_py(), dtype=np.float64) for i in at])
+                    m = flat[starts[at][:, None] + np.arange(n)]
                     norms = np.linalg.norm(m, axis=1)
-                    at, m, norms = at[norms > 0], m[norms > 0], norms[norms > 0]
+                    good = norms > 0
+                    at, m, norms = at[good], m[good], norms[good]
                     if not len(at):
                         continue
                     scores = np.round((m / norms[:, None]) @ q.T, DIGITS)
-                    for j, i in enumerate(ids):
-                        column = scores[:, j]
-                        if len(column) > 4 * k:
-                            cut = np.partition(column, len(column) - k)[len(column) - k]
-                            pick = np.flatnonzero(column >= cut)
-                        else:
-                            pick = np.arange(len(column))
-                        mine = best.setdefault(i, [])
-                        mine += [(-float(column[p]), keys[at[p]]) for p in pick]
-                        mine.sort()
-                        del mine[k:]
+                    # all rows at or above each query's k-th score: ties are settled by key when queries merge
+                    least = np.partition(scores, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(len(ids), -2.0)
+                    picked: dict[int, list] = {}
+                    for row, j in zip(*np.nonzero(scores >= least)):
+                        picked.setdefault(j, []).append((-float(scores[row, j]), keys[int(at[row])].as_py()))
+                    for j, found in picked.items():
+                        best[ids[j]] = heapq.nsmallest(k, best.get(ids[j], []) + found)
             rows = [(i, key, -s) for i, mine in best.items() for s, key in mine]
             yield pa.RecordBatch.from_pydict({"q": [r[0] for r in rows], "k": [r[1] for r in rows], "s": [r[2] for r in rows]}, schema=schema)
 

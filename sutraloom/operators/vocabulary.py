@@ -109,7 +109,8 @@ def vocabulary_counts(words: DataFrame, word: str) -> DataFrame:
     distinct = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct()
     a = distinct.agg(F.count("*").alias("total_words"), F.count_distinct(F.lower("word")).alias("unique_lowercase"))
     b = distinct.select(F.explode(T.trigrams(F.col("word"))).alias("t")).agg(F.count_distinct("t").alias("total_trigrams"))
-    return a.join(b, F.lit(True))
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("total_words", "unique_lowercase", "total_trigrams")])
 
 
 def trigram_candidates(asked: DataFrame, word: str, vocabulary: DataFrame, vocabulary_word: str, n: int = 10) -> DataFrame:

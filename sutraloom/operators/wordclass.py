@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sutraloom.functions import text as T
+from sutraloom.runtime import collect_bounded
+
 WIDTH = 40
 
 
@@ -20,12 +23,12 @@ def character_index(words: DataFrame, word: str) -> DataFrame:
 
 def encoded(words: DataFrame, key: str, word: str, width: int = WIDTH) -> DataFrame:
     """(key, codes): each word as `width` character ranks, longer words by their last characters, zeros at the end."""
-    table = character_index(words, word).agg(F.map_from_entries(F.collect_list(F.struct("ch", F.col("rank").cast("int")))).alias("ranks"))
-    codes = F.transform(F.split(F.lower(F.col(word)), ""), lambda c: F.coalesce(F.try_element_at(F.col("ranks"), c), F.lit(0)))
-    kept = F.when(F.size(codes) > width, F.slice(codes, -width, width)).otherwise(codes)
-    padded = F.concat(kept, F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(width) - F.size(kept))))
-    rows = words.where(F.col(word).isNotNull() & (F.col(word) != "")).select(key, word)
-    return rows.join(F.broadcast(table), F.lit(True)).select(key, padded.alias("codes"))
+    ranks = {r["ch"]: r["rank"] for r in collect_bounded(character_index(words, word), 200_000, "characters")}
+    table = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair]) if ranks else F.lit(None).cast("map<string,int>")
+    last = lambda cs: F.when(F.size(cs) > width, F.slice(cs, -width, width)).otherwise(cs)
+    code = lambda cs: F.transform(last(cs), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0)).cast("int"))
+    padded = T.let(T.let(F.split(F.lower(F.col(word)), ""), code), lambda kept: F.concat(kept, F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(width) - F.size(kept)))))
+    return words.where(F.col(word).isNotNull() & (F.col(word) != "")).select(key, padded.alias("codes"))
 
 
 def label_counts(words: DataFrame, label: str) -> DataFrame:
@@ -122,7 +125,7 @@ def class_report(rows: DataFrame, label: str, predicted: str, classes: tuple[int
     parts = []
     for c in classes:
         pr, re = zero(F.col(f"h{c}"), F.col(f"g{c}")), zero(F.col(f"h{c}"), F.col(f"s{c}"))
-        parts.append(F.struct(F.lit(str(c)).alias("class"), pr.alias("precision"), re.alias("recall"), zero(2 * pr * re, pr + re if False else F.when(pr + re == 0, 0).otherwise(pr + re)).alias("f1"), F.col(f"s{c}").alias("support")))
+        parts.append(F.struct(F.lit(str(c)).alias("class"), pr.alias("precision"), re.alias("recall"), F.when(pr + re == 0, 0.0).otherwise(2 * pr * re / F.when(pr + re == 0, 1.0).otherwise(pr + re)).alias("f1"), F.col(f"s{c}").alias("support")))
     rows_ = one.withColumn("per", F.array(*parts))
     mean = lambda f: F.aggregate("per", F.lit(0.0), lambda a, x: a + x[f]) / len(classes)
     weighted = lambda f: zero(F.aggregate("per", F.lit(0.0), lambda a, x: a + x[f] * x["support"]), F.col("n"))

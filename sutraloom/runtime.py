@@ -70,6 +70,19 @@ def collect_bounded(df: DataFrame, limit: int = LOOKUP_ROWS, what: str = "lookup
     return rows
 
 
+def attach(df: DataFrame, key: str, side: DataFrame, side_key: str, spread: str, limit: int = LOOKUP_ROWS, salts: int = 64) -> DataFrame:
+    """df left-joined with a side that has one row per key. The side is written once and counted: up to `limit` rows it
+    is broadcast; beyond, it is copied to each of `salts`, over which a hash of the column `spread` deals df's rows, so
+    that a key with a third of them is no single task. Null keys match nothing."""
+    side = cut_lineage(side)
+    if side.count() <= limit:
+        return df.join(F.broadcast(side), df[key] == side[side_key], "left")
+    salt, at = fresh_name(df, "_salt"), fresh_name(df, "_at")
+    copies = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = df.withColumn(at, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return dealt.join(copies, (dealt[key] == copies[side_key]) & (F.col(at) == F.col(salt)), "left").drop(salt, at)
+
+
 def map_columns(
     df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]], schema: StructType | str
 ) -> DataFrame:

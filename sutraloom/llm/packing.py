@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sutraloom.runtime import cut_lineage, map_columns
+from sutraloom.runtime import collect_bounded, cut_lineage, map_columns
 
 #: Where the public vocabularies are; a parameter of every function that counts tokens.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -159,10 +159,12 @@ def pack(df: DataFrame, key: str, text: str, limits: DataFrame, limit_key: str,
     sizes = cut_lineage(count_tokens(df, key, text, path).where(F.col("n") > 0))
     shards = max(1, math.ceil(sizes.count() / shard))
     wanted = limits.select(F.col(limit_key).alias("limit"), F.col(capacity).cast("int").alias("capacity")).where(F.col("capacity") > 0)
+    rooms = [F.struct(F.lit(r["limit"]).cast(wanted.schema["limit"].dataType).alias("limit"), F.lit(r["capacity"]).alias("capacity")) for r in collect_bounded(wanted, 1_000, "capacities")]
+    each = F.explode(F.array(*rooms) if rooms else F.array().cast(f"array<struct<limit:{wanted.schema['limit'].dataType.simpleString()},capacity:int>>"))
     pieces = F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("capacity")).cast("int") - 1)
     # the few capacities stand at each document; a container holds documents of one capacity and shard
     items = (
-        sizes.join(F.broadcast(wanted), F.lit(True)).withColumn("piece", F.explode(pieces))
+        sizes.withColumn("_room", each).select(*sizes.columns, "_room.limit", "_room.capacity").withColumn("piece", F.explode(pieces))
         .withColumn("first_token", F.col("piece") * F.col("capacity"))
         .withColumn("n_tokens", F.least(F.col("capacity"), F.col("n") - F.col("first_token")))
         .withColumn("shard", F.pmod(F.xxhash64(key, "piece"), F.lit(shards)))

@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sutraloom.runtime import cut_lineage, fresh_name
+from sutraloom.runtime import attach, cut_lineage, fresh_name
 
 MIN_RECORDS, MIN_SHARE = 5, 0.15
 #: Frequent lines that may be broadcast (24 bytes each).
 BROADCAST_ROWS = 500_000
+#: Sources whose lists of such lines may be broadcast together.
+BROADCAST_SOURCES = 50_000
 
 
 def letters_only(line: Column) -> Column:
@@ -78,15 +80,10 @@ def remove_lines(
     df: DataFrame, source: str, text: str, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE, salts: int = 64
 ) -> DataFrame:
     """df with `text` rebuilt without its source's frequent lines; all rows and other columns stay."""
-    frequent, small = _sized(frequent_lines(df, source, text, min_records, min_share).select("source", "hash"))
-    own, hashes, salt, at = (fresh_name(df, c) for c in ("_source", "_hashes", "_salt", "_at"))
+    own, hashes = fresh_name(df, "_source"), fresh_name(df, "_hashes")
+    frequent = frequent_lines(df, source, text, min_records, min_share)
     lists = frequent.groupBy(F.col("source").alias(own)).agg(F.collect_set("hash").alias(hashes))
-    if small:
-        joined = df.join(F.broadcast(lists), df[source] == F.col(own), "left")
-    else:  # a source's list is short, its records may be many: the list is copied to each salt
-        copies = lists.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = df.withColumn(at, F.pmod(F.xxhash64(text), F.lit(salts)).cast("int"))
-        joined = salted.join(copies, (F.col(source) == F.col(own)) & (F.col(at) == F.col(salt)), "left").drop(salt, at)
+    joined = attach(df, source, lists, own, text, BROADCAST_SOURCES, salts)
     kept = F.filter(_lines(text), lambda line: ~F.coalesce(F.array_contains(F.col(hashes), line_hash(line)), F.lit(False)))
     new = F.when(F.col(hashes).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text, new).drop(own, hashes)

@@ -52,6 +52,7 @@ def pages(spark, n=20):
 def test_site_lines(spark, monkeypatch, small):
     if not small:
         monkeypatch.setattr(sitelines, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(sitelines, "BROADCAST_SOURCES", -1)
     df = pages(spark)
     found = {(r["id"], r["line_no"]) for r in sitelines.find_lines(df, "id", "site", "text").collect()}
     assert found == {(i, k) for i in range(20) for k in (1, 4)}

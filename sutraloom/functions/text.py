@@ -94,7 +94,7 @@ def rejoin_broken(c: Column) -> Column:
 
 def drop_repeated_words(c: Column) -> Column:
     """A word that follows itself, in any case, stays once."""
-    return F.regexp_replace(c, rf"(?iu)(?<!{W})({W}+)(?:\s+\1)+(?!{W})", "$1")
+    return F.regexp_replace(c, rf"(?iu)(?<!{W})({W}++)(?:\s+\1)+(?!{W})", "$1")
 
 
 def drop_repeated_signs(c: Column) -> Column:
@@ -141,18 +141,21 @@ def latin_share(c: Column) -> Column:
 
 def is_gibberish(c: Column) -> Column:
     """Of a line without Devanagari: more than a quarter of signs, or less than two fifths of Latin letters."""
-    return (symbol_share(c) > 0.25) | (latin_share(c) < 0.4)
+    return let(c, lambda x: (symbol_share(x) > 0.25) | (latin_share(x) < 0.4))
 
 
 def is_foreign(c: Column) -> Column:
-    return (symbol_share(c) > 0.3) | (latin_share(c) < 0.4)
+    return let(c, lambda x: (symbol_share(x) > 0.3) | (latin_share(x) < 0.4))
 
 
 def is_noise(c: Column) -> Column:
     """Fewer than three Latin words, and less than a quarter of letters and digits."""
-    solid = F.regexp_count(c, F.lit("[a-zA-Z0-9]"))
-    few = F.regexp_count(c, F.lit("[a-zA-Z]+")) < 3
-    return few & ((solid == 0) | (solid / F.greatest(F.lit(1), F.length(c)) < 0.25))
+
+    def judge(x: Column) -> Column:
+        solid = F.regexp_count(x, F.lit("[a-zA-Z0-9]"))
+        return (F.regexp_count(x, F.lit("[a-zA-Z]+")) < 3) & ((solid == 0) | (solid / F.greatest(F.lit(1), F.length(x)) < 0.25))
+
+    return let(c, judge)
 
 
 def is_meaningful(c: Column, min_words: int = 5, min_mean_length: float = 2.5) -> Column:
@@ -181,7 +184,7 @@ def or_raw(clean: Column, raw: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.split(c, r"(?U)(?<=[.!?])\s+")
+    return F.split(c, r"(?U)\s(?<=[.!?]\s)\s*")
 
 
 def capitalise(c: Column) -> Column:

@@ -36,7 +36,21 @@ def ship_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data folder."""
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+#: Bytes of files from which a table is worth dealing to all cores.
+SPREAD_BYTES = 256_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table dealt to as many tasks as there are cores, if its files make fewer: the work on texts costs far
+    more than moving a small table once. Tables of many files, as on a cluster, stay as they are read."""
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or plan.executedPlan().execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

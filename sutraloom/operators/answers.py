@@ -37,6 +37,12 @@ def prompt(question: Column, context: Column, history: Column, system: Column) -
     return F.array_join(F.array_compact(parts), "\n\n")
 
 
+def instruction(intent: Column, by_intent: dict[str, str], default: str) -> Column:
+    """The instruction of an intent, the default for intents without one."""
+    table = F.create_map(*[F.lit(x) for pair in by_intent.items() for x in pair]) if by_intent else F.lit(None).cast("map<string,string>")
+    return F.coalesce(F.try_element_at(table, intent), F.lit(default))
+
+
 def generate(rows: DataFrame, prompt_column: str, out: str, model: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
     """Rows with a model's answer to each prompt, in batches; answers under LEAST characters become NOTHING."""
 

@@ -91,6 +91,28 @@ def english_words(lines: DataFrame, line: str) -> DataFrame:
     return rows.select(F.replace(F.lower(T.strip(F.col(line))), F.lit(" "), F.lit("_")).alias("ascii"), F.lit(0).alias("label"))
 
 
+def known_words(words: DataFrame, word: str, label: str, wanted: int = 1) -> DataFrame:
+    """(word): the distinct lower-case words of one label."""
+    return words.where((F.col(label) == wanted) & F.col(word).isNotNull()).select(F.lower(F.col(word)).alias("word")).distinct()
+
+
+def add_words(vocabulary: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(word, freq) of a vocabulary with further words; frequencies of words in both add up."""
+    both = vocabulary.select("word", "freq").unionByName(fresh.select("word", "freq"))
+    return both.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("freq").alias("freq"))
+
+
+def preserved_terms(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """(key, n_known): how many words of each text, without signs at their ends, a vocabulary knows. Words of a text are
+    counted inside its row first, so that a frequent word moves once per text."""
+    bare = F.filter(F.transform(T.words(F.lower(F.col(text))), lambda w: F.btrim(w, F.lit(".,;:!?()"))), lambda w: w != "")
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), bare.alias("_words"))
+    counted = rows.select("_key", "_words", F.explode(F.array_distinct("_words")).alias("word"))
+    counted = counted.select("_key", "word", F.size(F.filter("_words", lambda w: w == F.col("word"))).alias("n"))
+    per = counted.join(known.select("word").distinct(), "word").groupBy("_key").agg(F.sum("n").alias("n_known"))
+    return texts.select(key).join(per, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("n_known", F.lit(0)).alias("n_known"))
+
+
 def spelling_forms(words: DataFrame, word: str) -> DataFrame:
     """(word): each word as it is, in lower case, and both without accents."""
     forms = F.array(F.col(word), F.lower(word), F.col("_bare"), F.lower("_bare"))

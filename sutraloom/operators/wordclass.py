@@ -11,6 +11,28 @@ from sutraloom.runtime import collect_bounded
 WIDTH = 40
 
 
+# Names of the classes.
+NAMES = {0: "English", 1: "Sanskrit", 2: "Junk"}
+
+
+def labelled_rows(words: DataFrame, word: str, label: str) -> DataFrame:
+    """(word, label): rows with both, blanks stripped."""
+    return words.where(F.col(word).isNotNull() & F.col(label).isNotNull()).select(T.strip(F.col(word)).alias("word"), F.col(label).alias("label"))
+
+
+def class_name(label: Column) -> Column:
+    """The name of a class; null for an unknown one."""
+    out = F.lit(None).cast("string")
+    for k, name in NAMES.items():
+        out = F.when(label == k, name).otherwise(out)
+    return out
+
+
+def shuffled(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows in a fixed random order: by a hash of columns, by range partitions rather than in one task."""
+    return rows.orderBy(F.xxhash64(F.lit(42), *columns), *columns)
+
+
 def character_index(words: DataFrame, word: str) -> DataFrame:
     """(ch, n, rank): characters of the lower-case words by frequency, rank 1 first, ties in code-point order.
 
@@ -86,6 +108,16 @@ def fit_classifier(train: DataFrame, word: str, label: str, features: int = 1 <<
     return Pipeline(stages=[tf, lr]).fit(with_grams(train.where(F.col(word).isNotNull() & F.col(label).isNotNull()), word))
 
 
+def save_classifier(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_classifier(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def with_grams(rows: DataFrame, word: str) -> DataFrame:
     """Rows with the distinct character 1- to 4-grams of each word between ^ and $."""
     w = F.concat(F.lit("^"), F.lower(F.col(word)), F.lit("$"))

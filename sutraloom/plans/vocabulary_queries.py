@@ -180,3 +180,32 @@ def word_classifier(spark, d):
     words = wordclass.split_by_hash(_words(spark, d).where(F.col("ascii").isNotNull() & F.col("label").isNotNull()), "word_id", "ascii")
     model = wordclass.fit_classifier(words.where("part = 'train'"), "ascii", "label")
     return wordclass.class_report(wordclass.predict(model, words.where("part = 'test'"), "ascii"), "label", "predicted")
+
+
+@query("known_words", "SELECT DISTINCT lower(ascii) AS word FROM final_language_dataset WHERE label = 1 AND ascii IS NOT NULL")
+def known_words(spark, d):
+    return vocabulary.known_words(_words(spark, d), "ascii", "label")
+
+
+@query("labelled_rows", f"SELECT {_strip('ascii')} AS word, label FROM final_language_dataset WHERE ascii IS NOT NULL AND label IS NOT NULL")
+def labelled_rows(spark, d):
+    return wordclass.labelled_rows(_words(spark, d), "ascii", "label")
+
+
+@query("class_names", "SELECT word_id, CASE label WHEN 0 THEN 'English' WHEN 1 THEN 'Sanskrit' WHEN 2 THEN 'Junk' END AS name FROM final_language_dataset")
+def class_names(spark, d):
+    return _words(spark, d).select("word_id", wordclass.class_name(F.col("label")).alias("name"))
+
+
+@query("vocabulary_growth", """SELECT word, sum(freq)::BIGINT AS freq FROM (SELECT ascii AS word, 1 AS freq FROM final_language_dataset WHERE label = 1
+  UNION ALL SELECT canonical, 1 FROM lexicon) WHERE word IS NOT NULL GROUP BY word""")
+def vocabulary_growth(spark, d):
+    one = F.lit(1).alias("freq")
+    return vocabulary.add_words(_words(spark, d).where("label = 1").select(F.col("ascii").alias("word"), one), table(spark, d, "lexicon").select(F.col("canonical").alias("word"), one))
+
+
+@query("preserved_terms", f"""WITH w AS (SELECT rec_id, trim(unnest(string_split(trim(regexp_replace(lower(content), '{SP}+', ' ', 'g')), ' ')), '.,;:!?()') AS word FROM ayurveda_docs_final WHERE content IS NOT NULL),
+k AS (SELECT DISTINCT lower(ascii) AS word FROM final_language_dataset WHERE label = 1 AND ascii IS NOT NULL)
+SELECT d.rec_id, count(k.word) AS n_known FROM ayurveda_docs_final d LEFT JOIN w ON w.rec_id = d.rec_id AND w.word <> '' LEFT JOIN k ON k.word = w.word GROUP BY d.rec_id""")
+def preserved_terms(spark, d):
+    return vocabulary.preserved_terms(table(spark, d, "ayurveda_docs_final"), "rec_id", "content", known_words(spark, d))

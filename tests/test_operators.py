@@ -211,3 +211,43 @@ def test_classifier_tells_classes_apart(spark):
     model = wordclass.fit_classifier(df.where("part = 'train'"), "ascii", "label")
     test = wordclass.predict(model, df.where("part <> 'train'"), "ascii")
     assert test.where("label = predicted").count() >= 0.9 * test.count()
+
+
+def test_attach_by_broadcast_and_by_salts(spark):
+    from sutraloom.runtime import attach
+
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(90)] + [(900, None)], "id int, k string").withColumn("_salt", F.lit("clash"))
+    side = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "key string, v int")
+    for limit in (10, 0):
+        got = {r["id"]: r["v"] for r in attach(df, "k", side, "key", "id", limit=limit, salts=4).collect()}
+        assert len(got) == 91 and got[1] == 1 and got[3] == 2 and got[6] is None and got[900] is None
+
+
+def test_small_vocabulary_operators(spark, tmp_path):
+    words = spark.createDataFrame([(" Agni ", 1), ("fire", 0), (None, 1), ("x", None)], "w string, label int")
+    assert {r[0] for r in vocabulary.known_words(words, "w", "label").collect()} == {" agni "}
+    assert {tuple(r) for r in wordclass.labelled_rows(words, "w", "label").collect()} == {("Agni", 1), ("fire", 0)}
+    assert [r[0] for r in words.select(wordclass.class_name(F.col("label"))).collect()] == ["Sanskrit", "English", "Sanskrit", None]
+    one = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "word string, freq int")
+    assert {tuple(r) for r in vocabulary.add_words(one, one.limit(1)).collect()} == {("a", 2), ("b", 2)}
+    texts = spark.createDataFrame([(1, "Agni, agni (fire)"), (2, None), (3, "")], "id int, t string")
+    known = spark.createDataFrame([("agni",)], "word string")
+    assert {r["id"]: r["n_known"] for r in vocabulary.preserved_terms(texts, "id", "t", known).collect()} == {1: 2, 2: 0, 3: 0}
+    assert sorted(r[0] for r in wordclass.shuffled(texts, "id").select("id").collect()) == [1, 2, 3]
+
+
+def test_answers(spark):
+    from sutraloom.operators import answers
+
+    rows = [("does ginger help with cough", ["Rest is good. Ginger root is given against cough in the morning.", None]), ("x", []), (None, ["Short."])]
+    df = spark.createDataFrame(rows, "q string, p array<string>").withColumn("a", answers.extract(F.col("q"), F.col("p"), 1))
+    got = answers.judged(df, "q", "a", "p").collect()
+    assert got[0]["a"] == "Ginger root is given against cough in the morning." and got[0]["groundedness"] == 1.0 and got[0]["relevance"] > 0.3
+    assert got[1]["a"] == answers.NOTHING == got[2]["a"]
+    told = df.select(answers.instruction(F.lit("diet"), {"diet": "Eat."}, "Talk."), answers.instruction(F.lit("zzz"), {"diet": "Eat."}, "Talk.")).first()
+    assert tuple(told) == ("Eat.", "Talk.")
+    asked = df.withColumn("prompt", answers.prompt(F.col("q"), F.lit("ctx"), F.lit(""), F.lit("sys")))
+    assert asked.first()["prompt"] == "sys\n\nCONTEXT:\nctx\n\nQUESTION: does ginger help with cough"
+    made = answers.generate(asked, "prompt", "out", lambda texts: ["long enough " * 5 if "ginger" in t else "no" for t in texts]).collect()
+    assert made[0]["out"].startswith("long") and made[1]["out"] == answers.NOTHING
+    assert [r[0] for r in spark.createDataFrame([(0.8,), (0.5,), (0.1,)], "c double").select(answers.badge(F.col("c"))).collect()] == ["high", "medium", "low"]

@@ -10,20 +10,22 @@ from sutraloom.streaming import sessions
 
 
 def test_chunks_like_python(spark):
-    import re
-
     def chunk(text, size=60):
-        parts = [s.strip() for s in re.split(r"[.!?]\s+", text)]
-        parts = [s for s in parts if len(s) > 15]
-        done, cur, n = [], [], 0
-        for s in parts:
-            if n + len(s) > size and cur:
-                done.append(" ".join(cur))
-                cur = [cur[-1]] if len(cur) > 1 else []
-                n = sum(map(len, cur))
-            cur.append(s)
-            n += len(s)
-        return done + ([" ".join(cur)] if cur else [])
+        """Chunks by looking for the longest run of sentences that fits, rather than by a running state."""
+        marked = "".join(" \0" if c in ".!?" and text[i + 1 : i + 2].isspace() else c for i, c in enumerate(text))
+        parts = [s.strip() for s in marked.replace("\0 ", "\0").split("\0")]
+        lengths = [(s, len(s)) for s in parts if len(s) > 15]
+        done, first, last = [], 0, 1
+        while first < len(lengths):  # a chunk has the carried sentence, the one that did not fit before, and what fits
+            total = sum(n for _, n in lengths[first:last])
+            while last < len(lengths) and total + lengths[last][1] <= size:
+                total += lengths[last][1]
+                last += 1
+            done.append(" ".join(s for s, _ in lengths[first:last]))
+            if last == len(lengths):
+                break
+            first, last = (last - 1 if last - first > 1 else last), last + 1
+        return done
 
     r = random.Random(3)
     texts = [". ".join("w" * r.randint(3, 45) for _ in range(r.randint(0, 9))) for _ in range(300)] + ["", "short"]

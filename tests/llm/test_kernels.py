@@ -277,6 +277,12 @@ def test_misreadings():
     assert scans.misread_as("witli", 500, FREQUENT) is None
 
 
+def test_lists_and_tables_keep_their_lines():
+    for page in ("Ginger 3 g\nNeem 4 g\nOld rice 5 g\n- 7 -", "• neem\n• rice\n• salt", "a\tb\n1\t2\n3\t4"):
+        made = scans.Page(page, scans.Model(), FREQUENT)
+        assert made.paragraphs == [x for x in page.split("\n") if "7" not in x] and made.hyphens == 0
+
+
 def test_compound_hyphen_stays():
     frequent = FREQUENT | {"deep-seated": 50}
     page = scans.Page("the cough is a deep-\nseated one in the body\nand the mind is still", scans.Model(), frequent)

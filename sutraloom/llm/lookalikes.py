@@ -45,16 +45,18 @@ IGNORABLE = "­͏᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿
 SPACES = "               　"
 _JOINERS = "‌‍"
 
-#: Any text that may need a change holds one of these (Java and Python syntax alike); others never leave the JVM.
+#: Any text that may need a change holds a character of these, or one of _DOTTED.
 SUSPECT_RANGES = (
     (0x00A0, 0x00A0), (0x00AD, 0x00AD), (0x0132, 0x0133), (0x0149, 0x0149), (0x017F, 0x017F), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x0250, 0x02AF),
-    (0x0300, 0x036F), (0x0370, 0x03FF), (0x0400, 0x052F), (0x0531, 0x0587), (0x0929, 0x0929), (0x093C, 0x093C), (0x1680, 0x1680), (0x180E, 0x180E),
+    (0x0300, 0x036F), (0x0370, 0x03FF), (0x0400, 0x052F), (0x0531, 0x0587), (0x1680, 0x1680), (0x180E, 0x180E),
     (0x13A0, 0x13FF), (0x1D00, 0x1DBF), (0x2000, 0x200F), (0x202A, 0x202F), (0x205F, 0x206F), (0x2100, 0x218F), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFE00, 0xFE0F),
     (0xFE50, 0xFE6F), (0xFEFF, 0xFEFF), (0xFF00, 0xFFEF), (0x1D400, 0x1D7FF),
 )
 
 
-SUSPECT = re.compile("[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in SUSPECT_RANGES) + "]")
+# Fixed value: Indic letters that form one character with the mark below them; the mark is common after others.
+_DOTTED = "[नरळ]\u093c"
+SUSPECT = re.compile("[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in SUSPECT_RANGES) + f"]|{_DOTTED}")
 
 
 def may_change(text: str | None) -> bool:

@@ -86,8 +86,6 @@ PLACES = frozenset("street road lane court hill gate row view alley steps market
 SUBJECTS = frozenset("of on upon in into from about über von sobre sur".split())
 
 _TOKEN = re.compile(rf"{_L}+(?:[-’']{_L}+)*")
-_NUMBERS = re.compile(r"\d")
-#: A text without any of these marks can have no span but names.
 _PREV = re.compile(r"[^\W_]+")
 
 #: (start, end, kind, number of the generator)
@@ -105,6 +103,14 @@ class Lists:
         self.family = frozenset(f.lower() for f in family)
         tails = {b for _, b in self.pairs}
         self.common = frozenset(w for w in common if len(w) > 1) - self.given - self.family - tails
+        self.usual = self.common | frozenset(w for w in common if len(w) == 1) | frozenset("abcdefghijklmnopqrstuvwxyz")
+
+    def rare(self, w: str) -> bool:
+        """Whether a word that is not usual may be of a name: known, or with a case to be capitalised in, and no
+        compound of usual words. A name has such a word or a title."""
+        if self.known(w):
+            return True
+        return w[0].upper() != w[0] and not ("-" in w and all([p in self.usual for p in w.split("-")]))
 
     def known(self, w: str) -> bool:
         return w in self.given or w in self.family
@@ -168,15 +174,23 @@ def _name_spans(text: str, lists: Lists) -> Iterator[Span]:
             yield t.start(), tokens[j].end(), "name", width
 
 
+#: What every text with a number span holds: five digits close together, or a postal code of letters and digits.
+_DIGITS = re.compile(r"(?:\d\D{0,3}){4}\d|[A-Z]\d[A-Z\d]? \d[A-Z]{2}")
+_SPELT = ("at)", "at]", "at}", "at>", "dot")
+
+
 def candidates(text: str, lists: Lists) -> list[Span]:
+    """All spans of a text. The generators of a kind run only where the text holds what each of their spans must hold."""
     found: list[Span] = []
-    for n, pattern in enumerate(_EMAIL):
-        if n == 0 and "@" not in text:
-            continue
-        found += [(m.start(), m.end(), "email", n) for m in pattern.finditer(text)]
-    if _NUMBERS.search(text):
+    low = text.lower()
+    if "@" in text:
+        found += [(m.start(), m.end(), "email", 0) for m in _EMAIL[0].finditer(text)]
+    if any([x in low for x in _SPELT]):
+        found += [(m.start(), m.end(), "email", 1) for m in _EMAIL[1].finditer(text)]
+    if _DIGITS.search(text):
         found += _number_spans(text)
-    if not text.isascii() or text.isascii():
+    words = set(_TOKEN.findall(low))
+    if not words.isdisjoint(TITLES) or any([lists.rare(w) for w in words - lists.usual]):
         found += _name_spans(text, lists)
     return sorted(set(found))
 
@@ -404,7 +418,7 @@ def redact(text: str | None, found: list[tuple[int, int, str, float]]) -> str |
 
 
 #: Words that stand free in running text, not inside addresses of any kind.
-_FREE = re.compile(rf"(?<!\S){_L}+(?=[\s,;:!?)]|\.\s|\.?$)")
+_FREE = re.compile(rf"(?<!\S){_L}+(?:[-’']{_L}+)*(?=[\s,;:!?)]|\.\s|\.?$)")
 
 
 def ordinary_words(df: DataFrame, text: str, size: int = COMMON) -> set[str]:

@@ -106,11 +106,11 @@ class Lists:
         self.usual = self.common | frozenset(w for w in common if len(w) == 1) | frozenset("abcdefghijklmnopqrstuvwxyz")
 
     def rare(self, w: str) -> bool:
-        """Whether a word that is not usual may be of a name: known, or with a case to be capitalised in, and no
-        compound of usual words. A name has such a word or a title."""
+        """Whether what stands between blanks and is not usual may hold a word of a name: it is known, or has letters
+        that can be capitals and is no compound of usual words. A name has such a word or a title."""
         if self.known(w):
             return True
-        return w[0].upper() != w[0] and not ("-" in w and all([p in self.usual for p in w.split("-")]))
+        return w.upper() != w and not ("-" in w and all([p in self.usual for p in w.split("-")]))
 
     def known(self, w: str) -> bool:
         return w in self.given or w in self.family
@@ -176,7 +176,9 @@ def _name_spans(text: str, lists: Lists) -> Iterator[Span]:
 
 #: What every text with a number span holds: five digits close together, or a postal code of letters and digits.
 _DIGITS = re.compile(r"(?:\d\D{0,3}){4}\d|[A-Z]\d[A-Z\d]? \d[A-Z]{2}")
+_ANY_DIGIT = re.compile(r"\d")
 _SPELT = ("at)", "at]", "at}", "at>", "dot")
+_SIGNS = ".,;:!?()[]{}<>\"'“”‘’„«»*/|-–—"
 
 
 def candidates(text: str, lists: Lists) -> list[Span]:
@@ -187,9 +189,9 @@ def candidates(text: str, lists: Lists) -> list[Span]:
         found += [(m.start(), m.end(), "email", 0) for m in _EMAIL[0].finditer(text)]
     if any([x in low for x in _SPELT]):
         found += [(m.start(), m.end(), "email", 1) for m in _EMAIL[1].finditer(text)]
-    if _DIGITS.search(text):
+    if _ANY_DIGIT.search(text) and _DIGITS.search(text):
         found += _number_spans(text)
-    words = set(_TOKEN.findall(low))
+    words = {w.strip(_SIGNS) for w in set(low.split())}
     if not words.isdisjoint(TITLES) or any([lists.rare(w) for w in words - lists.usual]):
         found += _name_spans(text, lists)
     return sorted(set(found))
@@ -417,14 +419,15 @@ def redact(text: str | None, found: list[tuple[int, int, str, float]]) -> str |
     return "".join([*parts, text[at:]])
 
 
-#: Words that stand free in running text, not inside addresses of any kind.
-_FREE = re.compile(rf"(?<!\S){_L}+(?:[-’']{_L}+)*(?=[\s,;:!?)]|\.\s|\.?$)")
+def free_words(text: str) -> list[str]:
+    """Words that stand free in running text, compounds too, not inside addresses of any kind."""
+    return [w for x in text.split() if (w := x.rstrip(".,;:!?)")).isalpha() or w.replace("-", "").replace("’", "").replace("'", "").isalpha() and w[0].isalpha()]
 
 
 def ordinary_words(df: DataFrame, text: str, size: int = COMMON) -> set[str]:
     """The `size` most frequent words of all texts that are written in lower case at least three times in ten, or that
     are too frequent for any one name (words that often begin sentences)."""
-    counts = count_words(df, text, _FREE.findall)
+    counts = count_words(df, text, free_words)
     low = F.lower("word")
     forms = cut_lineage(counts.groupBy(low.alias("w")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("word") == low, F.col("n")).otherwise(0)).alias("lower")))
     total = forms.agg(F.sum("n")).first()[0] or 0

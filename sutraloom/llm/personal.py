@@ -42,11 +42,12 @@ _PIN = r"(?:\d{3}[ ]?\d{3}|\d{5,6}|[A-Z]{1,2}\d[A-Z\d]?[ ]\d[A-Z]{2})(?!\d)"
 _HOUSE = r"\d{1,4}(?:[/-]\d{1,4})?[A-Za-z]?"
 _STREET = rf"(?:{_L}[\w’'.-]*[ ]){{0,3}}{_L}[\w’'.-]*"
 
+_DOTS = rf"(?:(?:\s?(?:\(dot\)|\[dot\]|\{{dot\}}|<dot>|(?<=\s)dot(?=\s))\s?|\.){_DOMAIN})+"
+
 _EMAIL = (
     re.compile(rf"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*[ ]?@[ ]?(?:{_DOMAIN}\.)+[A-Za-z]{{2,}}(?![\w-])"),
     re.compile(
-        rf"(?i)(?<![\w.+-])[a-z0-9_][\w.+-]*\s?(?:\(at\)|\[at\]|\{{at\}}|<at>|(?<=\s)at(?=\s))\s?{_DOMAIN}"
-        rf"(?:(?:\s?(?:\(dot\)|\[dot\]|\{{dot\}}|<dot>|(?<=\s)dot(?=\s))\s?|\.){_DOMAIN})+(?![\w-])"
+        rf"(?i)(?<![\w.+-])[a-z0-9_][\w.+-]*\s?(?:\(at\)|\[at\]|\{{at\}}|<at>|(?<=\s)at(?=\s))\s?{_DOMAIN}{_DOTS}(?![\w-])"
     ),
 )
 _PHONE = re.compile(r"(?<![\w/.+(-])(?:\+[ ]?)?\(?\d(?:[ ./-]?[()]?[ ]?[()]?\d){6,15}(?![\w/-])")
@@ -103,14 +104,26 @@ class Lists:
         self.family = frozenset(f.lower() for f in family)
         tails = {b for _, b in self.pairs}
         self.common = frozenset(w for w in common if len(w) > 1) - self.given - self.family - tails
-        self.usual = self.common | frozenset(w for w in common if len(w) == 1) | frozenset("abcdefghijklmnopqrstuvwxyz")
-
-    def rare(self, w: str) -> bool:
-        """Whether what stands between blanks and is not usual may hold a word of a name: it is known, or has letters
-        that can be capitals and is no compound of usual words. A name has such a word or a title."""
-        if self.known(w):
+        self.names = self.given | self.family
+        letters = frozenset(w for w in common if len(w) == 1) | frozenset("abcdefghijklmnopqrstuvwxyz")
+        self.usual = frozenset(w for w in self.common if _TOKEN.fullmatch(w)) | letters - self.names
+
+    def may_name(self, words: set[str]) -> bool:
+        """Whether a text of these words (what stands between blanks, without signs, in lower case) can hold a name. A
+        name has a title, a known word, or a word that is not usual and is capitalised or (in scripts without capitals
+        too) stands after a cue."""
+        if not words.isdisjoint(TITLES):
             return True
-        return w.upper() != w and not ("-" in w and all([p in self.usual for p in w.split("-")]))
+        plain = []
+        for w in words - self.usual:
+            if w.upper() != w:
+                return True
+            if not w.isascii():
+                plain.append(w)
+        if not plain:
+            return False
+        cued = not words.isdisjoint(CUES["name"])
+        return any([cued or t in self.names or t[0].isupper() for w in plain for t in _TOKEN.findall(w)])
 
     def known(self, w: str) -> bool:
         return w in self.given or w in self.family
@@ -136,7 +149,7 @@ def _name_spans(text: str, lists: Lists) -> Iterator[Span]:
     words = [t.group(0) for t in tokens]
     low = [w.lower() for w in words]
     shown = [w[0].isupper() for w in words]
-    known_names, common, cues = lists.given | lists.family, lists.common, CUES["name"]
+    known_names, common, cues = lists.names, lists.common, CUES["name"]
     starts = [i for i, w in enumerate(low) if shown[i] or w in known_names or (i and (low[i - 1] in cues or low[i - 1] in TITLES))]
     for i in starts:
         if low[i] in TITLES and len(low[i]) > 1:
@@ -174,25 +187,25 @@ def _name_spans(text: str, lists: Lists) -> Iterator[Span]:
             yield t.start(), tokens[j].end(), "name", width
 
 
-#: What every text with a number span holds: five digits close together, or a postal code of letters and digits.
-_DIGITS = re.compile(r"(?:\d\D{0,3}){4}\d|[A-Z]\d[A-Z\d]? \d[A-Z]{2}")
+#: What every text with a number span holds: five digits with at most four other characters between two, a number with
+#: strokes, or a postal code of letters and digits.
+_DIGITS = re.compile(r"(?:\d\D{0,4}){4}\d|/\d{1,4}/\d{3}|(?i:[A-Z]\d[A-Z\d]?[ ]\d[A-Z]{2})")
 _ANY_DIGIT = re.compile(r"\d")
-_SPELT = ("at)", "at]", "at}", "at>", "dot")
+#: What every address with a spelt sign holds, from the sign on.
+_SPELT = re.compile(rf"[aA][tT](?<=[\s(\[{{<]..)[\s)\]}}>]\s?(?i:{_DOMAIN}{_DOTS})")
 _SIGNS = ".,;:!?()[]{}<>\"'“”‘’„«»*/|-–—"
 
 
 def candidates(text: str, lists: Lists) -> list[Span]:
     """All spans of a text. The generators of a kind run only where the text holds what each of their spans must hold."""
     found: list[Span] = []
-    low = text.lower()
     if "@" in text:
         found += [(m.start(), m.end(), "email", 0) for m in _EMAIL[0].finditer(text)]
-    if any([x in low for x in _SPELT]):
+    if _SPELT.search(text):
         found += [(m.start(), m.end(), "email", 1) for m in _EMAIL[1].finditer(text)]
     if _ANY_DIGIT.search(text) and _DIGITS.search(text):
         found += _number_spans(text)
-    words = {w.strip(_SIGNS) for w in set(low.split())}
-    if not words.isdisjoint(TITLES) or any([lists.rare(w) for w in words - lists.usual]):
+    if lists.may_name({w.strip(_SIGNS) for w in set(text.lower().split())}):
         found += _name_spans(text, lists)
     return sorted(set(found))
 

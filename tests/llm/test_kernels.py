@@ -256,6 +256,44 @@ def test_personal_edges():
     assert personal.find_all([None, "", "plain words only", "9" * 100_000, "a" * 200_000, "@" * 10_000], lists, trees) == [[]] * 6
 
 
+def test_gates_cut_nothing_off():
+    lists = personal.Lists({"Ada Mae", "Anu", "A"}, {"Quill", "कमल"}, {"the", "mill", "owner", "rose", "hill", "wrote", "patient", "by", "root", "a--b", "well-known"})
+    r = random.Random(5)
+    open_, close = "([{<", ")]}>"
+
+    def sign(w: str) -> str:
+        k = r.randrange(5)
+        made = r.choice((w, w.upper(), w.capitalize()))
+        return r.choice((" ", "\n", "\t")) + made + r.choice((" ", "\n")) if k == 4 else r.choice(("", " ")) + open_[k] + made + close[k] + r.choice(("", " "))
+
+    def email() -> str:
+        return f"anna{sign('at')}clinic" + "".join(r.choice((".", sign("dot"))) + "org" for _ in range(r.randint(1, 2)))
+
+    def number() -> str:
+        pin = r.choice(("ls1 4ab", "LS1 4AB", "w1a 1aa", "560 001", "56001", "560001"))
+        gap = lambda: r.choice(("", " ", "-", ".", "/")) + r.choice(("", "(", ")")) + r.choice(("", " ")) + r.choice(("", "(", ")"))
+        return r.choice((
+            f"flat 3, 12 Mill Road, Leeds {pin}", f"House no. 4, Mill Road, Leeds, {pin}", f"p.o. box 7, Leeds - {pin}", f"12 Mill Road, Leeds {pin}", "Am Hof 4, 10115 Berlin",
+            "H/1/234", "AB/1234/12345678", "A12345", "AB 12 34 56 C", "AB-12345", "A1 2345", "123 45 6789", "12-1234567", "1234-1234-1234", "123456789", "+" + "".join(f"{r.randrange(10)}{gap()}" for _ in range(9)) + "1",
+        ))
+
+    def name() -> str:
+        return r.choice(("Mill-Owner Rose-Hill", "mill-owner root", "the rose-hill", "patient राम शर", "by कमल नयन", "राम/कमल", "𝐀𝐝𝐚 𝐐𝐮𝐢𝐥𝐥", "A Hill", "a hill wrote", "A--B Rose--Q", "Dr.Hill", "M Rose", "Quill's", "(anu)", "İnci Kaya", "the Well-known Rose", "ΟΔΟΣ ΣΑΣ", "by vata pitta"))
+
+    def ungated(text: str) -> list:
+        found = [(m.start(), m.end(), "email", n) for n, p in enumerate(personal._EMAIL) for m in p.finditer(text)]
+        return sorted({*found, *personal._number_spans(text), *personal._name_spans(text, lists)})
+
+    made = []
+    for form in (email, number, name):
+        for _ in range(1500):
+            text = r.choice(("", "the root ", "wrote ")) + form() + r.choice(("", " the root", ".", ", "))
+            found = ungated(text)
+            assert personal.candidates(text, lists) == found, text
+            made += [k for _, _, k, _ in found]
+    assert set(made) == set(personal.KINDS)
+
+
 # --- scans -------------------------------------------------------------------------------------------------------------
 
 PAGE = "A HANDBOOK OF SIMPLE REMEDIES    12\nThe leaf of the plant is given for the cough and the pou-\nltice is taken in the morning witli a little water when the\nbody is warm and the mind is still in the rainy months.\n\nA second paragraph of the page is set here for the reader\nand it ends with the last of the words on this line.\n- 12 -"

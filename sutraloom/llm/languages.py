@@ -11,7 +11,8 @@ language, chosen by a hash of the id); everything else covers all rows.
 Speed: automata are dense transition tables, and whole batches of sentences walk them in step.
 
 Defined results: null and blank texts, and texts without a whole sentence, have no language. A sentence has at least
-MIN_WORDS words and ends in sentence punctuation. Lines that stand in COMMON_LINE of all records count as site lines.
+MIN_WORDS words and ends in sentence punctuation. Lines of any length that stand in SITE_SHARE of their own source's
+records (SITE_RECORDS at least), or in COMMON_LINE of all records, count as site lines.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sutraloom.llm import encoding, lookalikes
+from sutraloom.llm.sitelines import BROADCAST_SOURCES
+from sutraloom.llm.sitelines import MIN_RECORDS as SITE_RECORDS
+from sutraloom.llm.sitelines import MIN_SHARE as SITE_SHARE
 from sutraloom.llm.words import WORD
-from sutraloom.runtime import collect_bounded, map_columns
+from sutraloom.runtime import attach, collect_bounded, cut_lineage, map_columns
 
 SAMPLE_ROWS, SAMPLE_CHARS = 250, 30_000
 WORD_SAMPLE_ROWS, WORD_SAMPLE_CHARS = 8_000, 40_000
@@ -175,6 +179,7 @@ def decide(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _CUT = re.compile(r"\s(?:(?<=[.!?।]\s)|(?<=[.!?।][\"'’”»)]\s)|(?<=\|\|\s)|(?<=[^\W\d_] \|\s))\s*")
 _ENDS = tuple(".!?।|")
 _REST = re.compile(r"[\W\d_]+")
+_ASCII_REST = bytes(i for i in range(128) if not chr(i).isalpha())
 _INNER = re.compile(r"[.!?]\s")
 _TAIL = "\"'’”»)† \t\r"
 
@@ -190,10 +195,11 @@ def prepared(text: str) -> str:
 
 
 def line_key(line: str) -> int | None:
-    """Hash of a short line's letters, for lines that end as sentences do; None for others."""
-    if len(line) > 160 or len(line) < 12 or not (line.rstrip(_TAIL).endswith(_ENDS) or _INNER.search(line)):
+    """Hash of a line's letters, for lines that end as sentences do; None for others."""
+    if len(line) < 12 or not (line.rstrip(_TAIL).endswith(_ENDS) or _INNER.search(line)):
         return None
-    words = _REST.sub("", line.lower())
+    low = line.lower()
+    words = low.encode().translate(None, _ASCII_REST) if low.isascii() else _REST.sub("", low)
     return xxhash.xxh3_64_intdigest(words) >> 1 if len(words) > 11 else None
 
 
@@ -311,48 +317,71 @@ def language(label) -> "F.Column":
 # --- on tables ---------------------------------------------------------------------------------------------------------------
 
 
-def common_lines(df: DataFrame, text: str, share: float = COMMON_LINE, least: int = 5) -> frozenset[int]:
-    """Hashes of sentence-like lines that stand in `share` of all records: at most (lines per record) / share of them."""
+def _line_counts(df: DataFrame, text: str, source: str) -> DataFrame:
+    """(s, h, n): records of each source (a hash, null without one) with each sentence-like line; h null: all its
+    records. Combined inside each task, so that a source with a third of all rows moves one counter per line and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def give() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
+            made = pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in seen], pa.int64()), pa.array([h for _, h in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["s", "h", "n"]
+            )
             seen.clear()
             return made
 
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[s, None] += 1
                 if t:
-                    seen.update({k for x in t.split("\n") if (k := line_key(x)) is not None})
-            if len(seen) > 1_000_000:
+                    seen.update({(s, k) for x in t.split("\n") if (k := line_key(x)) is not None})
+            if len(seen) > 500_000:
                 yield give()
         yield give()
 
-    counts = df.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    bound = max(least, share * df.count())
-    return frozenset(r["h"] for r in collect_bounded(counts.where(F.col("n") >= bound), 100_000, "common lines"))
+    return cut_lineage(df.select(source, text).mapInArrow(run, "s bigint, h bigint, n bigint").groupBy("s", "h").agg(F.sum("n").alias("n")))
+
+
+def common_lines(counts: DataFrame, share: float = COMMON_LINE, least: int = 5) -> frozenset[int]:
+    """Hashes of sentence-like lines that stand in `share` of all records: at most (lines per record) / share of them."""
+    total = counts.where(F.col("h").isNull()).agg(F.sum("n")).first()[0] or 0
+    lines = counts.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("n").alias("n"))
+    return frozenset(r["h"] for r in collect_bounded(lines.where(F.col("n") >= max(least, share * total)), 100_000, "common lines"))
+
+
+def source_lines(counts: DataFrame, share: float = SITE_SHARE, least: int = SITE_RECORDS) -> DataFrame:
+    """(s, lines): hashes of the sentence-like lines that stand in `share` of the source's records; at most
+    (lines per record) / share for a source."""
+    totals = counts.where(F.col("h").isNull() & F.col("s").isNotNull()).select("s", F.col("n").alias("of"))
+    lines = counts.where(F.col("h").isNotNull() & (F.col("n") >= least))
+    return lines.join(totals, "s").where(F.col("n") >= F.col("of") * share).groupBy("s").agg(F.collect_list("h").alias("lines"))
 
 
-def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str) -> DataFrame:
+def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source: str | None = None) -> DataFrame:
     """(key, given, lang, sentences, share, confidence): one row for each language in which a record has whole
-    sentences. given: the language that the label names, null where missing. Extra columns of df are not read."""
+    sentences. given: the language that the label names, null where missing. source: the site or book of a record,
+    whose own site lines are left out too. Extra columns of df are not read."""
     parser = fit_documents(df, key, text, label, wrapped)
     key_type = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, given string, lang string, sentences int, share double, confidence double"
     if parser is None:
         return df.sparkSession.createDataFrame([], schema)
-    held = df.sparkSession.sparkContext.broadcast((parser, common_lines(df, text)))
+    site = F.when(F.col(source).isNotNull(), F.xxhash64(source)) if source else F.lit(None).cast("bigint")
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label"), F.col(wrapped).alias("wrapped"), site.alias("site"))
+    counts = _line_counts(rows, "text", "site")
+    held = df.sparkSession.sparkContext.broadcast((parser, common_lines(counts)))
+    rows = attach(rows, "site", source_lines(counts), "s", "text", BROADCAST_SOURCES).drop("s")
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
         parser, common = held.value
         names = parser.names
+        lists = {s: common.union(x) for s, x in dict(zip(cols["site"], cols["lines"])).items() if x}
         owner: list[int] = []
         latin, latin_at, other, other_at = [], [], [], []
-        for i, (t, w) in enumerate(zip(cols[text], cols[wrapped])):
+        for i, (t, w) in enumerate(zip(cols["text"], cols["wrapped"])):
             if t:
-                for s in sentences(prepared(t), bool(w), common):
+                for s in sentences(prepared(t), bool(w), lists.get(cols["site"][i], common)):
                     at = len(owner)
                     owner.append(i)
                     if s.isascii() or not _INDIC.search(s):
@@ -383,11 +412,11 @@ def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str) -> Data
                 _, sure = decide(pieces[mine].sum(axis=0, keepdims=True))
                 if sure[0] < MIN_CONFIDENCE / 2:  # no language reads it better than another: noise
                     continue
-                for name, v in zip(out, (cols[key][i], label_of(cols[label][i]), names[k], len(mine), chars / float(size[at].sum()), float(sure[0]))):
+                for name, v in zip(out, (cols["key"][i], label_of(cols["label"][i]), names[k], len(mine), chars / float(size[at].sum()), float(sure[0]))):
                     out[name].append(v)
         return out
 
-    return map_columns(df.select(key, text, label, wrapped), kernel, schema)
+    return map_columns(rows.select("key", "text", "label", "wrapped", "site", "lines"), kernel, schema)
 
 
 _INDIC = re.compile("[ऀ-෿]")

@@ -86,7 +86,7 @@ def _scanned(source) -> "F.Column":
 
 def p6_languages(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d).withColumn("wrapped", _scanned("source"))
-    return languages.detect(pages, "rec_id", "content", "lang", "wrapped")
+    return languages.detect(pages, "rec_id", "content", "lang", "wrapped", "source")
 
 
 def p6_words(spark: SparkSession, d: str) -> DataFrame:

@@ -102,6 +102,18 @@ def test_languages(spark):
     assert languages.detect(df.limit(0), "id", "text", "tag", "wrapped").count() == 0
 
 
+def test_notices_of_small_sites(spark):
+    en, notice = (lambda n: sentence(n, False)), " ".join(sentence(n, True) for n in (131, 132, 133))
+    assert len(notice) > 160
+    rows = [(i, f"{en(3 * i)} {en(5 * i + 1)} {en(7 * i + 2)}", "en", f"site{i % 90}") for i in range(900)]
+    rows += [(1000 + i, f"{sentence(3 * i, True)} {sentence(5 * i + 1, True)} {sentence(7 * i + 2, True)}", "de", None) for i in range(60)]
+    rows += [(2000 + i, f"{en(3 * i)} {en(5 * i + 1)}\n{notice}\n{sentence(131, True)}", "en", "small") for i in range(6)]
+    rows += [(2100 + i, f"{en(3 * i)} {en(5 * i + 1)}\n{notice}", "en", None) for i in range(2)]
+    df = table(spark, [(*r, False) for r in rows], "id bigint, text string, tag string, site string, wrapped boolean")
+    hits = {r["id"] for r in languages.wrong_or_mixed(languages.detect(df, "id", "text", "tag", "wrapped", "site"), "id").collect()}
+    assert hits == {2100, 2101}
+
+
 def test_words(spark):
     english = ["unlight", "lightful", "breaking", "unbreaking", "lighting", "breakful", "unhelpful", "helping"]
     other = ["khaadiitu", "thaakiinu", "khiithaanu", "naakhiitaa", "thiikhaadu", "daathiikhu", "niithaakhu", "kaathiidu"]

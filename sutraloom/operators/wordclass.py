@@ -59,30 +59,63 @@ def label_counts(words: DataFrame, label: str) -> DataFrame:
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 # What scanning makes of letters.
-SWAPS = (("o", "0"), ("l", "1"), ("i", "1"), ("e", "3"), ("a", "@"), ("s", "5"), ("m", "rn"), ("d", "cl"))
+SWAPS = {"a": "o", "i": "l", "s": "f", "c": "e", "n": "m", "r": "n", "u": "v", "h": "b"}
+
+
+def _rand(seed: int, i: int) -> Column:
+    """A random number of a seed; those of different i share no stream, which is of the seed plus the partition."""
+    return F.rand(seed + i * 1_000_003)
+
+
+def _letter(u: Column) -> Column:
+    return F.substring(F.lit(_LETTERS), F.floor(u * 26).cast("int") + 1, F.lit(1))
 
 
 def random_junk(spark: SparkSession, n: int, seed: int = 0, low: int = 3, high: int = 20, label: int = 2) -> DataFrame:
     """(ascii, label): n strings of random letters of low to high characters."""
-    size = F.floor(F.rand(seed) * (high - low + 1)).cast("int") + low
-    letters = F.array(*[F.substring(F.lit(_LETTERS), F.floor(F.rand(seed + 1 + i) * 26).cast("int") + 1, F.lit(1)) for i in range(high)])
+    size = F.floor(_rand(seed, 0) * (high - low + 1)).cast("int") + low
+    letters = F.array(*[_letter(_rand(seed, 1 + i)) for i in range(high)])
     return spark.range(n).select(F.array_join(F.slice(letters, 1, size), "").alias("ascii"), F.lit(label).alias("label"))
 
 
+def _edited(words: DataFrame, word: str, edits: tuple[str, ...], shortest: int, seed: int, label: int) -> DataFrame:
+    """(ascii, label): each word after one or two random edits; a word of `shortest` letters loses none."""
+    rows = words.where(F.length(word) > 0).select(F.col(word).alias("ascii"), *[_rand(seed, i).alias(f"_{i}") for i in range(7)])
+    for k in (1, 4):
+        c, n = F.col("ascii"), F.length("ascii")
+        at, x = F.floor(F.col(f"_{k}") * n).cast("int") + 1, _letter(F.col(f"_{k + 1}"))
+        head, tail = F.substring(c, F.lit(1), at - 1), F.substring(c, at + 1, n)
+        here, follows = F.substring(c, at, F.lit(1)), F.substring(c, at + 1, F.lit(1))
+        made = {
+            "insert": F.concat(head, x, here, tail),
+            "delete": F.when(n > shortest, F.concat(head, tail)).otherwise(c),
+            "swap": F.when(at < n, F.concat(head, follows, here, F.substring(c, at + 2, n))).otherwise(c),
+            "replace": F.concat(head, x, tail),
+        }
+        which = F.floor(F.col(f"_{k + 2}") * len(edits)).cast("int") + 1
+        new = F.element_at(F.array(*[made[e] for e in edits]), which)
+        rows = rows.withColumn("ascii", new if k == 1 else F.when(F.col("_0") < 0.5, new).otherwise(c))
+    return rows.select("ascii", F.lit(label).alias("label"))
+
+
 def misspelled(words: DataFrame, word: str, seed: int = 0, label: int = 2) -> DataFrame:
-    """(ascii, label): each word with one letter exchanged at a random place."""
-    c, at = F.col(word), F.floor(F.rand(seed) * F.length(word)).cast("int") + 1
-    letter = F.substring(F.lit(_LETTERS), F.floor(F.rand(seed + 1) * 26).cast("int") + 1, F.lit(1))
-    rows = words.where(c.isNotNull() & (F.length(c) > 0)).withColumn("_at", at).withColumn("_x", letter)
-    return rows.select(F.overlay(c, F.col("_x"), F.col("_at"), F.lit(1)).alias("ascii"), F.lit(label).alias("label"))
-
-
-def swapped(words: DataFrame, word: str, seed: int = 0, share: float = 0.3, label: int = 2) -> DataFrame:
-    """(ascii, label): each word with some of its letters as scanning reads them."""
-    c = F.col(word)
-    for i, (a, b) in enumerate(SWAPS):
-        c = F.when(F.rand(seed + i) < share, F.replace(c, F.lit(a), F.lit(b))).otherwise(c)
-    return words.where(F.col(word).isNotNull()).select(c.alias("ascii"), F.lit(label).alias("label"))
+    """(ascii, label): each word with one or two typing errors: a letter too many or few, exchanged or swapped."""
+    return _edited(words, word, ("insert", "delete", "swap", "replace"), 3, seed, label)
+
+
+def noisy(words: DataFrame, word: str, seed: int = 0, label: int = 1) -> DataFrame:
+    """(ascii, label): each word with one or two letters swapped, exchanged or dropped, of the word's own class."""
+    return _edited(words, word, ("swap", "replace", "delete"), 4, seed, label)
+
+
+def swapped(words: DataFrame, word: str, seed: int = 0, label: int = 2) -> DataFrame:
+    """(ascii, label): each word with one or two of its letters, at random places, as scanning reads them."""
+    rows = words.where(F.col(word).isNotNull()).select(F.col(word).alias("ascii"), *[_rand(seed, i).alias(f"_{i}") for i in range(3)])
+    for k in (1, 2):
+        c, at = F.col("ascii"), F.floor(F.col(f"_{k}") * F.length("ascii")).cast("int") + 1
+        new = F.concat(F.substring(c, F.lit(1), at - 1), F.translate(F.substring(c, at, F.lit(1)), "".join(SWAPS), "".join(SWAPS.values())), F.substring(c, at + 1, F.length(c)))
+        rows = rows.withColumn("ascii", new if k == 1 else F.when(F.col("_0") < 0.5, new).otherwise(c))
+    return rows.select("ascii", F.lit(label).alias("label"))
 
 
 def hash_share(*columns: str) -> Column:

@@ -169,9 +169,14 @@ def word_split(spark, d):
 
 @query("noisy_words")
 def noisy_words(spark, d):
-    """Invented junk beside misspelled and misread words, as training rows."""
-    words = _words(spark, d).where("label = 1")
-    return wordclass.random_junk(spark, 4000).unionByName(wordclass.misspelled(words, "ascii")).unionByName(wordclass.swapped(words, "ascii", label=1))
+    """Invented junk (random letters, the same with typing errors and as misread) beside 10,000 misspelled words of
+    class 1, as training rows."""
+    words = _words(spark, d).where(F.col("label") == 1).select(F.trim("ascii").alias("ascii"), "word_id").where(F.length("ascii") > 0)
+    some = wordclass.shuffled(words, "word_id", "ascii").limit(10_000)
+    junk = wordclass.random_junk(spark, 40_000)
+    typos = wordclass.misspelled(wordclass.random_junk(spark, 30_000, seed=1_000), "ascii", seed=2_000)
+    misread = wordclass.swapped(wordclass.random_junk(spark, 30_000, seed=3_000), "ascii", seed=4_000)
+    return junk.unionByName(typos).unionByName(misread).unionByName(wordclass.noisy(some, "ascii", seed=5_000))
 
 
 @query("word_classifier")

@@ -204,6 +204,23 @@ def test_word_classes(spark):
     assert wordclass.misspelled(df, "w").count() == 2 and wordclass.swapped(df, "w").count() == 3
 
 
+def test_noisy_words(spark, data):
+    from sutraloom.plans import registry
+
+    rows = registry.QUERIES["noisy_words"](spark, data)
+    real = spark.read.parquet(f"{data}/final_language_dataset.parquet").where("label = 1 AND trim(ascii) <> ''").count()
+    assert {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()} == {2: 100_000, 1: min(10_000, real)}
+    same = spark.range(2000).select(F.lit("bcdefg").alias("w"), F.lit("bde").alias("short"), F.lit("chair").alias("read"))
+    made = lambda df: {r["ascii"] for r in df.collect()}
+    typos, noisy = made(wordclass.misspelled(same, "w")), made(wordclass.noisy(same, "w"))
+    assert {len(w) for w in typos} == {4, 5, 6, 7, 8} and {len(w) for w in noisy} == {4, 5, 6}
+    assert {"cbdefg", "bcdfg"} <= typos & noisy and all(len(set(w) & set("bcdefg")) >= 3 for w in typos | noisy)
+    assert {len(w) for w in made(wordclass.misspelled(same, "short"))} == {3, 4, 5} and {len(w) for w in made(wordclass.noisy(same, "short"))} == {3}
+    read = made(wordclass.swapped(same, "read"))
+    assert {"ehair", "cbair", "choir", "chalr", "chain", "eboir"} - read == {"eboir"} and all(sum(a != b for a, b in zip(w, "chair")) <= 2 for w in read)
+    assert {r["label"] for r in wordclass.noisy(same, "w").select("label").distinct().collect()} == {1}
+
+
 def test_classifier_tells_classes_apart(spark):
     r = random.Random(1)
     rows = [("un" + r.choice(["light", "break", "stand", "help"]) + r.choice(["ed", "ing", "ful", "ness"]), 0) for _ in range(150)]

@@ -6,7 +6,8 @@ selected spans the most probable stays.
 
 Training: there are no labelled texts, so the trees learn from invented letters (training_texts) with invented people
 and with look-alike matter that is not personal, seeded, of a fixed size. Two lists are features: the known names, and
-the corpus's ordinary words (the COMMON words most often written in lower case, counted over all texts).
+the corpus's ordinary words (all words mostly written in lower case, counted over all texts). Up to KNOWN_WORDS of
+these are broadcast; beyond, only those with COMMON_SHARE of all words, and each text gets its others by a join.
 
 Defined results: null text gives null and no finding; a piece that occurs twice in a text is one finding and is
 replaced at both places.
@@ -28,8 +29,8 @@ from sutraloom.llm.words import count_words
 from sutraloom.runtime import collect_bounded, cut_lineage, map_columns
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Ordinary words that are known to the trees.
-COMMON = 30_000
+#: Ordinary words that may be broadcast; beyond, those with a share of all words (at most 1 / share of them) are.
+KNOWN_WORDS, COMMON_SHARE = 200_000, 5e-6
 #: Share of all words from which on a word is ordinary whatever its case.
 STARTER = 2e-4
 
@@ -437,15 +438,33 @@ def free_words(text: str) -> list[str]:
     return [w for x in text.split() if (w := x.rstrip(".,;:!?)")).isalpha() or w.replace("-", "").replace("’", "").replace("'", "").isalpha() and w[0].isalpha()]
 
 
-def ordinary_words(df: DataFrame, text: str, size: int = COMMON) -> set[str]:
-    """The `size` most frequent words of all texts that are written in lower case at least three times in ten, or that
-    are too frequent for any one name (words that often begin sentences)."""
+def ordinary_words(df: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """(w, n) of the words of all texts that are written in lower case at least three times in ten, or that are too
+    frequent for any one name (words that often begin sentences); and the number of all words."""
     counts = count_words(df, text, free_words)
     low = F.lower("word")
     forms = cut_lineage(counts.groupBy(low.alias("w")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("word") == low, F.col("n")).otherwise(0)).alias("lower")))
     total = forms.agg(F.sum("n")).first()[0] or 0
     ordinary = (F.col("lower") >= 5) & (F.col("lower") >= F.col("n") * 0.3) | (F.col("n") >= max(50, total * STARTER))
-    return {r["w"] for r in forms.where(ordinary).orderBy(F.desc("n"), "w").limit(size).collect()}
+    return forms.where(ordinary).select("w", "n"), total
+
+
+def _looked_up(text: str) -> set[str]:
+    """The words of a text that are looked up among the ordinary ones."""
+    words = {t.lower() for t in set(_TOKEN.findall(text))}
+    return words.union(*[re.split("[’']", w) for w in words if "’" in w or "'" in w])
+
+
+def _own_words(df: DataFrame, text: str, words: DataFrame, known: frozenset[str]) -> DataFrame:
+    """(h, own): the words of the table `words` that each text holds, beside the known ones; texts by a hash."""
+    held = df.sparkSession.sparkContext.broadcast(known)
+
+    def kernel(cols: dict[str, list]) -> dict[str, list]:
+        pairs = [(h, w) for h, t in zip(cols["h"], cols["t"]) for w in _looked_up(t) - held.value]
+        return {"h": [h for h, _ in pairs], "w": [w for _, w in pairs]}
+
+    texts = df.where(F.col(text).isNotNull()).select(F.md5(text).alias("h"), F.col(text).alias("t"))
+    return map_columns(texts, kernel, "h string, w string").join(words, "w").groupBy("h").agg(F.collect_set("w").alias("own"))
 
 
 def name_lists(names: DataFrame, name: str, part: str, limit: int = 200_000) -> tuple[set[str], set[str]]:
@@ -453,20 +472,41 @@ def name_lists(names: DataFrame, name: str, part: str, limit: int = 200_000) ->
     return {r[0] for r in rows if r[1] == "given"}, {r[0] for r in rows if r[1] != "given"}
 
 
-def _held(df: DataFrame, text: str, names: DataFrame, name: str, part: str):
+def _prepared(df: DataFrame, key: str, text: str, names: DataFrame, name: str, part: str):
+    """(given names, family names, ordinary words, trees) for all tasks, and df as (key, text, own): the ordinary
+    words of each text that are not among them, null where all are."""
     given, family = name_lists(names, name, part)
-    return df.sparkSession.sparkContext.broadcast((Lists(given, family, ordinary_words(df, text)), models()))
+    words, total = ordinary_words(df, text)
+    words, few = cut_lineage(words), words.count() <= KNOWN_WORDS
+    frequent = F.col("n") >= total * COMMON_SHARE
+    rows = words.collect() if few else collect_bounded(words.where(frequent), int(1 / COMMON_SHARE) + 1, "frequent words")
+    known = frozenset(r["w"] for r in rows)
+    held = df.sparkSession.sparkContext.broadcast((given, family, known, models()))
+    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    if few:
+        return held, source.withColumn("own", F.lit(None).cast("array<string>"))
+    own = _own_words(df, text, words.where(~frequent).select("w"), known)
+    return held, source.join(own, F.md5("text") == own["h"], "left").select("key", "text", "own")
+
+
+def _batch(held: tuple, cols: dict[str, list], last: list) -> list[list[tuple[int, int, str, float]]]:
+    """find_all of a batch. An ordinary word is one in all texts, so the batch's own words count together. last: the
+    lists of the known words alone, made once for a task."""
+    given, family, known, trees = held
+    own = [w for x in cols["own"] if x for w in x]
+    if not last:
+        last.append(Lists(given, family, known))
+    return find_all(cols["text"], Lists(given, family, known.union(own)) if own else last[0], trees)
 
 
 def find_personal(df: DataFrame, key: str, text: str, names: DataFrame, name: str = "name", part: str = "name_part") -> DataFrame:
     """(key, kind, found_text, confidence): each distinct piece of personal data of each record."""
-    held = _held(df, text, names, name, part)
-    key_type = df.schema[key].dataType.simpleString()
+    held, source = _prepared(df, key, text, names, name, part)
+    key_type, last = df.schema[key].dataType.simpleString(), []
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
-        lists, trees = held.value
         out: dict[str, list] = {c: [] for c in (key, "kind", "found_text", "confidence")}
-        for k, t, found in zip(cols[key], cols[text], find_all(cols[text], lists, trees)):
+        for k, t, found in zip(cols["key"], cols["text"], _batch(held.value, cols, last)):
             best: dict[tuple[str, str], float] = {}
             for start, end, kind, p in found:
                 piece = (kind, t[start:end])
@@ -476,17 +516,16 @@ def find_personal(df: DataFrame, key: str, text: str, names: DataFrame, name: st
                     out[name].append(v)
         return out
 
-    return map_columns(df.select(key, text), kernel, f"`{key}` {key_type}, kind string, found_text string, confidence double")
+    return map_columns(source, kernel, f"`{key}` {key_type}, kind string, found_text string, confidence double")
 
 
 def redact_personal(df: DataFrame, key: str, text: str, names: DataFrame, name: str = "name", part: str = "name_part") -> DataFrame:
     """(key, text with placeholders, n_found); every record has its row."""
-    held = _held(df, text, names, name, part)
-    key_type = df.schema[key].dataType.simpleString()
+    held, source = _prepared(df, key, text, names, name, part)
+    key_type, last = df.schema[key].dataType.simpleString(), []
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
-        lists, trees = held.value
-        found = find_all(cols[text], lists, trees)
-        return {key: cols[key], text: [redact(t, f) for t, f in zip(cols[text], found)], "n_found": [len(f) for f in found]}
+        found = _batch(held.value, cols, last)
+        return {key: cols["key"], text: [redact(t, f) for t, f in zip(cols["text"], found)], "n_found": [len(f) for f in found]}
 
-    return map_columns(df.select(key, text), kernel, f"`{key}` {key_type}, `{text}` string, n_found int")
+    return map_columns(source, kernel, f"`{key}` {key_type}, `{text}` string, n_found int")

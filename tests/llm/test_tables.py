@@ -184,6 +184,21 @@ def test_personal(spark):
     assert personal.find_personal(df.limit(0), "id", "text", names.limit(0)).count() == 0
 
 
+def test_ordinary_words_have_no_last_place(spark, monkeypatch):
+    word = lambda i: "".join("bcdfghklmn"[int(c)] + "aeiou"[int(c) % 5] for c in f"{i:05d}")
+    rows = [(b * 8 + k, " ".join(word(i) for i in range(b * 500, b * 500 + 500))) for b in range(70) for k in range(5)]
+    heads = [(10_000 + i, f"{word(i).capitalize()} {word(i + 1).capitalize()} Quillfeather, {word(i).capitalize()} {word(i + 1).capitalize()}'s") for i in range(0, 35_000, 1_400)]
+    df = table(spark, rows + heads, "id bigint, text string")
+    assert personal.ordinary_words(df, "text")[0].count() == 35_000
+    names = spark.createDataFrame([("Ada", "given"), ("Quillfeather", "family")], "name string, name_part string")
+    ways = []
+    for most, share in ((200_000, 5e-6), (-1, 5e-6), (-1, 1.0)):  # all broadcast, the frequent ones, none
+        monkeypatch.setattr(personal, "KNOWN_WORDS", most)
+        monkeypatch.setattr(personal, "COMMON_SHARE", share)
+        ways.append((sorted(map(tuple, personal.find_personal(df, "id", "text", names).collect())), sorted(map(tuple, personal.redact_personal(df, "id", "text", names).collect()))))
+    assert ways[0] == ways[1] == ways[2] and len(ways[0][1]) == len(rows + heads)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_scans(spark, monkeypatch, small):
     if not small:

@@ -225,6 +225,12 @@ def test_leak_edges():
     assert leaks.Matcher([]).leaks(item) == {}
 
 
+def test_automata_learn_from_40_000_letters():
+    texts = [f"{a} {b} of the old garden {c}." for a in ("leaf", "root", "seed", "bark") for b in ("juice", "paste", "powder") for c in map(str.lower, ("".join(x) for x in itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rst")))]
+    budget = languages._budget({"en": texts * 2}, languages.SAMPLE_CHARS)
+    assert budget == 40_000 and sum(map(len, languages._keep({"en": texts}, budget, " ").values())) >= 40_000
+
+
 # --- personal ----------------------------------------------------------------------------------------------------------
 
 

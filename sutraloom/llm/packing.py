@@ -1,9 +1,11 @@
 """Fill containers of fixed capacity with documents, measured in tokens of a public tokenizer.
 
-Method: swap-based local search. Items start from a best-fit-decreasing packing; then the emptiest container gives
-documents away, by moving one, exchanging one for one, or two for one, with other underfull containers. Only changes
-that raise the sum of squared fills are made, so that the emptiest containers empty out, until no change is left or
-the number of containers is the least possible.
+Method: swap-based local search. Items start from a best-fit-decreasing packing; then every container with space, the
+emptiest first, gives documents away to fuller ones: by moving one, or exchanging one for one, two for one or one for
+two. Changes raise the sum of squared fills, so that the emptiest containers empty out. Where none is left, containers
+take an item of just their space from a full container of more items, which opens new exchanges at the same sum. The
+search ends when neither is left, or when a bound proves that the number of containers is the least possible; nothing
+else ends it.
 
 A document longer than the capacity is cut into pieces of the capacity and a rest; no other document is cut.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import math
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sutraloom.runtime import collect_bounded, cut_lineage, map_columns
 
-#: Where the public vocabularies are; a parameter of every function that counts tokens.
+#: Where the public vocabulary is; a parameter of every function that counts tokens.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's own tokenizer cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,21 +39,21 @@ SHARD = 20_000
 
 
 @lru_cache(maxsize=4)
-def encoding(path: str = TOKENIZER):
-    """The tokenizer of a file of ranked byte pieces."""
+def encoding(pieces: bytes):
+    """The tokenizer of a vocabulary file's content: ranked byte pieces, one to a line."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, pieces.splitlines())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """(key, n) of each text that has tokens."""
+    """(key, n) of each text that has tokens. The driver reads the vocabulary, a file of some MB, and broadcasts it."""
     key_type = df.schema[key].dataType.simpleString()
+    held = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding(held.value).encode_ordinary
         rows = [(k, len(encode(t))) for k, t in zip(cols[key], cols[text]) if t]
         return {key: [r[0] for r in rows], "n": [r[1] for r in rows]}
 
@@ -83,74 +86,152 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-#: Changes that are looked for in one shard; a bound on time alone, every item stays packed.
-TRIES = 1_000
-
-
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, tries: int = TRIES) -> list[list[int]]:
-    """The containers after improving moves and exchanges; empty ones are left out. The emptiest container gives first;
-    one that finds no change waits until another has."""
-    size = np.array(sizes, dtype=np.int64)
-    at = np.empty(len(sizes), dtype=np.int64)
-    for b, items in enumerate(bins):
-        at[items] = b
-    fill = np.array([size[items].sum() for items in bins], dtype=np.int64)
-    content = [list(b) for b in bins]
-    least = -(-int(size.sum()) // capacity)
-    stuck: set[int] = set()
-    for _ in range(tries):
-        if (fill > 0).sum() <= least:
-            break
-        open_bins = [b for b in np.flatnonzero((fill > 0) & (fill < capacity)) if b not in stuck]
-        if len(open_bins) < 2:
-            break
-        donor = min(open_bins, key=lambda b: (fill[b], b))
-        if _give(donor, size, at, fill, content, capacity):
-            stuck.clear()
-        else:
-            stuck.add(donor)
-    return [c for c in content if c]
-
-
-def _give(donor: int, size: np.ndarray, at: np.ndarray, fill: np.ndarray, content: list[list[int]], capacity: int) -> bool:
-    """One change that takes tokens from the donor; whether there was one."""
-    free = capacity - fill
-    free[donor] = -1
-    mine = sorted(content[donor], key=lambda i: (-size[i], i))
-    # a move: the largest item that fits anywhere, to the tightest place
-    for x in mine:
-        fits = np.flatnonzero((free >= size[x]) & (fill > 0) & (fill + size[x] > fill[donor]))
-        if len(fits):
-            _shift(x, donor, int(fits[free[fits].argmin()]), size, at, fill, content)
-            return True
-    # an exchange: one or two of the donor's items for one smaller item of an underfull container
-    others = np.flatnonzero((free[at] > 0) & (at != donor))
-    if not len(others):
-        return False
-    groups = [(x,) for x in mine] + [(x, y) for n, x in enumerate(mine[:12]) for y in mine[n + 1 : 12]]
-    best = (0, None, -1)
-    for group in groups:
-        gain = int(size[list(group)].sum()) - size[others]
-        ok = (gain > 0) & (gain <= free[at[others]]) & (fill[at[others]] + gain > fill[donor])
-        if ok.any():
-            k = int(np.where(ok, gain, 0).argmax())
-            if gain[k] > best[0]:
-                best = (int(gain[k]), group, int(others[k]))
-    if best[1] is None:
+def least_containers(sizes: list[int], capacity: int) -> int:
+    """A number of containers that no packing can go below. For each k: items over capacity - k stand alone, those over
+    half the capacity stand in different ones, and what is between k and the half must fit beside the latter."""
+    s = np.sort(np.asarray(sizes, dtype=np.int64))
+    if not len(s):
+        return 0
+    sums = np.concatenate(([0], np.cumsum(s)))
+    k = np.arange(capacity // 2 + 1)
+    half = np.searchsorted(s, capacity // 2, "right")
+    large, small = np.searchsorted(s, capacity - k, "right"), np.minimum(np.searchsorted(s, k, "left"), half)
+    beside = (large - half) * capacity - (sums[large] - sums[half])
+    return int((len(s) - half + np.maximum(0, -(-(sums[half] - sums[small] - beside) // capacity))).max())
+
+
+class Search:
+    """Local search on one packing. A change takes tokens from a container (the donor) to another that has space and
+    at least the donor's fill, so that the sum of squared fills grows: a move, or one or two of the donor's items for
+    one item, or one for two. Each kind is looked up by size over all items and pairs of all containers with space."""
+
+    def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int) -> None:
+        self.size, self.capacity = sizes, capacity
+        self.content = [list(b) for b in bins]
+        self.fill = np.array([sum(sizes[i] for i in b) for b in bins], dtype=np.int64)
+        self.sums: dict[tuple[int, int], np.ndarray] = {}  # of one or of two items, by (container, how many)
+        self.rooms: dict[int, tuple[int, np.ndarray]] = {}
+        self.changes = 0
+
+    def run(self, least: int) -> int:
+        """Changes until none is left or `least` containers are; gives the number of containers. Donors go by rising
+        fill, and one that found no change is asked again only after another has. Where no change raises the squared
+        fill any more, space is passed on to full containers of more items, which keeps it and gives more choice; each
+        step raises the squared fill or, at the same fill, the items beside which there is space, so there is an end."""
+        asked: dict[int, int] = {}
+        again = True
+        while again and np.count_nonzero(self.fill) > least:
+            again = False
+            for donor in sorted(self._open().tolist(), key=lambda b: (self.fill[b], b)):
+                while asked.get(donor) != self.changes and 0 < self.fill[donor] < self.capacity:
+                    asked[donor] = self.changes
+                    again |= self._give(donor)
+            again = again or self._pass_on()
+        return int(np.count_nonzero(self.fill))
+
+    def _pass_on(self) -> bool:
+        """Every container with space takes an item of just that size from a full one that is left with more items than
+        it had; whether any did."""
+        full: dict[int, list[int]] = {}
+        for b in np.flatnonzero(self.fill == self.capacity).tolist():
+            for s in set(self._of(b, 1).tolist()):
+                full.setdefault(s, []).append(b)
+        done = False
+        for b in self._open().tolist():
+            space = int(self.capacity - self.fill[b])
+            givers = [f for f in full.get(space, ()) if self.fill[f] == self.capacity and len(self.content[f]) > len(self.content[b]) + 1]
+            if givers:
+                self._shift(max(givers, key=lambda f: (len(self.content[f]), -f)), b, [space], [])
+                done = True
+        return done
+
+    def _open(self) -> np.ndarray:
+        return np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+
+    def _of(self, b: int, count: int) -> np.ndarray:
+        """Distinct sums of `count` items of a container."""
+        got = self.sums.get((b, count))
+        if got is None:
+            s = np.array([self.size[i] for i in self.content[b]])
+            got = np.unique(s if count == 1 else (s[:, None] + s[None, :])[np.triu_indices(len(s), 1)])
+            self.sums[b, count] = got
+        return got
+
+    def _room(self, targets: np.ndarray, count: int) -> np.ndarray:
+        """For each sum of `count` items: the most space of a target that holds it; -1 without one."""
+        room = np.full(self.capacity + 1, -1, dtype=np.int64)
+        for b in targets:
+            at = self._of(b, count)
+            room[at] = np.maximum(room[at], self.capacity - self.fill[b])
+        return room
+
+    def _any_room(self, count: int) -> np.ndarray:
+        """_room of all containers with space, made once after each change."""
+        made = self.rooms.get(count)
+        if made is None or made[0] != self.changes:
+            made = self.rooms[count] = (self.changes, self._room(self._open(), count))
+        return made[1]
+
+    @staticmethod
+    def _gains(given: np.ndarray, room: np.ndarray, most: int) -> tuple[int, int]:
+        """The largest gain of giving one of the sums `given` for a smaller one that has room for it, and the sum."""
+        gain = np.arange(1, most + 1)
+        back = given[:, None] - gain[None, :]
+        ok = (back > 0) & (back < len(room))
+        ok &= room[np.where(ok, back, 0)] >= gain[None, :]
+        hits = np.flatnonzero(ok.any(axis=0))
+        return (0, 0) if not len(hits) else (int(gain[hits[-1]]), int(given[ok[:, hits[-1]].argmax()]))
+
+    def _give(self, donor: int) -> bool:
+        """One change that takes tokens from the donor; whether there was one."""
+        free = self.capacity - self.fill
+        targets = self._open()
+        targets = targets[(self.fill[targets] >= self.fill[donor]) & (targets != donor)]
+        if not len(targets):
+            return False
+        most = int(free[targets].max())
+        for s in self._of(donor, 1)[::-1]:
+            if s <= most:  # a move to the tightest place
+                fits = targets[free[targets] >= s]
+                self._shift(donor, int(fits[free[fits].argmin()]), [int(s)], [])
+                return True
+        for mine, theirs in ((1, 1), (2, 1), (1, 2)):
+            given = self._of(donor, mine)
+            if not len(given) or not self._gains(given, self._any_room(theirs), most)[0]:
+                continue
+            gain, total = self._gains(given, self._room(targets, theirs), most)
+            if gain:
+                takers = [b for b in targets if free[b] >= gain and total - gain in self._of(b, theirs)]
+                self._shift(donor, min(takers, key=lambda b: (free[b], b)), self._parts(donor, total, mine), (total - gain, theirs))
+                return True
         return False
-    target = int(at[best[2]])
-    _shift(best[2], target, donor, size, at, fill, content)
-    for x in best[1]:
-        _shift(x, donor, target, size, at, fill, content)
-    return True
-
-
-def _shift(i: int, a: int, b: int, size: np.ndarray, at: np.ndarray, fill: np.ndarray, content: list[list[int]]) -> None:
-    content[a].remove(i)
-    content[b].append(i)
-    at[i] = b
-    fill[a] -= size[i]
-    fill[b] += size[i]
+
+    def _parts(self, b: int, total: int, count: int) -> list[int]:
+        """Sizes of `count` items of a container that add up to total."""
+        if count == 1:
+            return [total]
+        held = [self.size[i] for i in self.content[b]]
+        return next([x, total - x] for n, x in enumerate(held) if total - x in held[n + 1 :])
+
+    def _shift(self, donor: int, taker: int, given: list[int], back: tuple[int, int] | list) -> None:
+        for a, b, sizes in ((taker, donor, self._parts(taker, *back) if back else []), (donor, taker, given)):
+            for s in sizes:
+                i = next(i for i in self.content[a] if self.size[i] == s)
+                self.content[a].remove(i)
+                self.content[b].append(i)
+                self.fill[a] -= s
+                self.fill[b] += s
+        for b in (donor, taker):
+            self.sums.pop((b, 1), None)
+            self.sums.pop((b, 2), None)
+        self.changes += 1
+
+
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """The containers after the changes of Search; empty ones are left out."""
+    search = Search(sizes, bins, capacity)
+    search.run(least_containers(sizes, capacity))
+    return [c for c in search.content if c]
 
 
 def pack(df: DataFrame, key: str, text: str, limits: DataFrame, limit_key: str, capacity: str, path: str = TOKENIZER, shard: int = SHARD) -> DataFrame:

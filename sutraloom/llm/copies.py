@@ -6,9 +6,12 @@ their canonical form: a bucket that holds more than `limit` of them is split by
 its records are equal). Each bucket is counted in a trie whose terminal nodes hold the number of copies and the
 smallest id.
 
-Scale: a record with a third of all rows is one entry per task after combining. The driver sees only the prefixes of
-oversized buckets, at most rows / limit of them. Copies find their first id by a digest of 128 bits; records with more
-than `hot` copies are spread over salts for that.
+Scale: a record with a third of all rows is one entry per task after combining. One count gives the sizes of the
+buckets at LEVELS depths at once, so that a job for further depths runs only for keys that share so many bytes. The
+driver sees only the prefixes of oversized buckets, at most rows / limit of them at each depth. The buckets of a
+partition come sorted, one after the other, and each trie is given out and dropped when its bucket ends: a task holds
+one trie, of at most `limit` records and their copies from each task. Copies find their first id by a digest of 128
+bits; records with more than `hot` copies are spread over salts for that.
 
 Defined results: null text counts as none; a record without any letter or digit is no record and has no copies.
 Invalid JSON counts by its letters and digits. Rows that repeat an id count as copies but give one link.
@@ -32,8 +35,10 @@ from sutraloom.runtime import collect_bounded, cut_lineage
 LIMIT = 50_000
 #: Copies beyond which a record is spread over salts.
 HOT = 100_000
-#: Bytes by which a level splits.
-STEP = 2
+#: Bytes by which a level splits, and levels that one pass counts.
+STEP, LEVELS = 2, 6
+#: Counted records that a task hands on together.
+HANDED = 10_000
 _FIELD, _PAIR = "\x1f", "\x1e"
 _NAME_ENDS = re.compile(r"[()/;,]")
 
@@ -75,8 +80,8 @@ def with_key(df: DataFrame, row_id: str, columns: list[str], canonical: Callable
             for i, *parts in zip(*(b.column(j).to_pylist() for j in range(width + 1))):
                 if i is not None and (k := canonical(*parts)) is not None:
                     ids.append(i)
-                    keys.append(tab.encode() + b"\x00" + k)
-            digests = [xxhash.xxh3_128_digest(k) for k in keys]
+                    keys.append(k)
+            digests = [xxhash.xxh3_128_digest(tab.encode() + b"\x00" + k) for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([tab] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests, pa.binary())],
                 names=["tab", "id", "key", "digest"],
@@ -89,12 +94,12 @@ def combine(rows: DataFrame) -> DataFrame:
     """(tab, key, digest, n, first_id), equal records of a task combined (and not yet across tasks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list] = {}
+        seen: dict[tuple[str, bytes], list] = {}
 
         def give() -> pa.RecordBatch:
             v = list(seen.values())
             made = pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in v], pa.string()), pa.array(list(seen), pa.binary()), pa.array([x[1] for x in v], pa.binary()), pa.array([x[2] for x in v], pa.int64()), pa.array([x[3] for x in v], pa.int64())],
+                [pa.array([t for t, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.binary()), pa.array([x[0] for x in v], pa.binary()), pa.array([x[1] for x in v], pa.int64()), pa.array([x[2] for x in v], pa.int64())],
                 names=["tab", "key", "digest", "n", "first_id"],
             )
             seen.clear()
@@ -102,12 +107,12 @@ def combine(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for tab, i, key, digest in zip(*(b.column(j).to_pylist() for j in range(4))):
-                at = seen.get(key)
+                at = seen.get((tab, key))
                 if at is None:
-                    seen[key] = [tab, digest, 1, i]
+                    seen[tab, key] = [digest, 1, i]
                 else:
-                    at[2] += 1
-                    at[3] = min(at[3], i)
+                    at[1] += 1
+                    at[2] = min(at[2], i)
             if len(seen) > 4 * LIMIT:
                 yield give()
         yield give()
@@ -116,18 +121,22 @@ def combine(rows: DataFrame) -> DataFrame:
 
 
 def oversized(combined: DataFrame, limit: int = LIMIT, step: int = STEP) -> set[bytes]:
-    """Prefixes of the buckets that hold too many records, found level by level."""
-    depth, split = step, set()
-    level = combined.select("key")
+    """Prefixes of the buckets that hold too many records. One pass counts LEVELS depths; another follows only for the
+    keys below those that are still oversized at the deepest."""
+    depth, split, level = step, set(), combined.select("key")
     while True:
-        counts = level.groupBy(F.substring("key", 1, depth).alias("prefix")).agg(F.count("*").alias("n"), F.max(F.length("key")).alias("longest"))
-        rows = collect_bounded(counts.where((F.col("n") > limit) & (F.col("longest") > depth)), 1_000_000, "oversized buckets")
-        if not rows:
+        depths = [depth + step * i for i in range(LEVELS)]
+        # a key counts at the depths that it reaches
+        at = level.select("key", F.explode(F.array(*map(F.lit, depths))).alias("deep")).where(F.length("key") >= F.col("deep"))
+        counts = at.groupBy(F.expr("substring(key, 1, deep)").alias("prefix")).agg(F.count("*").alias("n"), F.max(F.length("key")).alias("longest"))
+        rows = collect_bounded(counts.where((F.col("n") > limit) & (F.col("longest") > F.length("prefix"))), 1_000_000, "oversized buckets")
+        split |= {bytes(r["prefix"]) for r in rows}
+        deepest = [bytes(r["prefix"]) for r in rows if len(r["prefix"]) == depths[-1]]
+        if not deepest:
             return split
-        found = {bytes(r["prefix"]) for r in rows}
-        split |= found
-        level = level.where(F.substring("key", 1, depth).isin([bytearray(x) for x in found])) if len(found) <= 2_000 else level
-        depth += step
+        held = F.broadcast(combined.sparkSession.createDataFrame([(bytearray(x),) for x in deepest], "_head binary"))
+        level = level.join(held, F.substring("key", 1, depths[-1]) == F.col("_head"), "left_semi")
+        depth = depths[-1] + step
 
 
 class Counter:
@@ -153,32 +162,41 @@ class Counter:
 def count_records(rows: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
     """(tab, digest, key, n_copies, first_id): one row per distinct record of `with_key` rows."""
     combined = cut_lineage(combine(rows))
-    split = rows.sparkSession.sparkContext.broadcast(oversized(combined, limit, step))
+    split = rows.sparkSession.sparkContext.broadcast(frozenset(oversized(combined, limit, step)))
 
-    @F.udf("binary", useArrow=True)
-    def bucket(key: bytes) -> bytes:
-        depth = step
-        while key[:depth] in split.value and depth < len(key):
-            depth += step
-        return key[:depth]
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep = split.value
+        for b in batches:
+            at = []
+            for tab, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                depth = step
+                while key[:depth] in deep and depth < len(key):
+                    depth += step
+                at.append(tab.encode() + b"\x00" + key[:depth])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.binary())], names=[*b.schema.names, "bucket"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[bytes, Counter] = {}
+        trie, now, head, done = Counter(), None, 0, []
         for b in batches:
             for tab, key, digest, n, first, at in zip(*(b.column(j).to_pylist() for j in range(6))):
-                trie = tries.get(at)
-                if trie is None:
-                    trie = tries[at] = Counter()
-                trie.add(key[len(at) :], (tab, digest, key), n, first)
-        for trie in tries.values():
-            e = trie.ends
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0][0] for x in e], pa.string()), pa.array([x[0][1] for x in e], pa.binary()), pa.array([x[0][2] for x in e], pa.binary()), pa.array([x[1] for x in e], pa.int64()), pa.array([x[2] for x in e], pa.int64())],
-                names=["tab", "digest", "key", "n_copies", "first_id"],
-            )
-
-    spread = combined.withColumn("bucket", bucket("key")).repartition(F.col("bucket"))
-    return spread.mapInArrow(count, "tab string, digest binary, key binary, n_copies bigint, first_id bigint")
+                if at != now:
+                    done += trie.ends
+                    if len(done) >= HANDED:
+                        yield _counted(done)
+                        done = []
+                    trie, now, head = Counter(), at, len(at) - len(tab.encode()) - 1
+                trie.add(key[head:], (tab, digest, key), n, first)
+        yield _counted(done + trie.ends)
+
+    placed = combined.mapInArrow(place, "tab string, key binary, digest binary, n bigint, first_id bigint, bucket binary")
+    in_order = placed.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    return in_order.mapInArrow(count, "tab string, digest binary, key binary, n_copies bigint, first_id bigint")
+
+
+def _counted(e: list[list]) -> pa.RecordBatch:
+    columns = [pa.array([x[0][i] for x in e], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))]
+    columns += [pa.array([x[i] for x in e], pa.int64()) for i in (1, 2)]
+    return pa.RecordBatch.from_arrays(columns, names=["tab", "digest", "key", "n_copies", "first_id"])
 
 
 def find_copies(rows: DataFrame, limit: int = LIMIT, hot: int = HOT) -> DataFrame:

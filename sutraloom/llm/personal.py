@@ -4,13 +4,15 @@ Method: generators of high recall propose overlapping spans of each kind; booste
 span by features of its format and context; thresholds calibrated on held-out cases select, and of overlapping
 selected spans the most probable stays.
 
-Training: there are no labelled texts, so the trees learn from invented letters (training_texts) with invented people
-and with look-alike matter that is not personal, seeded, of a fixed size. Two lists are features: the known names, and
-the corpus's ordinary words (all words mostly written in lower case, counted over all texts). Up to KNOWN_WORDS of
-these are broadcast; beyond, only those with COMMON_SHARE of all words, and each text gets its others by a join.
+Training: there are no labelled texts, so the trees learn from made-up ones (training_texts), seeded, of a fixed size.
+These repeat no sentences: their words are syllables in a row, their layout is that of forms, letters and lists, a cue
+before a piece is drawn from the lists below, and what is not personal is made by kind (numbers that count or name
+goods, places, works, headings). Two lists are features: the known names, and the corpus's ordinary words (words that
+are often written in lower case, counted over all texts). Up to KNOWN_WORDS of these are broadcast; beyond, only those
+with COMMON_SHARE of all words, and each text gets its others by a join.
 
 Defined results: null text gives null and no finding; a piece that occurs twice in a text is one finding and is
-replaced at both places.
+replaced at both places. A name has at most NAME_PARTS parts.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ from sutraloom.runtime import collect_bounded, cut_lineage, map_columns
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Ordinary words that may be broadcast; beyond, those with a share of all words (at most 1 / share of them) are.
 KNOWN_WORDS, COMMON_SHARE = 200_000, 5e-6
-#: Share of all words from which on a word is ordinary whatever its case.
-STARTER = 2e-4
+#: A word is ordinary whatever its case from this share of all words on, and from this share of its own places in
+#: lower case on; both surely so (SURE standard errors, one case in a hundred), which is the same test for a small corpus and a large one.
+STARTER, LOWER, SURE = 2e-4, 0.3, 2.33
+#: Parts that a name may have.
+NAME_PARTS = 8
 
 # --- generators ----------------------------------------------------------------------------------------------------------
 
@@ -73,16 +78,32 @@ _ADDRESS = (
 
 # Words before a name that are not part of it.
 TITLES = frozenset("mr mrs ms miss dr prof professor nurse vaidya shri sri smt sir herr frau señor señora sr sra don doña mme mlle monsieur madame m".split())
-# Words that often come right before a person, and those that come before the other kinds.
+# Words that often come right before a person (roles, kin, openings and ends of letters, labels of forms),
+# and those that come before the other kinds.
 CUES = {
-    "name": frozenset("patient patientin paciente patiente signed signé firmado gezeichnet unterzeichnet contact contacto ansprechpartner kontakt thank thanks envelope lists dossier by for brother sister son daughter wife husband name named called dear regards attn and sincerely owner author asked".split()),
-    "phone": frozenset("tel phone call ring text dialled dial mobile fax llame appelez rufen sie telefon téléphone teléfono sms reached at then number le al".split()),
-    "id_number": frozenset("ssn aadhaar security tax id passport nino ni number reg no registration hospital patient prn licence insurance pass under unter con porte bears social".split()),
+    "name": frozenset(
+        "patient patients patientin paciente patiente client cliente klient klientin kunde kundin applicant antragsteller member mitglied miembro membre student schüler alumno élève tenant mieter inquilino locataire employee mitarbeiter empleado employé "
+        "guest gast huésped invité brother sister mother father son daughter wife husband uncle aunt cousin friend neighbour "
+        "dear lieber liebe estimado estimada cher chère attn regards sincerely faithfully truly grüßen saludos atentamente salutations signed signé firmado gezeichnet unterzeichnet "
+        "name nombre nom named called contact contacto kontakt ansprechpartner ansprechpartnerin thank thanks danke gracias merci by for and".split()
+    ),
+    "phone": frozenset("tel telephone phone mobile cell fax telefon handy mobil téléphone portable teléfono móvil sms call ring text dial dialled rufen anrufen appelez appeler llame llamar number nummer número numéro at under".split()),
+    "id_number": frozenset("id identity identification ssn social security seguridad sécurité tax tin steuer fiscal passport pass reisepass passeport pasaporte nino ni national insurance aadhaar pan licence license card karte tarjeta carte registration reg member patient hospital record number no nr nummer número numéro".split()),
 }
-# Words around numbers and names that are nobody's.
-NEVER = frozenset("isbn batch lot verse verses vol volume pp page pages leaf ratio dose doses years year seeds drops degrees heat copy copies plate folio chapter section room ward floor issn edition fig compare".split())
-# Words that make a capitalised pair a place, plant or book.
-PLACES = frozenset("street road lane court hill gate row view alley steps market cross tank ward garden river temple school college hospital library press samgraha samhita sutra handbook flower flowers seeds leaf root oil tea book house town city village district journal".split())
+# Words around numbers that are nobody's: of publications, of goods, of measures, of times, of buildings.
+NEVER = frozenset(
+    "isbn issn doi edition volume vol issue page pages pp leaf folio verse verses chapter section paragraph figure fig plate table line "
+    "batch lot serial order invoice article item model part version sku ratio dose doses scale degrees percent grams kilograms litres metres miles copies pieces "
+    "year years century born died room floor building gate platform flight".split()
+)
+# Nouns that end the names of places and houses, of bodies, of works, and of plants and what is made of them.
+PLACES = frozenset(
+    "street road lane avenue square court row alley steps hill mount mountain valley gate bridge cross river lake sea bay island forest garden park view village town city district county province state temple church school college university hospital clinic ward library museum hotel station market "
+    "society institute company press journal review association office house "
+    "book tale story history guide handbook manual dictionary samhita samgraha sutra tantra nighantu shastra veda purana kosha gita "
+    "tree flower leaf root seed bark fruit oil powder tea".split()
+)
+PLACES |= frozenset(w + "s" for w in PLACES)
 
 # Words after which a capitalised pair is rather a subject than a person.
 SUBJECTS = frozenset("of on upon in into from about über von sobre sur".split())
@@ -144,7 +165,7 @@ def _number_spans(text: str) -> Iterator[Span]:
 
 
 def _name_spans(text: str, lists: Lists) -> Iterator[Span]:
-    """Runs of one to four tokens that may be a person: capitalised, known, or after a title or cue. Runs of nothing
+    """Runs of up to NAME_PARTS tokens that may be a person: capitalised, known, or after a title or cue. Runs of nothing
     but ordinary words are none."""
     tokens = list(_TOKEN.finditer(text))
     words = [t.group(0) for t in tokens]
@@ -163,7 +184,7 @@ def _name_spans(text: str, lists: Lists) -> Iterator[Span]:
         if not shown[i] and not lists.known(low[i]) and not ((cued or titled) and i + 1 < len(tokens) and low[i] not in lists.common and low[i + 1] not in lists.common):
             continue
         commas, known = 0, 0
-        for j in range(i, min(i + 4, len(tokens))):
+        for j in range(i, min(i + NAME_PARTS, len(tokens))):
             if j > i:
                 gap = text[tokens[j - 1].end() : tokens[j].start()]
                 if len(low[j - 1]) == 1:  # a letter on its own is an initial, with its point
@@ -221,7 +242,8 @@ def features(text: str, span: Span, lists: Lists, others: list[Span]) -> list[fl
     prev = [w.lower() for w in _PREV.findall(before.rsplit("\n", 1)[-1])][-4:]
     nxt = [w.lower() for w in _PREV.findall(after)][:2]
     tokens = [t.lower() for t in _TOKEN.findall(piece)]
-    digits = sum(c.isdigit() for c in piece)
+    groups = [len(g) for g in re.findall(r"\d+", piece)] or [0]
+    digits = sum(groups)
     cue = CUES.get(kind, frozenset())
     next_token = _TOKEN.match(after.lstrip(" ,")) if after[:1] in (" ", ",") else None
     prev_token = re.search(rf"({_L}+(?:-{_L}+)*)([ ,.]+)$", before)
@@ -233,7 +255,10 @@ def features(text: str, span: Span, lists: Lists, others: list[Span]) -> list[fl
         end - start,
         digits,
         len(tokens),
-        len(re.findall(r"\d+", piece)),
+        len(groups),
+        min(groups),
+        max(groups),
+        groups[0],
         piece.count("-"),
         piece.count(" "),
         piece.count("."),
@@ -247,6 +272,7 @@ def features(text: str, span: Span, lists: Lists, others: list[Span]) -> list[fl
         any(t in PLACES for t in tokens),
         sum(len(t) > 1 and t not in lists.common and not lists.known(t) for t in tokens),
         any(t in NEVER for t in tokens),
+        any(t in cue for t in tokens),
         bool(prev) and prev[-1] in TITLES,
         bool(prev) and prev[-1] in SUBJECTS,
         sum(t in lists.given or pair in lists.pairs for t, pair in zip(tokens, [("", ""), *zip(tokens, tokens[1:])])),
@@ -272,105 +298,210 @@ def features(text: str, span: Span, lists: Lists, others: list[Span]) -> list[fl
 # --- training ----------------------------------------------------------------------------------------------------------------
 
 
-def _invented(r: random.Random) -> str:
-    parts = ["ka", "mi", "ro", "del", "san", "vor", "tha", "li", "ber", "nu", "gar", "esh", "wil", "pon", "dra", "yu", "zel", "qua", "hem", "ost", "fri", "lind", "mar", "sko"]
-    return "".join(r.choice(parts) for _ in range(r.choice((2, 3, 3)))).capitalize()
-
-
-def training_texts(count: int = 2200, seed: int = 11) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], Lists]:
-    """Invented texts with the true spans of their personal data, and the lists that belong to them."""
-    r = random.Random(seed)
-    given = [_invented(r) + (f" {_invented(r)[: r.choice((2, 3))]}" if r.random() < 0.1 else "") for _ in range(40)]
-    family = [_invented(r) + r.choice(("", "", "-" + _invented(r))) for _ in range(40)]
-    rare = [_invented(r) for _ in range(400)]
-    ordinary = [_invented(r).lower() for _ in range(300)] + "the a an of and with in on under before after when his her their was is are to dry root oil milk warm strong old new river tea write send jar note page street road".split()
-    towns = [_invented(r) + r.choice(("nagar", "vale", "peth", "dorf", "")) for _ in range(30)]
-
-    def person() -> str:
-        g = r.choice(given if r.random() < 0.6 else rare)
-        f = r.choice(family if r.random() < 0.6 else rare) + (f"-{_invented(r)}" if r.random() < 0.05 else "")
-        form = r.random()
-        text = f"{g} {f}" if form < 0.6 else f"{f}, {g}" if form < 0.75 else f"{g[0]}. {f}" if form < 0.9 else f"{g} {r.choice(given)} {f}"
-        case = r.random()
-        return text.upper() if case < 0.08 else text.lower() if case < 0.18 and (form < 0.6 or form >= 0.9) else text
-
-    def digits(n: int) -> str:
-        return "".join(r.choice("0123456789") for _ in range(n))
-
-    def email() -> str:
-        user = r.choice((f"{r.choice(given)}.{r.choice(family)}", f"{r.choice(given)[0]}_{r.choice(family)}", f"{r.choice(family)}{digits(2)}", f"{r.choice(given)}+{r.choice(ordinary)}", f"office.{r.choice(family)}")).lower()
-        host = r.choice((f"{r.choice(ordinary)}.{r.choice(('org', 'com', 'example', 'test', 'net'))}", f"{r.choice(ordinary)}-{r.choice(ordinary)}.example", f"lists.{r.choice(ordinary)}.org", f"{r.choice(ordinary)}{digits(1)}.{r.choice(('test', 'org'))}"))
-        user = user.replace(" ", "")
-        made = r.choice((f"{user}@{host}",) * 4 + (f"{user} @ {host}", f"{user}[at]{host}", f"{user} (at) {host.replace('.', ' (dot) ')}", f"{user} at {host.replace('.', ' dot ')}"))
-        return made.upper() if r.random() < 0.06 else made
-
-    def phone() -> str:
-        a, b, c = digits(3), digits(3), digits(4)
-        return r.choice((f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a}{b}{c}", f"+1-{a}-{b}-{c}", f"+49-{digits(2)}-{digits(5)}-{a}", f"0{digits(2)} {digits(5)} {a}", f"0{digits(2)} {digits(4)} {c}", f"+44 (0){digits(2)} {digits(4)} {c}", f"0{digits(4)} {digits(6)}", f"+44 {digits(4)} {a} {b}", f"0{digits(3)} {a} {b}", f"+33 {digits(1)}" + "".join(f" {digits(2)}" for _ in range(4)), "0" + digits(1) + "".join(f" {digits(2)}" for _ in range(4))))
-
-    def number() -> tuple[str, str]:
-        u = lambda n: "".join(r.choice("ABCDEHJKLMNPQRSZ") for _ in range(n))
-        return r.choice((
-            (r.choice(("aadhaar", "Aadhaar no.", "AADHAAR")), r.choice((digits(12), f"{digits(4)} {digits(4)} {digits(4)}"))),
-            (r.choice(("SSN", "social security number", "social security no.")), r.choice((f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)} {digits(2)} {digits(4)}"))),
-            (r.choice(("tax id", "tax ID no.", "TIN")), f"{digits(2)}-{digits(7)}"),
-            (r.choice(("passport", "passport no:", "passport number")), r.choice((u(2) + digits(7), f"{u(1)}{digits(2)} {digits(5)}", u(1) + digits(8)))),
-            (r.choice(("NINO", "NI number", "national insurance no.")), r.choice((u(2) + digits(6) + u(1), f"{u(2)} {digits(2)} {digits(2)} {digits(2)} {u(1)}"))),
-            (r.choice(("hospital number", "hospital no.")), f"{u(1)}/{digits(2)}/{digits(6)}"),
-            (r.choice(("patient reg. no.", "patient number", "registration")), f"{u(3)}-{digits(7)}"),
+class Maker:
+    """Made-up words, people and personal data of a seeded generator. Words are syllables in a row."""
+
+    ONSETS = "b c d f g h j k l m n p r s t v w z br ch dr gl kr pl sh st th tr".split()
+    NUCLEI = "a e i o u aa ai ee ou ä ö ü é ā ī".split()
+    CODAS = ["", "", "", "l", "m", "n", "r", "s", "t", "nd", "rk", "sh"]
+    STREETS = "Street Road Lane Avenue Row Hill Court View Square Close Terrace Rd St Alley Steps Cross Marg Nagar".split()
+    GERMAN = "straße weg gasse platz allee ring hof rain zeile".split()
+    MAIL = "org com net info example test".split()
+
+    def __init__(self, seed: int) -> None:
+        r = self.r = random.Random(seed)
+        self.given = [self.name() + (f" {self.name()[: r.choice((2, 3))]}" if r.random() < 0.1 else "") for _ in range(40)]
+        self.family = [self.name() + r.choice(("", "", "", "-" + self.name())) for _ in range(40)]
+        self.rare = [self.name() for _ in range(500)]
+        self.ordinary = [self.word() for _ in range(400)]
+        # nouns that are always capitalised, as in German, and so in no list
+        self.nouns = [self.name() for _ in range(150)]
+        # ordinary words that are names, too, stand in lower case in running text
+        self.plain = self.ordinary + [g.lower() for g in self.given[:6] if " " not in g]
+
+    def word(self) -> str:
+        pick = self.r.choice
+        return "".join(pick(self.ONSETS) + pick(self.NUCLEI) + pick(self.CODAS) for _ in range(pick((1, 2, 2, 3))))
+
+    def name(self) -> str:
+        return (self.word() + self.word()).capitalize()
+
+    def words(self, least: int, most: int) -> str:
+        noun = 0.25 if self.r.random() < 0.2 else 0.0
+        return " ".join(self.r.choice(self.nouns if self.r.random() < noun else self.plain) for _ in range(self.r.randint(least, most)))
+
+    def digits(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(n))
+
+    def capitals(self, n: int) -> str:
+        return "".join(self.r.choice("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(n))
+
+    def cased(self, text: str, upper: float, lower: float) -> str:
+        x = self.r.random()
+        return text.upper() if x < upper and "ß" not in text else text.lower() if x > 1 - lower else text
+
+    def surname(self) -> str:
+        r = self.r
+        return r.choice(self.family if r.random() < 0.6 else self.rare) + (f"-{self.name()}" if r.random() < 0.04 else "")
+
+    def person(self) -> str:
+        r = self.r
+        first, last, form = r.choice(self.given if r.random() < 0.6 else self.rare), self.surname(), r.random()
+        if form < 0.15:
+            return self.cased(f"{last}, {first}", 0.1, 0)
+        if form < 0.3:
+            return self.cased("".join(f"{r.choice(self.rare)[0]}. " for _ in range(r.choice((1, 1, 2)))) + last, 0.05, 0)
+        middle = "".join(f" {r.choice(self.given + self.rare)}" for _ in range(r.choice((0, 0, 0, 0, 1, 2))))
+        return self.cased(f"{first}{middle} {last}", 0.1, 0.1)
+
+    def email(self) -> str:
+        r = self.r
+        part = lambda: r.choice((r.choice(self.given), self.surname(), r.choice(self.ordinary), r.choice(self.rare)[0])).replace(" ", "")
+        ascii_only = lambda t: re.sub(r"[^a-z0-9._+-]", "x", t.lower())
+        user = ascii_only(r.choice(("", "", ".", "_", "-", "+")).join((part(), part())) + r.choice(("", "", self.digits(2))))
+        host = ascii_only(r.choice(("", "", f"{part()}.", f"{part()}-")) + self.word() + r.choice(("", "", self.digits(1)))) + "." + r.choice(self.MAIL)
+        signs = r.choice((("@", "."),) * 6 + ((" @ ", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "."), (" [at] ", " [dot] "), ("(at)", ".")))
+        return self.cased(user + signs[0] + host.replace(".", signs[1]), 0.06, 0)
+
+    def phone(self) -> str:
+        """Groups of two to six digits, seven to thirteen in all, after a country's or a trunk number or none."""
+        r = self.r
+        gap = r.choice((" ", " ", "-", ".", ""))
+        while True:
+            groups = [self.digits(r.randint(2, 6)) for _ in range(r.randint(2, 5))]
+            if 7 <= sum(map(len, groups)) <= 11:
+                break
+        lead = r.choice(("", "", "0", f"+{r.randint(1, 99)}", f"+{r.randint(1, 99)}", "(", "+(0)"))
+        if lead == "(":
+            return f"({groups[0]}){r.choice((' ', ''))}" + gap.join(groups[1:])
+        if lead == "+(0)":
+            return f"+{r.randint(1, 99)} (0){groups[0]} " + gap.join(groups[1:])
+        return lead + (gap if lead.startswith("+") else "") + gap.join(groups)
+
+    def number(self) -> tuple[str, str]:
+        """A label and a number as states and houses give them out."""
+        r, d, u = self.r, self.digits, self.capitals
+        sep = r.choice(("-", " "))
+        label, made = r.choice((
+            (("aadhaar", "Aadhaar", "national id", "identity"), (d(12), f"{d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}")),
+            (("SSN", "social security", "ssn", "Social Security"), (f"{d(3)}{sep}{d(2)}{sep}{d(4)}", d(9))),
+            (("tax id", "tax", "TIN", "Tax identification"), (f"{d(2)}-{d(7)}", d(11), u(2) + d(9))),
+            (("passport", "Passport", "Pasaporte", "Reisepass", "passeport"), (u(1) + d(8), u(2) + d(7), u(1) + d(7), f"{u(1)}{d(2)} {d(5)}")),
+            (("national insurance", "NI", "NINO", "insurance"), (u(2) + d(6) + u(1), f"{u(2)} {d(2)} {d(2)} {d(2)} {u(1)}")),
+            (("patient", "hospital", "record", "patient record"), (f"{u(r.randint(1, 3))}/{d(r.randint(2, 4))}/{d(r.randint(3, 6))}", f"{u(r.randint(2, 4))}-{d(r.randint(5, 8))}")),
         ))
-
-    def address() -> str:
-        street = r.choice((f"{r.choice(rare)} {r.choice(('Street', 'Road', 'Lane', 'Court', 'Rd', 'Row', 'Hill', 'View'))}", f"{r.choice(rare)} {r.choice(rare)} {r.choice(('Street', 'Road', 'Steps'))}", f"{r.choice(('Old', 'North', 'Seventh'))} {r.choice(('Cross', 'Market', 'Bridge Road'))}", f"{_invented(r)}s' Alley"))
-        house, pin = r.choice((digits(2).lstrip("0") or "7", f"{r.randint(1, 200)}{r.choice('ABC')}", f"{r.randint(1, 200)}/{r.randint(1, 9)}")), digits(6)
-        town = r.choice(towns)
-        made = r.choice((
-            f"Flat {r.randint(1, 30)}, {house} {street}, {town} {pin}", f"House No. {r.randint(1, 300)}, {street}, {town}, {pin}", f"P.O. Box {r.randint(1, 300)}, {town} {pin}",
-            f"{house} {street}, {town} {pin}", f"{house} {street}, {town} - {pin[:3]} {pin[3:]}", f"{house}, {street}, {town}, {pin}",
-            f"{_invented(r)}{r.choice(('weg', 'gasse', 'straße', 'zeile'))} {r.randint(1, 250)}, {digits(5)} {r.choice(towns)}{r.choice(('', '-Süd'))}", f"{r.choice(('Am', 'Alte', 'An der'))} {_invented(r)}{r.choice(('rain', 'zeile', 'hof'))} {r.randint(1, 250)}, {digits(5)} {r.choice(towns)}",
+        return r.choice(label) + r.choice(("", "", " no.", " number", " nr", ":", " no:")), r.choice(made)
+
+    def address(self) -> str:
+        r = self.r
+        town = r.choice(self.rare) + r.choice(("", "", "", "-" + self.name(), "pur", "ville"))
+        pin = r.choice((self.digits(6), self.digits(5), f"{self.digits(3)} {self.digits(3)}", f"{self.capitals(2)}{self.digits(1)} {self.digits(1)}{self.capitals(2)}"))
+        end = town + r.choice((" ", " ", ", ", " - ")) + pin
+        if r.random() < 0.2:
+            first = r.choice((f"{self.name()}{r.choice(self.GERMAN)}", f"{r.choice(('Am', 'Alte', 'An der', 'Neue', 'Im'))} {self.name()}{r.choice(self.GERMAN)}"))
+            return f"{first} {r.randint(1, 250)}{r.choice(('', '', 'a', 'b'))}, {self.digits(5)} {r.choice(self.rare)}{r.choice(('', '', '-' + self.name()))}"
+        if r.random() < 0.12:
+            return self.cased(f"{r.choice(('P.O. Box', 'PO Box', 'Postfach', 'Apartado'))} {r.randint(1, 900)}, {end}", 0.08, 0)
+        house = r.choice((str(r.randint(1, 300)),) * 2 + (f"{r.randint(1, 300)}{r.choice('ABCab')}", f"{r.randint(1, 200)}/{r.randint(1, 20)}"))
+        street = " ".join(r.choice(self.rare + [w.capitalize() for w in self.ordinary]) + r.choice(("", "", "", "s'")) for _ in range(r.choice((1, 1, 2)))) + " " + r.choice(self.STREETS)
+        lead = r.choice(("", "", "", f"Flat {r.randint(1, 40)}, ", f"Apt {r.randint(1, 40)}, ", f"Unit {r.randint(1, 40)}, "))
+        if not lead and r.random() < 0.25:
+            return self.cased(f"{r.choice(('House No.', 'House number', 'Door No.', 'Plot No.'))} {house}, {street}, {end}", 0.08, 0)
+        return self.cased(f"{lead}{house}{r.choice((' ', ' ', ', '))}{street}, {end}", 0.08, 0)
+
+
+#: A part of a text: plain, or (kind, piece).
+Part = str | tuple[str, str]
+
+
+def _placed(m: Maker, kind: str, piece: str, label: str = "") -> list[Part]:
+    """A piece in a form, in a sentence with or without a cue, at its start or end, in brackets or on a line."""
+    r, value = m.r, (kind, piece)
+    cue = label or r.choice(sorted(CUES.get(kind, ("mail", "e-mail", "write", "to")) if kind != "address" else ("address", "lives", "at", "to", "wohnt", "vive", "habite")))
+    labels = [
+        [f"{cue.capitalize() if r.random() < 0.7 else cue}{r.choice((': ', ' ', ' - ', ': '))}", value, r.choice((".", "", ";", ","))],
+        [f"{m.words(1, 4).capitalize()} {cue} ", value, f" {m.words(1, 5)}."],
+        [f"{m.words(2, 5).capitalize()} {cue} ", value, "."],
+        [f"{cue.capitalize()} ", value, f", {m.words(1, 3)}."],
+        [f"{m.words(1, 4)} {cue} ".capitalize(), value, f" {m.words(1, 2)}, {m.words(1, 1)} ", (kind, getattr(m, "person" if kind == "name" else kind)() if kind != "id_number" else m.number()[1]), "."],
+    ]
+    if label:
+        return r.choice(labels)
+    return r.choice([*labels, [f"{m.words(1, 5).capitalize()} ", value, f" {m.words(1, 5)}."], [f"{m.words(2, 5).capitalize()} (", value, ")."], [f"{m.words(1, 3).capitalize()}: ", value], [value, f" {m.words(2, 6)}."], [value], [f"{m.words(1, 4).capitalize()}, ", value, f", {m.words(1, 4)}."]])
+
+
+def _personal_part(m: Maker) -> list[Part]:
+    r = m.r
+    kind = r.choice(("name",) * 6 + ("email", "email", "phone", "phone", "id_number", "id_number", "address", "address"))
+    if kind == "id_number":
+        label, piece = m.number()
+        return _placed(m, kind, piece, label)
+    if kind == "email":
+        return [f"{m.words(1, 2).capitalize()}: mailto:", (kind, m.email())] if r.random() < 0.08 else _placed(m, kind, m.email())
+    if kind != "name":
+        return _placed(m, kind, getattr(m, kind)())
+    form, person = r.random(), ("name", m.person())
+    if form < 0.4:
+        return _placed(m, kind, person[1])
+    if form < 0.6:  # after a title, whole or the family name alone
+        title = r.choice(sorted(t for t in TITLES if len(t) > 1)).capitalize() + r.choice(("", "", "."))
+        return [r.choice((f"{m.words(1, 4).capitalize()} ", "", "Dear ")) + f"{title} ", r.choice((person, ("name", m.surname()))), r.choice((f" {m.words(1, 5)}.", ",", f", {m.words(2, 4)}."))]
+    if form < 0.66:  # two
+        return [r.choice((f"{m.words(1, 3).capitalize()} ", "")), person, r.choice((" and ", " und ", " et ", " y ", " & ")), ("name", m.person()), f" {m.words(1, 5)}."]
+    if form < 0.88:  # with an address, a telephone or a number beside
+        label, piece = m.number()
+        other = r.choice(([("address", m.address())], [("address", m.address())], [("phone", m.phone())], [("email", m.email())], [f"{label} ", ("id_number", piece)]))
+        return [r.choice((f"{m.words(1, 3).capitalize()} ", "", f"{m.words(1, 2).capitalize()}: ")), person, r.choice((", ", "\n", " - ", f" {m.words(1, 3)} ")), *other, r.choice((".", "", f" {m.words(1, 3)}."))]
+    # the end of a letter, with running text right behind
+    return [r.choice(("Signed", "Signed:", "Regards", "Sincerely", "Firmado:", "Gezeichnet:")) + r.choice((" ", "\n", ", ")), person, r.choice((f" {m.words(3, 6).capitalize()}.", f"\n{m.words(2, 4).capitalize()}.", f" {r.choice(m.rare)} {m.words(2, 4)}.", "."))]
+
+
+def _other_part(m: Maker) -> list[Part]:
+    """What is not personal, by kind: numbers, signs of addresses, and capitalised words."""
+    r, d = m.r, m.digits
+    kind, never = r.random(), r.choice(sorted(NEVER))
+    if kind < 0.4:
+        shape = r.choice((
+            f"{d(r.randint(2, 7))}{r.choice('-./: ')}{d(r.randint(1, 5))}", f"{d(3)}-{d(1)}-{d(r.randint(3, 5))}-{d(r.randint(3, 5))}-{d(1)}", f"{r.randint(1, 99)} 000 {r.choice(('000', d(2)))}", f"{d(2)}.{d(2)}.{d(r.randint(2, 4))}",
+            f"{d(r.randint(1, 2))}.{d(r.randint(4, 6))}.{d(1)}", f"{d(4)}-{d(4)}", f"{d(2)}-{d(2)}-{d(2)}", d(r.randint(5, 12)), f"{d(2)}:{d(2)}-{d(2)}:{d(2)}", f"{m.capitals(r.randint(1, 3))}{r.choice(('', '-', '/'))}{d(r.randint(4, 8))}", f"{d(r.randint(2, 5))}:{d(r.randint(1, 3))}", f"{d(1)},{d(3)},{d(3)}",
         ))
-        return made.upper() if r.random() < 0.08 and "ß" not in made else made
-
-    titles = ["Mr", "Mrs.", "Ms", "Dr", "Dr.", "Prof.", "Nurse", "Shri", "Smt.", "Vaidya", "Herr", "Frau", "Sra."]
-
-    def filler(n: int) -> str:
-        words = [r.choice(ordinary) for _ in range(n)]
-        if r.random() < 0.15:  # a word that only begins sentences is in no list
-            words[0] = r.choice(rare).lower()
-        return " ".join([words[0].capitalize(), *words[1:]])
-
-    def piece() -> list:
-        idw, idn = number()
-        t, p = r.choice(titles), ("name", person())
-        fam = ("name", r.choice(family if r.random() < 0.7 else rare))
-        return r.choice((
-            ["Patient ", p, f", {idw} ", ("id_number", idn), f", {r.choice(ordinary)} {r.choice(ordinary)}."], ["Recorded under ", f"{idw} ", ("id_number", idn), f" at the {r.choice(ordinary)}."], [f"{idw} ", ("id_number", idn)],
-            ["Write to ", ("email", email()), " or ring ", ("phone", phone()), "."], ["Questions? ", ("email", email())], ["Visit: mailto:", ("email", email())], [("email", email())],
-            ["Tel. ", ("phone", phone()), "; mail ", ("email", email()), "; ask for ", p, "."], ["She dialled ", ("phone", phone()), " twice, then ", ("phone", phone()), "."], ["Text ", ("phone", phone()), f" to {r.choice(ordinary)} a bed."],
-            [f"{t} ", p, " can be reached at ", ("phone", phone()), " after dusk."], [f"Notes sent by {t} ", fam, f" reached us {r.choice(ordinary)}."], [f"The book lists {t} ", p, ", ", ("address", address()), "."],
-            ["On the envelope: ", p, ", ", ("address", address())], ["Send the jars to ", ("address", address()), "."], [f"The card bears {idw} ", ("id_number", idn), " and the address ", ("address", address()), "."],
-            ["We thank ", p, " and ", ("name", person()), f" for the {r.choice(ordinary)}."], ["Signed: ", p], ["Contact - ", p, " - ", ("email", email())], [f"Her {r.choice(('brother', 'sister', 'uncle'))} ", p, f" kept the {r.choice(ordinary)}."],
-            ["El paciente ", p, " vive en ", ("address", address()), "."], ["Le dossier de ", p, f" porte {idw} ", ("id_number", idn), "."], ["Ansprechpartner: ", p], *[[p, f" {r.choice(('took', 'asked', 'kept', 'wrote', 'came', 'slept'))} the {r.choice(ordinary)} {r.choice(ordinary)} for nine {r.choice(ordinary)}."]] * 3, ["Signed: ", p, f" {filler(5)}."], ["Signed: ", p, f" {r.choice(rare)} {filler(4).lower()}."], ["Die Patientin ", p, " wohnt ", ("address", address()), "."], ["Firmado: ", p], [f"Dear {t} ", fam, ","],
-        )) if r.random() < 0.6 else [r.choice((
-            f"Batch no. {digits(7)}-{digits(2)} was {r.choice(ordinary)}.", f"Lot {digits(5)} came by the {r.choice(rare)} Gate.", f"See verse {digits(2)}.{digits(2)}.{digits(2)} and {digits(1)}.{digits(5)}.{digits(1)}.", f"Published in vol. {digits(2)}, no. {digits(5)}, pp. {digits(3)}-{digits(3)}.",
-            f"The label reads ISBN {digits(3)}-{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}.", f"Use {digits(2)} 000 {digits(2)} seeds per plot.", f"The ratio was {digits(5)}:{digits(2)} in the years 19{digits(2)}-20{digits(2)}.", f"Dose {digits(2)}-{digits(2)}-{digits(2)} drops over 3 days.",
-            f"Heat {digits(1)} g @ {digits(2)} degrees.", f"The handle @{r.choice(ordinary)} is no longer used.", f"{r.choice(given)} and {r.choice(given)} flowers were strung together.", f"Compare {r.choice(rare)} Samgraha, leaf {digits(2)}.", f"Room {digits(2)}, second floor, {r.choice(rare)} Ward.",
-            f"{filler(4)} {r.choice(given).lower()} {filler(3).lower()}.", f"{r.choice(rare)} {r.choice(ordinary)} {r.choice(('Temple', 'River', 'Market', 'Hill'))} {filler(3).lower()}.", *[f"{r.choice(('The Lamp of', 'The Tale of', 'Selections from', 'Letters from', 'Lectures on', 'Notes upon', 'A Course in', 'Principles of'))} {r.choice((r.choice(ordinary).capitalize(), r.choice(rare)))} {r.choice((r.choice(ordinary).capitalize(), r.choice(rare)))}" for _ in range(3)], f"The school of {r.choice(rare)} {filler(4).lower()}.", f"{r.choice(ordinary).capitalize()} {r.choice(ordinary).capitalize()} {filler(3).lower()}.",
+        lead = r.choice((f"{m.words(1, 4).capitalize()} {never}", never.capitalize(), f"{never.capitalize()} no.", f"{m.words(0, 2)} {never} no.".strip().capitalize(), *[f"{m.words(2, 4).capitalize()}"] * 3))
+        tail = r.choice((f", {r.choice(sorted(NEVER))} {d(2)}", f" {r.choice(sorted(NEVER))}", f" {m.words(1, 4)}", ""))
+        return [f"{lead} {shape}{tail}."]
+    if kind < 0.5:
+        return [r.choice((
+            f"{m.words(1, 3).capitalize()} @{m.word()} {m.words(1, 3)}.", f"{d(2)} {m.word()} @ {d(2)} {m.word()}.", f"{m.words(1, 3).capitalize()} at {m.word()}.{r.choice(m.MAIL)} {m.words(1, 3)}.", f"{m.words(1, 2).capitalize()} at {m.word()} dot {m.words(2, 3)}.".replace("at", "at the", 1),
+            *[f"{r.randint(1, 999)} {m.words(1, 2)}, {m.words(1, 1)} {r.choice((d(2), d(5), d(6)))} {m.words(0, 2)}."] * 2, f"{never.capitalize()} {r.randint(1, 99)}, {m.word()} {m.word()}, {r.choice(m.rare)} {r.choice(sorted(PLACES)).capitalize()}.",
         ))]
-
-    texts = []
+    noun = r.choice(sorted(PLACES)).capitalize()
+    cap = lambda: r.choice((r.choice(m.ordinary).capitalize(), r.choice(m.rare), r.choice(m.nouns)))
+    work = r.choice(("Notes", "Letters", "Tales", "Studies", "Essays", "Songs", "Lectures", "Principles", "The Art", "A History", "The Book", "Lessons", noun))
+    return [r.choice((
+        f"{r.choice(m.rare)} {noun} {m.words(2, 4)}.", f"{m.words(1, 4).capitalize()} {r.choice(m.rare)} {noun}.", f"{m.words(1, 4).capitalize()} {cap()} {noun} {m.words(1, 3)}.", f"{work} {r.choice(sorted(SUBJECTS))} {cap()} {cap()}", f"{work} {r.choice(sorted(SUBJECTS))} {cap()}\n{m.words(2, 5).capitalize()}.",
+        f"{m.words(1, 3).capitalize()} {r.choice(sorted(SUBJECTS))} {r.choice(m.rare)} {m.words(1, 4)}.", f"{r.choice(m.given)} {noun.lower()} {m.words(2, 4)}.", f"{r.choice(m.given)} and {r.choice(m.given)} {noun.lower()} {m.words(2, 4)}.", f"{m.words(1, 4).capitalize()} {r.choice(m.given).lower()} {m.words(2, 4)}.",
+        f"{cap()} {r.choice(m.ordinary).capitalize()} {r.choice(m.ordinary).capitalize()}\n{m.words(2, 5).capitalize()}.", f"{m.words(2, 4).upper()}\n{m.words(2, 5).capitalize()}.", f"{r.choice(m.ordinary).capitalize()} {r.choice(m.ordinary).capitalize()} {m.words(2, 4)}.", f"{r.choice(m.rare)} {m.words(2, 5)}.", f"{m.words(1, 4).capitalize()} {r.choice(m.rare)} {m.words(1, 4)}.",
+        *[f"{cap()} {r.choice(m.nouns)} {m.words(2, 5)}.", f"{m.words(1, 4).capitalize()} {cap()} {r.choice(m.nouns)} {m.words(1, 3)}.", f"{r.choice(m.nouns)} {r.choice((' und ', ' and '))} {cap()} {m.words(1, 4)}.", f"{cap()} {r.choice(m.nouns)}\n{m.words(2, 5).capitalize()}."] * 2,
+    ))]
+
+
+def training_texts(count: int = 3000, seed: int = 11) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], Lists]:
+    """Made-up texts with the true spans of their personal data, and the lists that belong to them."""
+    m = Maker(seed)
+    r, texts = m.r, []
     for _ in range(count):
-        text, true = filler(r.randint(4, 10)) + r.choice((". ", ".\n", ".\n\n")), []
+        text, true = m.words(3, 9).capitalize() + r.choice((". ", ".\n", ".\n\n")), []
         for _ in range(r.randint(1, 3)):
-            for part in piece():
+            for part in _personal_part(m) if r.random() < 0.6 else _other_part(m):
                 if isinstance(part, tuple):
                     true.append((len(text), len(text) + len(part[1]), part[0]))
                     text += part[1]
                 else:
                     text += part
-            text += r.choice((" ", "\n", "\n\n")) + filler(r.randint(4, 9)) + r.choice((". ", ".\n", ", "))
+            text += r.choice((" ", "\n", "\n\n")) + m.words(3, 8).capitalize() + r.choice((". ", ".\n", ", "))
         texts.append((text, true))
-    return texts, Lists(set(given), set(family), set(ordinary))
+    # of the words in the lists above, a corpus has some often enough to know them as ordinary, and others not
+    listed = sorted({*"mailto the at dot and und et y no an der am im".split()}.union(*CUES.values(), NEVER, PLACES, SUBJECTS, TITLES))
+    return texts, Lists(set(m.given), set(m.family), {*m.ordinary, *r.sample(listed, len(listed) // 2)})
 
 
 @lru_cache(maxsize=1)
@@ -389,7 +520,7 @@ def models() -> dict[str, Boosted]:
     made = {}
     for kind, (x, y, part) in rows.items():
         xs, ys, held = np.array(x, dtype=float), np.array(y, dtype=float), np.array(part)
-        made[kind] = Boosted().fit(xs[~held], ys[~held]).calibrate(xs[held], ys[held])
+        made[kind] = Boosted(rounds=100).fit(xs[~held], ys[~held]).calibrate(xs[held], ys[held])
     return made
 
 
@@ -439,13 +570,16 @@ def free_words(text: str) -> list[str]:
 
 
 def ordinary_words(df: DataFrame, text: str) -> tuple[DataFrame, int]:
-    """(w, n) of the words of all texts that are written in lower case at least three times in ten, or that are too
-    frequent for any one name (words that often begin sentences); and the number of all words."""
+    """(w, n) of the words of all texts that are surely written in lower case in LOWER of their places, or that are too
+    frequent for any one name (words that often begin sentences); and the number of all words. Surely: by the lower
+    bound of Wilson's interval for a share, and by twice so many standard errors for a count."""
     counts = count_words(df, text, free_words)
     low = F.lower("word")
     forms = cut_lineage(counts.groupBy(low.alias("w")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("word") == low, F.col("n")).otherwise(0)).alias("lower")))
     total = forms.agg(F.sum("n")).first()[0] or 0
-    ordinary = (F.col("lower") >= 5) & (F.col("lower") >= F.col("n") * 0.3) | (F.col("n") >= max(50, total * STARTER))
+    n, share, z2 = F.col("n"), F.col("lower") / F.col("n"), SURE**2
+    bound = (share + z2 / (2 * n) - SURE * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    ordinary = (bound >= LOWER) | (n - 2 * SURE * F.sqrt(n) >= total * STARTER)
     return forms.where(ordinary).select("w", "n"), total
 
 

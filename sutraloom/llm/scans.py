@@ -1,18 +1,20 @@
 """Noise in text from scanned pages: find it, and give every page back as continuous paragraphs.
 
 Method: each page is a sequence of lines, labelled by a hidden Markov model over layout features (shape of the line,
-place on the page, case, ending, length against the page's width) as header, page number, body or break. The model
-starts from stated beliefs and is adapted by expectation-maximization on a bounded sample of pages. Headers and page
-numbers leave the text; body lines are joined to paragraphs at the breaks; words broken over a line end are made
-whole; words with misrecognised characters are put right.
+place on the page, case, ending, length against the page's width) as header, page number, body or break. Its weights
+are stated beliefs about printed pages, the same for every corpus. Headers and page numbers leave the text; body lines
+are joined to paragraphs at the breaks; words broken over a line end are made whole; words with misrecognised
+characters are put right.
 
 Words: a token is a misreading of a frequent word if undoing one or two typical confusions of characters gives that
 word, and the word is RATIO times as frequent. Frequent words are those with at least SHARE of all tokens, so there are
 at most 1 / SHARE of them, whatever the corpus: they may be broadcast. The misreadings found among all distinct tokens
-are broadcast only after their number has been checked, beyond that they meet the pages' tokens by a join.
+are broadcast only after their number has been checked, beyond that they meet the tokens of the finished pages by a
+join; both ways give the same rows.
 
 Defined results: null and blank texts hold no noise and stay as they are. A page without a source is treated as
-scanned if its lines are broken to a width. A hyphen that belongs to the word (a compound) is no noise.
+scanned if its lines are broken to a width. A hyphen that belongs to the word (a compound) is no noise. A header or page
+number is one printed line: a line of more than LINE characters is running text or an item, whatever its words.
 """
 
 from __future__ import annotations
@@ -23,15 +25,14 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sutraloom.llm import encoding, lookalikes
 from sutraloom.llm.words import count_words
 from sutraloom.runtime import collect_bounded, cut_lineage, map_columns
 
-#: Pages on which the model is adapted, and its rounds.
-SAMPLE_PAGES, ROUNDS = 1_500, 4
 SHARE, LEAST_COUNT, RATIO = 5e-6, 3, 12
 BROADCAST_ROWS = 300_000
 
@@ -57,12 +58,12 @@ _STOPS = (".", "!", "?", ":", ";", ",", "।", "|")
 _SIGNS = ("-", "‐", "¬", "­")
 
 
-#: Longer lines are running text: no header or page number has that many characters.
-_LONGEST = 160
+#: Characters that a printed line may have.
+LINE = 160
 
 
 def _shape(line: str) -> str:
-    if len(line) > _LONGEST:
+    if len(line) > LINE:
         return "item" if _ITEM.match(line) else "text"
     if len(line) <= 24 and _PAGE.match(line):
         return "page"
@@ -74,7 +75,7 @@ def _shape(line: str) -> str:
 
 
 def _case(line: str) -> str:
-    if len(line) > _LONGEST:
+    if len(line) > LINE:
         return "plain"
     words = _WORDS.findall(line)
     if not words:
@@ -130,7 +131,7 @@ FEATURES: tuple[tuple[str, ...], ...] = (
 )
 _INDEX = [{v: i for i, v in enumerate(vs)} for vs in FEATURES]
 
-# Beliefs that the model starts from: weight of each feature value by state. 1e-9: never.
+# Weight of each feature value by state. 1e-9: never.
 _BELIEFS = {
     "header": ((1e-9, 1e-9, 40, 20, 0.05, 20), (40, 8, 6, 1), (0.05, 30, 30, 0.3, 0.3), (0.3, 0.05, 20), (5, 10, 10), (0.3, 10)),
     "page_no": ((1e-9, 60, 1e-9, 1e-9, 1e-9, 1e-9), (20, 5, 25, 1), (10, 1, 1, 10, 1), (3, 1, 10), (40, 0.5, 0.2), (1, 5)),
@@ -197,50 +198,6 @@ class Model:
             got = self._emit_cache[row] = [float(sum(self.emit[f][s, _INDEX[f][row[f]]] for f in range(len(FEATURES)))) for s in range(len(STATES))]
         return got
 
-    def adapt(self, pages: list[list[tuple[str, ...]]], rounds: int = ROUNDS, trust: float = 0.5) -> Model:
-        """Expectation-maximization; the starting beliefs count as `trust` times as many lines as the sample has."""
-        if not pages:
-            return self
-        lines = sum(map(len, pages))
-        prior = Model()
-        for _ in range(rounds):
-            start, move = np.zeros(len(STATES)), np.zeros((len(STATES),) * 2)
-            emit = [np.zeros_like(t) for t in self.emit]
-            for rows in pages:
-                e, n = self.scores(rows), len(rows)
-                ahead, behind = np.zeros((n, len(STATES))), np.zeros((n, len(STATES)))
-                ahead[0] = self.start + e[0]
-                for t in range(1, n):
-                    ahead[t] = _sum(ahead[t - 1][:, None] + self.move, 0) + e[t]
-                for t in range(n - 2, -1, -1):
-                    behind[t] = _sum(self.move + (e[t + 1] + behind[t + 1])[None, :], 1)
-                total = _sum(ahead[-1], 0)
-                g = np.exp(ahead + behind - total)
-                start += g[0]
-                for t in range(n - 1):
-                    move += np.exp(ahead[t][:, None] + self.move + (e[t + 1] + behind[t + 1])[None, :] - total)
-                for f, table in enumerate(emit):
-                    for t, r in enumerate(rows):
-                        table[:, _INDEX[f][r[f]]] += g[t]
-            mass = trust * lines / len(STATES)
-            fresh = Model()
-            fresh.start = np.log(_share(start + trust * len(pages) * np.exp(prior.start), 0))
-            fresh.move = np.log(_share(move + mass * np.exp(prior.move), 1))
-            fresh.emit = [np.log(_share(c + mass * np.exp(p), 1)) for c, p in zip(emit, prior.emit)]
-            self.start, self.move, self.emit = fresh.start, fresh.move, fresh.emit
-        for name in ("_move_list", "_emit_cache"):
-            self.__dict__.pop(name, None)
-        return self
-
-
-def _sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-
-def _share(x: np.ndarray, axis: int) -> np.ndarray:
-    return x / x.sum(axis=axis, keepdims=True)
-
 
 # --- words --------------------------------------------------------------------------------------------------------------------
 
@@ -258,42 +215,79 @@ def tokens(text: str) -> list[str]:
     return [w for x in text.lower().split() if (w := x.strip(_EDGE))]
 
 
-def undone(token: str, most: int = 2) -> Iterator[str]:
+class Frequent(dict):
+    """Frequent words with their counts, and by length."""
+
+    def of_size(self, size: int) -> list[str]:
+        """The words whose length differs by two at most, which is as much as two confusions change."""
+        if not hasattr(self, "_sizes"):
+            self._sizes: dict[int, list[str]] = {}
+            for w in self:
+                self._sizes.setdefault(len(w), []).append(w)
+        return [w for n in range(size - 2, size + 3) for w in self._sizes.get(n, ())]
+
+
+def confusable(token: str) -> list[tuple[int, str, str]]:
+    """(place, read, true) of each confusion that a token may hold; they may overlap."""
+    return [(at, read, true) for read, true in CONFUSIONS if read in token for at in range(len(token)) if token.startswith(read, at)]
+
+
+def undone(token: str, spots: list[tuple[int, str, str]], most: int) -> Iterator[str]:
     """The token with one confusion undone, then with two (`most`)."""
-    spots = [(m.start(), read, true) for read, true in CONFUSIONS for m in re.finditer(re.escape(read), token)]
     for at, read, true in spots:
         yield token[:at] + true + token[at + len(read) :]
-    if most > 1 and len(spots) <= 40:
+    if most > 1:
         for (a, ra, ta), (b, rb, tb) in product(spots, spots):
             if a + len(ra) <= b:
                 yield token[:a] + ta + token[a + len(ra) : b] + tb + token[b + len(rb) :]
 
 
-def misread_as(token: str, count: int, frequent: dict[str, int]) -> str | None:
+def reads_as(token: str, word: str, most: int) -> bool:
+    """Whether a token with at most so many confusions undone is the word. What a scanner reads and what stands there
+    never begin alike, so a confusion is where the two first differ."""
+    at = next((i for i, (a, b) in enumerate(zip(token, word)) if a != b), min(len(token), len(word)))
+    if at == len(token) == len(word):
+        return True
+    return most > 0 and any(token.startswith(r, at) and word.startswith(t, at) and reads_as(token[at + len(r) :], word[at + len(t) :], most - 1) for r, t in CONFUSIONS)
+
+
+#: Places of confusions in a token up to which undoing all pairs costs less than reading all words of its length.
+_SPOTS = 40
+
+
+def misread_as(token: str, count: int, frequent: Frequent) -> str | None:
     """The frequent word that a token misreads: by the fewest confusions, then the most frequent, then the first."""
     solid = sum(c.isalpha() for c in token)
-    if len(token) < 2 or solid == 0 or len(token) > 40 or (len(token) == 2 and not any(c in "0@!" for c in token)):
+    if len(token) < 2 or solid == 0 or (len(token) == 2 and not any(c in "0@!" for c in token)):
         return None
     if len(token) - solid > max(1, len(token) // 2):
         return None
+    near = frequent.of_size(len(token)) if len(token) > _SPOTS // 2 else None
+    if near is not None and not near:
+        return None
+    spots = confusable(token)
     for tries in (1, 2):
-        found = {v for v in undone(token, tries) if frequent.get(v, 0) >= RATIO * count and len(v) >= 2}
+        if near is not None and len(spots) > _SPOTS:
+            found = {v for v in near if reads_as(token, v, tries)} - {token}
+        else:
+            found = set(undone(token, spots, tries))
+        found = {v for v in found if len(v) >= 2 and frequent.get(v, 0) >= RATIO * count}
         if found:
             return min(found, key=lambda v: (-frequent[v], v))
     return None
 
 
-def frequent_words(df: DataFrame, text: str, share: float = SHARE) -> tuple[DataFrame, dict[str, int]]:
+def frequent_words(df: DataFrame, text: str, share: float = SHARE) -> tuple[DataFrame, Frequent]:
     """All distinct tokens with their counts (a table), and those with at least `share` of all tokens (at most
     1 / share of them)."""
     counts = cut_lineage(count_words(df, text, tokens))
     total = counts.agg(F.sum("n")).first()[0] or 0
     bound = max(LEAST_COUNT, share * total)
     rows = collect_bounded(counts.where(F.col("n") >= bound), int(1 / share) + 1, "frequent words")
-    return counts, {r["word"]: r["n"] for r in rows}
+    return counts, Frequent({r["word"]: r["n"] for r in rows})
 
 
-def misreadings(counts: DataFrame, frequent: dict[str, int]) -> DataFrame:
+def misreadings(counts: DataFrame, frequent: Frequent) -> DataFrame:
     """(token, word): each distinct token that misreads a frequent word."""
     held = counts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -327,7 +321,7 @@ def _lined(body: list[str]) -> bool:
 class Page:
     """A labelled page: its noise and its text."""
 
-    def __init__(self, text: str, model: Model, frequent: dict[str, int]) -> None:
+    def __init__(self, text: str, model: Model, frequent: Frequent) -> None:
         if not text.isascii():
             text = lookalikes.normalise(encoding.restore(text)[0])
         self.frequent = frequent
@@ -367,7 +361,7 @@ class Page:
             self.paragraphs.append("".join(parts))
 
     @staticmethod
-    def _broken(left: str, sign: str, right: str, frequent: dict[str, int]) -> bool:
+    def _broken(left: str, sign: str, right: str, frequent: Frequent) -> bool:
         """Whether the sign breaks one word, rather than join two."""
         if sign != "-":
             return True
@@ -401,38 +395,29 @@ class Page:
         return "\n\n".join(" ".join(map(fix, p.split())) for p in self.paragraphs)
 
 
-def _scanned_pages(df: DataFrame, key: str, text: str, scanned: str) -> DataFrame:
+def _may_be_scanned(text: str, scanned: str) -> Column:
     """Pages that may be scanned; `scanned` null means that the layout decides."""
-    return df.select(key, text, scanned).where(F.col(text).isNotNull() & F.coalesce(F.col(scanned), F.lit(True)))
+    return F.col(text).isNotNull() & F.coalesce(F.col(scanned), F.lit(True))
 
 
 def _takes(text: str | None, scanned: bool | None) -> bool:
     return bool(text) and bool(text.strip()) and (scanned is True or (scanned is None and broken_to_width(text)))
 
 
-def fit(df: DataFrame, key: str, text: str, scanned: str) -> Model:
-    """The model, adapted on about SAMPLE_PAGES pages chosen by a hash of the key."""
-    pages = _scanned_pages(df, key, text, scanned)
-    n = pages.select(key).count()
-    if not n:
-        return Model()
-    unit = F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = collect_bounded(pages.where(unit < min(1.0, SAMPLE_PAGES / n)), 4 * SAMPLE_PAGES + 100, "sample of pages")
-    return Model().adapt([line_features(r[text]) for r in rows if _takes(r[text], r[scanned])])
-
-
-def _prepare(df: DataFrame, key: str, text: str, scanned: str):
+def _prepare(df: DataFrame, text: str) -> tuple[Broadcast, DataFrame, bool]:
+    """(model, frequent words and known misreadings) for all tasks; the misreadings; whether those are few. Known ones
+    are None beyond BROADCAST_ROWS."""
     counts, frequent = frequent_words(df, text)
     wrong = cut_lineage(misreadings(counts, frequent))
-    return fit(df, key, text, scanned), frequent, wrong, wrong.count() <= BROADCAST_ROWS
+    small = wrong.count() <= BROADCAST_ROWS
+    known = {r["token"]: r["word"] for r in wrong.collect()} if small else None
+    return df.sparkSession.sparkContext.broadcast((Model(), frequent, known)), wrong, small
 
 
 def find_noise(df: DataFrame, key: str, text: str, scanned: str) -> DataFrame:
     """(key, noise): each kind of noise that a scanned page holds."""
-    model, frequent, wrong, small = _prepare(df, key, text, scanned)
-    spark, key_type = df.sparkSession, df.schema[key].dataType.simpleString()
-    known = {r["token"]: r["word"] for r in wrong.collect()} if small else None
-    held = spark.sparkContext.broadcast((model, frequent, known))
+    held, wrong, small = _prepare(df, text)
+    key_type = df.schema[key].dataType.simpleString()
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
         model, frequent, known = held.value
@@ -457,7 +442,8 @@ def find_noise(df: DataFrame, key: str, text: str, scanned: str) -> DataFrame:
                     out[name].append(v)
         return out
 
-    made = map_columns(_scanned_pages(df, key, text, scanned), kernel, f"`{key}` {key_type}, noise string, tokens array<string>")
+    pages = df.select(key, text, scanned).where(_may_be_scanned(text, scanned))
+    made = map_columns(pages, kernel, f"`{key}` {key_type}, noise string, tokens array<string>")
     if small:
         return made.drop("tokens")
     made = cut_lineage(made)
@@ -465,28 +451,40 @@ def find_noise(df: DataFrame, key: str, text: str, scanned: str) -> DataFrame:
     return made.where(F.col("noise") != "words").drop("tokens").unionByName(misread.select(key, F.lit("misread").alias("noise")).distinct())
 
 
+def _own_misreadings(pages: DataFrame, held: Broadcast, wrong: DataFrame) -> DataFrame:
+    """(_h, _wrong): the misreadings on each of the pages (_h: the text's digest, _text, _scanned)."""
+
+    def kernel(cols: dict[str, list]) -> dict[str, list]:
+        model, frequent, _ = held.value
+        rows = [(h, w) for h, t, s in zip(cols["_h"], cols["_text"], cols["_scanned"]) if _takes(t, s) for w in Page(t, model, frequent).words()]
+        return {"_h": [h for h, _ in rows], "token": [w for _, w in rows]}
+
+    own = map_columns(pages, kernel, "_h string, token string").join(wrong, "token")
+    return own.groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct("token", "word"))).alias("_wrong"))
+
+
 def repair(df: DataFrame, key: str, text: str, scanned: str) -> DataFrame:
     """(key, text): every scanned page as paragraphs of whole words without furniture. Pages that are not scanned come
-    back as they are. Beyond BROADCAST_ROWS distinct misreadings, each page gets its own by a join."""
-    model, frequent, wrong, small = _prepare(df, key, text, scanned)
-    spark, key_type = df.sparkSession, df.schema[key].dataType.simpleString()
-    known = {r["token"]: r["word"] for r in wrong.collect()} if small else None
-    held = spark.sparkContext.broadcast((model, frequent, known))
-    source = df.select(key, text, scanned)
-    if not small:
-        words = source.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("token"))
-        own = words.select("_k", F.btrim("token", F.lit(_EDGE)).alias("token")).distinct().join(wrong, "token")
-        maps = own.groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct("token", "word"))).alias("_wrong"))
-        source = source.join(maps, source[key] == maps["_k"], "left").drop("_k")
+    back as they are. Beyond BROADCAST_ROWS distinct misreadings, each page that may be scanned gets its own by a join
+    on its text's digest; the others do not move."""
+    held, wrong, small = _prepare(df, text)
+    key_type = df.schema[key].dataType.simpleString()
+    source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(scanned).alias("_scanned"))
+    none = F.lit(None).cast("map<string,string>").alias("_wrong")
+    if small:
+        source = source.select("*", none)
     else:
-        source = source.withColumn("_wrong", F.lit(None).cast("map<string,string>"))
+        may = _may_be_scanned("_text", "_scanned")
+        pages = source.where(may).withColumn("_h", F.md5("_text"))
+        own = _own_misreadings(pages.select("_h", "_text", "_scanned"), held, wrong)
+        source = pages.join(own, "_h", "left").drop("_h").unionByName(source.where(~may).select("*", none))
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
         model, frequent, known = held.value
         made = []
-        for t, s, own in zip(cols[text], cols[scanned], cols["_wrong"]):
+        for t, s, own in zip(cols["_text"], cols["_scanned"], cols["_wrong"]):
             wrong = known if known is not None else dict(own or ())
             made.append(Page(t, model, frequent).text(wrong) if _takes(t, s) else t)
-        return {key: cols[key], text: made}
+        return {key: cols["_key"], text: made}
 
     return map_columns(source, kernel, f"`{key}` {key_type}, `{text}` string")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sutraloom.llm import queries
+from sutraloom.llm import queries, scans
 from tests import oracle
 
 COLUMNS = {
@@ -26,3 +26,12 @@ def test_found_queries_give_cases_once(spark, data, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(COLUMNS) - set(queries.ORACLES)))
 def test_runs(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() > 0
+
+
+@pytest.mark.parametrize("name", ["p3_found", "p3_repaired"])
+def test_scans_have_one_result_at_every_size(spark, data, monkeypatch, name):
+    ways = []
+    for most in (scans.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(scans, "BROADCAST_ROWS", most)
+        ways.append(sorted(map(tuple, queries.QUERIES[name](spark, data).collect()), key=str))
+    assert ways[0] == ways[1] and ways[0]

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -305,7 +306,7 @@ def test_gates_cut_nothing_off():
 # --- scans -------------------------------------------------------------------------------------------------------------
 
 PAGE = "A HANDBOOK OF SIMPLE REMEDIES    12\nThe leaf of the plant is given for the cough and the pou-\nltice is taken in the morning witli a little water when the\nbody is warm and the mind is still in the rainy months.\n\nA second paragraph of the page is set here for the reader\nand it ends with the last of the words on this line.\n- 12 -"
-FREQUENT = {w: 900 for w in "the leaf of plant is given for cough and poultice taken in morning with a little water when body warm mind still rainy months second paragraph page set here reader it ends last words on this line".split()}
+FREQUENT = scans.Frequent({w: 900 for w in "the leaf of plant is given for cough and poultice taken in morning with a little water when body warm mind still rainy months second paragraph page set here reader it ends last words on this line".split()})
 
 
 def test_page_is_put_right():
@@ -330,16 +331,34 @@ def test_lists_and_tables_keep_their_lines():
 
 
 def test_compound_hyphen_stays():
-    frequent = FREQUENT | {"deep-seated": 50}
+    frequent = scans.Frequent(FREQUENT | {"deep-seated": 50})
     page = scans.Page("the cough is a deep-\nseated one in the body\nand the mind is still", scans.Model(), frequent)
     assert page.hyphens == 0 and "deep-seated one" in page.paragraphs[0]
 
 
-def test_adapting_keeps_meaning():
-    pages = [scans.line_features(PAGE.replace("12", str(i))) for i in range(1, 30)]
-    model = scans.Model().adapt(pages)
-    assert [scans.STATES[s] for s in model.decode(pages[3])][0] == "header" and model.decode([]) == []
-    assert scans.Page("", model, {}).paragraphs == [] and scans.Page("x" * 200_000, model, {}).hyphens == 0
+def test_empty_and_long_pages():
+    model = scans.Model()
+    assert model.decode([]) == []
+    assert scans.Page("", model, scans.Frequent()).paragraphs == [] and scans.Page("x" * 200_000, model, scans.Frequent()).hyphens == 0
+
+
+def test_long_tokens_have_their_misreadings():
+    """Tokens of many places read the words of their length; both ways find the same."""
+    r = random.Random(8)
+    assert all(read[0] != true[0] and abs(len(read) - len(true)) <= 1 for read, true in scans.CONFUSIONS)
+    words = ["".join(r.choice("aeilmnorsthd") for _ in range(r.randint(21, 70))) for _ in range(60)]
+    frequent = scans.Frequent({w: 500 + i for i, w in enumerate(words)})
+    for w in words:
+        for most in (1, 2):
+            bad = w
+            for _ in range(most):
+                spots = [(m.start(), a, b) for a, b in scans.CONFUSIONS for m in re.finditer(re.escape(b), bad)]
+                at, read, true = r.choice(spots)
+                bad = bad[:at] + read + bad[at + len(true) :]
+            want = set(scans.undone(bad, scans.confusable(bad), 2)) & set(words)
+            assert {v for v in words if scans.reads_as(bad, v, 2)} - {bad} == want - {bad}
+            assert scans.misread_as(bad, 1, frequent) in (want or {None})
+    assert scans.misread_as("im" * 100_000, 1, frequent) is None
 
 
 def test_decode_is_the_best_path():

@@ -7,7 +7,7 @@ its records are equal). Each bucket is counted in a trie whose terminal nodes ho
 smallest id.
 
 Scale: a record with a third of all rows is one entry per task after combining. One count gives the sizes of the
-buckets at LEVELS depths at once, so that a job for further depths runs only for keys that share so many bytes. The
+buckets at several depths at once, so that a job for further depths runs only for keys that share so many bytes. The
 driver sees only the prefixes of oversized buckets, at most rows / limit of them at each depth. The buckets of a
 partition come sorted, one after the other, and each trie is given out and dropped when its bucket ends: a task holds
 one trie, of at most `limit` records and their copies from each task. Copies find their first id by a digest of 128
@@ -29,14 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sutraloom.runtime import collect_bounded, cut_lineage
+from sutraloom.llm.words import oversized
+from sutraloom.runtime import cut_lineage
 
 #: Distinct records that one bucket may hold.
 LIMIT = 50_000
 #: Copies beyond which a record is spread over salts.
 HOT = 100_000
-#: Bytes by which a level splits, and levels that one pass counts.
-STEP, LEVELS = 2, 6
+#: Bytes by which a level splits.
+STEP = 2
 #: Counted records that a task hands on together.
 HANDED = 10_000
 _FIELD, _PAIR = "\x1f", "\x1e"
@@ -120,25 +121,6 @@ def combine(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "tab string, key binary, digest binary, n bigint, first_id bigint")
 
 
-def oversized(combined: DataFrame, limit: int = LIMIT, step: int = STEP) -> set[bytes]:
-    """Prefixes of the buckets that hold too many records. One pass counts LEVELS depths; another follows only for the
-    keys below those that are still oversized at the deepest."""
-    depth, split, level = step, set(), combined.select("key")
-    while True:
-        depths = [depth + step * i for i in range(LEVELS)]
-        # a key counts at the depths that it reaches
-        at = level.select("key", F.explode(F.array(*map(F.lit, depths))).alias("deep")).where(F.length("key") >= F.col("deep"))
-        counts = at.groupBy(F.expr("substring(key, 1, deep)").alias("prefix")).agg(F.count("*").alias("n"), F.max(F.length("key")).alias("longest"))
-        rows = collect_bounded(counts.where((F.col("n") > limit) & (F.col("longest") > F.length("prefix"))), 1_000_000, "oversized buckets")
-        split |= {bytes(r["prefix"]) for r in rows}
-        deepest = [bytes(r["prefix"]) for r in rows if len(r["prefix"]) == depths[-1]]
-        if not deepest:
-            return split
-        held = F.broadcast(combined.sparkSession.createDataFrame([(bytearray(x),) for x in deepest], "_head binary"))
-        level = level.join(held, F.substring("key", 1, depths[-1]) == F.col("_head"), "left_semi")
-        depth = depths[-1] + step
-
-
 class Counter:
     """A trie over bytes with counters at the ends; single branches are kept as one edge."""
 
@@ -162,7 +144,7 @@ class Counter:
 def count_records(rows: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
     """(tab, digest, key, n_copies, first_id): one row per distinct record of `with_key` rows."""
     combined = cut_lineage(combine(rows))
-    split = rows.sparkSession.sparkContext.broadcast(frozenset(oversized(combined, limit, step)))
+    split = rows.sparkSession.sparkContext.broadcast(frozenset(oversized(combined, "key", limit, step, step)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deep = split.value

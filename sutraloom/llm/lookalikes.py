@@ -2,8 +2,14 @@
 
 Method: the distinct words of the corpus that are stored in plain characters form vocabulary tries. Every word that
 holds a special character is walked through the trie of its bucket with a weighted edit automaton, for which
-look-alike letters, other widths and styles, and ignorable characters cost nothing; the cheapest (then most frequent,
-then first) vocabulary word is its canonical spelling. Words without a match are normalised by the character table.
+look-alike letters (some have several readings), other widths and styles, and ignorable characters cost nothing; the
+cheapest (then most frequent, then first) vocabulary word is its canonical spelling. Words without a match are
+normalised by the character table.
+
+Scale: plain and special words meet by bucket, a prefix of the letters without accents, that is split by further
+letters while it holds too many words; special words go to the bucket of each of their readings. A task holds one trie
+at a time. Only spellings that differ from the table's leave the tries; up to LOOKUP_ROWS of them are broadcast and
+texts are rewritten in place, beyond that the few texts that may change get theirs by a join.
 
 Kept apart: spans garbled by a wrong encoding (encoding.py) and words wholly in another alphabet stay as they are.
 Joiners between Indic letters, tabs and line ends stay. Defined results: null gives null, empty text stays empty.
@@ -22,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sutraloom.llm import encoding
-from sutraloom.llm.words import WORD, count_words
-from sutraloom.runtime import cut_lineage, fresh_name, map_columns
+from sutraloom.llm.words import WORD, count_words, oversized
+from sutraloom.runtime import LOOKUP_ROWS, cut_lineage, fresh_name, map_columns
 
 # Letters of other alphabets and phonetic letters, with the Latin letter that each looks like.
 LOOKALIKES = {
@@ -39,6 +45,12 @@ LOOKALIKES = {
     "ᴀ": "a", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ᴊ": "j", "ᴋ": "k", "ᴍ": "m", "ᴏ": "o", "ᴘ": "p", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
     "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "յ": "j", "ⅼ": "l", "Ꭺ": "A", "Ꭼ": "E", "Ꮋ": "H", "Ꮃ": "W",
 }
+# Letters that have another reading beside that in LOOKALIKES; which one holds, the vocabulary decides.
+ALSO = {
+    "ν": "n", "η": "h", "σ": "s", "ρ": "r", "υ": "v", "γ": "v", "μ": "m", "χ": "k", "ς": "c", "Ρ": "R", "Η": "E", "Υ": "U", "Χ": "K",
+    "г": "g", "п": "p", "в": "v", "н": "n", "с": "s", "у": "u", "р": "r", "х": "h", "ӏ": "i", "В": "V", "Н": "N", "С": "S", "Р": "R", "У": "U", "Х": "H", "І": "l", "Ӏ": "l",
+    "ʋ": "u", "ʏ": "u", "ʜ": "n", "ո": "o", "ց": "y", "զ": "g",
+}
 # Characters that show nothing.
 IGNORABLE = "­͏᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 # Spaces other than the plain one.
@@ -183,6 +195,12 @@ def special_words(text: str) -> set[str]:
 # --- the tries and their automaton ---------------------------------------------------------------------------------
 
 
+#: Letters that name a bucket, letters by which one is split, and words that it may hold.
+HEAD, STEP, LIMIT = 4, 2, 20_000
+#: Cost of reading a letter as in ALSO.
+SECOND = 0.25
+
+
 class Trie:
     """Vocabulary words with their counts; children by character."""
 
@@ -202,23 +220,21 @@ class Trie:
             at = to
         self.end[at] = (word, count)
 
-    def best(self, word: str, max_cost: float) -> str | None:
-        """The cheapest vocabulary word, then the most frequent, then the first in code-point order."""
+    def best(self, word: str) -> tuple[float, int, str] | None:
+        """(cost, count below zero, word) of the cheapest vocabulary word, then the most frequent, then the first in
+        code-point order."""
         # a state of the automaton: (position in word, trie node) -> cost
         latin = any(_latin(c) for c in word)
         layer = {(0, 0): 0.0}
         queue, n, ends = [(0, 0)], len(word), []
         while queue:
-            key = queue.pop()
-            i, node = key
-            cost = layer[key]
+            i, node = queue.pop()
+            cost = layer[i, node]
             if i == n:
                 if self.end[node]:
                     ends.append((cost, -self.end[node][1], self.end[node][0]))
                 continue
             for text, step, price in readings(word, i, latin):
-                if cost + price > max_cost:
-                    continue
                 at: int | None = node
                 for c in text:
                     at = self.next[at].get(c)
@@ -227,16 +243,7 @@ class Trie:
                 if at is not None and cost + price < layer.get((i + step, at), float("inf")):
                     layer[(i + step, at)] = cost + price
                     queue.append((i + step, at))
-            if max_cost >= OTHER:
-                for c, at in self.next[node].items():
-                    if c != word[i] and cost + OTHER <= max_cost and cost + OTHER < layer.get((i + 1, at), float("inf")):
-                        layer[(i + 1, at)] = cost + OTHER
-                        queue.append((i + 1, at))
-        return min(ends)[2] if ends else None
-
-
-#: Cost of any other exchange of one letter for another; above the default bound of 0, so that nothing visible is lost.
-OTHER = 1.0
+        return min(ends) if ends else None
 
 
 def readings(word: str, i: int, latin: bool) -> Iterator[tuple[str, int, float]]:
@@ -245,34 +252,64 @@ def readings(word: str, i: int, latin: bool) -> Iterator[tuple[str, int, float]]
     yield c, 1, 0.0
     if c in IGNORABLE:
         yield "", 1, 0.0
-    if (p := plain_form(c)) is not None:
-        yield p, 1, 0.0
+    letters = [(p, 0.0)] if (p := plain_form(c)) is not None else []
     if latin and c in LOOKALIKES:
-        yield LOOKALIKES[c], 1, 0.0
+        letters.append((LOOKALIKES[c], 0.0))
+        letters += [(x, SECOND) for x in ALSO.get(c, "")]
+    for x, price in letters:
+        yield x, 1, price
     j = i + 1
     while j < len(word) and (unicodedata.combining(word[j]) or word[j] in IGNORABLE):
         j += 1
     if j > i + 1:  # a letter with its marks as one character
-        base = plain_form(c) or (LOOKALIKES.get(c, c) if latin else c)
-        whole = _composed(base + "".join(x for x in word[i + 1 : j] if x not in IGNORABLE))
-        if len(whole) == 1:
-            yield whole, j - i, 0.0
+        marks = "".join(x for x in word[i + 1 : j] if x not in IGNORABLE)
+        for base, price in letters or [(c, 0.0)]:
+            whole = _composed(base + marks)
+            if len(whole) == 1:
+                yield whole, j - i, price
 
 
-def bucket_key(word: str) -> str:
-    """Words that can match at no cost have one key: the plain form without accents, in lower case."""
-    bare = unicodedata.normalize("NFD", clean_word(word)).lower()
-    return "".join(c for c in bare if not unicodedata.combining(c))[:4]
+def _bare(word: str) -> str:
+    """A plain word without accents, in lower case: the same for all words that can match."""
+    folded = unicodedata.normalize("NFD", word).lower()
+    return folded if folded.isascii() else "".join([c for c in folded if not unicodedata.combining(c)])
+
+
+def bucket_of(bare: str, split: frozenset[str]) -> str:
+    """The bucket of a plain word: its first letters, more of them while that bucket is split."""
+    depth = HEAD
+    while bare[:depth] in split and depth < len(bare):
+        depth += STEP
+    return bare[:depth]
+
+
+def buckets_of(word: str, split: frozenset[str]) -> set[str]:
+    """The buckets of all readings of a special word."""
+    latin = any(_latin(c) for c in word)
+    found, seen, stack = set(), set(), [(0, "")]
+    while stack:
+        i, bare = stack.pop()
+        if (i, bare) in seen:
+            continue
+        seen.add((i, bare))
+        at = bucket_of(bare, split)
+        if i == len(word) or len(at) >= HEAD and len(at) < len(bare) and at not in split:
+            found.add(at)  # what follows is in no bucket's name
+            continue
+        # the vocabulary has no special characters
+        stack += [(i + step, bare + _bare(text)) for text, step, _ in readings(word, i, latin) if not SUSPECT.search(text)]
+    return found
 
 
 # --- on tables -------------------------------------------------------------------------------------------------------
 
 
-def spellings(df: DataFrame, text: str, max_cost: float = 0.0) -> DataFrame:
-    """(word, canonical): the canonical spelling of each special word that the vocabulary has.
+def spellings(df: DataFrame, text: str, limit: int = LIMIT) -> DataFrame:
+    """(word, canonical): the canonical spelling of each special word that the vocabulary has in another spelling than
+    the table gives.
 
-    One pass counts plain and special words inside each task before they move. Both meet by bucket key, so that each
-    task builds small tries of its own; no vocabulary reaches the driver.
+    One pass counts plain and special words inside each task before they move. Both meet by bucket; no vocabulary
+    reaches the driver.
     """
 
     def words_of(text: str) -> list[str]:
@@ -281,66 +318,90 @@ def spellings(df: DataFrame, text: str, max_cost: float = 0.0) -> DataFrame:
             return [w for w in plain if w.isascii() or not SUSPECT.search(w)] + [_DIRTY + w for w in special_words(text)]
         return plain
 
-    @F.pandas_udf("string")
-    def key_of(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: bucket_key(w.removeprefix(_DIRTY)))
+    def bare_of(cols: dict[str, list]) -> dict[str, list]:
+        return {"word": cols["word"], "n": cols["n"], "bare": [_bare(clean_word(w[1:]) if w.startswith(_DIRTY) else w) for w in cols["word"]]}
+
+    counted = cut_lineage(map_columns(count_words(df, text, words_of), bare_of, "word string, n bigint, bare string"))
+    split = df.sparkSession.sparkContext.broadcast(frozenset(oversized(counted, "bare", limit, HEAD, STEP)))
+
+    def place(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("word", "n", "bucket", "plain")}
+        for w, n, bare in zip(cols["word"], cols["n"], cols["bare"]):
+            special = w.startswith(_DIRTY)
+            for at in buckets_of(w[1:], split.value) if special else (bucket_of(bare, split.value),):
+                for name, v in zip(out, (w.removeprefix(_DIRTY), n, at, not special)):
+                    out[name].append(v)
+        return out
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[str, tuple[list, list]] = {}
+        now, special, trie, rows = None, [], Trie(), []
+
+        def found() -> list[tuple]:
+            got = [(w, trie.best(w)) for w in special]
+            return [(w, cost, less, canon, canon != clean_word(w)) for w, best in got if best for cost, less, canon in [best]]
+
         for b in batches:
-            for w, n, k in zip(*(b.column(i).to_pylist() for i in range(3))):
-                dirty = w.startswith(_DIRTY)
-                rows.setdefault(k, ([], []))[dirty].append((w.removeprefix(_DIRTY), n))
-        words, canon = [], []
-        for plain, dirty_words in rows.values():
-            if not dirty_words:
-                continue
-            trie = Trie()
-            for w, n in plain:
-                trie.add(w, n)
-            for w, _ in dirty_words:
-                if (best := trie.best(w, max_cost)) is not None:
-                    words.append(w)
-                    canon.append(best)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(canon, pa.string())], names=["word", "canonical"])
+            for w, n, at, plain in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if at != now:
+                    rows += found()
+                    now, special, trie = at, [], Trie()
+                if not plain:
+                    special.append(w)
+                elif special:
+                    trie.add(w, n)
+            yield _rows(rows)
+            rows = []
+        yield _rows(found())
+
+    placed = map_columns(counted, place, "word string, n bigint, bucket string, plain boolean")
+    met = placed.repartition(F.col("bucket")).sortWithinPartitions("bucket", "plain").mapInArrow(match, "word string, cost double, less bigint, canonical string, other boolean")
+    best = met.groupBy("word").agg(F.min(F.struct("cost", "less", "canonical", "other")).alias("best"))
+    return best.where("best.other").select("word", "best.canonical")
 
-    counted = count_words(df, text, words_of).withColumn("key", key_of("word"))
-    return counted.repartition(F.col("key")).mapInArrow(match, "word string, canonical string")
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.float64(), pa.int64(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["word", "cost", "less", "canonical", "other"])
 
 
 #: Marks the special words in the one count of plain and special words.
 _DIRTY = "\x00"
 
 
-def unify(df: DataFrame, key: str, text: str, max_cost: float = 0.0, only_changed: bool = False) -> DataFrame:
+def unify(df: DataFrame, text: str, only_changed: bool = False, limit: int = LIMIT) -> DataFrame:
     """df with `text` in one form; every other column stays. only_changed: just the rows that the operator changes.
 
-    `key` names a record; rows of one key may repeat, a row with a null key goes by the table alone. Null texts stay
-    null. Only the special words of a record move: they meet their canonical spellings by word.
+    Null texts stay null. Texts are rewritten where they are; only where more than LOOKUP_ROWS spellings differ from
+    the table's do those that may change move, to meet theirs by a digest of the text.
     """
-    key_type, text_col = df.schema[key].dataType.simpleString(), F.col(text)
+    spelled = cut_lineage(spellings(df, text, limit))
+    old, own = fresh_name(df, "_old"), fresh_name(df, "_own")
+    few = spelled.count() <= LOOKUP_ROWS
+    held = df.sparkSession.sparkContext.broadcast({r["word"]: r["canonical"] for r in spelled.collect()} if few else {})
 
-    def suspects(cols: dict[str, list]) -> dict[str, list]:
-        rows = [(k, t, sorted(special_words(t))) for k, t in zip(cols[key], cols[text]) if may_change(t)]
-        return {"_key": [r[0] for r in rows], "_text": [r[1] for r in rows], "words": [r[2] for r in rows]}
+    @F.pandas_udf("string")
+    def rewrite(s: pd.Series) -> pd.Series:
+        return pd.Series([normalise(x, held.value) for x in s], dtype=object)
 
     @F.pandas_udf("string")
-    def apply(s: pd.Series, maps: pd.Series) -> pd.Series:
+    def rewrite_by(s: pd.Series, maps: pd.Series) -> pd.Series:
         return pd.Series([normalise(x, dict(m) if m is not None else None) for x, m in zip(s, maps)], dtype=object)
 
-    # the few texts that may change, written once: they are read for their words and again for their change
-    held = cut_lineage(map_columns(df.select(key, text), suspects, f"_key {key_type}, _text string, words array<string>"))
-    found = (
-        held.where(F.col("_key").isNotNull()).select("_key", F.explode("words").alias("word"))
-        .join(spellings(df, text, max_cost), "word")
-        .groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "canonical"))).alias("maps"))
-    )
-    changed = held.join(found, "_key", "left").withColumn("_new", apply("_text", "maps")).where(F.col("_new") != F.col("_text"))
-    k, old, new = (fresh_name(df, c) for c in ("_key", "_text", "_new"))
-    changed = changed.select(F.col("_key").alias(k), F.col("_text").alias(old), F.col("_new").alias(new)).distinct()
-    same = df[key].eqNullSafe(F.col(k)) & (text_col == F.col(old))
+    kept = df.withColumn(old, F.col(text))
+    if few:
+        made = kept.withColumn(text, rewrite(old))
+    else:
+        may = F.col(text).isNotNull() & F.col(text).rlike(SUSPECT.pattern)
+
+        def specials(cols: dict[str, list]) -> dict[str, list]:
+            rows = [(h, w) for h, t in zip(cols["_h"], cols["_t"]) for w in special_words(t)]
+            return {"_h": [h for h, _ in rows], "word": [w for _, w in rows]}
+
+        texts = df.where(may).select(F.md5(text).alias("_h"), F.col(text).alias("_t"))
+        maps = map_columns(texts, specials, "_h string, word string").join(spelled, "word")
+        maps = maps.groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct("word", "canonical"))).alias(own)).withColumnRenamed("_h", own + "_h")
+        met = kept.where(may).join(maps, F.md5(text) == F.col(own + "_h"), "left").drop(own + "_h").withColumn(text, rewrite_by(old, own)).drop(own)
+        made = met.unionByName(kept.where(~F.coalesce(may, F.lit(False))))
     if only_changed:
-        if not [c for c in df.columns if c not in (key, text)]:
-            return changed.select(F.col(k).alias(key), F.col(new).alias(text))
-        return df.join(changed, same).withColumn(text, F.col(new)).drop(k, old, new)
-    return df.join(changed, same, "left").withColumn(text, F.coalesce(new, text_col)).drop(k, old, new)
+        made = made.where(F.col(text) != F.col(old))
+    return made.drop(old)

@@ -25,9 +25,7 @@ def _both_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    key = F.struct("tab", "row_id").alias("key")
-    texts = _both_texts(spark, d).select(key, "text")
-    return lookalikes.unify(texts, "key", "text", only_changed=True).select("key.tab", "key.row_id").distinct()
+    return lookalikes.unify(_both_texts(spark, d), "text", only_changed=True).select("tab", "row_id").distinct()
 
 
 def _maybe_scanned(spark: SparkSession, d: str) -> DataFrame:
@@ -53,9 +51,7 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
-    key = F.struct("tab", "row_id").alias("key")
-    texts = _both_texts(spark, d).select(key, "text")
-    return lookalikes.unify(texts, "key", "text").select("key.tab", "key.row_id", "text")
+    return lookalikes.unify(_both_texts(spark, d), "text")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

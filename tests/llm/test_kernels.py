@@ -68,8 +68,22 @@ def test_trie_finds_the_cheapest_then_most_frequent():
     trie = lookalikes.Trie()
     for w, n in (("vine", 5), ("nine", 9), ("fire", 3), ("āma", 2), ("cafe", 1)):
         trie.add(w, n)
-    assert trie.best("νine", 0.0) == "vine" and trie.best("ﬁre", 0.0) == "fire" and trie.best("ām​a", 0.0) == "āma"
-    assert trie.best("mine", 0.0) is None and trie.best("mine", 1.0) == "nine" and trie.best("", 0.0) is None
+    best = lambda w: (trie.best(w) or (0, 0, None))[2]
+    assert best("νine") == "vine" and best("ﬁre") == "fire" and best("a\u0304m\u200ba") == "āma"
+    assert best("mine") is None and best("") is None and best("νile") is None
+
+
+def test_vocabulary_decides_between_readings():
+    trie = lookalikes.Trie()
+    for w, n in (("nose", 5), ("rose", 9), ("pose", 2), ("hair", 4), ("Résumé", 1)):
+        trie.add(w, n)
+    # the table's reading is no word, another one is; a frequent other reading does not beat the table's
+    resume = "Re\u200b\u0301sum\u0435\u0301"
+    assert lookalikes.clean_word("νοsе") == "vose" and trie.best("νοsе")[2] == "nose" and trie.best("ρоsе")[2] == "pose"
+    assert trie.best("ηair")[2] == "hair" and trie.best(resume)[2] == "Résumé"
+    for w in ("νοsе", "ηair", "ρоse", resume, "nοsе"):
+        for split in (frozenset(), frozenset(["nose", "pose", "hair", "resu"])):
+            assert lookalikes.bucket_of(lookalikes._bare(trie.best(w)[2]), split) in lookalikes.buckets_of(w, split)
 
 
 def test_automaton_agrees_with_the_table():
@@ -81,7 +95,7 @@ def test_automaton_agrees_with_the_table():
         trie.add(w, 1)
     for w in words:
         bad = "".join(back.get(c, c) if i and r.random() < 0.3 else chr(0xFF41 + ord(c) - 97) if r.random() < 0.2 else c + "​" * (r.random() < 0.1) for i, c in enumerate(w))
-        assert trie.best(bad, 0.0) == w
+        assert trie.best(bad)[2] == w
 
 
 # --- kinds -------------------------------------------------------------------------------------------------------------

@@ -20,16 +20,21 @@ def table(spark, rows, schema="id bigint, text string", clash=True):
 ROWS = [(1, "plain"), (2, None), (3, ""), (4, "   \n"), (None, "ｗｉｄｅ plain"), (5, "long " * 20_000), (6, "plаin wоrd\xa0x"), (6, "plаin wоrd\xa0x"), (7, "dÃ©jÃ  vu")]
 
 
-def test_lookalikes(spark):
-    df = table(spark, ROWS)
-    made = lookalikes.unify(df, "id", "text")
-    assert made.columns == df.columns and made.count() == len(ROWS)
+@pytest.mark.parametrize("few,limit", [(True, 20_000), (False, 20_000), (True, 1)])
+def test_lookalikes(spark, monkeypatch, few, limit):
+    if not few:
+        monkeypatch.setattr(lookalikes, "LOOKUP_ROWS", -1)
+    extra = [(8, "nose rose noseband nosebleed"), (9, "a νοsе and a νοsеbаnd"), (None, "a νοsе"), (10, "wаter"), (10, "νοsеs")]
+    df = table(spark, ROWS + extra)
+    made = lookalikes.unify(df, "text", limit=limit)
+    assert made.columns == df.columns and made.count() == len(ROWS + extra)
     got = {(r["id"], r["text"]) for r in made.collect()}
-    assert (6, "plain word x") in got and (None, "wide plain") in got and (2, None) in got and (7, "dÃ©jÃ  vu") in got
-    assert {r["id"] for r in lookalikes.unify(df, "id", "text", only_changed=True).collect()} == {6, None}
-    assert lookalikes.unify(df.limit(0), "id", "text").count() == 0
-    spelled = {r["word"]: r["canonical"] for r in lookalikes.spellings(df, "text").collect()}
-    assert spelled["plаin"] == "plain"
+    assert {(6, "plain word x"), (None, "wide plain"), (2, None), (7, "dÃ©jÃ  vu"), (9, "a nose and a noseband"), (None, "a nose"), (10, "water"), (10, "voses"), (3, ""), (4, "   \n")} < got
+    changed = lookalikes.unify(df, "text", only_changed=True, limit=limit)
+    assert sorted(r["id"] or 0 for r in changed.collect()) == [0, 0, 6, 6, 9, 10, 10]
+    assert lookalikes.unify(df.limit(0), "text", limit=limit).count() == 0
+    spelled = {r["word"]: r["canonical"] for r in lookalikes.spellings(df, "text", limit).collect()}
+    assert spelled == {"νοsе": "nose", "νοsеbаnd": "noseband"}
 
 
 def test_encoding(spark):

@@ -4,14 +4,18 @@ Method: cross-parsing entropy. A suffix automaton of labelled text is built for
 the longest pieces that occur in a language's automaton, and the language that needs the fewest pieces for the text's
 length wins. Confidence is the lead over the second language, as a share of the second's pieces.
 
-Training: labels are noisy, so automata are built twice: sample sentences that the first ones give to another
-language are left out of the second ones. The samples are bounded (SAMPLE_ROWS records and SAMPLE_CHARS letters per
-language, chosen by a hash of the id); everything else covers all rows.
-
-Speed: automata are dense transition tables, and whole batches of sentences walk them in step.
-
-Defined results: null and blank texts, and texts without a whole sentence, have no language. A sentence has at least
-MIN_WORDS words and ends in sentence punctuation. Lines of any length that stand in SITE_SHARE of their own source's
+Training: the languages are the labels that the corpus has; LABELS only says which labels mean the same. A label needs
+LEAST_CHARS letters of sentences, of which its own automaton reads OWN_SHARE best; what has less is no language of its
+own. Labels are noisy, so automata are built twice: sample sentences that the first ones give to another language are
+left out of the second ones. The samples are bounded (SAMPLE_ROWS records and SAMPLE_CHARS letters per language, as many
+from a record at most, chosen by a hash of the id); everything else covers all rows.
+
+Speed: automata are dense transition tables, and whole batches of sentences walk them in step. Texts of over LONGEST
+characters do so in parts; where a piece runs over a cut, the next part is followed from there until both ways meet.
+
+Defined results: null and blank texts, and texts without a letter, have no language. A text without a whole sentence has
+the language of its letters, with no sentences and half the confidence. A sentence has at least MIN_WORDS words and ends
+in sentence punctuation. Lines of any length that stand in SITE_SHARE of their own source's
 records (SITE_RECORDS at least), or in COMMON_LINE of all records, count as site lines.
 """
 
@@ -38,9 +42,13 @@ from sutraloom.runtime import attach, collect_bounded, cut_lineage, map_columns
 SAMPLE_ROWS, SAMPLE_CHARS = 250, 40_000
 WORD_SAMPLE_ROWS, WORD_SAMPLE_CHARS = 8_000, 40_000
 MIN_WORDS = 4
+#: Letters of sentences that a label needs to be a language, and the share of them that it reads best itself.
+LEAST_CHARS, OWN_SHARE = 1_000, 0.6
+#: Labels that a corpus may have.
+LABELS_MOST = 10_000
 #: Texts that walk the automata together; a size at which their states stay near the processor.
 BATCH = 4_096
-#: Characters that one text may have in a batch; longer texts are parsed in parts.
+#: Characters of a text that walk the automata in one go; longer texts do so in parts.
 LONGEST = 2_000
 #: Letters (with the blank) that a word has on average in a sentence; what has fewer is noise.
 MIN_WORD_LENGTH = 3.2
@@ -100,7 +108,7 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.samples, self.names = samples, sorted(samples)
-        self.tables, self.codes, self.latin = [], [], []
+        self.tables, self.codes, self.has = [], [], []
         for name in self.names:
             nxt = suffix_automaton(samples[name])
             letters = sorted(set(samples[name]))
@@ -120,37 +128,65 @@ class Parser:
             table = (np.where(miss, to[1][None, :], to) * width << 1) | miss
             self.tables.append(table.astype(np.int32).ravel())
             self.codes.append(code)
-            self.latin.append(any("a" <= c <= "z" for c in letters))
+            self.has.append(code > 0)
+            self.has[-1][ord(" ")] = False
 
     def __reduce__(self) -> tuple:
         """The samples travel, which are small; the tables, which are not, are built where they are used."""
         return Parser, (self.samples,)
 
     def pieces(self, texts: list[str]) -> np.ndarray:
-        """Number of longest-match pieces of each text by language, (texts, languages); texts are not empty."""
+        """Number of longest-match pieces of each text by language, (texts, languages)."""
+        if not any([len(t) > LONGEST for t in texts]):
+            return self._walked(texts)[0]
+        parts = [t[i : i + LONGEST] for t in texts for i in range(0, len(t), LONGEST)]
+        owner = np.repeat(np.arange(len(texts)), [-(-len(t) // LONGEST) for t in texts])
+        counts, ends = self._walked(parts)
+        for k in range(len(self.names)):
+            for p in range(1, len(parts)):
+                if owner[p] == owner[p - 1]:
+                    more, end = self._joined(k, parts[p], int(ends[p - 1, k]), int(ends[p, k]))
+                    counts[p, k] += more
+                    ends[p, k] = end
+        total = np.zeros((len(texts), len(self.names)))
+        np.add.at(total, owner, counts)
+        return total
+
+    def _joined(self, k: int, part: str, at: int, end: int) -> tuple[int, int]:
+        """What a part has more pieces if the state before it is `at` rather than none, and its last state; `end` is its
+        last state without one."""
+        table, code, alone, more = self.tables[k], self.codes[k], 0, 0
+        for c in part:
+            if at == alone:
+                return more, end
+            step = int(code[ord(c)]) if ord(c) < 0x10000 else 0
+            went, other = int(table[at + step]), int(table[alone + step])
+            more += (went & 1) - (other & 1)
+            at, alone = went >> 1, other >> 1
+        return more, at
+
+    def _walked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of each text by language, and the automaton's last state."""
         n = len(texts)
-        if any([len(t) > LONGEST for t in texts]):  # long ones in parts, whose pieces add up
-            parts = [t[i : i + LONGEST] for t in texts for i in range(0, len(t), LONGEST)]
-            owner = np.repeat(np.arange(n), [-(-len(t) // LONGEST) for t in texts])
-            total = np.zeros((n, len(self.names)))
-            np.add.at(total, owner, self.pieces(parts))
-            return total
         if n > BATCH:
-            return np.concatenate([self.pieces(texts[i : i + BATCH]) for i in range(0, n, BATCH)])
-        result = np.zeros((n, len(self.names)), dtype=np.float64)
+            done = [self._walked(texts[i : i + BATCH]) for i in range(0, n, BATCH)]
+            return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        result, ends = np.zeros((n, len(self.names)), dtype=np.float64), np.zeros((n, len(self.names)), dtype=np.int32)
         if not n:
-            return result
+            return result, ends
         order = sorted(range(n), key=lambda i: -len(texts[i]))
         sizes = np.array([len(texts[i]) for i in order])
         joined = np.frombuffer("".join([texts[i] for i in order]).encode("utf-32-le"), dtype=np.uint32)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts that still run at each step
         joined = np.where(joined < 0x10000, joined, 0)
-        only_latin = not bool(((joined >= 0x0900) & (joined < 0x0E00)).any())
+        held = np.zeros(0x10000, dtype=bool)
+        held[joined] = True
         back = np.array(order)
         for k in range(len(self.names)):
-            if only_latin and not self.latin[k]:
+            if not (held & self.has[k]).any():  # no letter of this language: every character is a piece
                 result[back, k] = sizes
+                ends[back, k] = self._after_blank(k, texts, order)
                 continue
             table, coded = self.tables[k], self.codes[k][joined]
             at, count = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
@@ -159,8 +195,13 @@ class Parser:
                 went = table[at[:m] + coded[starts[:m] + step]]
                 count[:m] += went & 1
                 at[:m] = went >> 1
-            result[back, k] = count
-        return result
+            result[back, k], ends[back, k] = count, at
+        return result, ends
+
+    def _after_blank(self, k: int, texts: list[str], order: list[int]) -> list[int]:
+        """The last state of texts of which a language has no letter: that after a blank, or none."""
+        blank = int(self.tables[k][int(self.codes[k][ord(" ")])]) >> 1
+        return [blank if texts[i].endswith(" ") else 0 for i in order]
 
 
 def decide(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +279,7 @@ def sentences(text: str, wrapped: bool, common: frozenset[int]) -> list[str]:
 
 def _sampled(df: DataFrame, key: str, label: str, rows: int) -> DataFrame:
     """About 3 * rows records of each label, chosen by a hash of the key: a pass over the labels alone sets the rate."""
-    counts = collect_bounded(df.groupBy(label).agg(F.count("*").alias("n")), 10_000, "labels")
+    counts = collect_bounded(df.groupBy(label).agg(F.count("*").alias("n")), LABELS_MOST, "labels")
     rates = {r[label]: min(1.0, 3 * rows / r["n"]) for r in counts if r[label] is not None}
     if not rates:
         return df.where(F.lit(False))
@@ -282,23 +323,50 @@ def train_lists(lists: dict[str, list[str]], chars: int, joint: str, rounds: int
     return lists
 
 
+def own_languages(lists: dict[str, list[str]], chars: int, joint: str) -> dict[str, list[str]]:
+    """The labels that are languages of their own: while some label reads less than OWN_SHARE of its sentences best,
+    the one of these with the least text is left out."""
+    lists = {k: v for k, v in lists.items() if sum(len(t) + 1 for t in set(v)) >= LEAST_CHARS}
+    while len(lists) > 1:
+        kept = train_lists(lists, chars, joint, 1)
+        weak = [k for k, v in lists.items() if len(kept[k]) < OWN_SHARE * len(dict.fromkeys(v))]
+        if not weak:
+            break
+        del lists[min(weak, key=lambda k: (sum(map(len, lists[k])), k))]
+    return lists
+
+
 def train(lists: dict[str, list[str]], chars: int, joint: str, rounds: int = 2) -> Parser | None:
     """Automata of labelled pieces of text, purified; None without any."""
-    kept = train_lists(lists, chars, joint, rounds)
+    kept = train_lists(own_languages(lists, chars, joint), chars, joint, rounds)
     return Parser(_keep(kept, _budget(kept, chars), joint)) if kept else None
 
 
 def fit_documents(df: DataFrame, key: str, text: str, label: str, wrapped: str) -> Parser | None:
-    """Automata of the languages in a labelled sample of documents."""
-    labelled = df.select(key, text, wrapped, language(F.col(label)).alias("_label")).where(F.col(text).isNotNull())
-    sample = _sampled(labelled, key, "_label", SAMPLE_ROWS)
-    rows = collect_bounded(sample.select(F.xxhash64(key).alias("h"), text, wrapped, "_label"), 30 * SAMPLE_ROWS * 20, "language sample")
+    """Automata of the languages in a labelled sample of documents. Sentences are cut where the texts are; a record
+    sends as many letters at most as an automaton takes."""
+    labelled = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(wrapped).alias("_w"), language(F.col(label)).alias("_label")).where(F.col(text).isNotNull())
+
+    def kernel(cols: dict[str, list]) -> dict[str, list]:
+        made = []
+        for t, w in zip(cols["_t"], cols["_w"]):
+            size, mine = 0, []
+            for x in sentences(prepared(t), bool(w), frozenset()):
+                if size >= SAMPLE_CHARS:
+                    break
+                mine.append(x)
+                size += len(x)
+            made.append(mine)
+        return {"h": cols["h"], "label": cols["_label"], "made": made}
+
+    sample = _sampled(labelled, "_k", "_label", SAMPLE_ROWS).select(F.xxhash64("_k").alias("h"), "_t", "_w", "_label")
+    rows = collect_bounded(map_columns(sample, kernel, "h bigint, label string, made array<string>"), LABELS_MOST * 6 * SAMPLE_ROWS, "language sample")
     lists: dict[str, list[str]] = defaultdict(list)
     taken: Counter = Counter()
-    for r in sorted(rows, key=lambda r: (r["h"], r[text])):
-        if r["_label"] in LABELS and taken[r["_label"]] < SAMPLE_ROWS:
-            taken[r["_label"]] += 1
-            lists[r["_label"]] += sentences(prepared(r[text]), bool(r[wrapped]), frozenset())
+    for r in sorted(rows, key=lambda r: (r["h"], r["made"])):
+        if taken[r["label"]] < SAMPLE_ROWS:
+            taken[r["label"]] += 1
+            lists[r["label"]] += r["made"]
     # a sentence that stands under several labels is a site line; it tells nothing
     seen: dict[str, set] = defaultdict(set)
     for name, texts in lists.items():
@@ -360,7 +428,8 @@ def source_lines(counts: DataFrame, share: float = SITE_SHARE, least: int = SITE
 
 def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source: str | None = None) -> DataFrame:
     """(key, given, lang, sentences, share, confidence): one row for each language in which a record has whole
-    sentences. given: the language that the label names, null where missing. source: the site or book of a record,
+    sentences, and one with no sentences for a record with letters but no whole sentence, or none that any language reads
+    better than another. given: the language that the label names, null where missing. source: the site or book of a record,
     whose own site lines are left out too. Extra columns of df are not read."""
     parser = fit_documents(df, key, text, label, wrapped)
     key_type = df.schema[key].dataType.simpleString()
@@ -379,9 +448,14 @@ def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source:
         lists = {s: common.union(x) for s, x in dict(zip(cols["site"], cols["lines"])).items() if x}
         owner: list[int] = []
         latin, latin_at, other, other_at = [], [], [], []
+        bare: dict[int, str] = {}  # letters of the records without a whole sentence
         for i, (t, w) in enumerate(zip(cols["text"], cols["wrapped"])):
             if t:
-                for s in sentences(prepared(t), bool(w), lists.get(cols["site"][i], common)):
+                meant = prepared(t)
+                found = sentences(meant, bool(w), lists.get(cols["site"][i], common))
+                if not found and (s := letters(meant)):
+                    bare[i] = s
+                for s in found:
                     at = len(owner)
                     owner.append(i)
                     if s.isascii() or not _INDIC.search(s):
@@ -401,9 +475,17 @@ def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source:
         for at, i in enumerate(owner):
             per[i].append(at)
         out: dict[str, list] = {c: [] for c in (key, "given", "lang", "sentences", "share", "confidence")}
+
+        def add(i: int, k: int, n: int, share: float, sure: float) -> None:
+            for name, v in zip(out, (cols["key"][i], label_of(cols["label"][i]), names[k], n, share, sure)):
+                out[name].append(v)
+
+        if bare:
+            for i, k, sure in zip(bare, *decide(parser.pieces([f" {s} " for s in bare.values()]))):
+                add(i, int(k), 0, 1.0, float(sure) / 2)
         for i, at in per.items():
             total = pieces[at].sum(axis=0)
-            main = int(total.argmin())
+            main, rows = int(total.argmin()), len(out[key])
             # a sentence without a clear lead belongs to the record's main language
             of = [int(best[a]) if lead[a] >= MIN_CONFIDENCE else main for a in at]
             for k in sorted(set(of)):
@@ -412,8 +494,9 @@ def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source:
                 _, sure = decide(pieces[mine].sum(axis=0, keepdims=True))
                 if sure[0] < MIN_CONFIDENCE / 2:  # no language reads it better than another: noise
                     continue
-                for name, v in zip(out, (cols["key"][i], label_of(cols["label"][i]), names[k], len(mine), chars / float(size[at].sum()), float(sure[0]))):
-                    out[name].append(v)
+                add(i, k, len(mine), chars / float(size[at].sum()), float(sure[0]))
+            if len(out[key]) == rows:
+                add(i, main, 0, 1.0, float(decide(total[None, :])[1][0]) / 2)
         return out
 
     return map_columns(rows.select("key", "text", "label", "wrapped", "site", "lines"), kernel, schema)
@@ -424,9 +507,9 @@ _INDIC = re.compile("[ऀ-෿]")
 
 def wrong_or_mixed(detected: DataFrame, key: str) -> DataFrame:
     """(key, lang): the right language of records whose label is missing or names another, and each language of
-    records that mix several."""
+    records that mix several. Records without a whole sentence are none."""
     n = F.size("langs")
-    grouped = detected.groupBy(key).agg(F.first("given").alias("given"), F.collect_set("lang").alias("langs"))
+    grouped = detected.where(F.col("sentences") > 0).groupBy(key).agg(F.first("given").alias("given"), F.collect_set("lang").alias("langs"))
     hits = grouped.where((n > 1) | F.col("given").isNull() | (F.element_at("langs", 1) != F.col("given")))
     return hits.select(key, F.explode("langs").alias("lang"))
 

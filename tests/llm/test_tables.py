@@ -105,6 +105,24 @@ def test_languages(spark):
         got.setdefault(r["id"], set()).add(r["lang"])
     assert got == {50: {"en", "de"}, 51: {"de"}, 52: {"en"}}
     assert languages.detect(df.limit(0), "id", "text", "tag", "wrapped").count() == 0
+    whole = {r["id"]: (r["lang"], r["sentences"]) for r in detected.collect()}
+    assert whole[55][1] == 0 and not {53, 54} & whole.keys() and whole[56] == ("en", 2)  # each text with a letter has its language
+
+
+def test_languages_are_the_labels(spark):
+    """Labels in no list are languages, also in another alphabet; a label that only repeats another language is none."""
+    greek = str.maketrans("abcdefghijklmnopqrstuvwxyzäöüß", "αβγδεζηθικλμνξοπρστυφχψωάέήίόύ")
+    en, de = (lambda n: sentence(n, False)), (lambda n: sentence(n, True))
+    rows = [(i, f"{en(3 * i)} {en(5 * i + 1)} {en(7 * i + 2)}", "en") for i in range(40)]
+    rows += [(100 + i, f"{de(3 * i)} {de(5 * i + 1)} {de(7 * i + 2)}", "tlh") for i in range(40)]
+    rows += [(200 + i, " ".join(de(k).lower().translate(greek) for k in (3 * i, 5 * i + 1, 7 * i + 2)), "Greekish") for i in range(40)]
+    rows += [(300 + i, f"{en(2 * i + 900)} {en(5 * i + 77)}", "blog") for i in range(12)]
+    rows += [(400, f"{en(131)} {de(132)}", "en"), (401, de(133).lower().translate(greek), None), (402, "η ωέρζελ", "en")]
+    got = {}
+    for r in languages.detect(table(spark, [(*r, False) for r in rows], "id bigint, text string, tag string, wrapped boolean"), "id", "text", "tag", "wrapped").collect():
+        got.setdefault(r["id"], set()).add((r["lang"], r["sentences"] > 0))
+    assert got[400] == {("en", True), ("tlh", True)} and got[401] == {("greekish", True)} and got[402] == {("greekish", False)}
+    assert {x for i, v in got.items() if 300 <= i < 400 for x in v} == {("en", True)}
 
 
 def test_notices_of_small_sites(spark):

@@ -114,8 +114,10 @@ def drop_devanagari(c: Column) -> Column:
     return F.regexp_replace(c, r"[ऀ-ॿ]+", " ")
 
 
-def ocr_clean(c: Column) -> Column:
-    """Marks of scanning, single letters, apostrophe spellings, blanks and repeated signs, in this order."""
+def ocr_clean(c: Column, repair: Callable[[Column], Column] | None = None) -> Column:
+    """Marks of scanning, single letters, apostrophe spellings, blanks and repeated signs, in this order; before them
+    the caller's repair of wrong encodings, if any."""
+    c = repair(c) if repair else c
     for pattern in OCR_MARKS:
         c = F.regexp_replace(c, pattern, " ")
     return F.btrim(drop_repeated_signs(squeeze(replace_all(drop_single_letters(c), APOSTROPHES))))

@@ -31,6 +31,21 @@ def extract(question: Column, passages: Column, n: int = 3) -> Column:
     return T.let(T.let(_word_set(question), pick), lambda made: F.when(F.length(made) < LEAST, NOTHING).otherwise(made))
 
 
+def quoted(passages: Column, width: int = 100) -> Column:
+    """The beginning of each passage (an array in rank order) after its citation, joined by blanks."""
+    return F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("[Source "), (i + 1).cast("string"), F.lit("] "), F.left(F.coalesce(p, F.lit("")), F.lit(width)))), " ")
+
+
+def citations(answer: Column) -> Column:
+    return F.regexp_count(answer, F.lit(r"\[Source"))
+
+
+def coverage(answer: Column, entities: Column) -> Column:
+    """Share of the entities that an answer names in any case; a half without entities."""
+    named = T.let(F.lower(answer), lambda low: F.size(F.filter(entities, lambda e: F.contains(low, F.lower(e)))))
+    return F.when(F.size(entities) == 0, 0.5).otherwise(named / F.greatest(F.size(entities), F.lit(1)))
+
+
 def prompt(question: Column, context: Column, history: Column, system: Column) -> Column:
     """Instruction, history (if any), context and question, blank lines between."""
     parts = F.array(system, F.when(history != "", history), F.concat(F.lit("CONTEXT:\n"), context), F.concat(F.lit("QUESTION: "), question))

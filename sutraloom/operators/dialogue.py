@@ -36,6 +36,22 @@ def history(messages: DataFrame, n: int = 5) -> DataFrame:
     return kept.groupBy("session_id").agg(F.array_join(lines, "\n").alias("history"))
 
 
+#: Messages of a session that one task orders.
+BLOCK = 1_000
+
+
+def numbered(messages: DataFrame, name: str) -> DataFrame:
+    """Messages with their position in their session from 0, by seq. Those of a range of seq are ordered together; for
+    the ranges of a session only their counts are."""
+    rows = messages.withColumn("_range", F.floor(F.col("seq") / BLOCK))
+    counts = rows.groupBy("session_id", "_range").agg(F.count("*").alias("_n"))
+    earlier = Win.partitionBy("session_id").orderBy("_range").rowsBetween(Win.unboundedPreceding, -1)
+    starts = counts.select(F.col("session_id").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Win.partitionBy("session_id", "_range").orderBy("seq"))
+    met = rows.withColumn("_inside", inside).join(starts, F.col("session_id").eqNullSafe(F.col("_s")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return met.withColumn(name, F.col("_start") + F.col("_inside") - 1).drop("_range", "_s", "_r", "_start", "_inside")
+
+
 def _word_set(c: Column) -> Column:
     return F.array_distinct(T.words(F.lower(F.coalesce(c, F.lit("")))))
 
@@ -44,10 +60,16 @@ def relevant_history(messages: DataFrame, n: int = 3, least: int = 2, remembered
     """(session_id, seq, relevant): for each message of a user, those of the `remembered` messages before it that share
     at least `least` words with it, the most alike first, then the older; n of them as one text, empty without any.
 
-    A frame of `remembered` rows bounds what is held for a message, however long its session is."""
-    before = Win.partitionBy("session_id").orderBy("seq").rowsBetween(-remembered, -1)
+    A frame of `remembered` rows bounds what is held for a message. Sessions are cut into blocks of BLOCK messages, each
+    with the last messages of the block before it, so that a session of any length is no single task."""
+    rows = numbered(messages.select("session_id", "seq", "role", "content"), "_at")
+    block = F.floor(F.col("_at") / BLOCK)
+    # a block's last messages stand in the next one, too
+    last = F.when(F.col("_at") % BLOCK >= BLOCK - remembered, F.array(block, block + 1)).otherwise(F.array(block))
+    spread = rows.withColumn("_own", block).withColumn("_block", F.explode(last))
+    before = Win.partitionBy("session_id", "_block").orderBy("seq").rowsBetween(-remembered, -1)
     past = F.collect_list(F.struct("seq", "role", "content")).over(before)
-    asked = messages.withColumn("_past", past).where(F.col("role") == "user")
+    asked = spread.withColumn("_past", past).where((F.col("role") == "user") & (F.col("_own") == F.col("_block")))
     scored = T.let(_word_set(F.col("content")), lambda own: F.transform(F.col("_past"), lambda m: F.struct(F.size(F.array_intersect(own, _word_set(m["content"]))).alias("n"), m["seq"].alias("seq"), m["role"].alias("role"), m["content"].alias("content"))))
     hits = F.array_sort(F.transform(F.filter(scored, lambda m: m["n"] >= least), lambda m: F.struct((-m["n"]).alias("o"), m["seq"], m["role"], m["content"])))
     line = lambda m: F.concat(F.upper(F.coalesce(m["role"], F.lit(""))), F.lit(": "), F.left(F.coalesce(m["content"], F.lit("")), F.lit(150)), F.lit("..."))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,30 +88,56 @@ def script_filtered(lines: Column) -> Column:
     return F.filter(F.transform(lines, T.drop_devanagari), lambda x: ~T.is_gibberish(x))
 
 
+def page_sentences(normalised: Column) -> Column:
+    """The sentences of a page's text, which is in NFKC, with its letters and words made whole."""
+    c = T.dehyphenate(T.join_spaced_letters(T.drop_intrusive(T.ligatures(normalised))))
+    return T.sentences(T.squeeze(c))
+
+
+def page_paragraphs(sentences: Column) -> Column:
+    """Clean paragraphs of three sentences each."""
+    made = F.transform(sentences, lambda s: T.capitalise(T.drop_repeated_words(s)))
+    return F.when(F.array_join(sentences, "") == "", "").otherwise(T.paragraphs(made))
+
+
 def clean_page(normalised: Column) -> Column:
-    """A page's text, which is in NFKC, in clean paragraphs of three sentences."""
-    c = T.ligatures(normalised)
-    c = T.squeeze(T.dehyphenate(T.join_spaced_letters(T.drop_intrusive(c))))
-    made = F.transform(T.sentences(c), lambda s: T.capitalise(T.drop_repeated_words(s)))
-    return F.when(c == "", "").otherwise(T.paragraphs(made))
+    """A page's text, which is in NFKC, in clean paragraphs of three sentences, without a lexicon."""
+    return page_paragraphs(page_sentences(normalised))
 
 
-def clean_pages(df: DataFrame, key: str, source: str, text: str, terms: list[str], min_repeat: float = 0.3) -> DataFrame:
+def clean_pages(df: DataFrame, key: str, source: str, text: str, terms: list[str], min_repeat: float = 0.3, lexicon: DataFrame | None = None) -> DataFrame:
     """(key, source, text, entities): the whole cleaning of a corpus of pages in one plan: repeated lines, script filter,
-    paragraphs, the raw text where nothing is left, and the terms named."""
+    sentences, the lexicon's spelling of their words (if there is a lexicon), paragraphs, the raw text where nothing is
+    left, and the terms named. A word that is only like a lexicon name gets it only where the raw page has that name."""
     pages = drop_repeated(df, key, source, text, terms, min_repeat)
     merged = pages.select(key, source, text, F.array_join(script_filtered(F.col("lines")), " ").alias("_merged"))
-    clean = with_nfkc(merged, "_merged").withColumn("_clean", F.coalesce(clean_page(F.col("_merged")), F.lit("")))
+    cut = with_nfkc(merged, "_merged").withColumn("_merged", page_sentences(F.col("_merged")))
+    if lexicon is not None:
+        cut = cut.withColumn("_merged", speller(lexicon)("_merged", text))
+    clean = cut.withColumn("_clean", F.coalesce(page_paragraphs(F.col("_merged")), F.lit("")))
     final = F.when(F.col(text).isNotNull(), T.or_raw(F.col("_clean"), F.col(text)))
     return clean.select(key, source, final.alias(text)).withColumn("entities", mentions(F.col(text), terms))
 
 
-def integrated_clean(text: Column) -> Column:
+def integrated_clean(text: Column, repeated: Column | None = None, terms: list[str] | None = None) -> Column:
     """The other cleaning order: spaced letters, ligatures, Devanagari, NFKC, page marks, broken words, blanks; texts
-    of fewer than ten characters become empty."""
+    of fewer than ten characters become empty (see skip_reason).
+
+    terms: words to preserve; that step parts the text into words and joins them by blanks, so that the text is one line
+    from then on. repeated: lines of the text's source in lower case; a line that is one goes, unless it names a term."""
     c = T.replace_all(T.join_spaced_pairs(text), T.LIGATURES[:4])
-    c = T.squeeze(T.rejoin_broken(T.drop_page_marks(nfkc(T.drop_devanagari(c)))))
-    return F.when(F.length(T.strip(text)) < 10, "").otherwise(c)
+    c = T.rejoin_broken(T.drop_page_marks(nfkc(T.drop_devanagari(c))))
+    if terms is not None:
+        c = T.squeeze(c)
+    if repeated is not None:
+        stays = lambda x: T.let(line_key(x), lambda k: ~F.coalesce(F.array_contains(repeated, k), F.lit(False)) | mentions_any(k, terms or []))
+        c = F.array_join(F.filter(F.split(c, "\n"), stays), "\n")
+    return F.when(F.length(T.strip(text)) < 10, "").otherwise(T.squeeze(c))
+
+
+def skip_reason(text: Column) -> Column:
+    """Why the integrated cleaning leaves a text empty; null where it does not."""
+    return F.when(F.coalesce(F.length(T.strip(text)), F.lit(0)) < 10, "too_short")
 
 
 # --- lexicon spelling -----------------------------------------------------------------------------------------------------------
@@ -157,27 +186,61 @@ def indel_similarity(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
+def speller(lexicon: DataFrame, least: float = 90.0):
+    """An Arrow function (sentences, raw text) -> sentences in which each word has the lexicon's spelling: that of its
+    letters, else the most similar name of at least `least` that the raw text has. The lexicon is bounded and goes with
+    the function; a task scores a distinct word once, whatever number of texts it stands in."""
+    names, variants = lexicon_keys(lexicon)
+    similar = _nearest(names, least)
+
+    @F.pandas_udf("array<string>")
+    def spell(sentences: pd.Series, raw: pd.Series) -> pd.Series:
+        known: dict[str, tuple[str | None, str | None]] = {}
+
+        def of(word: str, low: str) -> str:
+            found = known.get(word)
+            if found is None:
+                bare = re.sub("[^a-zA-Z]", "", word)
+                exact = (variants.get(bare) or names.get(bare.lower())) if bare else word
+                found = known[word] = (exact, None if exact else similar(bare)[0])
+            exact, like = found
+            return exact or (like if like and like.lower() in low else word)
+
+        out = []
+        for s, t in zip(sentences, raw):
+            low = (t or "").lower()
+            out.append(None if s is None else [" ".join([of(w, low) for w in x.split()]) for x in s])
+        return pd.Series(out)
+
+    return spell
+
+
+def _nearest(names: dict[str, str], least: float) -> Callable[[str], tuple[str | None, float | None]]:
+    """The most similar of the names to a word and its score, the first of equals; nothing below `least`."""
+    bags = [(t, Counter(t)) for t in dict.fromkeys(names.values())]
+
+    def best(w: str) -> tuple[str | None, float | None]:
+        top, bag = (-1.0, None), Counter(w)
+        for t, other in bags:
+            # letters in common bound the common subsequence, whatever their order
+            shared = 0 if 2 * min(len(w), len(t)) * 100 < least * (len(w) + len(t)) else sum((bag & other).values())
+            if 200 * shared >= least * (len(w) + len(t)) and (v := indel_similarity(w, t)) > top[0]:
+                top = (v, t)
+        return (top[1], top[0]) if top[0] >= least else (None, None)
+
+    return best
+
+
 def fuzzy_lexicon(df: DataFrame, key: str, text: str, lexicon: DataFrame, least: float = 90.0) -> DataFrame:
     """(word, canonical, score): distinct words of the texts that are no entry but as similar to one as `least`.
 
     Words are made distinct before any is scored; the lexicon is bounded, so each word is scored in place."""
     names, variants = lexicon_keys(lexicon)
-    bags = [(t, Counter(t)) for t in dict.fromkeys(names.values())]
+    similar = _nearest(names, least)
 
     @F.pandas_udf("struct<canonical string, score double>")
-    def best(s):
-        import pandas as pd
-
-        out = []
-        for w in s:
-            top, bag = (-1.0, None), Counter(w)
-            for t, other in bags:
-                # letters in common bound the common subsequence, whatever their order
-                shared = 0 if 2 * min(len(w), len(t)) * 100 < least * (len(w) + len(t)) else sum((bag & other).values())
-                if 200 * shared >= least * (len(w) + len(t)) and (v := indel_similarity(w, t)) > top[0]:
-                    top = (v, t)
-            out.append((top[1], top[0]) if top[0] >= least else (None, None))
-        return pd.DataFrame(out, columns=["canonical", "score"])
+    def best(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([similar(w) for w in s], columns=["canonical", "score"])
 
     bare = F.regexp_replace("w", "[^a-zA-Z]", "")
     words = df.where(F.col(text).isNotNull()).select(F.explode(T.words(F.col(text))).alias("w")).select(bare.alias("word")).where(F.col("word") != "").distinct()

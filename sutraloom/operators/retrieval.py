@@ -31,7 +31,7 @@ INTENT_WORDS = {
 def top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(query key, key, score): the k most similar vectors of each query by cosine, ties to the smaller key.
 
-    Exact. A block of queries goes out by broadcast (its size is bounded by `block`); each task multiplies its vectors
+    Exact to DIGITS digits of the score: vectors that agree in these rank by key. A block of queries goes out by broadcast (its size is bounded by `block`); each task multiplies its vectors
     with it and keeps k of them per query, so that k rows per query and task move. Null and zero vectors match nothing;
     vectors of another length than the query are left out."""
     key_type, query_type = vectors.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
@@ -155,6 +155,14 @@ def confidence(reranked: DataFrame, group: str, text: str, answer_length: Column
     return reranked.groupBy(group).agg(F.round(F.least(value, F.lit(1.0)), 6).alias("confidence"))
 
 
+def answer_confidence(score: Column, passages: Column, answer: Column, cited: Column, covered: Column) -> Column:
+    """Confidence of one answer from the mean final score and the number of its passages, its length, citations and
+    coverage of entities, weighted as in `confidence`; 0 without passages."""
+    part = lambda x, of: F.least(x / of, F.lit(1.0))
+    value = score * 0.40 + part(passages, 5.0) * 0.20 + part(F.length(answer), 400.0) * 0.15 + part(cited, 3.0) * 0.15 + covered * 0.10
+    return F.when(passages > 0, F.round(F.least(value, F.lit(1.0)), 6)).otherwise(0.0)
+
+
 def pooled(vectors: Column, mask: Column) -> Column:
     """Mean of a sequence's vectors where the mask is 1, scaled to length 1 (a mask of zeros gives zeros)."""
     kept = F.filter(F.zip_with(vectors, mask, lambda v, m: F.when(m == 1, v)), lambda v: v.isNotNull())

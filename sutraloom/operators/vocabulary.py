@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from sutraloom.functions import text as T
 from sutraloom.functions.unicode import without_accents
+from sutraloom.runtime import cut_lineage, with_position
 
 _BLOCK_TAGS = "p|br|div|h[1-6]|ul|ol|li|table|tr|td|body|html"
 
@@ -64,8 +65,10 @@ def dictionary_terms(lines: DataFrame, line: str, tags: tuple[str, ...] = ("s",
     return iast.withColumn("ascii", T.iast_to_plain(F.col("iast"))).distinct()
 
 
-def table_terms(cells: DataFrame, cell: str) -> DataFrame:
-    """(iast, ascii) of the first cells of extracted tables; headings and empty cells are left out."""
+def table_terms(cells: DataFrame, cell: str, page: str | None = None, pages: tuple[int, int] = (499, 606)) -> DataFrame:
+    """(iast, ascii) of the first cells of extracted tables; headings and empty cells are left out. page: the column of
+    the page number, of which only `pages` count, the first and the last too."""
+    cells = cells.where(F.col(page).between(*pages)) if page else cells
     rows = cells.where(F.col(cell).isNotNull() & (F.col(cell) != "") & ~F.contains(F.col(cell), F.lit("Sanskrit")))
     iast = T.underscored(T.strip(F.col(cell)))
     return rows.select(iast.alias("iast"), T.term_to_ascii(iast).alias("ascii"))
@@ -86,6 +89,12 @@ def labelled_words(first: DataFrame, second: DataFrame) -> DataFrame:
     return every.groupBy("ascii").agg(F.min_by("label", F.struct("_o", "label")).alias("label"))
 
 
+def sorted_words(words: DataFrame, word: str) -> DataFrame:
+    """(position from 0, word): the distinct words in code-point order, sorted by range partitions."""
+    distinct = words.where(F.col(word).isNotNull()).select(F.col(word).alias("word")).distinct()
+    return with_position(cut_lineage(distinct.orderBy("word")), "position").select("position", "word")
+
+
 def english_words(lines: DataFrame, line: str) -> DataFrame:
     rows = lines.where(T.strip(F.col(line)) != "")
     return rows.select(F.replace(F.lower(T.strip(F.col(line))), F.lit(" "), F.lit("_")).alias("ascii"), F.lit(0).alias("label"))
@@ -103,12 +112,11 @@ def add_words(vocabulary: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def preserved_terms(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
-    """(key, n_known): how many words of each text, without signs at their ends, a vocabulary knows. Words of a text are
-    counted inside its row first, so that a frequent word moves once per text."""
+    """(key, n_known): how many words of each text, without signs at their ends, a vocabulary knows. Words are counted by
+    text first, so that a frequent word moves once per text."""
     bare = F.filter(F.transform(T.words(F.lower(F.col(text))), lambda w: F.btrim(w, F.lit(".,;:!?()"))), lambda w: w != "")
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), bare.alias("_words"))
-    counted = rows.select("_key", "_words", F.explode(F.array_distinct("_words")).alias("word"))
-    counted = counted.select("_key", "word", F.size(F.filter("_words", lambda w: w == F.col("word"))).alias("n"))
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.explode(bare).alias("word"))
+    counted = rows.groupBy("_key", "word").agg(F.count("*").alias("n"))
     per = counted.join(known.select("word").distinct(), "word").groupBy("_key").agg(F.sum("n").alias("n_known"))
     return texts.select(key).join(per, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("n_known", F.lit(0)).alias("n_known"))
 
@@ -128,11 +136,12 @@ def trigram_index(words: DataFrame, word: str) -> DataFrame:
 
 
 def vocabulary_counts(words: DataFrame, word: str) -> DataFrame:
-    distinct = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct()
-    a = distinct.agg(F.count("*").alias("total_words"), F.count_distinct(F.lower("word")).alias("unique_lowercase"))
+    """(total_words, unique_lowercase, total_trigrams, mean_frequency) of the distinct words."""
+    distinct = words.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("word")).agg(F.count("*").alias("freq"))
+    a = distinct.agg(F.count("*").alias("total_words"), F.count_distinct(F.lower("word")).alias("unique_lowercase"), F.round(F.avg("freq"), 6).alias("mean_frequency"))
     b = distinct.select(F.explode(T.trigrams(F.col("word"))).alias("t")).agg(F.count_distinct("t").alias("total_trigrams"))
     both = a.unionByName(b, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in ("total_words", "unique_lowercase", "total_trigrams")])
+    return both.agg(*[F.max(c).alias(c) for c in ("total_words", "unique_lowercase", "total_trigrams", "mean_frequency")])
 
 
 def trigram_candidates(asked: DataFrame, word: str, vocabulary: DataFrame, vocabulary_word: str, n: int = 10) -> DataFrame:

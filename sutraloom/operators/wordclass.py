@@ -130,6 +130,22 @@ def split_by_hash(rows: DataFrame, *columns: str, train: float = 0.70, valid: fl
     return rows.withColumn("part", F.when(u < train, "train").when(u < train + valid, "valid").otherwise("test"))
 
 
+def stratified_split(rows: DataFrame, label: str, *columns: str, train: float = 0.70, valid: float = 0.15) -> DataFrame:
+    """Rows with `part` (train, valid, test) in the same shares of each label, up to one row in 10,000. The bounds are
+    quantiles of a hash by label, which tasks sketch: no label's rows are sorted or meet in one task."""
+    rows = rows.withColumn("_u", hash_share(*columns))
+    bounds = rows.groupBy(F.col(label).alias("_label")).agg(F.percentile_approx("_u", [train, train + valid], 10_000).alias("_cut"))
+    met = rows.join(F.broadcast(bounds), F.col(label).eqNullSafe(F.col("_label")))
+    part = F.when(F.col("_u") <= F.get("_cut", F.lit(0)), "train").when(F.col("_u") <= F.get("_cut", F.lit(1)), "valid").otherwise("test")
+    return met.withColumn("part", part).drop("_u", "_label", "_cut")
+
+
+def label_index(rows: DataFrame, label: str) -> DataFrame:
+    """(label, index from 0): the distinct labels in order; labels are few."""
+    labels = F.array_sort(F.collect_set(label))
+    return rows.where(F.col(label).isNotNull()).agg(labels.alias("a")).select(F.posexplode("a").alias("index", "label")).select("label", F.col("index").cast("bigint").alias("index"))
+
+
 def fit_classifier(train: DataFrame, word: str, label: str, features: int = 1 << 14, seed: int = 7):
     """A pipeline of character n-grams, hashing and multinomial logistic regression; words in lower case."""
     from pyspark.ml import Pipeline

@@ -9,7 +9,7 @@ from sutraloom.functions import text as T
 from sutraloom.functions.unicode import nfkc, without_accents
 from sutraloom.operators import chunks, pages
 from sutraloom.plans.registry import query
-from sutraloom.runtime import table
+from sutraloom.runtime import attach, table
 from sutraloom.sources import readers
 
 PAGES = "ayurveda_docs_final"
@@ -74,6 +74,15 @@ def extract_pages(spark, d):
     return pages.joined_pages(_pages(spark, d), "rec_id", "source", "content", _terms(spark, d), REPEAT)
 
 
+#: Pages with their number as a mark before and after the first line end.
+_NUMBERED = "(SELECT rec_id, CASE WHEN content IS NOT NULL THEN coalesce(page, 0) || ' | Page' || chr(10) || content || ' ' || coalesce(page, 0) || '  |  Page.' || chr(10) || '[Page 7] | 12' END AS content FROM ayurveda_docs_final)"
+
+
+def _numbered(text, page):
+    n = F.coalesce(page, F.lit(0)).cast("string")
+    return F.concat(n, F.lit(" | Page\n"), text, F.lit(" "), n, F.lit("  |  Page.\n[Page 7] | 12"))
+
+
 _SIGNS = r"""[^a-zA-Z0-9\s.,;:''\"!?()-]"""
 
 
@@ -100,9 +109,11 @@ def noise_lines(spark, d):
     return _lines(spark, d).where(T.is_noise(F.col("line"))).select("rec_id", "line_no")
 
 
-@query("readable_tokens", rf"""SELECT rec_id, coalesce(array_to_string(list_filter(string_split({_squeeze('content')}, ' '),
-  lambda t: regexp_full_match(t, '[A-Za-z0-9.,;:()''\"-]+') AND length(t) <= 25 AND len(regexp_extract_all(t, '[A-Za-z0-9]')) >= length(t) * 0.8), ' '), '') AS content
-  FROM ayurveda_docs_final WHERE content IS NOT NULL""")
+_READABLE = rf"""coalesce(array_to_string(list_filter(string_split({_squeeze('content')}, ' '),
+  lambda t: regexp_full_match(t, '[A-Za-z0-9.,;:()''\"-]+') AND length(t) <= 25 AND len(regexp_extract_all(t, '[A-Za-z0-9]')) >= length(t) * 0.8), ' '), '')"""
+
+
+@query("readable_tokens", f"SELECT rec_id, {_READABLE} AS content FROM ayurveda_docs_final WHERE content IS NOT NULL")
 def readable_tokens(spark, d):
     return _pages(spark, d).where(F.col("content").isNotNull()).select("rec_id", T.readable_tokens(F.col("content")).alias("content"))
 
@@ -196,10 +207,35 @@ def pages_last_wins(spark, d):
     return chunks.last_wins(rows, ["source", "page"], ["loaded_at", "rec_id"]).select("source", "page", "rec_id", "content")
 
 
-@query("page_marks", r"SELECT rec_id, regexp_replace(content, '(?m)^[\d\s|]+$', '', 'g') AS content FROM (SELECT rec_id, regexp_replace(content, '\[Page\s+\d+\]', '', 'g') AS content FROM ayurveda_docs_final)")
+def _page_marks_sql(c: str) -> str:
+    """Marks one after the other, each leaving a sign, so that what is left of a line is not taken for a mark."""
+    for _ in range(2):  # a mark's end may be the beginning of the next
+        c = rf"regexp_replace({c}, '(^|[^\p{{L}}\p{{N}}_])\d+\s*\|\s*Page($|[^\p{{L}}\p{{N}}_])', '\1' || chr(1) || '\2', 'g')"
+    c = rf"regexp_replace({c}, '\[Page\s+\d+\]', chr(1), 'g')"
+    return rf"replace(regexp_replace({c}, '(?m)^[\d\s|]+$', '', 'g'), chr(1), '')"
+
+
+@query("page_marks", f"SELECT rec_id, {_page_marks_sql('content')} AS content FROM {_NUMBERED}")
 def page_marks(spark, d):
-    c = F.regexp_replace(F.regexp_replace("content", r"\[Page\s+\d+\]", ""), r"(?m)^[\d\s|]+$", "")
-    return _pages(spark, d).select("rec_id", c.alias("content"))
+    """Page marks of all pages; every page gets its number as `N | Page`, which the tables do not have."""
+    return _pages(spark, d).select("rec_id", T.drop_page_marks(_numbered(F.col("content"), F.col("page"))).alias("content"))
+
+
+@query("raw_fallback", rf"""SELECT rec_id, CASE WHEN trim(clean) = '' THEN content ELSE clean END AS content FROM (SELECT rec_id, content, {_READABLE} AS clean FROM ayurveda_docs_final WHERE content IS NOT NULL)""")
+def raw_fallback(spark, d):
+    pages_ = _pages(spark, d).where(F.col("content").isNotNull())
+    return pages_.select("rec_id", T.or_raw(T.readable_tokens(F.col("content")), F.col("content")).alias("content"))
+
+
+@query("repeated_lines_default", _REPEATED.replace(f"* {REPEAT}", "* 0.3"))
+def repeated_lines_default(spark, d):
+    """Repeated lines at the operator's own share."""
+    return pages.repeated_lines(_pages(spark, d), "source", "content")
+
+
+@query("skip_reasons", f"SELECT rec_id, CASE WHEN coalesce(length({_strip('content')}), 0) < 10 THEN 'too_short' END AS skipped FROM ayurveda_docs_final")
+def skip_reasons(spark, d):
+    return _pages(spark, d).select("rec_id", pages.skip_reason(F.col("content")).alias("skipped"))
 
 
 @query("dehyphenated", rf"SELECT rec_id, regexp_replace(content, '-{SP}*\n{SP}*', '', 'g') AS content FROM ayurveda_docs_final")
@@ -270,9 +306,12 @@ def repeated_words(spark, d):
 
 @query("integrated_clean")
 def integrated_clean(spark, d):
-    return _pages(spark, d).select("rec_id", pages.integrated_clean(F.col("content")).alias("content"))
+    """All pages with their source's repeated lines at hand; lines are kept as lines, as no words are preserved."""
+    repeated = pages.repeated_lines(_pages(spark, d), "source", "content", REPEAT).groupBy(F.col("source").alias("_s")).agg(F.collect_set("line_norm").alias("_lines"))
+    rows = attach(_pages(spark, d), "source", repeated, "_s", "rec_id")
+    return rows.select("rec_id", pages.integrated_clean(F.col("content"), F.col("_lines")).alias("content"), pages.skip_reason(F.col("content")).alias("skipped"))
 
 
 @query("clean_pages")
 def clean_pages(spark, d):
-    return pages.clean_pages(_pages(spark, d), "rec_id", "source", "content", _terms(spark, d), REPEAT)
+    return pages.clean_pages(_pages(spark, d), "rec_id", "source", "content", _terms(spark, d), REPEAT, table(spark, d, "lexicon"))

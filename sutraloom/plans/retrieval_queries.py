@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sutraloom.operators import answers, questions, retrieval
+from sutraloom.operators import answers, dialogue, questions, retrieval
 from sutraloom.plans.registry import query
 from sutraloom.runtime import table
 from sutraloom.sources import embedders
@@ -74,10 +74,35 @@ def rerank(spark, d):
     return _reranked(spark, d).select("question", F.col("rank").cast("bigint").alias("rank"), "vec_id", *shown)
 
 
-@query("confidence", f"""SELECT question, round(least(1e0, avg(final_score) * 0.4e0 + least(count(*) / 5e0, 1e0) * 0.2e0 + least(sum(coalesce(length(text), 0)) / 400e0, 1e0) * 0.15e0
-  + least(count(*) / 3e0, 1e0) * 0.15e0 + 0.05e0), 6) AS confidence FROM ({_RERANK}) GROUP BY question""")
+_QUOTED = f"""SELECT question, avg(final_score) AS score, count(*) AS n, string_agg('[Source ' || rank || '] ' || left(coalesce(text, ''), 100), ' ' ORDER BY rank) AS answer,
+  left(coalesce(arg_min(coalesce(text, ''), rank), ''), 300) AS asked FROM ({_RERANK}) GROUP BY question"""
+_TERM_LIST = "[" + ", ".join(f"'{t}'" for t in questions.TERMS) + "]"
+
+
+def _quoted(spark, d) -> DataFrame:
+    """An answer to each question that quotes its passages; the question is the beginning of the best one."""
+    grouped = _reranked(spark, d).groupBy("question").agg(_in_rank_order("text").alias("passages"), F.avg("final_score").alias("score"), F.count("*").alias("n"))
+    return grouped.withColumn("answer", answers.quoted(F.col("passages"))).withColumn("asked", F.left(F.get("passages", F.lit(0)), F.lit(300)))
+
+
+def _in_rank_order(text: str):
+    return F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce(text, F.lit("")).alias("text")))), lambda x: x["text"])
+
+
+@query("confidence", f"""WITH a AS (SELECT *, list_filter({_TERM_LIST}, lambda t: contains(lower(asked), t)) AS found FROM ({_QUOTED}))
+SELECT question, round(least(1e0, score * 0.4e0 + least(n / 5e0, 1e0) * 0.2e0 + least(length(answer) / 400e0, 1e0) * 0.15e0 + least(len(regexp_extract_all(answer, '\\[Source')) / 3e0, 1e0) * 0.15e0
+  + CASE WHEN len(found) = 0 THEN 0.5e0 ELSE len(list_filter(found, lambda t: contains(lower(answer), t))) / len(found) END * 0.1e0), 6) AS confidence FROM a""")
 def confidence(spark, d):
-    return retrieval.confidence(_reranked(spark, d), "question", "text")
+    made = _quoted(spark, d).withColumn("found", questions.entities(F.col("asked")))
+    covered = answers.coverage(F.col("answer"), F.col("found"))
+    value = retrieval.answer_confidence(F.col("score"), F.col("n"), F.col("answer"), answers.citations(F.col("answer")), covered)
+    return made.select("question", value.alias("confidence"))
+
+
+@query("badges", f"SELECT question, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS badge FROM (SELECT question, round(avg(final_score), 6) AS score FROM ({_RERANK}) GROUP BY question)")
+def badges(spark, d):
+    scores = _reranked(spark, d).groupBy("question").agg(F.round(F.avg("final_score"), 6).alias("score"))
+    return scores.select("question", answers.badge(F.col("score")).alias("badge"))
 
 
 @query("context_render", f"""SELECT question, string_agg('[Source ' || rank || ': ' || coalesce(source, 'unknown') || ', Page ' || coalesce(page, -1) || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context
@@ -148,8 +173,36 @@ def index_stats(spark, d):
 def extractive_answers(spark, d):
     """For every question of the reranked passages: the answer from their sentences, and what it is worth. The question
     is the first sentence of its best passage."""
-    passages = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
-    grouped = _reranked(spark, d).groupBy("question").agg(passages.alias("passages"), F.avg("final_score").alias("score"))
+    grouped = _reranked(spark, d).groupBy("question").agg(_in_rank_order("text").alias("passages"), F.avg("final_score").alias("score"))
     asked = grouped.withColumn("asked", F.substring_index(F.get("passages", F.lit(0)), ".", 1))
     made = asked.withColumn("answer", answers.extract(F.col("asked"), F.col("passages")))
     return answers.judged(made, "asked", "answer", "passages").select("question", "answer", "groundedness", "relevance", "quality", answers.badge(F.col("score")).alias("badge"))
+
+
+@query("chat_turns")
+def chat_turns(spark, d):
+    """Every question of a user, answered as a turn of its conversation: intent, entities and phrasings, search with
+    each phrasing over all documents, reranking, the answer from the passages' sentences with its sources, confidence
+    and badge, and what the conversation remembered before.
+
+    Equal phrasings are searched once; the passages come to the hits by their key."""
+    messages = dialogue.delivered_once(table(spark, d, "chat_messages"))
+    documents = table(spark, d, "documents").where(F.col("text").isNotNull())
+    asked = messages.where((F.col("role") == "user") & F.col("content").isNotNull()).select("session_id", "seq", F.col("content").alias("asked"))
+    asked = asked.withColumn("intent", questions.intent(F.col("asked"))).withColumn("found", questions.entities(F.col("asked")))
+    content = asked.select("asked", "intent", "found").distinct()
+    phrased = content.select("asked", F.explode(questions.phrasings(F.col("asked"), F.col("intent"), F.col("found"))).alias("phrasing"))
+    queries = embedders.embed(phrased.select("phrasing").distinct(), "phrasing", "v")
+    vectors = embedders.embed(documents.select("doc_id", "text"), "text").select("doc_id", "embedding")
+    hits = retrieval.top_k(vectors, "doc_id", "embedding", queries, "phrasing", "v", 5).join(phrased, "phrasing")
+    best = retrieval.best_per_document(hits, "asked", "doc_id", 10).join(documents.select("doc_id", "text", "source", "page"), "doc_id").join(content.select("asked", "intent"), "asked")
+    top = retrieval.rerank(best, "asked", "doc_id", "text", "source", F.col("intent"))
+    grouped = top.groupBy("asked").agg(_in_rank_order("text").alias("passages"), F.avg("final_score").alias("score"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "source", "page"))).alias("sources"))
+    cited = F.array_join(F.transform("sources", lambda s: F.concat(F.lit("[Source "), s["rank"].cast("string"), F.lit("]"))), " ")
+    made = grouped.withColumn("answer", F.concat_ws(" ", answers.extract(F.col("asked"), F.col("passages")), cited))
+    turns = asked.join(made, "asked", "left").join(dialogue.relevant_history(messages), ["session_id", "seq"], "left")
+    answer = F.coalesce("answer", F.lit(answers.NOTHING))
+    covered = answers.coverage(answer, F.col("found"))
+    sure = retrieval.answer_confidence(F.coalesce("score", F.lit(0.0)), F.coalesce("n", F.lit(0)), answer, answers.citations(answer), covered)
+    shown = turns.withColumn("answer", answer).withColumn("confidence", sure).withColumn("follow_up", questions.is_follow_up(F.col("asked"), F.col("seq") > 1))
+    return shown.select("session_id", "seq", "intent", F.array_join("found", "|").alias("entities"), "follow_up", "relevant", "answer", F.coalesce("n", F.lit(0)).alias("n_sources"), "confidence", answers.badge(F.col("confidence")).alias("badge"))

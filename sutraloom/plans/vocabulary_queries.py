@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sutraloom.functions import text as T
 from sutraloom.operators import vocabulary, wordclass
-from sutraloom.plans.page_queries import SP, _strip
+from sutraloom.plans.page_queries import SP, _squeeze, _strip
 from sutraloom.plans.registry import query
 from sutraloom.runtime import table
 
@@ -44,15 +44,99 @@ def term_keys(spark, d):
     return _glossary(spark, d).select("entry_id", T.term_key(F.col("sanskrit_term")).alias("term_key"))
 
 
-@query("glossary_terms", f"SELECT DISTINCT replace(regexp_replace({_strip('sanskrit_term')}, ':$', ''), '-', '_') AS term FROM sanskrit_glossary WHERE {_strip('sanskrit_term')} NOT IN ('', ':')")
+# Pages of a glossary made from the tables' terms: tags with attributes, nested and unclosed, in either case.
+_GLOSSARY_PAGE = ("<html><body><p><STRONG class='t'>", "</STRONG> gloss<br>and <strong><i>", "</i>-x: </strong><stronger>no</stronger>")
+_ENTRY_PAGE = ("<div><p align='left'>", " - a <b>plant</b> of hills<p>Root-stock (", ") – of a tree</p><p>no dash here</p><P> ", " (variant)</P></div>")
+
+
+def _page_sql(parts: tuple[str, ...], c: str) -> str:
+    return f" || {c} || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
+def _page(parts: tuple[str, ...], c):
+    every = [F.lit(parts[0])]
+    for p in parts[1:]:
+        every += [c, F.lit(p)]
+    return F.concat(*every)
+
+
+_BARE_TAGS = "regexp_replace(x, '<[^>]*>', '', 'g')"
+_INNER = f"unnest(list_transform(regexp_extract_all(html, '(?is)<strong(?:\\s[^>]*)?>(.*?)</strong>', 1), lambda x: {_strip(_BARE_TAGS)}))"
+
+
+@query("glossary_terms", f"""SELECT DISTINCT term FROM (SELECT replace(regexp_replace(t, ':$', ''), '-', '_') AS term FROM (
+  SELECT {_INNER} AS t FROM (SELECT {_page_sql(_GLOSSARY_PAGE, 'sanskrit_term')} AS html FROM sanskrit_glossary WHERE sanskrit_term IS NOT NULL))) WHERE term <> ''""")
 def glossary_terms(spark, d):
-    return _glossary(spark, d).select(vocabulary.glossary_term(F.col("sanskrit_term")).alias("term")).where(F.col("term") != "").distinct()
+    """Terms in a tag of pages that hold every term of the glossary."""
+    html = _glossary(spark, d).where(F.col("sanskrit_term").isNotNull()).select(_page(_GLOSSARY_PAGE, F.col("sanskrit_term")).alias("html"))
+    return vocabulary.glossary_terms(html, "html")
+
 
+_BLOCKS_OFF = r"regexp_replace(regexp_replace(x, '(?is)</?(?:p|br|div|h[1-6]|ul|ol|li|table|tr|td|body|html)\b.*$', ''), '<[^>]*>', '', 'g')"
+_HEAD = r"regexp_extract(t, '^([A-Za-z \-()]+?)\s*[-–]\s*(?:.*)$', 1)"
+_MAIN, _VARIANT = r"regexp_replace(head, '\(.*?\)', '', 'g')", r"regexp_extract(head, '\((.*?)\)', 1)"
 
-@query("entry_terms", f"SELECT DISTINCT lower(regexp_replace(regexp_replace({_strip('sanskrit_ayurvedic_terms')}, '[- ]', '_', 'g'), '_+', '_', 'g')) AS term FROM ayurveda_terms_from_ak WHERE sanskrit_ayurvedic_terms IS NOT NULL")
+
+@query("entry_terms", rf"""WITH t AS (SELECT unnest(list_transform(regexp_split_to_array(html, '(?i)<p(?:\s[^>]*)?>')[2:], lambda x: {_squeeze(_BLOCKS_OFF)})) AS t
+  FROM (SELECT {_page_sql(_ENTRY_PAGE, 'sanskrit_ayurvedic_terms')} AS html FROM ayurveda_terms_from_ak WHERE sanskrit_ayurvedic_terms IS NOT NULL)),
+h AS (SELECT {_strip(_HEAD)} AS head FROM t),
+p AS (SELECT {_strip(_MAIN)} AS part FROM h WHERE head <> '' UNION ALL SELECT {_strip(_VARIANT)} FROM h WHERE regexp_matches(head, '\(.*?\)'))
+SELECT DISTINCT lower(regexp_replace(regexp_replace(part, '[- ]', '_', 'g'), '_+', '_', 'g')) AS term FROM p""")
 def entry_terms(spark, d):
-    names = table(spark, d, "ayurveda_terms_from_ak").where(F.col("sanskrit_ayurvedic_terms").isNotNull())
-    return names.select(vocabulary.entry_term(F.col("sanskrit_ayurvedic_terms")).alias("term")).distinct()
+    """Terms and variants in the paragraphs of pages that hold every entry."""
+    html = table(spark, d, "ayurveda_terms_from_ak").where(F.col("sanskrit_ayurvedic_terms").isNotNull()).select(_page(_ENTRY_PAGE, F.col("sanskrit_ayurvedic_terms")).alias("html"))
+    return vocabulary.entry_terms(html, "html")
+
+
+_SLP1 = rf"regexp_replace(regexp_replace(regexp_replace({_strip('{c}')}, '[-—]', '', 'g'), 'srs+', '', 'g'), '[^a-zA-Z]', '', 'g')"
+_VALID = "CASE WHEN length(w) >= 3 AND regexp_matches(w, '[aAiIuUfFxXeEoO]') THEN w END"
+_SOUNDS = "map([" + ", ".join(f"'{k}'" for k in T.SLP1) + "], [" + ", ".join(f"'{v}'" for v in T.SLP1.values()) + "])"
+_IAST = f"array_to_string(list_transform(string_split(w, ''), lambda x: coalesce({_SOUNDS}[x], x)), '')"
+
+
+@query("slp1_words", f"SELECT word_id, w AS word, {_IAST} AS iast FROM (SELECT word_id, {_VALID} AS w FROM (SELECT word_id, {_fill(_SLP1, 'ascii')} AS w FROM final_language_dataset))")
+def slp1_words(spark, d):
+    made = _words(spark, d).select("word_id", T.slp1_word(F.col("ascii")).alias("word"))
+    return made.select("word_id", "word", T.slp1_to_iast(F.col("word")).alias("iast"))
+
+
+@query("dictionary_terms", f"""SELECT DISTINCT iast, {_fill(_PLAIN, 'iast')} AS ascii FROM (SELECT {_IAST} AS iast FROM (SELECT {_VALID} AS w FROM (
+  SELECT unnest([{_fill(_SLP1, 'ascii')}, {_fill(_SLP1, "upper(ascii)")}]) AS w FROM final_language_dataset WHERE ascii IS NOT NULL AND NOT contains(ascii, '<'))) WHERE w IS NOT NULL) WHERE NOT regexp_matches(iast, '[ḻṟ]')""")
+def dictionary_terms(spark, d):
+    """Words in the tags of dictionary lines, one for each word of the table."""
+    words = _words(spark, d).where(F.col("ascii").isNotNull() & ~F.contains("ascii", F.lit("<")))
+    lines = words.select(F.concat(F.lit("<L>12<k1>"), F.upper("ascii"), F.lit("</k1> of <s>"), F.col("ascii"), F.lit("</s> cf. <ls>x</ls>")).alias("line"))
+    return vocabulary.dictionary_terms(lines, "line")
+
+
+_CELL = _fill(_UNDER, _strip("sanskrit_term"))
+
+
+@query("table_terms", f"SELECT {_CELL} AS iast, lower({_fill(_UNDER, _fill(_PLAIN, _CELL))}) AS ascii FROM sanskrit_glossary WHERE sanskrit_term <> '' AND NOT contains(sanskrit_term, 'Sanskrit')")
+def table_terms(spark, d):
+    return vocabulary.table_terms(_glossary(spark, d), "sanskrit_term")
+
+
+@query("sorted_vocabulary", "SELECT row_number() OVER (ORDER BY word) - 1 AS position, word FROM (SELECT DISTINCT ascii AS word FROM final_language_dataset WHERE ascii IS NOT NULL)")
+def sorted_vocabulary(spark, d):
+    return vocabulary.sorted_words(_words(spark, d), "ascii")
+
+
+@query("edit_distances", "SELECT DISTINCT ascii AS word, levenshtein(ascii, lower(ascii) || 'a') AS typed, levenshtein(ascii, 'vata') AS other FROM final_language_dataset WHERE ascii IS NOT NULL AND regexp_full_match(ascii, '[ -~]*')")
+def edit_distances(spark, d):
+    words = _words(spark, d).where(F.col("ascii").isNotNull() & F.regexp_like("ascii", F.lit("^[ -~]*$"))).select(F.col("ascii").alias("word")).distinct()
+    return words.select("word", F.levenshtein("word", F.concat(F.lower("word"), F.lit("a"))).alias("typed"), F.levenshtein("word", F.lit("vata")).alias("other"))
+
+
+_LOG = "(SELECT (strftime(o_orderdate, '%Y')::INT - 1992) * 12 + strftime(o_orderdate, '%m')::INT - 1 AS epoch, round(avg(o_totalprice), 2) AS val_loss, round(1e0 / count(*), 9) AS val_accuracy FROM orders GROUP BY 1)"
+
+
+@query("best_epoch", f"SELECT epoch + 1 AS epoch, val_loss, val_accuracy FROM {_LOG} ORDER BY val_loss, val_accuracy LIMIT 1")
+def best_epoch(spark, d):
+    """The month of least mean price, as a training log's epoch of least loss."""
+    month = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1
+    log = table(spark, d, "orders").groupBy(month.alias("epoch")).agg(F.round(F.avg("o_totalprice"), 2).alias("val_loss"), F.round(1.0 / F.count("*"), 9).alias("val_accuracy"))
+    return wordclass.best_epoch(log)
 
 
 @query("vocab_union", " UNION ".join(f"SELECT {_fill(_KEY, _strip(c))} AS ascii, 1 AS label FROM {t} WHERE {_strip(c)} <> ''" for c, t in (("sanskrit_term", "sanskrit_glossary"), ("sanskrit_ayurvedic_terms", "ayurveda_terms_from_ak"), ("ascii", "(SELECT ascii FROM final_language_dataset WHERE label = 1)"))))
@@ -90,7 +174,7 @@ def trigram_candidates(spark, d):
     return vocabulary.trigram_candidates(words.where("word_id % 20 = 0"), "ascii", words.where("label = 1"), "ascii")
 
 
-@query("vocab_stats", f"""SELECT (SELECT count(*) FROM {_DISTINCT.format('true')}) AS total_words, (SELECT count(DISTINCT lower(word)) FROM {_DISTINCT.format('true')}) AS unique_lowercase,
+@query("vocab_stats", f"""SELECT (SELECT round(count(ascii) / count(DISTINCT ascii), 6) FROM final_language_dataset) AS mean_frequency, (SELECT count(*) FROM {_DISTINCT.format('true')}) AS total_words, (SELECT count(DISTINCT lower(word)) FROM {_DISTINCT.format('true')}) AS unique_lowercase,
   (SELECT count(DISTINCT t) FROM (SELECT {_TRI} AS t FROM {_DISTINCT.format('true')})) AS total_trigrams""")
 def vocab_stats(spark, d):
     return vocabulary.vocabulary_counts(_words(spark, d), "ascii")
@@ -167,6 +251,17 @@ def word_split(spark, d):
     return wordclass.split_by_hash(_words(spark, d), "word_id", "ascii").select("word_id", "label", "part")
 
 
+@query("stratified_split", f"""SELECT word_id, label, CASE WHEN r <= ceil(0.70 * n) THEN 'train' WHEN r <= ceil(0.85 * n) THEN 'valid' ELSE 'test' END AS part FROM (
+  SELECT word_id, label, row_number() OVER (PARTITION BY label ORDER BY {_SHARE}) AS r, count(*) OVER (PARTITION BY label) AS n FROM final_language_dataset)""")
+def stratified_split(spark, d):
+    return wordclass.stratified_split(_words(spark, d).select("word_id", "ascii", "label"), "label", "word_id", "ascii").select("word_id", "label", "part")
+
+
+@query("label_index", "SELECT label, row_number() OVER (ORDER BY label) - 1 AS index FROM (SELECT DISTINCT label FROM final_language_dataset WHERE label IS NOT NULL)")
+def label_index(spark, d):
+    return wordclass.label_index(_words(spark, d), "label")
+
+
 @query("noisy_words")
 def noisy_words(spark, d):
     """Invented junk (random letters, the same with typing errors and as misread) beside 10,000 misspelled words of
@@ -214,3 +309,13 @@ k AS (SELECT DISTINCT lower(ascii) AS word FROM final_language_dataset WHERE lab
 SELECT d.rec_id, count(k.word) AS n_known FROM ayurveda_docs_final d LEFT JOIN w ON w.rec_id = d.rec_id AND w.word <> '' LEFT JOIN k ON k.word = w.word GROUP BY d.rec_id""")
 def preserved_terms(spark, d):
     return vocabulary.preserved_terms(table(spark, d, "ayurveda_docs_final"), "rec_id", "content", known_words(spark, d))
+
+
+@query("cleaning_stats", f"""SELECT count(*) AS total_processed, coalesce(sum(n), 0)::BIGINT AS terms_preserved FROM (SELECT d.rec_id, (SELECT count(*) FROM (
+    SELECT trim(unnest(string_split(trim(regexp_replace(lower(d.content), '{SP}+', ' ', 'g')), ' ')), '.,;:!?()') AS word) w WHERE w.word IN (SELECT lower(ascii) FROM final_language_dataset WHERE label = 1 AND ascii IS NOT NULL)) AS n
+  FROM ayurveda_docs_final d WHERE length({_strip('d.content')}) >= 10)""")
+def cleaning_stats(spark, d):
+    """What the integrated cleaning has done: texts that it processes and known words in them."""
+    rows = table(spark, d, "ayurveda_docs_final").where(F.length(T.strip(F.col("content"))) >= 10)
+    counts = vocabulary.preserved_terms(rows, "rec_id", "content", known_words(spark, d))
+    return counts.agg(F.count("*").alias("total_processed"), F.coalesce(F.sum("n_known"), F.lit(0)).alias("terms_preserved"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -63,7 +64,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
         return named
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="sutraloom-checkpoint-")
     sc.setCheckpointDir(folder)
@@ -76,6 +77,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_position(ordered: DataFrame, name: str) -> DataFrame:
+    """Rows of an ordered table with their position from 0: counted inside each partition, after the sizes of the
+    partitions before it (one number for each). The table should give the same partitions when it is read again."""
+    at = fresh_name(ordered, "_at")
+    rows = ordered.withColumn(at, F.monotonically_increasing_id())
+    sizes = {r["part"]: r["n"] for r in rows.groupBy(F.shiftright(at, 33).alias("part")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for part in sorted(sizes):
+        starts += [F.lit(part), F.lit(total)]
+        total += sizes[part]
+    start = F.element_at(F.create_map(*starts), F.shiftright(at, 33)) if starts else F.lit(0)
+    return rows.withColumn(name, start + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at)
+
+
 def collect_bounded(df: DataFrame, limit: int = LOOKUP_ROWS, what: str = "lookup") -> list:
     """Rows of a table whose size is bounded by its meaning; raises where the bound does not hold."""
     rows = df.limit(limit + 1).collect()

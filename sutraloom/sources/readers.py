@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from sutraloom.functions import text as T
+from sutraloom.runtime import with_position
 
 
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,20 +19,20 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decoded_pages(files: DataFrame, decode: Callable[[bytes], list[str]]) -> DataFrame:
-    """(source, page from 1, content): pages of files by a decoder that the caller brings (PDF text or OCR). Files stream
-    through in batches; a file that cannot be decoded gives no page."""
+    """(source, page from 1, content, error): pages of files by a decoder that the caller brings (PDF text or OCR). Files
+    stream through in batches; a file that cannot be decoded gives one row without a page, with the error."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, content in zip(part["path"], part["content"]):
                 try:
-                    rows += [(path, i, t) for i, t in enumerate(decode(content), 1)]
-                except Exception:  # a broken file must not end the scan
-                    continue
-            yield pd.DataFrame(rows, columns=["source", "page", "content"])
+                    rows += [(path, i, t, None) for i, t in enumerate(decode(content), 1)]
+                except Exception as e:  # a broken file must not end the scan
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["source", "page", "content", "error"]).astype({"page": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, "source string, page int, content string")
+    return files.select("path", "content").mapInPandas(run, "source string, page int, content string, error string")
 
 
 def scanned_sources(pages: DataFrame, source: str = "source", text: str = "content") -> DataFrame:
@@ -49,21 +50,12 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text, source, page) of a file of JSON lines: doc_id is the line's position from 0, lines that are no
     object are counted but left out; `content`, else `text`, else nothing; source `unknown` and page -1 where missing.
 
-    Positions: lines are numbered inside their file part, the parts' line counts (one number per part) are summed up."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id"))
-    part, inside = F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("inside")
-    rows = rows.select("value", part, inside)
-    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets.append((p, total))
-        total += counts[p]
-    starts = spark.createDataFrame(offsets or [(0, 0)], "part bigint, start bigint")
+    Positions: lines are numbered inside their file part, after the lines of the parts before it."""
     record = F.from_json(F.col("value"), _RECORD)
-    parsed = rows.join(F.broadcast(starts), "part").where(F.regexp_like("value", F.lit(r"^\s*\{"))).withColumn("r", record)
+    parsed = with_position(spark.read.text(path), "doc_id").where(F.regexp_like("value", F.lit(r"^\s*\{"))).withColumn("r", record)
     blank = lambda c: F.when(c != "", c)
     return parsed.select(
-        (F.col("start") + F.col("inside")).alias("doc_id"),
+        "doc_id",
         F.coalesce(blank(F.col("r.content")), blank(F.col("r.text")), F.lit("")).alias("text"),
         F.coalesce("r.metadata.source", F.lit("unknown")).alias("source"), F.coalesce("r.metadata.page", F.lit(-1)).alias("page"),
     )
@@ -88,17 +80,23 @@ def lexicon_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
-    """(word, freq) of `word<TAB>frequency` lines (frequency 1 where missing) or of a JSON file with `vocab` and
-    `frequencies`."""
-    if path.endswith(".json"):
-        schema = "vocab array<string>, frequencies map<string,int>"
-        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("v"))
-        return whole.select(F.explode("v.vocab").alias("word"), "v.frequencies").select("word", F.coalesce(F.try_element_at("frequencies", F.col("word")), F.lit(1)).alias("freq"))
+    """(word, freq) of `word<TAB>frequency` lines, or of JSON lines with `word` and `freq`, as writers.vocabulary_json
+    makes them; frequency 1 where missing."""
+    if path.rstrip("/").endswith(".json"):
+        rows = spark.read.schema("word string, freq int").json(path).where(F.col("word").isNotNull())
+        return rows.select("word", F.coalesce("freq", F.lit(1)).alias("freq"))
     parts = F.split("value", "\t")
     rows = spark.read.text(path).where(T.strip(F.col("value")) != "")
     return rows.select(T.strip(F.get(parts, F.lit(0))).alias("word"), F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(1)).alias("freq"))
 
 
+def vocabulary_object(spark: SparkSession, path: str) -> DataFrame:
+    """(word, freq) of a JSON file of one object with `vocab` and `frequencies`; it is read in one task."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "vocab array<string>, frequencies map<string,int>").alias("v"))
+    words = whole.select("v.frequencies", F.explode("v.vocab").alias("word"))
+    return words.select("word", F.coalesce(F.try_element_at("frequencies", F.col("word")), F.lit(1)).alias("freq"))
+
+
 def training_log(spark: SparkSession, path: str) -> DataFrame:
     schema = "epoch int, accuracy double, learning_rate double, loss double, val_accuracy double, val_loss double"
     return spark.read.option("header", "true").schema(schema).csv(path)

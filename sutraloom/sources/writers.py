@@ -25,6 +25,13 @@ def vectors(rows: DataFrame, path: str, key: str = "id", order: str = "seq", mod
     last_wins(rows, [key], [order]).write.mode(mode).parquet(path)
 
 
+def upserted_vectors(rows: DataFrame, old: DataFrame, path: str, key: str = "id", order: str = "seq", mode: str = "error") -> None:
+    """A vector table with the rows of an old one and further rows; the last row of each id wins. The old table is not
+    written over, so that a failed job leaves it whole."""
+    vectors(old.unionByName(rows), path, key, order, mode)
+
+
 def vocabulary_json(words: DataFrame, path: str, word: str = "word", freq: str = "freq", mode: str = "error") -> None:
-    """Word and frequency as one JSON object per line; a vocabulary may be larger than one task holds."""
+    """Word and frequency as one JSON object per line, which readers.vocabulary_file reads back; a vocabulary may be
+    larger than one task holds."""
     words.select(F.col(word).alias("word"), F.col(freq).alias("freq")).write.mode(mode).json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,30 +24,40 @@ def session_memory(remembered: int = REMEMBERED) -> StatefulProcessor:
     class SessionMemory(StatefulProcessor):
         """Keeps a session's last messages and the conditions that its user named, in order; gives the state after each batch.
 
-        Rows of a batch are unordered, so they are sorted by seq; of repeated deliveries the first to arrive counts, and one
-        that comes in a later batch is dropped while its message is remembered. State per session is bounded by `remembered` messages."""
+        Messages may come in any order and in any batch: the last ones are those of the highest seq, and a condition counts
+        from the lowest seq that names it. Of repeated deliveries the first to arrive counts, however much later the others
+        come. State per session: `remembered` messages, and the seqs seen as ranges, which are few where seqs have few gaps."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.messages = handle.getValueState("messages", "seqs array<bigint>, lines array<string>, seen bigint")
-            self.conditions = handle.getValueState("conditions", "names array<string>")
+            self.messages = handle.getValueState("messages", "seqs array<bigint>, lines array<string>, ranges array<bigint>")
+            self.conditions = handle.getValueState("conditions", "names array<string>, seqs array<bigint>")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            kept = self.messages.get() if self.messages.exists() else ([], [], 0)
-            seqs, lines, seen = list(kept[0]), list(kept[1]), kept[2]
-            names = list(self.conditions.get()[0]) if self.conditions.exists() else []
+            kept = self.messages.get() if self.messages.exists() else ([], [], [])
+            last, ranges = dict(zip(kept[0], kept[1])), list(kept[2])  # ranges: first and last seq of each, in order
+            first = dict(zip(*self.conditions.get())) if self.conditions.exists() else {}
             batch = pd.concat(list(rows)).sort_values(["seq", "arrived_at", "content"], kind="stable").drop_duplicates("seq")
             for seq, role, content in zip(batch["seq"], batch["role"], batch["content"]):
-                if int(seq) in seqs:
-                    continue
+                seq = int(seq)
+                at = bisect.bisect_left(ranges, seq)
+                if at % 2 or at < len(ranges) and ranges[at] == seq:
+                    continue  # inside a range, or its first or last
+                ranges[at:at] = [seq, seq]
+                if at + 2 < len(ranges) and ranges[at + 2] == seq + 1:
+                    del ranges[at + 1 : at + 3]
+                if at and ranges[at - 1] == seq - 1:
+                    del ranges[at - 1 : at + 1]
                 text = "" if content is None else content
-                seqs.append(int(seq))
-                lines.append(f"{(role or '').upper()}: {text}")
-                seen += 1
+                last[seq] = f"{(role or '').upper()}: {text}"
                 if role == "user":
-                    names += [c for c in conditions if c in text.lower() and c not in names]
-            seqs, lines = seqs[-remembered :], lines[-remembered :]
-            self.messages.update((seqs, lines, seen))
-            self.conditions.update((names,))
+                    for c in conditions:
+                        if c in text.lower():
+                            first[c] = min(seq, first.get(c, seq))
+            seqs = sorted(last)[-remembered:]
+            lines, seen = [last[s] for s in seqs], sum(ranges[1::2]) - sum(ranges[::2]) + len(ranges) // 2
+            names = sorted(first, key=lambda c: (first[c], conditions.index(c)))
+            self.messages.update((seqs, lines, ranges))
+            self.conditions.update((names, [first[c] for c in names]))
             yield pd.DataFrame({"session_id": [key[0]], "seen": [seen], "remembered": [lines], "conditions": [names]})
 
         def close(self) -> None:

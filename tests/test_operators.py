@@ -270,3 +270,139 @@ def test_answers(spark):
     made = answers.generate(asked, "prompt", "out", lambda texts: ["long enough " * 5 if "ginger" in t else "no" for t in texts]).collect()
     assert made[0]["out"].startswith("long") and made[1]["out"] == answers.NOTHING
     assert [r[0] for r in spark.createDataFrame([(0.8,), (0.5,), (0.1,)], "c double").select(answers.badge(F.col("c"))).collect()] == ["high", "medium", "low"]
+
+
+def test_spelling_inside_the_page_cleaner(spark):
+    """Exact and like spellings against a plain walk over the words; a like name counts where the raw page has it."""
+    lex = spark.createDataFrame([(1, "shirodhara", ["sirodhara"]), (2, "Triphala", []), (3, "Ashwagandha", ["withania"])], "ord int, canonical string, variants array<string>")
+    names = {"shirodhara": "shirodhara", "triphala": "Triphala", "ashwagandha": "Ashwagandha"}
+    variants = {"sirodhara": "shirodhara", "withania": "Ashwagandha"}
+
+    def spelled(word, raw):
+        bare = "".join(c for c in word if c.isascii() and c.isalpha())
+        if not bare:
+            return word
+        if bare in variants or bare.lower() in names:
+            return variants.get(bare) or names[bare.lower()]
+        best = max(names.values(), key=lambda n: pages.indel_similarity(bare, n))
+        return best if pages.indel_similarity(bare, best) >= 90 and best.lower() in raw.lower() else word
+
+    r = random.Random(4)
+    words = ["sirodhara,", "TRIPHALA", "Triphalaa", "Ashwagandhaa.", "withania", "shirodharx", "the", "12", "leaf", "Withania"]
+    rows = [(i, "s" if i % 2 else None, " ".join(r.choice(words) for _ in range(r.randint(1, 12)))) for i in range(120)] + [(900, "s", None), (901, "s", "")]
+    df = spark.createDataFrame(rows, "id int, source string, text string")
+    got = {x["id"]: x["text"] for x in pages.clean_pages(df, "id", "source", "text", [], 0.9, lex).collect()}
+    assert got[900] is None and got[901] == ""
+    for i, _, text in rows[:120]:
+        # sentences end at a point and begin with a capital; a doubled word stays once
+        kept = []
+        for part in text.replace(". ", ".\0").split("\0"):
+            bag: list[str] = []
+            for w in (spelled(w, text) for w in part.split()):
+                if not bag or bag[-1].lower() != w.lower():
+                    bag.append(w)
+            made = " ".join(bag)
+            kept.append(made[:1].upper() + made[1:] if len(made) > 1 else made)
+        assert got[i] == "\n\n".join(" ".join(kept[k : k + 3]) for k in range(0, len(kept), 3)), (text, got[i])
+
+
+def test_integrated_clean_with_repeated_lines(spark):
+    df = spark.createDataFrame([("Old Head\nthe agni line\nBody of the page",), ("short",), (None,)], "t string")
+    lines = F.array(F.lit("old head"), F.lit("the agni line"))
+    assert [r[0] for r in df.select(pages.integrated_clean(F.col("t"), lines)).collect()] == ["Body of the page", "", None]
+    assert [r[0] for r in df.select(pages.integrated_clean(F.col("t"), lines, ["agni"])).collect()] == ["Old Head the agni line Body of the page", "", None]
+    assert [r[0] for r in df.select(pages.skip_reason(F.col("t"))).collect()] == [None, "too_short", "too_short"]
+
+
+def test_relevant_history_in_blocks(spark, monkeypatch):
+    """A long session in small blocks gives what one window gives."""
+    r = random.Random(9)
+    words = "cold dry oil milk root leaf".split()
+    rows = [("long", i * r.choice((1, 1, 2)) + 2 * i, r.choice(("user", "assistant")), " ".join(r.choice(words) for _ in range(4))) for i in range(400)]
+    rows = list({(s, q): (s, q, role, c) for s, q, role, c in rows}.values()) + [("one", 1, "user", "cold"), (None, 3, "user", None)]
+    df = spark.createDataFrame(rows, "session_id string, seq bigint, role string, content string")
+    whole = sorted(map(tuple, dialogue.relevant_history(df).collect()), key=str)
+    monkeypatch.setattr(dialogue, "BLOCK", 25)
+    assert sorted(map(tuple, dialogue.relevant_history(df).collect()), key=str) == whole and len(whole) > 150
+    at = {(x["session_id"], x["seq"]): x["at"] for x in dialogue.numbered(df, "at").collect()}
+    ordered = sorted(q for s, q, _, _ in rows if s == "long")
+    assert all(at["long", q] == i for i, q in enumerate(ordered)) and len(at) == len(rows)
+
+
+def test_session_memory_over_batches_in_any_order(spark, tmp_path):
+    """Three files, a batch each, with late, repeated and evicted messages."""
+    r = random.Random(2)
+    every = [("s", i, "user", f"note {i}" + (" about sleep" if i == 7 else " about fever" if i == 30 else ""), i) for i in range(1, 61)] + [("t", 5, "assistant", None, 1)]
+    order = every[:]
+    r.shuffle(order)
+    parts = [order[:20], order[20:40] + order[:10], order[40:] + [(s, q, role, "late copy", 10_000) for s, q, role, _, _ in order[:30]]]
+    schema = "session_id string, seq bigint, role string, content string, a int"
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).withColumn("arrived_at", F.timestamp_seconds("a")).drop("a").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    files = f"{tmp_path}/in"
+    stream = spark.readStream.schema(spark.read.parquet(f"{files}/0").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(files)
+    updates = sessions.run_once(sessions.remember(stream, 12), f"{tmp_path}/run")
+    batches = updates.agg(F.max("batch")).first()[0]
+    last = {x["session_id"]: x for x in updates.orderBy("batch").collect()}
+    assert batches == 2 and last["s"]["seen"] == 60 and last["t"]["seen"] == 1 and last["t"]["remembered"] == ["ASSISTANT: "]
+    assert last["s"]["remembered"] == [f"USER: {c}" for _, q, _, c, _ in every if 48 < q <= 60] and last["s"]["conditions"] == ["sleep", "fever"]
+
+
+def test_answers_and_confidence(spark):
+    df = spark.createDataFrame([(["Agni is fire.", None], ["agni", "ojas"]), ([], [])], "p array<string>, e array<string>")
+    from sutraloom.operators import answers
+
+    made = df.withColumn("a", answers.quoted(F.col("p"))).select("a", answers.citations(F.col("a")).alias("c"), answers.coverage(F.col("a"), F.col("e")).alias("v"), retrieval.answer_confidence(F.lit(0.5), F.size("p"), F.col("a"), answers.citations(F.col("a")), answers.coverage(F.col("a"), F.col("e"))).alias("s"))
+    a, b = made.collect()
+    assert a["a"] == "[Source 1] Agni is fire. [Source 2] " and a["c"] == 2 and a["v"] == 0.5 and b["v"] == 0.5 and b["s"] == 0
+    assert a["s"] == round(0.5 * 0.4 + 2 / 5 * 0.2 + len(a["a"]) / 400 * 0.15 + 2 / 3 * 0.15 + 0.05, 6)
+
+
+def test_checkpoint_folder_needs_a_name_on_a_cluster():
+    import pytest
+
+    from sutraloom import runtime
+
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():
+                        return type("None_", (), {"isDefined": staticmethod(lambda: False)})
+
+                return S
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(RuntimeError):
+        runtime.ensure_checkpoint_dir(Session)
+
+
+def test_splits_indices_and_table_pages(spark, tmp_path):
+    from sutraloom.sources import writers
+
+    df = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 3).alias("label"))
+    made = wordclass.stratified_split(df, "label", "id")
+    assert made.columns == ["id", "label", "part"] and made.count() == 4000
+    for r in made.groupBy("label").agg(F.count("*").alias("n"), *[F.count_if(F.col("part") == p).alias(p) for p in ("train", "valid", "test")]).collect():
+        assert abs(r["train"] - 0.7 * r["n"]) <= 1.5 and abs(r["valid"] - 0.15 * r["n"]) <= 2
+    assert wordclass.stratified_split(df.limit(0), "label", "id").count() == 0
+    assert [tuple(r) for r in wordclass.label_index(df.select((F.col("label") * 5).alias("l")), "l").orderBy("index").collect()] == [(0, 0), (5, 1), (10, 2)]
+    cells = spark.createDataFrame([("agni", 498), ("vāta", 499), ("Sanskrit", 500), ("", 501), (None, 502), ("ojas", 606), ("ama", 607)], "c string, p int")
+    assert {r["ascii"] for r in vocabulary.table_terms(cells, "c", "p").collect()} == {"vaata", "ojas"} and vocabulary.table_terms(cells, "c").count() == 4
+    vectors = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "id string, seq int, v string")
+    writers.vectors(vectors, f"{tmp_path}/one")
+    writers.upserted_vectors(spark.createDataFrame([("b", 3, "z"), ("c", 4, "w"), ("a", 0, "old")], vectors.schema), spark.read.parquet(f"{tmp_path}/one"), f"{tmp_path}/two")
+    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/two").collect()) == [("a", "x"), ("b", "z"), ("c", "w")]
+
+
+def test_sorted_words(spark):
+    df = spark.createDataFrame([(w,) for w in ("b", "a", "ā", "B", "b", None, "", "a b")], "w string").repartition(5)
+    assert [tuple(r) for r in vocabulary.sorted_words(df, "w").orderBy("position").collect()] == list(enumerate(sorted({"b", "a", "ā", "B", "", "a b"})))
+    assert vocabulary.sorted_words(df.limit(0), "w").count() == 0

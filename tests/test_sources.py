@@ -22,7 +22,7 @@ def test_tables_and_lexicons(spark, tmp_path):
     (tmp_path / "v.txt").write_text("agni\t4\nkapha\n\n", encoding="utf-8")
     assert {tuple(r) for r in readers.vocabulary_file(spark, str(tmp_path / "v.txt")).collect()} == {("agni", 4), ("kapha", 1)}
     (tmp_path / "v.json").write_text(json.dumps({"vocab": ["a", "b"], "frequencies": {"a": 2}}), encoding="utf-8")
-    assert {tuple(r) for r in readers.vocabulary_file(spark, str(tmp_path / "v.json")).collect()} == {("a", 2), ("b", 1)}
+    assert {tuple(r) for r in readers.vocabulary_object(spark, str(tmp_path / "v.json")).collect()} == {("a", 2), ("b", 1)}
 
 
 def test_files_and_decoding(spark, tmp_path):
@@ -33,7 +33,8 @@ def test_files_and_decoding(spark, tmp_path):
     files = readers.pdf_files(spark, str(tmp_path))
     assert files.count() == 2
     pages = readers.decoded_pages(files, lambda b: b.decode("utf-8").split("\f"))
-    assert {(r["page"], r["content"]) for r in pages.collect()} == {(1, "one"), (2, "two")}
+    got = {(r["page"], r["content"], (r["error"] or "")[:18]) for r in pages.collect()}
+    assert got == {(1, "one", ""), (2, "two", ""), (None, None, "UnicodeDecodeError")}
 
 
 def test_writers(spark, tmp_path):
@@ -45,7 +46,9 @@ def test_writers(spark, tmp_path):
     assert [r["content"] for r in spark.read.parquet(str(tmp_path / "v")).collect()] == ["b"]
     writers.csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 2
-    writers.vocabulary_json(spark.createDataFrame([("a", 1)], "word string, freq int"), str(tmp_path / "w"))
+    words = [("a", 1), ("āgni", 7), ("b c", 2)]
+    writers.vocabulary_json(spark.createDataFrame(words, "word string, freq int").repartition(2), str(tmp_path / "w.json"))
+    assert sorted(tuple(r) for r in readers.vocabulary_file(spark, str(tmp_path / "w.json")).collect()) == sorted(words)
 
 
 def test_embedder(spark):

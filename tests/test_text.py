@@ -96,6 +96,57 @@ CASES = {
 }
 
 
+def rejoin(s):
+    """Walks from hyphen to hyphen; a word that was the right half of a break is not the left half of the next."""
+    out, done, i = "", 0, s.find("-")
+    while i >= 0:
+        k = i + 1
+        while k < len(s) and s[k].isspace():
+            k += 1
+        e = k
+        while e < len(s) and is_word(s[e]):
+            e += 1
+        if i > done and is_word(s[i - 1]) and "\n" in s[i:k] and e > k:
+            out, done = out + s[done:i] + s[k:e], e
+        i = s.find("-", max(i + 1, done))
+    return out + s[done:]
+
+
+def page_marks(s):
+    def skip(i, kind):
+        while i < len(s) and kind(s[i]):
+            i += 1
+        return i
+
+    def mark(p):
+        """End of a mark that begins at p, or p."""
+        d = skip(p, str.isdigit)
+        bar = skip(d, str.isspace)
+        if d > p and not (p and is_word(s[p - 1])) and s[bar : bar + 1] == "|":
+            word = skip(bar + 1, str.isspace)
+            if s[word : word + 4] == "Page" and not is_word(s[word + 4 : word + 5] or " "):
+                return word + 4
+        if s.startswith("[Page", p):
+            d = skip(p + 5, str.isspace)
+            e = skip(d, str.isdigit)
+            if d > p + 5 and e > d and s[e : e + 1] == "]":
+                return e + 1
+        if p == 0 or s[p - 1] == "\n":
+            e = skip(p, lambda c: c.isdigit() or c.isspace() or c == "|")
+            return max([k for k in range(p + 1, e + 1) if k == len(s) or s[k] == "\n"], default=p)
+        return p
+
+    out, p = "", 0
+    while p < len(s):
+        e = mark(p)
+        out, p = (out, e) if e > p else (out + s[p], p + 1)
+    return out
+
+
+CASES["rejoin_broken"] = (T.rejoin_broken, rejoin, ["ab", "-", "-", "\n", " ", "c1", "."])
+CASES["drop_page_marks"] = (T.drop_page_marks, page_marks, ["12", "3", " ", "|", " | ", "\n", "Page", "Pages", "[Page 4]", "[Page", "]", "x"])
+
+
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_like_python(spark, name):
     column, python, alphabet = CASES[name]

@@ -160,9 +160,9 @@ class Search:
     def _room(self, targets: np.ndarray, count: int) -> np.ndarray:
         """For each sum of `count` items: the most space of a target that holds it; -1 without one."""
         room = np.full(self.capacity + 1, -1, dtype=np.int64)
-        for b in targets:
-            at = self._of(b, count)
-            room[at] = np.maximum(room[at], self.capacity - self.fill[b])
+        held = [self._of(b, count) for b in targets.tolist()]
+        if held:
+            np.maximum.at(room, np.concatenate(held), np.repeat(self.capacity - self.fill[targets], [len(h) for h in held]))
         return room
 
     def _any_room(self, count: int) -> np.ndarray:

@@ -10,8 +10,11 @@ Why SEED words lose nothing: a stretch of 20 words with two words off has 18 wor
 run has 6 words or more, and the runs have at least NEED windows of 6 words between them. A longer stretch within the
 same rate holds one of 20 words with two words off.
 
-Scale: documents pass once, in place, without a shuffle. Test items go out by broadcast in blocks of BLOCK items, so
-that the tables have a bounded size whatever the number of items.
+Scale: documents pass once. Up to BLOCK test items go out by broadcast as the tables of one matcher, and documents
+stay in place. Beyond that, the items' windows lie in buckets by a hash of their words, dealt to tasks; what goes out
+is one bit for each window, SLOT_BITS at most in all, by which the one pass over the documents skips the places where
+no window can stand. The few places left meet the windows by hash, and direct comparison confirms them as before. Both
+ways give the same rows.
 
 Defined results: null and empty texts hold nothing; items of fewer than LEAST words cannot leak; repeated items each
 give their row.
@@ -21,17 +24,24 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sutraloom.runtime import collect_bounded, map_columns
+from sutraloom.runtime import collect_bounded, cut_lineage, map_columns
 
 LEAST, PER = 20, 10
 SEED, NEED = 6, 3
 #: Most words off that are followed: four, in a stretch of 40 words.
 ERRORS = 4
 BLOCK = 4_000
+#: Bits of the table of windows, as a power of two; more windows than bits only let more places through.
+SLOT_BITS = 30
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -132,28 +142,118 @@ def passage(doc: list[str], item: list[str], hits: list[tuple[int, int]], m: int
 
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block: int = BLOCK) -> DataFrame:
     """(key, item key, first_word, n_words, n_off): the longest passage of each item in each document that holds one."""
-    key_type = docs.schema[key].dataType.simpleString()
-    item_type = items.schema[item_key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, `{item_key}` {item_type}, first_word int, n_words int, n_off int"
     source = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     wanted = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull() & F.col("i").isNotNull())
-    blocks = max(1, -(-wanted.count() // block))
-    result = None
-    for b in range(blocks):
-        rows = collect_bounded(wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b), 2 * block + 1_000, "test items of a block")
-        held = docs.sparkSession.sparkContext.broadcast(Matcher([(r["i"], r["t"]) for r in rows]))
-
-        def kernel(cols: dict[str, list], held=held) -> dict[str, list]:
-            matcher = held.value
-            out: dict[str, list] = {c: [] for c in (key, item_key, "first_word", "n_words", "n_off")}
-            for k, t in zip(cols["_k"], cols["_t"]):
-                if not t:
-                    continue
-                for i, found in matcher.leaks(t).items():
-                    for name, v in zip(out, (k, i, *found)):
-                        out[name].append(v)
-            return out
+    schema = f"k {source.schema['_k'].dataType.simpleString()}, i {wanted.schema['i'].dataType.simpleString()}, first_word int, n_words int, n_off int"
+    found = _with_matcher(source, wanted, schema, block) if wanted.count() <= block else _with_buckets(source, wanted, schema)
+    return found.withColumnsRenamed({"k": key, "i": item_key})
+
+
+def _with_matcher(source: DataFrame, wanted: DataFrame, schema: str, block: int) -> DataFrame:
+    rows = collect_bounded(wanted, block, "test items")
+    held = source.sparkSession.sparkContext.broadcast(Matcher([(r["i"], r["t"]) for r in rows]))
+
+    def kernel(cols: dict[str, list]) -> dict[str, list]:
+        matcher = held.value
+        out: dict[str, list] = {c: [] for c in ("k", "i", "first_word", "n_words", "n_off")}
+        for k, t in zip(cols["_k"], cols["_t"]):
+            for i, passage in matcher.leaks(t).items() if t else ():
+                for name, v in zip(out, (k, i, *passage)):
+                    out[name].append(v)
+        return out
+
+    return map_columns(source, kernel, schema)
+
+
+def window_hashes(w: list[str], m: int = SEED) -> np.ndarray:
+    """A hash of each m words in a row, without their order lost."""
+    n = len(w) - m + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    one = np.array([xxhash.xxh3_64_intdigest(x) for x in w], dtype=np.uint64)
+    made = np.zeros(n, dtype=np.uint64)
+    for k in range(m):
+        made = made * np.uint64(0x9E3779B97F4A7C15) + one[k : k + n]
+    made ^= made >> np.uint64(29)
+    return (made * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _with_buckets(source: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
+    spark = source.sparkSession
+
+    def windows_of(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"h": [], "i": [], "at": []}
+        for i, t in zip(cols["i"], cols["t"]):
+            if len(w := words(t)) >= LEAST:
+                hashes = window_hashes(w).tolist()
+                out["h"] += hashes
+                out["i"] += [i] * len(hashes)
+                out["at"] += range(len(hashes))
+        return out
+
+    item_type = wanted.schema["i"].dataType.simpleString()
+    windows = cut_lineage(map_columns(wanted, windows_of, f"h bigint, i {item_type}, at int"))
+    bits = min(SLOT_BITS, max(10, (16 * max(1, windows.count())).bit_length()))
+    table = spark.sparkContext.broadcast(_slot_table(windows, bits))
+
+    def places(cols: dict[str, list]) -> dict[str, list]:
+        flags = np.frombuffer(table.value, dtype=np.uint8)
+        out: dict[str, list] = {"h": [], "d": [], "pos": []}
+        for d, t in zip(cols["d"], cols["_t"]):
+            hashes = window_hashes(words(t))
+            slots = _slots(hashes, bits)
+            hits = np.flatnonzero((flags[slots >> 3] >> (slots & 7)) & 1)
+            if len(hits) >= NEED:
+                out["h"] += hashes[hits].tolist()
+                out["d"] += [d] * len(hits)
+                out["pos"] += hits.tolist()
+        return out
+
+    texts = source.where(F.col("_t").isNotNull()).withColumn("d", F.md5("_t"))
+    found = map_columns(texts.select("d", "_t"), places, "h bigint, d string, pos int").distinct()
+    pairs = found.join(windows, "h").groupBy("d", "i").agg(F.collect_list(F.struct("pos", "at")).alias("hits")).where(F.size("hits") >= NEED)
+    pairs = cut_lineage(pairs)
+    held = texts.select("d", "_t").join(pairs.select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])
+
+    def confirm(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("d", "i", "first_word", "n_words", "n_off")}
+        for d, i, t, item, hits in zip(cols["d"], cols["i"], cols["_t"], cols["t"], cols["hits"]):
+            doc, want = words(t), words(item)
+            same = sorted((h["pos"], h["at"]) for h in hits if doc[h["pos"] : h["pos"] + SEED] == want[h["at"] : h["at"] + SEED])
+            if len(same) >= NEED and (best := passage(doc, want, same)):
+                for name, v in zip(out, (d, i, *best)):
+                    out[name].append(v)
+        return out
+
+    asked = pairs.join(held, "d").join(wanted, "i").select("d", "i", "_t", "t", "hits")
+    sure = map_columns(asked, confirm, f"d string, i {item_type}, first_word int, n_words int, n_off int").distinct()
+    return texts.select(F.col("_k").alias("k"), "d").join(sure, "d").select(*[f.name for f in StructType.fromDDL(schema).fields])
+
+
+def _slot_table(windows: DataFrame, bits: int) -> bytes:
+    """One bit for each window's slot. Tasks make the bits of CHUNK bytes each; the driver puts these in a row."""
+    size = 1 << max(0, bits - 3)
+    chunk = min(size, 4096)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            slots = _slots(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)
+            for part in np.unique(slots // (8 * chunk)).tolist():
+                mine = slots[slots // (8 * chunk) == part] - part * 8 * chunk
+                flags = parts.setdefault(part, np.zeros(chunk, dtype=np.uint8))
+                np.bitwise_or.at(flags, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], names=["part", "flags"])
 
-        part = map_columns(source, kernel, schema)
-        result = part if result is None else result.unionByName(part)
-    return result
+    # windows of one part of the table in one task, so that each part comes to the driver once
+    dealt = windows.select("h").repartition(F.shiftrightunsigned("h", 64 - bits + (8 * chunk).bit_length() - 1))
+    out = bytearray(size)
+    for r in dealt.mapInArrow(run, "part bigint, flags binary").toLocalIterator():
+        at = r["part"] * chunk
+        mine = np.frombuffer(bytes(out[at : at + chunk]), dtype=np.uint8) | np.frombuffer(r["flags"], dtype=np.uint8)
+        out[at : at + chunk] = mine.tobytes()
+    return bytes(out)

@@ -192,8 +192,18 @@ def test_leaks(spark):
     for block in (4_000, 1):
         found = leaks.find_leaks(docs, "id", "text", items, "item", "question", block=block)
         assert sorted({(r["id"], r["item"]) for r in found.collect()}) == [(1, 1), (1, 4)]
-    assert leaks.find_leaks(docs.limit(0), "id", "text", items, "item", "question").count() == 0
-    assert leaks.find_leaks(docs, "id", "text", items.limit(0), "item", "question").count() == 0
+    for block in (4_000, -1):
+        assert leaks.find_leaks(docs.limit(0), "id", "text", items, "item", "question", block=block).count() == 0
+        assert leaks.find_leaks(docs, "id", "text", items.limit(0), "item", "question", block=block).count() == 0
+
+
+@pytest.mark.parametrize("bits", [30, 6])
+def test_leaks_in_buckets_like_the_matcher(spark, data, monkeypatch, bits):
+    """Beyond a block of items: the same rows over the whole tables, also where the table of windows is full."""
+    monkeypatch.setattr(leaks, "SLOT_BITS", bits)
+    docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
+    ways = [sorted(map(tuple, leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "text", block=b).collect())) for b in (4_000, 10)]
+    assert ways[0] == ways[1] and ways[0]
 
 
 def test_personal(spark):

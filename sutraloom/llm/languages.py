@@ -324,21 +324,20 @@ def train_lists(lists: dict[str, list[str]], chars: int, joint: str, rounds: int
 
 
 def own_languages(lists: dict[str, list[str]], chars: int, joint: str) -> dict[str, list[str]]:
-    """The labels that are languages of their own: while some label reads less than OWN_SHARE of its sentences best,
-    the one of these with the least text is left out."""
+    """The labels that are languages of their own, purified once: while some label reads less than OWN_SHARE of its
+    sentences best, the one of these with the least text is left out."""
     lists = {k: v for k, v in lists.items() if sum(len(t) + 1 for t in set(v)) >= LEAST_CHARS}
-    while len(lists) > 1:
+    while True:
         kept = train_lists(lists, chars, joint, 1)
         weak = [k for k, v in lists.items() if len(kept[k]) < OWN_SHARE * len(dict.fromkeys(v))]
-        if not weak:
-            break
+        if not weak or len(lists) < 2:
+            return kept
         del lists[min(weak, key=lambda k: (sum(map(len, lists[k])), k))]
-    return lists
 
 
 def train(lists: dict[str, list[str]], chars: int, joint: str, rounds: int = 2) -> Parser | None:
     """Automata of labelled pieces of text, purified; None without any."""
-    kept = train_lists(own_languages(lists, chars, joint), chars, joint, rounds)
+    kept = train_lists(own_languages(lists, chars, joint), chars, joint, rounds - 1)
     return Parser(_keep(kept, _budget(kept, chars), joint)) if kept else None
 
 

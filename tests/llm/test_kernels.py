@@ -191,6 +191,57 @@ def test_packing_invariants_and_search_helps():
     assert packing.best_fit([], 10) == [] and packing.local_search([], [], 10) == []
 
 
+def test_search_ends_where_no_change_is_left():
+    """No move or exchange to a container at least as full raises the squared fill, and no space can be passed on."""
+    r = random.Random(12)
+    for capacity in (12, 30, 64):
+        for _ in range(25):
+            sizes = [r.randint(1, capacity - 1) for _ in range(r.randint(1, 40))]
+            search = packing.Search(sizes, packing.best_fit(sizes, capacity), capacity)
+            least = packing.least_containers(sizes, capacity)
+            if search.run(least) == least:
+                continue
+            fill = [sum(sizes[i] for i in b) for b in search.content]
+            space = [b for b, f in enumerate(fill) if 0 < f < capacity]
+            groups = lambda b, most: [c for n in range(most + 1) for c in itertools.combinations(search.content[b], n)]
+            for a, b in itertools.permutations(space, 2):
+                if fill[a] <= fill[b]:
+                    for mine, theirs in itertools.product(groups(a, 2), groups(b, 2)):
+                        if len(mine) + len(theirs) <= 3 and mine and (len(mine) == 1 or theirs):
+                            gain = sum(sizes[i] for i in mine) - sum(sizes[i] for i in theirs)
+                            assert not 0 < gain <= capacity - fill[b], (sizes, capacity)
+            for b in space:
+                for full in (f for f, n in enumerate(fill) if n == capacity and len(search.content[f]) > len(search.content[b]) + 1):
+                    assert capacity - fill[b] not in {sizes[i] for i in search.content[full]}
+
+
+def test_bound_holds_for_the_best_packing():
+    def optimum(sizes, capacity):
+        best = len(sizes)
+
+        def put(i, fills):
+            nonlocal best
+            if len(fills) >= best:
+                return
+            if i == len(sizes):
+                best = len(fills)
+                return
+            for k in range(len(fills)):
+                if fills[k] + sizes[i] <= capacity:
+                    put(i + 1, [*fills[:k], fills[k] + sizes[i], *fills[k + 1 :]])
+            put(i + 1, [*fills, sizes[i]])
+
+        put(0, [])
+        return best
+
+    r = random.Random(13)
+    for _ in range(120):
+        capacity = r.choice((7, 10, 16))
+        sizes = [r.randint(1, capacity) for _ in range(r.randint(1, 8))]
+        assert packing.least_containers(sizes, capacity) <= optimum(sizes, capacity) <= len(packing.local_search(sizes, packing.best_fit(sizes, capacity), capacity))
+    assert packing.least_containers([], 10) == 0
+
+
 # --- leaks -------------------------------------------------------------------------------------------------------------
 
 

@@ -172,7 +172,7 @@ class Parser:
             done = [self._walked(texts[i : i + BATCH]) for i in range(0, n, BATCH)]
             return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
         result, ends = np.zeros((n, len(self.names)), dtype=np.float64), np.zeros((n, len(self.names)), dtype=np.int32)
-        if not n:
+        if not any(texts):
             return result, ends
         order = sorted(range(n), key=lambda i: -len(texts[i]))
         sizes = np.array([len(texts[i]) for i in order])
@@ -180,21 +180,29 @@ class Parser:
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts that still run at each step
         joined = np.where(joined < 0x10000, joined, 0)
+        # the first characters of all texts, then the second ones, and so on: each step reads one stretch
+        joined = joined[np.concatenate([starts[:m] + step for step, m in enumerate(live.tolist())])]
+        ends_at = np.cumsum(live).tolist()
         held = np.zeros(0x10000, dtype=bool)
         held[joined] = True
         back = np.array(order)
+        went, bit = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
         for k in range(len(self.names)):
             if not (held & self.has[k]).any():  # no letter of this language: every character is a piece
                 result[back, k] = sizes
                 ends[back, k] = self._after_blank(k, texts, order)
                 continue
             table, coded = self.tables[k], self.codes[k][joined]
-            at, count = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
-            for step in range(int(sizes[0])):
-                m = int(live[step])
-                went = table[at[:m] + coded[starts[:m] + step]]
-                count[:m] += went & 1
-                at[:m] = went >> 1
+            at, count = np.zeros(n, dtype=np.intp), np.zeros(n, dtype=np.int32)
+            first = 0
+            for last in ends_at:
+                m = last - first
+                at[:m] += coded[first:last]
+                table.take(at[:m], out=went[:m], mode="clip")
+                np.bitwise_and(went[:m], 1, out=bit[:m])
+                count[:m] += bit[:m]
+                np.right_shift(went[:m], 1, out=at[:m])
+                first = last
             result[back, k], ends[back, k] = count, at
         return result, ends
 
@@ -425,10 +433,10 @@ def source_lines(counts: DataFrame, share: float = SITE_SHARE, least: int = SITE
     return lines.join(totals, "s").where(F.col("n") >= F.col("of") * share).groupBy("s").agg(F.collect_list("h").alias("lines"))
 
 
-def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source: str | None = None) -> DataFrame:
+def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source: str | None = None, whole_only: bool = False) -> DataFrame:
     """(key, given, lang, sentences, share, confidence): one row for each language in which a record has whole
     sentences, and one with no sentences for a record with letters but no whole sentence, or none that any language reads
-    better than another. given: the language that the label names, null where missing. source: the site or book of a record,
+    better than another; whole_only leaves these out. given: the language that the label names, null where missing. source: the site or book of a record,
     whose own site lines are left out too. Extra columns of df are not read."""
     parser = fit_documents(df, key, text, label, wrapped)
     key_type = df.schema[key].dataType.simpleString()
@@ -452,7 +460,7 @@ def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source:
             if t:
                 meant = prepared(t)
                 found = sentences(meant, bool(w), lists.get(cols["site"][i], common))
-                if not found and (s := letters(meant)):
+                if not found and not whole_only and (s := letters(meant)):
                     bare[i] = s
                 for s in found:
                     at = len(owner)
@@ -494,7 +502,7 @@ def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source:
                 if sure[0] < MIN_CONFIDENCE / 2:  # no language reads it better than another: noise
                     continue
                 add(i, k, len(mine), chars / float(size[at].sum()), float(sure[0]))
-            if len(out[key]) == rows:
+            if len(out[key]) == rows and not whole_only:
                 add(i, main, 0, 1.0, float(decide(total[None, :])[1][0]) / 2)
         return out
 

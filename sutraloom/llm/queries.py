@@ -80,9 +80,13 @@ def _scanned(source) -> "F.Column":
     return F.coalesce(F.col(source).contains("/scans/"), F.lit(False))
 
 
-def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+def _languages(spark: SparkSession, d: str, whole_only: bool) -> DataFrame:
     pages = _pages(spark, d).withColumn("wrapped", _scanned("source"))
-    return languages.detect(pages, "rec_id", "content", "lang", "wrapped", "source")
+    return languages.detect(pages, "rec_id", "content", "lang", "wrapped", "source", whole_only)
+
+
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d, False)
 
 
 def p6_words(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +94,7 @@ def p6_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = languages.wrong_or_mixed(p6_languages(spark, d), "rec_id").select(F.lit(DOCS).alias("tab"), F.col("rec_id").alias("row_id"), "lang")
+    docs = languages.wrong_or_mixed(_languages(spark, d, True), "rec_id").select(F.lit(DOCS).alias("tab"), F.col("rec_id").alias("row_id"), "lang")
     words = p6_words(spark, d).where(F.col("right").isNotNull() & ~F.col("right").eqNullSafe(F.col("given")))
     return docs.unionByName(words.select(F.lit(WORDS).alias("tab"), F.col("word_id").alias("row_id"), F.col("right").alias("lang")))
 

@@ -144,17 +144,34 @@ def vocabulary_counts(words: DataFrame, word: str) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in ("total_words", "unique_lowercase", "total_trigrams", "mean_frequency")])
 
 
+#: Trigrams of an asked word, its most frequent ones, by which no candidate is looked for at first.
+SKIPPED = 2
+
+
 def trigram_candidates(asked: DataFrame, word: str, vocabulary: DataFrame, vocabulary_word: str, n: int = 10) -> DataFrame:
     """(word, candidate, common): the n vocabulary words that share the most distinct trigrams with each asked word,
     ties in code-point order.
 
-    An equi-join of postings by trigram. Pairs are counted before any leaves its task where it can; a trigram that very
-    many words hold is split by AQE like any hot key."""
-    left = trigram_index(asked, word).withColumnRenamed("word", "asked")
-    pairs = left.join(trigram_index(vocabulary, vocabulary_word).withColumnRenamed("word", "candidate"), "trigram")
-    counts = pairs.groupBy("asked", "candidate").agg(F.count("*").alias("common"))
+    Words meet by trigram, first by all but the asked word's SKIPPED most frequent ones, so that trigrams which very
+    many words hold pair nothing. What shares only those has SKIPPED trigrams in common at most: where the n found
+    have more, they are the answer; the other asked words meet by all their trigrams."""
+    index = trigram_index(vocabulary, vocabulary_word).withColumnRenamed("word", "candidate")
+    postings = trigram_index(asked, word).withColumnRenamed("word", "asked")
+    sizes = index.groupBy("trigram").agg(F.count("*").alias("size"))
+    sized = postings.join(sizes, "trigram")
+    rare = sized.withColumn("_r", F.row_number().over(Win.partitionBy("asked").orderBy(F.desc("size"), "trigram"))).where(F.col("_r") > SKIPPED)
+    first = cut_lineage(_best_candidates(rare.select("asked", "trigram").join(index, "trigram").select("asked", "candidate").distinct(), n))
+    done = first.groupBy("asked").agg(F.count("*").alias("found"), F.min("common").alias("least")).where((F.col("found") == n) & (F.col("least") > SKIPPED)).select("asked")
+    rest = postings.join(done, "asked", "left_anti").join(index, "trigram").select("asked", "candidate").distinct()
+    every = first.join(done, "asked", "left_semi").unionByName(_best_candidates(rest, n))
+    return every.select(F.col("asked").alias("word"), "candidate", "common")
+
+
+def _best_candidates(pairs: DataFrame, n: int) -> DataFrame:
+    """(asked, candidate, common) of the n best of each asked word's pairs."""
+    shared = F.size(F.array_intersect(T.trigrams(F.col("asked")), T.trigrams(F.col("candidate")))).cast("bigint")
     rank = F.row_number().over(Win.partitionBy("asked").orderBy(F.desc("common"), "candidate"))
-    return counts.withColumn("_r", rank).where(F.col("_r") <= n).select(F.col("asked").alias("word"), "candidate", "common")
+    return pairs.withColumn("common", shared).withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
 @F.pandas_udf(DoubleType())

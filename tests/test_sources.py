@@ -54,3 +54,27 @@ def test_writers(spark, tmp_path):
 def test_embedder(spark):
     made = embedders.embed(spark.createDataFrame([("a b",), (None,), ("a b",)], "t string"), "t").collect()
     assert len(made[0]["embedding"]) == 384 and made[0]["embedding"] == made[2]["embedding"] and sum(made[1]["embedding"]) == 0
+
+
+def test_ingest(spark, tmp_path):
+    from sutraloom.plans.ingest import ingest
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.pdf").write_bytes(b"HEAD\nThe agnii and agni burn. More of it.\fHEAD\nSecond page is here.\fHEAD\nThird page is here.\fHEAD\nLast.")
+    (tmp_path / "in" / "deep" / "scan.pdf").write_bytes(b"  \f ")
+    (tmp_path / "in" / "broken.pdf").write_bytes(b"\xff")
+
+    def scanned(content):
+        if content == b"\xff":
+            raise OSError("no image")
+        return ["Read by eye and it is long enough."]
+
+    lexicon = spark.createDataFrame([(1, "agni", ["agnii"])], "ord int, canonical string, variants array<string>")
+    failed = ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), lexicon, lambda b: b.decode("utf-8").split("\f"), scanned)
+    assert [(r["source"].rsplit("/", 1)[1], r["error"]) for r in failed.collect()] == [("broken.pdf", "OSError: no image")]
+    rows = [json.loads(x) for f in (tmp_path / "out").glob("*.json") for x in f.read_text(encoding="utf-8").splitlines()]
+    got = {(r["metadata"]["doc_name"], r["metadata"]["page"]): (r["content"], r["metadata"]["entities"]) for r in rows}
+    assert got == {
+        ("a.pdf", 1): ("The agni and agni burn. More of it.", ["agni"]), ("a.pdf", 2): ("Second page is here.", []), ("a.pdf", 3): ("Third page is here.", []),
+        ("a.pdf", 4): ("Last.", []), ("scan.pdf", 1): ("Read by eye and it is long enough.", []),
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,8 @@ from sutraloom.functions import text as T
 from sutraloom.functions.unicode import nfkc, with_nfkc
 from sutraloom.runtime import attach, collect_bounded
 
-#: Entries of a lexicon that may travel with the plan.
-LEXICON_ROWS = 20_000
+#: Entries that a lexicon may have, and terms that may stand in a plan; more are looked for by one automaton in a task.
+LEXICON_ROWS, LITERALS = 20_000, 200
 
 
 def explode_lines(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
@@ -46,12 +46,41 @@ def lexicon_terms(lexicon: DataFrame, canonical: str = "canonical", order: str =
 
 
 def mentions(text: Column, terms: list[str]) -> Column:
-    """The terms that a text contains in any case, sorted. The list is folded into the plan: no join, no shuffle."""
+    """The terms that a text contains in any case, sorted. The list is folded into the plan, or into one automaton
+    beyond LITERALS terms: no join, no shuffle."""
+    if len(terms) > LITERALS:
+        return _finder(tuple(sorted(set(terms))), False)(text)
     named = F.array(*[F.lit(t) for t in sorted(set(terms))])
     found = T.let(F.lower(text), lambda low: F.when(low.isNotNull(), F.filter(named, lambda t: F.contains(low, F.lower(t)))))
     return found if terms else F.array().cast("array<string>")
 
 
+def _finder(terms: tuple[str, ...], per_line: bool):
+    """An Arrow function text -> its terms, sorted, or (per_line) lines -> whether each names a term."""
+
+    def machine():
+        import ahocorasick
+
+        made, names = ahocorasick.Automaton(), {}
+        for t in terms:
+            names.setdefault(t.lower(), []).append(t)
+        for low, of in names.items():
+            if low:
+                made.add_word(low, of)
+        made.make_automaton()
+        return made, names.get("", [])
+
+    @F.pandas_udf("array<boolean>" if per_line else "array<string>")
+    def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made, always = machine()
+        named = lambda x: bool(always) or next(made.iter(x.lower()), None) is not None
+        found = lambda t: sorted({n for _, of in made.iter(t.lower()) for n in of}.union(always))
+        for part in parts:
+            yield pd.Series([None if t is None else [named(x) for x in t] if per_line else found(t) for t in part], dtype=object)
+
+    return find
+
+
 def mentions_any(text: Column, terms: list[str]) -> Column:
     named = F.array(*[F.lit(t.lower()) for t in terms])
     return T.let(F.lower(text), lambda low: F.exists(named, lambda t: F.contains(low, t))) if terms else F.lit(False)
@@ -64,11 +93,14 @@ def drop_repeated(df: DataFrame, key: str, source: str, text: str, terms: list[s
     repeated = repeated_lines(df, source, text, min_repeat)
     lists = repeated.groupBy(F.col("source").alias("_source")).agg(F.collect_set("line_norm").alias("_repeated"))
     pages = attach(df.select(key, source, text), source, lists, "_source", key)
+    many = len(terms) > LITERALS
+    if many:
+        pages = pages.withColumn("_named", _finder(tuple(terms), True)(F.split(F.col(text), "\n")))
 
-    def stays(line: Column) -> Column:
+    def stays(line: Column, i: Column) -> Column:
         def judge(key: Column) -> Column:
             again = F.coalesce(F.array_contains(F.col("_repeated"), key), F.lit(False))
-            kept = ~again | mentions_any(line, terms)
+            kept = ~again | (F.get("_named", i) if many else mentions_any(line, terms))
             return kept if keep_blank else kept & (key != "")
 
         return T.let(line_key(line), judge)

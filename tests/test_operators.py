@@ -406,3 +406,20 @@ def test_sorted_words(spark):
     df = spark.createDataFrame([(w,) for w in ("b", "a", "ā", "B", "b", None, "", "a b")], "w string").repartition(5)
     assert [tuple(r) for r in vocabulary.sorted_words(df, "w").orderBy("position").collect()] == list(enumerate(sorted({"b", "a", "ā", "B", "", "a b"})))
     assert vocabulary.sorted_words(df.limit(0), "w").count() == 0
+
+
+def test_many_terms_like_few(spark, monkeypatch):
+    """Terms in the plan and terms in an automaton find the same."""
+    r = random.Random(3)
+    terms = ["Agni", "ni v", "vata", "VATA", "ā", "ash"]
+    rows = [(i, "s", "\n".join("".join(r.choice("aginv tāsh") for _ in range(r.randint(0, 9))) for _ in range(6)) + "\nthe agni head\nhead") for i in range(60)] + [(90, "s", None), (91, None, "")]
+    df = spark.createDataFrame(rows, "id int, source string, text string")
+
+    def found():
+        a = df.select("id", pages.mentions(F.col("text"), terms).alias("m"))
+        b = pages.drop_repeated(df, "id", "source", "text", terms, 0.5).select("id", "lines")
+        return sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
+
+    few = found()
+    monkeypatch.setattr(pages, "LITERALS", 0)
+    assert found() == few and dict(few[1])[0][-1] == "the agni head"

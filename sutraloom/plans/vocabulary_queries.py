@@ -125,13 +125,13 @@ def sorted_vocabulary(spark, d):
 @query("edit_distances", "SELECT DISTINCT ascii AS word, levenshtein(ascii, lower(ascii) || 'a') AS typed, levenshtein(ascii, 'vata') AS other FROM final_language_dataset WHERE ascii IS NOT NULL AND regexp_full_match(ascii, '[ -~]*')")
 def edit_distances(spark, d):
     words = _words(spark, d).where(F.col("ascii").isNotNull() & F.regexp_like("ascii", F.lit("^[ -~]*$"))).select(F.col("ascii").alias("word")).distinct()
-    return words.select("word", F.levenshtein("word", F.concat(F.lower("word"), F.lit("a"))).alias("typed"), F.levenshtein("word", F.lit("vata")).alias("other"))
+    return words.select("word", F.levenshtein("word", F.concat(F.lower("word"), F.lit("a"))).cast("bigint").alias("typed"), F.levenshtein("word", F.lit("vata")).cast("bigint").alias("other"))
 
 
 _LOG = "(SELECT (strftime(o_orderdate, '%Y')::INT - 1992) * 12 + strftime(o_orderdate, '%m')::INT - 1 AS epoch, round(avg(o_totalprice), 2) AS val_loss, round(1e0 / count(*), 9) AS val_accuracy FROM orders GROUP BY 1)"
 
 
-@query("best_epoch", f"SELECT epoch + 1 AS epoch, val_loss, val_accuracy FROM {_LOG} ORDER BY val_loss, val_accuracy LIMIT 1")
+@query("best_epoch", f"SELECT (epoch + 1)::BIGINT AS epoch, val_loss, val_accuracy FROM {_LOG} ORDER BY val_loss, val_accuracy LIMIT 1")
 def best_epoch(spark, d):
     """The month of least mean price, as a training log's epoch of least loss."""
     month = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1

@@ -423,3 +423,14 @@ def test_many_terms_like_few(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(pages, "LITERALS", 0)
     assert found() == few and dict(few[1])[0][-1] == "the agni head"
+
+
+def test_trigram_candidates_by_rare_trigrams_like_all(spark, monkeypatch):
+    r = random.Random(6)
+    words = lambda n: [("".join(r.choice("abcde") for _ in range(r.randint(1, 7))),) for _ in range(n)] + [(None,), ("",)]
+    asked, known = spark.createDataFrame(words(60), "w string"), spark.createDataFrame(words(400), "v string")
+    ways = []
+    for most in (vocabulary.PAIRS, -1):
+        monkeypatch.setattr(vocabulary, "PAIRS", most)
+        ways.append(sorted(map(tuple, vocabulary.trigram_candidates(asked, "w", known, "v", 5).collect())))
+    assert ways[0] == ways[1] and len(ways[0]) > 200

@@ -434,3 +434,52 @@ def test_trigram_candidates_by_rare_trigrams_like_all(spark, monkeypatch):
         monkeypatch.setattr(vocabulary, "PAIRS", most)
         ways.append(sorted(map(tuple, vocabulary.trigram_candidates(asked, "w", known, "v", 5).collect())))
     assert ways[0] == ways[1] and len(ways[0]) > 200
+
+
+def test_trigram_candidates_make_no_rows_of_pairs(spark, monkeypatch):
+    """300 words that share more trigrams with each of 3,000 than a search by the rarer ones leaves out: 900,000 pairs."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        lists = [gateway.jvm.java.util.ArrayList() for _ in range(2)]
+        return sum(s.shuffleWriteRecords() for s in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().stageList(lists[0], False, False, gateway.new_array(gateway.jvm.double, 0), lists[1])))
+
+    monkeypatch.setattr(vocabulary, "PAIRS", -1)
+    known = [f"{i:04}_ashvagandhaa" for i in range(3000)]
+    asked = [f"{7 * i:04}x_ashvagandhaa" for i in range(300)]
+    before, key = moved(), "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as with tables that are too large for it
+    try:
+        rows = vocabulary.trigram_candidates(spark.createDataFrame([(w,) for w in asked], "w string"), "w", spark.createDataFrame([(w,) for w in known], "v string"), "v", 3).collect()
+    finally:
+        spark.conf.set(key, usual)
+    assert len(rows) == 900 and {r["word"] for r in rows if r["candidate"] == r["word"][:4] + r["word"][5:]} == set(asked)
+    assert 0 < moved() - before < 200_000
+
+
+def test_trigram_index_against_brute_force(spark, monkeypatch):
+    """Over several blocks and shards: ties, many equal counts, other alphabets, words of hundreds of trigrams, words
+    without any."""
+    from sutraloom.operators import trigrams
+
+    r = random.Random(8)
+    words = lambda n, most: {"".join(r.choice("abcā\U00010348क्") for _ in range(r.randint(1, most))) for _ in range(n)} | {"", "a", "#", "aa" * 40}
+    long = ["".join(chr(97 + i % 26) + chr(0x4E00 + i) for i in range(400 - 30 * k)) for k in range(4)]
+    asked, known = sorted(words(50, 9) | {long[1], "nothing", long[3] + "z"}), sorted(words(500, 7) | {*long})
+    cut = lambda w: {f"#{w}#"[i : i + 3] for i in range(len(w))}
+    wanted = []
+    for w in asked:
+        shared = [(-len(cut(w) & cut(v)), v) for v in known]
+        wanted += [(w, v, -c) for c, v in sorted(x for x in shared if x[0])[:6]]
+    monkeypatch.setattr(vocabulary, "PAIRS", -1)
+    for letters, worth in ((4_000_000, 50_000), (700, 100), (4_000_000, 60)):
+        monkeypatch.setattr(trigrams, "LETTERS", letters)
+        monkeypatch.setattr(trigrams, "WORTH", worth)
+        frames = [spark.createDataFrame([(w,) for w in (*ws, ws[3], None)], "w string") for ws in (asked, known)]
+        assert sorted(map(tuple, vocabulary.trigram_candidates(frames[0], "w", frames[1], "w", 6).collect())) == sorted(wanted)
+    assert vocabulary.trigram_candidates(frames[0].limit(0), "w", frames[1], "w").count() == vocabulary.trigram_candidates(frames[0], "w", frames[1].limit(0), "w").count() == 0
+    every = trigrams.Index(known).best(asked, 6)
+    monkeypatch.setattr(trigrams, "FLAGGED", 0)
+    assert all((a == b).all() for a, b in zip(every, trigrams.Index(known).best(asked, 6)))

@@ -12,6 +12,8 @@ from a record at most, chosen by a hash of the id); everything else covers all r
 
 Speed: automata are dense transition tables, and whole batches of sentences walk them in step. Texts of over LONGEST
 characters do so in parts; where a piece runs over a cut, the next part is followed from there until both ways meet.
+Batches of texts are one array of code points, in which site lines, sentences and their words are found by tables of what
+a character is; `sentences`, `line_key` and `prepared` say the same for one text.
 
 Defined results: null and blank texts, and texts without a letter, have no language. A text without a whole sentence has
 the language of its letters, with no sentences and half the confidence. A sentence has at least MIN_WORDS words and ends
@@ -25,6 +27,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from sutraloom.llm.sitelines import BROADCAST_SOURCES
 from sutraloom.llm.sitelines import MIN_RECORDS as SITE_RECORDS
 from sutraloom.llm.sitelines import MIN_SHARE as SITE_SHARE
 from sutraloom.llm.words import WORD
-from sutraloom.runtime import attach, collect_bounded, cut_lineage, map_columns
+from sutraloom.runtime import attach, collect_bounded, cut_lineage, map_columns, ship_package
 
 SAMPLE_ROWS, SAMPLE_CHARS = 250, 40_000
 WORD_SAMPLE_ROWS, WORD_SAMPLE_CHARS = 8_000, 40_000
@@ -128,8 +131,14 @@ class Parser:
             table = (np.where(miss, to[1][None, :], to) * width << 1) | miss
             self.tables.append(table.astype(np.int32).ravel())
             self.codes.append(code)
-            self.has.append(code > 0)
-            self.has[-1][ord(" ")] = False
+        # characters that some language has get small numbers, from which the codes of each language follow
+        known = np.flatnonzero(sum([code > 0 for code in self.codes], np.zeros(0x10000, dtype=bool)))
+        self.number = np.zeros(0x10000, dtype=np.intp)
+        self.number[known] = np.arange(1, len(known) + 1)
+        self.small = [np.concatenate(([0], code[known])).astype(np.int32) for code in self.codes]
+        self.has = [small > 0 for small in self.small]
+        for has in self.has:
+            has[self.number[ord(" ")]] = False
 
     def __reduce__(self) -> tuple:
         """The samples travel, which are small; the tables, which are not, are built where they are used."""
@@ -167,33 +176,49 @@ class Parser:
 
     def _walked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each text by language, and the automaton's last state."""
-        n = len(texts)
-        if n > BATCH:
-            done = [self._walked(texts[i : i + BATCH]) for i in range(0, n, BATCH)]
-            return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        sizes = np.array([len(t) for t in texts], dtype=np.intp)
+        return self._walk(code_points("".join(texts)), np.cumsum(sizes) - sizes, sizes)
+
+    def spaced(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """`pieces` of texts that begin with a blank, which is left out: stretches of an array of code points."""
+        if not (sizes > LONGEST).any():
+            return self._walk(points, starts, sizes, True)[0]
+        counts = np.zeros((len(sizes), len(self.names)))
+        short, long = np.flatnonzero(sizes <= LONGEST), np.flatnonzero(sizes > LONGEST)
+        counts[short] = self._walk(points, starts[short], sizes[short], True)[0]
+        counts[long] = self.pieces([f" {_text(points[a : a + n])}" for a, n in zip(starts[long].tolist(), sizes[long].tolist())])
+        return counts
+
+    def _walk(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, blank: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces by language of stretches of an array of code points, and the automaton's last state; blank: as if a
+        blank stood before each."""
+        n = len(sizes)
         result, ends = np.zeros((n, len(self.names)), dtype=np.float64), np.zeros((n, len(self.names)), dtype=np.int32)
-        if not any(texts):
+        if not n or not (blank or sizes.any()):
             return result, ends
-        order = sorted(range(n), key=lambda i: -len(texts[i]))
-        sizes = np.array([len(texts[i]) for i in order])
-        joined = np.frombuffer("".join([texts[i] for i in order]).encode("utf-32-le"), dtype=np.uint32)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts that still run at each step
-        joined = np.where(joined < 0x10000, joined, 0)
+        order = np.argsort(-sizes, kind="stable")
+        if n > BATCH:  # texts of about one length together
+            for mine in np.array_split(order, -(-n // BATCH)):
+                result[mine], ends[mine] = self._walk(points, starts[mine], sizes[mine], blank)
+            return result, ends
+        starts, sizes = starts[order], sizes[order]
+        live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()  # texts that still run at each step
         # the first characters of all texts, then the second ones, and so on: each step reads one stretch
-        joined = joined[np.concatenate([starts[:m] + step for step, m in enumerate(live.tolist())])]
+        joined = points[np.concatenate([starts[:m] + step for step, m in enumerate(live)])] if live else points[:0]
+        joined = self.number[np.where(joined < 0x10000, joined, 0)]
         ends_at = np.cumsum(live).tolist()
-        held = np.zeros(0x10000, dtype=bool)
+        held = np.zeros(len(self.small[0]), dtype=bool)
         held[joined] = True
-        back = np.array(order)
         went, bit = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
         for k in range(len(self.names)):
+            begin = int(self.tables[k][int(self.codes[k][ord(" ")])])
             if not (held & self.has[k]).any():  # no letter of this language: every character is a piece
-                result[back, k] = sizes
-                ends[back, k] = self._after_blank(k, texts, order)
+                result[order, k] = sizes + blank
+                last = points[starts + sizes - 1] == ord(" ") if len(points) else sizes > 0
+                ends[order, k] = np.where(np.where(sizes > 0, last, blank), begin >> 1, 0)
                 continue
-            table, coded = self.tables[k], self.codes[k][joined]
-            at, count = np.zeros(n, dtype=np.intp), np.zeros(n, dtype=np.int32)
+            table, coded = self.tables[k], self.small[k].take(joined, mode="clip")
+            at, count = np.full(n, begin >> 1 if blank else 0, dtype=np.intp), np.full(n, begin & 1 if blank else 0, dtype=np.int32)
             first = 0
             for last in ends_at:
                 m = last - first
@@ -203,14 +228,9 @@ class Parser:
                 count[:m] += bit[:m]
                 np.right_shift(went[:m], 1, out=at[:m])
                 first = last
-            result[back, k], ends[back, k] = count, at
+            result[order, k], ends[order, k] = count, at
         return result, ends
 
-    def _after_blank(self, k: int, texts: list[str], order: list[int]) -> list[int]:
-        """The last state of texts of which a language has no letter: that after a blank, or none."""
-        blank = int(self.tables[k][int(self.codes[k][ord(" ")])]) >> 1
-        return [blank if texts[i].endswith(" ") else 0 for i in order]
-
 
 def decide(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the language with the fewest pieces, and its lead as a share of the second's pieces."""
@@ -229,6 +249,7 @@ _CUT = re.compile(r"\s(?:(?<=[.!?।]\s)|(?<=[.!?।][\"'’”»)]\s)|(?<=\|\|\
 _ENDS = tuple(".!?।|")
 _REST = re.compile(r"[\W\d_]+")
 _ASCII_REST = bytes(i for i in range(128) if not chr(i).isalpha())
+_ASCII_REST_IN_LINES = _ASCII_REST.replace(b"\n", b"")
 _INNER = re.compile(r"[.!?]\s")
 _TAIL = "\"'’”»)† \t\r"
 
@@ -252,25 +273,30 @@ def line_key(line: str) -> int | None:
     return xxhash.xxh3_64_intdigest(words) >> 1 if len(words) > 11 else None
 
 
+def unwrapped(lines: list[str]) -> list[str]:
+    """Lines that were broken to a width, joined up to the end of their paragraph."""
+    width = max(map(len, lines), default=0)
+    joined, out = "", []
+    for line in lines:
+        bare = line.strip()
+        if not bare:
+            out.append(joined)
+            joined = ""
+            continue
+        joined = f"{joined[:-1]}{bare}" if joined.endswith(("¬", "‐", "-")) and joined[-2:-1].isalpha() else f"{joined} {bare}"
+        if len(line) < 0.45 * width and bare.endswith(_ENDS):
+            out.append(joined)
+            joined = ""
+    return [*out, joined]
+
+
 def sentences(text: str, wrapped: bool, common: frozenset[int]) -> list[str]:
     """Whole sentences of a text. wrapped: lines were broken to a width, so a sentence may run over their ends."""
     lines = text.split("\n")
     if common:
         lines = [x for x in lines if (k := line_key(x)) is None or k not in common]
     if wrapped:
-        width = max(map(len, lines), default=0)
-        joined, out = "", []
-        for line in lines:
-            bare = line.strip()
-            if not bare:
-                out.append(joined)
-                joined = ""
-                continue
-            joined = f"{joined[:-1]}{bare}" if joined.endswith(("¬", "‐", "-")) and joined[-2:-1].isalpha() else f"{joined} {bare}"
-            if len(line) < 0.45 * width and bare.endswith(_ENDS):
-                out.append(joined)
-                joined = ""
-        lines = [*out, joined]
+        lines = unwrapped(lines)
     found = []
     for line in lines:
         for s in _CUT.split(line):
@@ -282,6 +308,181 @@ def sentences(text: str, wrapped: bool, common: frozenset[int]) -> list[str]:
     return found
 
 
+# --- the same for batches of texts --------------------------------------------------------------------------------------
+
+#: Characters of texts that are laid out as one array of code points, and of those whose sentences are parsed together.
+STRETCH, TOGETHER = 1 << 20, 1 << 23
+# what a character is, as bits
+_LETTER, _BARE, _BLANK, _STOP, _SIGN, _CLOSE, _END, _LEAD, _AFTER, _STRAY = (1 << i for i in range(10))
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """What each code point is, by the patterns that `sentences`, `line_key`, `letters` and `prepared` go by."""
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    flags = np.zeros(len(every), dtype=np.uint16)
+    leads, after = encoding.lead_and_after()
+    patterns = ((_LETTER, WORD), (_BARE, re.compile(r"[^\W\d_]+")), (_BLANK, re.compile(r"\s+")), (_STRAY, lookalikes.SUSPECT))
+    for flag, pattern in patterns:
+        for m in pattern.finditer(every):
+            flags[m.start() : m.end()] |= flag
+    # of look-alikes of two characters, the second tells
+    for flag, chars in ((_STOP, ".!?।"), (_SIGN, "\"'’”»)"), (_CLOSE, _TAIL), (_END, _ENDS), (_LEAD, leads), (_AFTER, after), (_STRAY, "\u093c")):
+        flags[[ord(c) for c in chars]] |= flag
+    return flags
+
+
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """Each letter in lower case, 0 for what is none; line ends stay. Not for "İ" and "Σ", whose lower case is two
+    characters or depends on those beside it."""
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    low = np.frombuffer(every.replace("İ", "i").replace("Σ", "σ").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(((_classes()[low] & _BARE) != 0) | (low == 10), low, np.uint32(0))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _text(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le")
+
+
+def _stretches(texts: list[str | None], chars: int) -> Iterator[slice]:
+    """Runs of texts of about so many characters, one text at least."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+def _owners(texts: list[str]) -> np.ndarray:
+    """For each line of the texts in a row, the number of its text."""
+    return np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
+
+
+def all_prepared(texts: list[str]) -> list[str]:
+    """`prepared` of each text. Only texts with a character that may need it are looked at one by one."""
+    out = list(texts)
+    rows = [i for i, t in enumerate(texts) if not t.isascii()]
+    if rows:
+        flags = _classes()[code_points("\n".join([texts[i] for i in rows]))]
+        doubt = np.flatnonzero(flags & _STRAY)
+        pairs = np.flatnonzero(((flags[:-1] & _LEAD) != 0) & ((flags[1:] & _AFTER) != 0))
+        ends = np.cumsum([len(texts[i]) + 1 for i in rows])
+        for n in set(np.searchsorted(ends, np.concatenate((doubt, pairs)), side="right").tolist()):
+            out[rows[n]] = prepared(texts[rows[n]])
+    return out
+
+
+def _bare_lines(lines: list[str]) -> list[str] | list[bytes]:
+    """The letters of each line, as `line_key` reads them."""
+    plain = [x.isascii() for x in lines]
+    done: list = "\n".join([x for x, p in zip(lines, plain) if p]).lower().encode().translate(None, _ASCII_REST_IN_LINES).split(b"\n")
+    if not all(plain):
+        whole = "\n".join([x for x, p in zip(lines, plain) if not p])
+        if "İ" in whole or "Σ" in whole:
+            whole = whole.lower()
+        bare = _folded().take(code_points(whole), mode="clip")
+        rest, done = iter(_text(bare[bare != 0]).split("\n")), iter(done)
+        done = [next(done if p else rest) for p in plain]
+    return done
+
+
+def _ended(whole: str, flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each part of a text ends in sentence punctuation, closing signs aside."""
+    at = ends - 1
+    full = at >= starts
+    for i in np.flatnonzero(full & ((flags[at] & _CLOSE) != 0)).tolist():
+        at[i] = starts[i] + len(whole[starts[i] : ends[i]].rstrip(_TAIL)) - 1
+    return (at >= starts) & ((flags[at] & _END) != 0)
+
+
+def line_keys(texts: list[str]) -> list[tuple[int, int]]:
+    """(number of the text, key) for each different line of each text that has a `line_key`."""
+    whole = "\n".join(texts)
+    points = code_points(whole)
+    if not len(points):
+        return []
+    flags = _classes()[points]
+    ends = np.append(np.flatnonzero(points == 10), len(points))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    takes = _ended(whole, flags, starts, ends)
+    inner = np.flatnonzero(((flags[:-1] & _STOP) != 0) & (points[:-1] != ord("।")) & ((flags[1:] & _BLANK) != 0) & (points[1:] != 10))
+    takes[np.searchsorted(ends, inner)] = True
+    takes &= ends - starts >= 12
+    return list({(o, xxhash.xxh3_64_intdigest(b) >> 1) for o, b, take in zip(_owners(texts).tolist(), _bare_lines(whole.split("\n")), takes.tolist()) if take and len(b) > 11})
+
+
+def without_lines(texts: list[str], common: list[frozenset[int]]) -> list[str]:
+    """The texts without the lines whose key is in the text's set."""
+    every = frozenset().union(*set(common))
+    if not every or not any(texts):
+        return texts
+    out = list(texts)
+    hits = [n for n, b in enumerate(_bare_lines("\n".join(texts).split("\n"))) if len(b) > 11 and xxhash.xxh3_64_intdigest(b) >> 1 in every]
+    for i in set(_owners(texts)[hits].tolist()):
+        out[i] = "\n".join([x for x in texts[i].split("\n") if (k := line_key(x)) is None or k not in common[i]])
+    return out
+
+
+class Sentences:
+    """The whole sentences of texts, as `sentences` gives them, in one array of code points: `owner` has the number of
+    each one's text, `starts` and `sizes` tell where it stands; a blank follows each, which `sizes` does not count."""
+
+    def __init__(self, texts: list[str]) -> None:
+        # line ends before the first text stand for what the patterns may look back at
+        whole = "\n\n\n" + "\n".join(texts) + "\n"
+        points = code_points(whole)
+        flags = _classes()[points]
+        before = np.flatnonzero(((flags[:-1] & (_END | _SIGN)) != 0) & ((flags[1:] & _BLANK) != 0) & (points[1:] != 10))
+        here, one, bar = flags[before], flags[before - 1], points[before] == ord("|")
+        stop = (here & _STOP) != 0
+        stop |= ((here & _SIGN) != 0) & ((one & _STOP) != 0)
+        stop |= bar & (points[before - 1] == ord("|"))
+        stop |= bar & (points[before - 1] == ord(" ")) & ((flags[before - 2] & _BARE) != 0)
+        ends = np.sort(np.concatenate((before[stop] + 1, np.flatnonzero(points == 10))))
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        whole_ones = _ended(whole, flags, starts, ends)
+        starts, ends = starts[whole_ones], ends[whole_ones]
+        owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]) + 3, starts, side="right")
+        # the sentences alone, a line end after each
+        step = np.zeros(len(points) + 1, dtype=np.int8)
+        step[starts] = 1
+        step[ends + 1] -= 1
+        cut = points.copy()
+        cut[ends] = 10
+        points = code_points(_text(cut[np.cumsum(step[:-1], dtype=np.int8).view(bool)]).lower())
+        # their words, one blank after each
+        letter = (_classes()[points] & _LETTER) != 0
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]
+        lasts, size = np.flatnonzero(points == 10), np.cumsum(kept, dtype=np.int64)
+        gaps = np.flatnonzero(kept & ~letter)
+        till = np.concatenate(([0], size[lasts]))
+        words = np.diff(np.searchsorted(gaps, lasts, side="right"), prepend=0)
+        sizes = np.diff(till) - 1
+        right = (words >= MIN_WORDS) & (sizes >= MIN_WORD_LENGTH * words)
+        self.points = np.where(letter, points, np.uint32(ord(" ")))[kept]
+        self.starts, self.sizes, self.owner = till[:-1][right], sizes[right], owner[right]
+
+    def add(self, other: Sentences, texts: int) -> None:
+        """Those of further texts; `texts`: how many came before."""
+        self.starts = np.concatenate((self.starts, other.starts + len(self.points)))
+        self.owner = np.concatenate((self.owner, other.owner + texts))
+        self.points, self.sizes = np.concatenate((self.points, other.points)), np.concatenate((self.sizes, other.sizes))
+
+    def indic(self) -> np.ndarray:
+        """Which of the sentences have an Indic letter."""
+        at = np.flatnonzero((self.points >= 0x900) & (self.points < 0xE00))
+        return np.searchsorted(at, self.starts) < np.searchsorted(at, self.starts + self.sizes)
+
+
 # --- training --------------------------------------------------------------------------------------------------------------
 
 
@@ -407,12 +608,13 @@ def _line_counts(df: DataFrame, text: str, source: str) -> DataFrame:
             return made
 
         for b in batches:
-            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[s, None] += 1
-                if t:
-                    seen.update({(s, k) for x in t.split("\n") if (k := line_key(x)) is not None})
-            if len(seen) > 500_000:
-                yield give()
+            sites, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for part in _stretches(texts, STRETCH):
+                mine = sites[part]
+                seen.update([(s, None) for s in mine])
+                seen.update([(mine[i], k) for i, k in line_keys([t or "" for t in texts[part]])])
+                if len(seen) > 500_000:
+                    yield give()
         yield give()
 
     return cut_lineage(df.select(source, text).mapInArrow(run, "s bigint, h bigint, n bigint").groupBy("s", "h").agg(F.sum("n").alias("n")))
@@ -449,67 +651,65 @@ def detect(df: DataFrame, key: str, text: str, label: str, wrapped: str, source:
     held = df.sparkSession.sparkContext.broadcast((parser, common_lines(counts)))
     rows = attach(rows, "site", source_lines(counts), "s", "text", BROADCAST_SOURCES).drop("s")
 
-    def kernel(cols: dict[str, list]) -> dict[str, list]:
-        parser, common = held.value
+    def found(texts: list[str], labels: list, broken: list, known: list[frozenset[int]]) -> Iterator[tuple]:
+        """(number of the text, given, language, sentences, share, confidence)"""
+        parser = held.value[0]
         names = parser.names
-        lists = {s: common.union(x) for s, x in dict(zip(cols["site"], cols["lines"])).items() if x}
-        owner: list[int] = []
-        latin, latin_at, other, other_at = [], [], [], []
-        bare: dict[int, str] = {}  # letters of the records without a whole sentence
-        for i, (t, w) in enumerate(zip(cols["text"], cols["wrapped"])):
-            if t:
-                meant = prepared(t)
-                found = sentences(meant, bool(w), lists.get(cols["site"][i], common))
-                if not found and not whole_only and (s := letters(meant)):
-                    bare[i] = s
-                for s in found:
-                    at = len(owner)
-                    owner.append(i)
-                    if s.isascii() or not _INDIC.search(s):
-                        latin.append(s)
-                        latin_at.append(at)
-                    else:
-                        other.append(s)
-                        other_at.append(at)
-        pieces = np.zeros((len(owner), len(names)))
-        size = np.zeros(len(owner))
-        for texts, at in ((latin, latin_at), (other, other_at)):
-            if texts:
-                pieces[at] = parser.pieces([f" {s} " for s in texts])
-                size[at] = [len(s) for s in texts]
+        meant, made = [], Sentences([])
+        for part in _stretches(texts, STRETCH):
+            meant += all_prepared(texts[part])
+            lines = without_lines(meant[part], known[part])
+            made.add(Sentences(["\n".join(unwrapped(t.split("\n"))) if w else t for t, w in zip(lines, broken[part])]), part.start)
+        if not whole_only:
+            whole = set(made.owner.tolist())
+            bare = {i: s for i, t in enumerate(meant) if i not in whole and (s := letters(t))}
+            if bare:
+                for i, k, sure in zip(bare, *decide(parser.pieces([f" {s} " for s in bare.values()]))):
+                    yield i, label_of(labels[i]), names[k], 0, 1.0, float(sure) / 2
+        if not len(made.owner):
+            return
+        pieces, indic = np.zeros((len(made.owner), len(names))), made.indic()
+        for at in (np.flatnonzero(~indic), np.flatnonzero(indic)):
+            pieces[at] = parser.spaced(made.points, made.starts[at], made.sizes[at] + 1)
         best, lead = decide(pieces)
-        per: dict[int, list[int]] = defaultdict(list)
-        for at, i in enumerate(owner):
-            per[i].append(at)
-        out: dict[str, list] = {c: [] for c in (key, "given", "lang", "sentences", "share", "confidence")}
-
-        def add(i: int, k: int, n: int, share: float, sure: float) -> None:
-            for name, v in zip(out, (cols["key"][i], label_of(cols["label"][i]), names[k], n, share, sure)):
-                out[name].append(v)
-
-        if bare:
-            for i, k, sure in zip(bare, *decide(parser.pieces([f" {s} " for s in bare.values()]))):
-                add(i, int(k), 0, 1.0, float(sure) / 2)
-        for i, at in per.items():
-            total = pieces[at].sum(axis=0)
-            main, rows = int(total.argmin()), len(out[key])
-            # a sentence without a clear lead belongs to the record's main language
-            of = [int(best[a]) if lead[a] >= MIN_CONFIDENCE else main for a in at]
-            for k in sorted(set(of)):
-                mine = [a for a, o in zip(at, of) if o == k]
-                chars = float(size[mine].sum())
-                _, sure = decide(pieces[mine].sum(axis=0, keepdims=True))
-                if sure[0] < MIN_CONFIDENCE / 2:  # no language reads it better than another: noise
-                    continue
-                add(i, k, len(mine), chars / float(size[at].sum()), float(sure[0]))
-            if len(out[key]) == rows and not whole_only:
-                add(i, main, 0, 1.0, float(decide(total[None, :])[1][0]) / 2)
-        return out
-
-    return map_columns(rows.select("key", "text", "label", "wrapped", "site", "lines"), kernel, schema)
-
-
-_INDIC = re.compile("[ऀ-෿]")
+        first = np.flatnonzero(np.diff(made.owner, prepend=-1))  # where the sentences of each record begin
+        record = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(made.owner))))
+        total, chars = np.add.reduceat(pieces, first), np.add.reduceat(made.sizes, first)
+        main = total.argmin(axis=1)
+        # a sentence without a clear lead belongs to the record's main language
+        of = np.where(lead >= MIN_CONFIDENCE, best, main[record])
+        groups, group, n = np.unique(record * len(names) + of, return_inverse=True, return_counts=True)
+        mine = np.add.reduceat(pieces[np.argsort(group, kind="stable")], np.cumsum(n) - n)
+        share = np.bincount(group, weights=made.sizes) / chars[groups // len(names)]
+        _, sure = decide(mine)
+        told = sure >= MIN_CONFIDENCE / 2  # else no language reads it better than another: noise
+        numbers = made.owner[first].tolist()
+        for g, *rest in zip(groups[told].tolist(), n[told].tolist(), share[told].tolist(), sure[told].tolist()):
+            r, k = divmod(g, len(names))
+            yield numbers[r], label_of(labels[numbers[r]]), names[k], *rest
+        if not whole_only:
+            noise = np.setdiff1d(np.arange(len(first)), groups[told] // len(names))
+            for r, k, x in zip(noise.tolist(), main[noise].tolist(), decide(total[noise])[1].tolist()):
+                yield numbers[r], label_of(labels[numbers[r]]), names[k], 0, 1.0, x / 2
+
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = held.value[1]
+        types = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64())
+        for b in batches:
+            texts, labels, broken, sites = (b.column(c).to_pylist() for c in ("text", "label", "wrapped", "site"))
+            # all records of a site have its list; it is read once
+            of = {s: i for i, s in enumerate(sites)}
+            lists = {s: common.union(x) if (x := b.column("lines")[i].as_py()) else common for s, i in of.items()}
+            for part in _stretches(texts, TOGETHER):
+                rows = [i for i in range(part.start, part.stop) if texts[i]]
+                out = list(found([texts[i] for i in rows], [labels[i] for i in rows], [bool(broken[i]) for i in rows], [lists[sites[i]] for i in rows]))
+                keys = b.column("key").take(pa.array([rows[r[0]] for r in out], pa.int64()))
+                made = [pa.array([r[n] for r in out], t) for n, t in enumerate(types, 1)]
+                yield pa.RecordBatch.from_arrays([keys, *made], names=[key, "given", "lang", "sentences", "share", "confidence"])
+
+    return rows.select("key", "text", "label", "wrapped", "site", "lines").mapInArrow(run, schema)
 
 
 def wrong_or_mixed(detected: DataFrame, key: str) -> DataFrame:

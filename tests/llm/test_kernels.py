@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -161,6 +162,54 @@ def test_sentences():
     assert languages.sentences("The page is for all. " * 2, False, frozenset([languages.line_key("The page is for all. " * 2)])) == []
 
 
+def odd_texts(r, n):
+    """Texts of words, sentences, signs, blanks of many kinds, garbled and look-alike letters, letters of two-character lower case."""
+    bits = [*"abcΣσİÉéāम़र1²_̇ĳ‖.!?।|\"'’”»)† \t\r\n-¬‐\xa0\x85\x0b𝐀𐐀", "Ã©", "â€™", "vаta", ". ", "\n\n", " | ", "|| ", ".” ", "Agni is the fire of all life. ", "ΟΔΟΣ ΣΑΣ ΣΙΣΣ ΟΔΟΣ.\n", "“Long words stand here again.”\n"]
+    return ["".join(r.choices(bits, k=r.choice([0, 1, 9, 90]))) for _ in range(n)]
+
+
+def test_batches_are_read_like_single_texts():
+    r = random.Random(4)
+    parser = languages.Parser({"x": " agni is the fire of life ", "y": " long words stand here οδος σας "})
+    for n in range(200):
+        texts = odd_texts(r, r.choice([0, 1, 2, 9]))
+        broken = [r.random() < 0.5 for _ in texts]
+        meant = [languages.prepared(t) for t in texts]
+        assert languages.all_prepared(texts) == meant
+        keys = {(i, k) for i, t in enumerate(texts) for x in t.split("\n") if (k := languages.line_key(x)) is not None}
+        got = languages.line_keys(texts)
+        assert set(got) == keys and len(got) == len(keys)
+        common = [frozenset(k for _, k in keys if r.random() < 0.3) if r.random() < 0.8 else frozenset() for _ in texts]
+        lines = languages.without_lines(meant, common)
+        made, half = languages.Sentences([]), n % 3
+        for part in (slice(0, half), slice(half, None)):
+            made.add(languages.Sentences(["\n".join(languages.unwrapped(t.split("\n"))) if w else t for t, w in zip(lines[part], broken[part])]), part.start)
+        read = [languages._text(made.points[a : a + size]) for a, size in zip(made.starts, made.sizes)]
+        assert list(zip(made.owner, read)) == [(i, s) for i, t in enumerate(meant) for s in languages.sentences(t, broken[i], common[i])]
+        assert made.indic().tolist() == [bool(re.search("[ऀ-෿]", s)) for s in read]
+        assert (parser.spaced(made.points, made.starts, made.sizes + 1) == parser.pieces([f" {s} " for s in read])).all()
+
+
+def test_batches_take_no_call_for_a_sentence():
+    """What a batch costs: no Python call for a text or sentence, however many there are."""
+    parser = languages.Parser({"x": " agni is the fire of life ", "y": " long words stand here again "})
+    texts = ["Agni is the fire of all life. Long words stand here again é. " * 10] * 200
+    languages._classes(), languages._folded()
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        made = languages.Sentences(languages.without_lines(languages.all_prepared(texts), [frozenset([1])] * len(texts)))
+        pieces = parser.spaced(made.points, made.starts, made.sizes + 1)
+    finally:
+        sys.setprofile(None)
+    assert pieces.shape == (4_000, 2) and calls < 200
+
+
 # --- copies ------------------------------------------------------------------------------------------------------------
 
 
